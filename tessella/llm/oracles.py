@@ -50,4 +50,22 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN comp c USING (doc_id) LEFT JOIN sizes s USING (doc_id)
 """
 
-SQL = {"op3_interleave": OP3, "op4_near_duplicates": OP4}
+OP10 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i+l-1], ' ') AS g FROM (
+    SELECT item_id, w, least(10, len(w)) AS l, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+placed AS (
+  SELECT doc_id, l, i, array_to_string(w[i:i+l-1], ' ') AS g FROM (
+    SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM wins) WHERE len(w) >= l)),
+hits AS (SELECT doc_id, i, l, item_id FROM placed JOIN wins USING (l, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SQL = {"op10_decontaminate": OP10, "op3_interleave": OP3, "op4_near_duplicates": OP4}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import neardup, sharding
+from tessella.llm import decontam, neardup, sharding
 from tessella.llm.common import table
 
 
@@ -16,4 +16,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {"op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {"op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
