@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, neardup, sharding
+from tessella.llm import decontam, lm, neardup, sharding
 from tessella.llm.common import table
 
 
@@ -21,4 +21,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
