@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, lm, neardup, sharding
+from tessella.llm import decontam, langid, lm, neardup, sharding
 from tessella.llm.common import table
 
 
@@ -25,4 +25,8 @@ def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
