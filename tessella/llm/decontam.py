@@ -25,7 +25,7 @@ from tessella.llm.common import materialize, total_bytes
 
 WIDTH = 10
 SLICE_BYTES = 8 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 MOST_CANDIDATES = 1 << 20  # looked at together; more are taken in turns
 SLOP = 2
 NEAR_SHARE = 0.8
