@@ -6,10 +6,11 @@ pair (half-key i of the first collection, half-key j of the second), so HALVES**
 probability (1 - (1 - s**ROWS)**HALVES)**2; with 16 and 3 it misses at s = 0.8 with probability 2e-5.
 
 Texts with equal shingle sets are one class. Half-keys that only one class has are dropped first (the pair
-they would form cannot meet), which leaves few table rows. In a table, classes are first compared with one hub
-(a star, not all pairs); after the stars' confirmed links are contracted to components, only pairs of a table
-that lie in different components are still compared, so no link that could join two components is lost.
-Minhash agreement below AGREE skips the exact comparison; it lies over 5 standard deviations below 0.8.
+they would form cannot meet), which leaves few table rows. In a table, classes are compared with one hub (a star, not
+all pairs), for STAR_ROUNDS different hubs. Classes whose minhashes agree with a hub's in AGREE of the places are
+its family; families that confirmed links have not made one component are compared whole, in blocks, by matrix
+products of their sets; classes of different families that share a table are compared as pairs. So no link that
+could join two components is lost, but for agreement below AGREE, 5 standard deviations below 0.8.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from tessella.llm.common import materialize
 SHINGLE = 4
 HALVES = 16
 ROWS = 3
-AGREE = 0.6
+AGREE = 0.61
+PLANES = 4
 PERCENT = 80
 STAR_ROUNDS = 2
 PAIRS_PER_SALT = 4096
+BLOCK = 256
+COLUMNS = 8192
 
 _N = 2 * HALVES * ROWS
 _MULT = textkit.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
@@ -60,7 +64,7 @@ def _shingle_sets(words: textkit.Words, k: int) -> Iterator[np.ndarray]:
 
 
 _PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("class_tail", pa.int64()), ("halves", pa.list_(pa.int64())), ("minhash", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("class_tail", pa.int64()), ("halves", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -86,21 +90,21 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 for r in range(ROWS):
                     x = textkit.mix(x * np.uint64(31) + mixed[band * ROWS + r])
                 halves[band] = x
-            short = (mixed >> np.uint64(48)).astype(np.uint16).T.copy()
-            keys, marks = halves.T.astype(np.int64), [None] * len(sets)
+            keys, bits = halves.T.astype(np.int64), _planes(mixed).T.astype(np.int64)
+            marks: list = [None] * len(sets)
             lists: list = [None] * len(sets)
             for i, r in enumerate(full):
-                marks[r], lists[r] = short[i].tobytes(), keys[i]
+                marks[r], lists[r] = bits[i], keys[i]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(words.first, len(sets)).cast(pa.int64()), pa.array(sizes), pa.array(cls.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                [ids.slice(words.first, len(sets)).cast(pa.int64()), pa.array(sizes), pa.array(cls.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
                 schema=_SKETCH,
             )
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Per row: n_shingles, class_id/class_tail (equal for equal shingle sets), half-keys and short minhashes."""
+    """Per row: n_shingles, class_id/class_tail (equal for equal shingle sets), half-keys and minhash bits."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: _sketches(it, k), "doc_id long, n_shingles long, class_id long, class_tail long, halves array<long>, minhash binary"
+        lambda it: _sketches(it, k), "doc_id long, n_shingles long, class_id long, class_tail long, halves array<long>, planes array<long>"
     )
 
 
@@ -123,18 +127,27 @@ def _tables(classes: DataFrame) -> DataFrame:
     return keys.select(F.xxhash64("a", "b").alias("key"), "class_id").join(classes.select("class_id", "n_shingles"), "class_id")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, _N) for c in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+def _planes(minhashes: np.ndarray) -> np.ndarray:
+    """PLANES low bits of every minhash, packed so that two texts are compared with xor and bit_count."""
+    words = -(-_N // 64)
+    out = np.zeros((PLANES * words, minhashes.shape[1]), dtype=np.uint64)
+    for f in range(_N):
+        for b in range(PLANES):
+            out[b * words + f // 64] |= ((minhashes[f] >> np.uint64(b)) & np.uint64(1)) << np.uint64(f % 64)
+    return out
+
+
+def _agree(a: str, b: str):
+    """Whether minhashes agree in AGREE of the places, as far as PLANES bits tell."""
+    words = -(-_N // 64)
+    unlike = " + ".join("bit_count(" + " | ".join(f"({a}[{p * words + w}] ^ {b}[{p * words + w}])" for p in range(PLANES)) + ")" for w in range(words))
+    return F.expr(f"{unlike} <= {int((1 - AGREE) * _N)}")
 
 
 def _promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs whose minhashes agree often enough to be worth an exact comparison."""
-    both = pairs.join(marks.select(F.col("class_id").alias("x"), F.col("minhash").alias("mx")), "x").join(marks.select(F.col("class_id").alias("y"), F.col("minhash").alias("my")), "y")
-    return both.select("x", "y", "mx", "my").mapInArrow(lambda it: _agreeing(it, int(AGREE * _N)), "x long, y long")
+    both = pairs.join(marks.select(F.col("class_id").alias("x"), F.col("planes").alias("px")), "x").join(marks.select(F.col("class_id").alias("y"), F.col("planes").alias("py")), "y")
+    return both.where(_agree("px", "py")).select("x", "y")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,18 +208,70 @@ def _sizes_allow(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _link(pairs: DataFrame, marks: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Confirmed links among candidate pairs; shingle sets are made again only for classes in promising pairs."""
+def _link(pairs: DataFrame, marks: DataFrame, texts, k: int) -> tuple[DataFrame, DataFrame]:
+    """(confirmed links, promising pairs) among candidate pairs; sets are made again only for promising pairs."""
     promising = materialize(_promising(pairs, marks), "promising")
     wanted = promising.select(F.col("x").alias("class_id")).union(promising.select(F.col("y").alias("class_id"))).distinct()
-    sets = materialize(texts(wanted).mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary"), "sets")
+    sets = materialize(_sets_of(texts(wanted), k), "sets")
     # the more common end of a pair becomes the hub that others come to
     weight = promising.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     turned = (
         promising.join(weight.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(weight.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y")
         .select(F.when(F.col("cx") >= F.col("cy"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("cx") >= F.col("cy"), F.col("y")).otherwise(F.col("x")).alias("y"))
     )
-    return materialize(_confirmed(turned, sets), "links")
+    return materialize(_confirmed(turned, sets), "links"), promising
+
+
+def _sets_of(texts: DataFrame, k: int) -> DataFrame:
+    return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary")
+
+
+def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of one family: members (family, class_id, root), sets (class_id, hashes).
+
+    A family is dealt to blocks of about BLOCK members and every pair of its blocks is one task: intersections of
+    all their sets come from matrix products over the shingles that occur twice, and only links that join two
+    components leave the task. Work is shared by as many tasks as a family has pairs of blocks.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    blocks = members.join(sizes, "family").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) AS int)")).withColumn("own", F.expr("pmod(xxhash64(class_id), blocks)"))
+    dealt = blocks.select("family", "class_id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class_id", "root").join(sets, "class_id")
+    return dealt.groupBy("family", "i", "j").applyInArrow(_compare_block, "x long, y long")
+
+
+def _compare_block(group: pa.Table) -> pa.Table:
+    ids, roots = group.column("class_id").to_numpy(), group.column("root").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("hashes")]
+    n, size = len(ids), np.array([len(s) for s in sets])
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, twice = np.repeat(np.arange(n), size), times > 1
+    number = np.cumsum(twice) - 1
+    kept = twice[place]
+    row, column = row[kept], number[place[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(twice.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        m = np.zeros((n, COLUMNS), dtype=np.float32)
+        m[row[lo:hi], column[lo:hi] - first] = 1
+        common += m @ m.T
+    linked = (100 * common >= PERCENT * (size[:, None] + size[None, :] - common)) & (roots[:, None] != roots[None, :])
+    joined: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while joined.get(r, r) != r:
+            r = joined[r]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            joined[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+    return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -224,24 +289,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(sketch(base, k=k), "sketch")
     full = rows.where("n_shingles > 0")
     classes = materialize(
-        full.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("minhash").alias("minhash"), F.min("doc_id").alias("least_id")), "classes"
+        full.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("planes").alias("planes"), F.min("doc_id").alias("least_id")), "classes"
     )
     tables = materialize(_tables(classes.select("class_id", "n_shingles", "halves")), "tables")
-    marks = classes.select("class_id", "minhash")
+    marks = classes.select("class_id", "planes")
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(class_id, text) with one text for each wanted class."""
         owner = classes.join(wanted, "class_id").where("least_id is not null").select("class_id", F.col("least_id").alias("doc_id"))
         return base.join(owner, "doc_id").select("class_id", "text")
 
-    links = None
+    links = near = None
     for turn in range(STAR_ROUNDS):
-        pairs = _hub_pairs(_unsettled(tables, links), turn)
-        found = _link(pairs, marks, texts, k)
-        links = found if links is None else links.union(found)
-        links = _roots_as_links(links)
-    rest = _cross_pairs(_unsettled(tables, links))
-    links = links.union(_link(rest, marks, texts, k))
+        found, promising = _link(_hub_pairs(_unsettled(tables, links), turn), marks, texts, k)
+        near = promising if near is None else near.union(promising)
+        links = _roots_as_links(found if links is None else links.union(found))
+    families = components(near).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
+    placed = families.join(links.select(F.col("x").alias("class_id"), F.col("y").alias("root")), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    placed = materialize(placed, "families")
+    split = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("family")
+    members = materialize(placed.join(split, "family"), "members")
+    inside = materialize(_family_links(members, materialize(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
+    across, _ = _link(_cross_pairs(_unsettled(tables, placed.select(F.col("class_id").alias("x"), F.col("family").alias("y"))), marks), marks, texts, k)
+    links = links.union(inside).union(across)
     roots = components(links)
     classed = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), "least_id")
     smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -264,8 +334,9 @@ def _unsettled(tables: DataFrame, links: DataFrame | None) -> DataFrame:
     return placed.join(mixed, "key")
 
 
-def _cross_pairs(tables: DataFrame) -> DataFrame:
-    """Pairs of one table that lie in different components, each once."""
-    a = tables.select("key", F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), F.col("root").alias("rx"))
-    b = tables.select("key", F.col("class_id").alias("y"), F.col("n_shingles").alias("m"), F.col("root").alias("ry"))
-    return a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _sizes_allow("n", "m")).select("x", "y").distinct()
+def _cross_pairs(tables: DataFrame, marks: DataFrame) -> DataFrame:
+    """Promising pairs of one table that lie in different families (the root here), each once."""
+    rows = tables.join(marks, "class_id")
+    a = rows.select("key", F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), F.col("root").alias("rx"), F.col("planes").alias("px"))
+    b = rows.select("key", F.col("class_id").alias("y"), F.col("n_shingles").alias("m"), F.col("root").alias("ry"), F.col("planes").alias("py"))
+    return a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _sizes_allow("n", "m") & _agree("px", "py")).select("x", "y").distinct()
