@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, langid, lm, neardup, pii, sharding, toxicity
+from tessella.llm import decontam, langid, lm, mixing, neardup, pii, sharding, tokencount, toxicity
 from tessella.llm.common import table
 
 
@@ -37,4 +37,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source"])
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_section_tokens": op5_section_tokens, "op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
