@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are a fixed lexicon and patterns mined from labelled training rows. A pattern is a word or a word beginning;
-counts over all labelled training rows keep those whose toxic rows exceed chance beyond the number of patterns tried,
+counts over the labelled sample keep those whose toxic rows exceed chance beyond the number of patterns tried,
 and a greedy cover on a bounded sample picks voters that explain toxic rows no earlier voter does. The label model
 estimates by expectation-maximisation how often each voter fires on toxic and on clean rows, treating the given
 label as one more noisy voter, and damps voters that fire together beyond what the classes explain. A logistic
@@ -24,7 +24,7 @@ from tessella.llm.common import held_out, materialize
 PREFIXES = (3, 4, 5, 6, 7)  # bytes of a word beginning
 MOST_PATTERNS = 100_000  # tested patterns, the most frequent ones in toxic rows
 MOST_VOTERS = 63
-SAMPLE_ROWS = 20_000  # labelled rows for the label model and the classifier
+SAMPLE_ROWS = 20_000  # labelled training rows, by id hash, that all learning reads
 COVER_ROWS = 4_000  # toxic rows for the greedy cover
 PRECISION = 0.9
 LABEL_ACCURACY = 0.98
@@ -227,7 +227,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = materialize(texts.join(marked, "_id"), "labelled")
+    trainable = marked.where(~held_out("_id", modulus, remainder))
+    chosen = trainable.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)  # bounded, so it may be broadcast
+    labelled = materialize(texts.join(F.broadcast(chosen), "_id"), "labelled")
     patterns = mine(labelled.select("text", "toxic"))
     voters = [lexicon_hashes()]
     order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("text")]
