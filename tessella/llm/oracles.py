@@ -68,4 +68,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op10_decontaminate": OP10, "op3_interleave": OP3, "op4_near_duplicates": OP4}
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+SQL = {"op9_exact_top_k": OP9, "op10_decontaminate": OP10, "op3_interleave": OP3, "op4_near_duplicates": OP4}

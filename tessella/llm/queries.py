@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, langid, lm, mixing, neardup, pii, sharding, tokencount, toxicity
+from tessella.llm import decontam, langid, lm, mixing, mtree, neardup, pii, sharding, tokencount, toxicity
 from tessella.llm.common import table
 
 
@@ -45,4 +45,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "source"])
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_section_tokens": op5_section_tokens, "op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+QUERIES = {"op9_exact_top_k": op9_exact_top_k, "op1_mixing": op1_mixing, "op5_section_tokens": op5_section_tokens, "op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
