@@ -1,13 +1,74 @@
-"""The corpus pipeline: stages that each read their predecessor's documents."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on the documents its predecessor kept; all but the last return the
+columns they were given, whatever extra columns there are. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import neardup, sharding
+from tessella.llm import decontam, langid, mixing, neardup, sharding
 from tessella.llm.common import materialize, table
 
-STAGES = []
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """Each row whole in _row, beside the id and the text, so that no added name can clash with a given one."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in ids (doc_id); a null id is an id like any other."""
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; texts that are null, without letters or without any evidence go."""
+    model = langid.fit(docs)
+    named = langid.identify(_boxed(docs), model, "text", ["_row"])
+    if model is None:  # nothing to learn languages from: only texts without letters can be told
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id; of repeated rows one stays."""
+    groups = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    once = _without(_without(docs, groups.where("NOT kept")), repeated)
+    again = _without(docs, groups.where("NOT kept")).join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with the benchmark."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), slop=0)
+    return _without(docs, found.where("contaminated"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in whole copies whose expected number is the fitted rate (0 leaves a document out)."""
+    mixed = mixing.mix(_boxed(docs), table(spark, sf_dir, "labels"), keep=["_row"])
+    return mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot."""
+    return sharding.interleave(docs, shards=8)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_to_targets),
+    ("sharding", shard),
+]
+#: the stages learn models, which SQL cannot express; tests hold them against brute force
 ORACLE_SQL = None
 
 
