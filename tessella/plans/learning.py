@@ -202,9 +202,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cache_hits_ttl",
-    f"""WITH {_ASKS}, lists AS (SELECT key, list({{'at': seconds, 'id': request_id}} ORDER BY seconds, request_id) AS a FROM asks GROUP BY 1),
-folded AS (SELECT key, list_reduce(list_concat([{{'w': -1e18::DOUBLE, 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}}], list_transform(a, lambda x : {{'w': x.at, 'out': [{{'id': x.id, 'hit': false}}]::STRUCT(id BIGINT, hit BOOLEAN)[]}})),
-  lambda a, x : CASE WHEN x.w - a.w < 86400 THEN {{'w': a.w, 'out': list_append(a.out, {{'id': x.out[1].id, 'hit': true}})}} ELSE {{'w': x.w, 'out': list_append(a.out, {{'id': x.out[1].id, 'hit': false}})}} END) AS f FROM lists)
+    f"""WITH {_ASKS}, lists AS (SELECT key, list({{'at': seconds, 'id': request_id}} ORDER BY seconds, request_id) AS asked FROM asks GROUP BY 1),
+folded AS (SELECT key, list_reduce(list_concat([{{'w': -1e18::DOUBLE, 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}}], list_transform(asked, lambda x : {{'w': x.at, 'out': [{{'id': x.id, 'hit': false}}]::STRUCT(id BIGINT, hit BOOLEAN)[]}})),
+  lambda acc, x : CASE WHEN x.w - acc.w < 86400 THEN {{'w': acc.w, 'out': list_append(acc.out, {{'id': x.out[1].id, 'hit': true}})}} ELSE {{'w': x.w, 'out': list_append(acc.out, {{'id': x.out[1].id, 'hit': false}})}} END) AS f FROM lists)
 SELECT key, o.id AS request_id, o.hit AS hit FROM (SELECT key, unnest(f.out) AS o FROM folded)""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:

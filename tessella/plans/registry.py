@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import learning
+from tessella.plans import ingest, learning
 
-_PARTS = (learning,)
+_PARTS = (ingest, learning)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
