@@ -214,7 +214,8 @@ def _link(pairs: DataFrame, marks: DataFrame, texts, k: int) -> tuple[DataFrame,
     wanted = promising.select(F.col("x").alias("class_id")).union(promising.select(F.col("y").alias("class_id"))).distinct()
     sets = materialize(_sets_of(texts(wanted), k), "sets")
     # the more common end of a pair becomes the hub that others come to
-    weight = promising.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    ends = [promising.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("c")) for c in ("x", "y")]
+    weight = ends[0].union(ends[1]).groupBy("node").agg(F.sum("c").alias("c"))
     turned = (
         promising.join(weight.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(weight.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y")
         .select(F.when(F.col("cx") >= F.col("cy"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("cx") >= F.col("cy"), F.col("y")).otherwise(F.col("x")).alias("y"))
