@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import checking, ingest, learning
+from tessella.plans import checking, ingest, learning, measuring
 
-_PARTS = (checking, ingest, learning)
+_PARTS = (checking, ingest, learning, measuring)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
