@@ -7,9 +7,9 @@ probability (1 - (1 - s**ROWS)**HALVES)**2; with 16 and 3 it misses at s = 0.8 w
 
 Texts with equal shingle sets are one class. Half-keys that only one class has are dropped first (the pair
 they would form cannot meet), which leaves few table rows. In a table, classes are compared with one hub (a star, not
-all pairs), for STAR_ROUNDS different hubs. Classes whose minhashes agree with a hub's in AGREE of the places are
-its family; families that confirmed links have not made one component are compared whole, in blocks, by matrix
-products of their sets; classes of different families that share a table are compared as pairs. So no link that
+all pairs). Classes whose minhashes agree with a hub's in AGREE of the places are its family; families that their best
+hub's confirmed links do not cover are compared whole, in blocks, by matrix products of their sets; classes of
+different families that share a table are compared as pairs. So no link that
 could join two components is lost, but for agreement below AGREE, 5 standard deviations below 0.8.
 """
 
@@ -32,7 +32,6 @@ ROWS = 3
 AGREE = 0.61
 PLANES = 4
 PERCENT = 80
-STAR_ROUNDS = 2
 PAIRS_PER_SALT = 4096
 BLOCK = 256
 COLUMNS = 8192
@@ -183,7 +182,7 @@ def components(edges: DataFrame, a: str = "x", b: str = "y", most_rounds: int =
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = materialize(small.where("u <> v").distinct(), "edges")
@@ -196,9 +195,9 @@ def components(edges: DataFrame, a: str = "x", b: str = "y", most_rounds: int =
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _hub_pairs(tables: DataFrame, seed: int) -> DataFrame:
+def _hub_pairs(tables: DataFrame) -> DataFrame:
     """In each table, every class with the table's hub; pairs too unlike in size for a link are left out."""
-    order = F.xxhash64("class_id", F.lit(seed))
+    order = F.xxhash64("class_id", F.lit(0))
     hub = tables.groupBy("key").agg(F.min_by(F.struct("class_id", "n_shingles"), order).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pairs = tables.join(hub, "key").select(F.least("h.class_id", "class_id").alias("x"), F.greatest("h.class_id", "class_id").alias("y"), F.col("h.n_shingles").alias("n"), F.col("n_shingles").alias("m"))
     return pairs.where(_sizes_allow("n", "m") & (F.col("x") != F.col("y"))).select("x", "y").distinct()
@@ -300,19 +299,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         owner = classes.join(wanted, "class_id").where("least_id is not null").select("class_id", F.col("least_id").alias("doc_id"))
         return base.join(owner, "doc_id").select("class_id", "text")
 
-    links = near = None
-    for turn in range(STAR_ROUNDS):
-        found, promising = _link(_hub_pairs(_unsettled(tables, links), turn), marks, texts, k)
-        near = promising if near is None else near.union(promising)
-        links = _roots_as_links(found if links is None else links.union(found))
+    stars, near = _link(_hub_pairs(tables), marks, texts, k)
     families = components(near).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
-    placed = families.join(links.select(F.col("x").alias("class_id"), F.col("y").alias("root")), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    placed = materialize(placed, "families")
+    placed = materialize(_star_roots(families, stars), "families")
     split = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("family")
     members = materialize(placed.join(split, "family"), "members")
     inside = materialize(_family_links(members, materialize(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
-    across, _ = _link(_cross_pairs(_unsettled(tables, placed.select(F.col("class_id").alias("x"), F.col("family").alias("y"))), marks), marks, texts, k)
-    links = links.union(inside).union(across)
+    across, _ = _link(_cross_pairs(_unsettled(tables, placed.select("class_id", F.col("family").alias("root"))), marks), marks, texts, k)
+    links = stars.union(inside).union(across)
     roots = components(links)
     classed = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), "least_id")
     smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -322,17 +316,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
 
 
-def _roots_as_links(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("x"), F.col("root").alias("y"))
+def _star_roots(families: DataFrame, stars: DataFrame) -> DataFrame:
+    """Family members (class_id, family) with root: the family's hub of most confirmed links where linked with it, else themselves."""
+    ends = stars.select(F.col("x").alias("hub"), F.col("y").alias("class_id")).union(stars.select(F.col("y").alias("hub"), F.col("x").alias("class_id")))
+    sizes = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
+    best = sizes.join(families, F.col("hub") == F.col("class_id")).groupBy("family").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
+    linked = ends.join(best, "hub").select("class_id", F.col("hub").alias("r")).union(best.select(F.col("hub").alias("class_id"), F.col("hub").alias("r"))).distinct()
+    return families.join(linked, "class_id", "left").select("class_id", "family", F.coalesce("r", "class_id").alias("root"))
 
 
-def _unsettled(tables: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Table rows with each class's component so far, without tables whose classes are all of one component."""
-    if links is None:
-        return tables.withColumn("root", F.col("class_id"))
-    placed = tables.join(links.select(F.col("x").alias("class_id"), F.col("y").alias("r")), "class_id", "left").withColumn("root", F.coalesce("r", "class_id")).drop("r")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(mixed, "key")
+def _unsettled(tables: DataFrame, placed: DataFrame) -> DataFrame:
+    """Table rows with each class's root (class_id, root), without tables whose classes all have one root."""
+    rows = tables.join(placed, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(mixed, "key")
 
 
 def _cross_pairs(tables: DataFrame, marks: DataFrame) -> DataFrame:
