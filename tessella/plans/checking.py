@@ -102,7 +102,7 @@ _REPORT = (
   count(*) FILTER (is_hallucination AND risk = 'critical') AS critical, count(*) FILTER (is_hallucination AND risk = 'high') AS high, """
     + ", ".join(f"coalesce(list(sentence ORDER BY idx) FILTER (list_contains(types, '{t}')), []::VARCHAR[]) AS {t}" for t in g.TYPES)
     + """ FROM verdict GROUP BY 1), ccount AS (SELECT pair_id, count(*)::INT AS context_sentences FROM cs GROUP BY 1),
-report AS (SELECT p.pair_id, p.subject, p.topic, context_sentences, len(regexp_extract_all(context, '\\S+')) AS context_words, len(regexp_extract_all(generated, '\\S+')) AS generated_words, s.* EXCLUDE (pair_id) FROM pairs p JOIN sums s USING (pair_id) JOIN ccount USING (pair_id))"""
+report AS (SELECT p.pair_id, p.subject, p.topic, context_sentences, len(regexp_extract_all(context, '\\S+'))::INT AS context_words, len(regexp_extract_all(generated, '\\S+'))::INT AS generated_words, s.* EXCLUDE (pair_id) FROM pairs p JOIN sums s USING (pair_id) JOIN ccount USING (pair_id))"""
 )
 
 

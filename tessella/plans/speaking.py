@@ -48,7 +48,7 @@ def _(s, d):
     return speech.inject_prosody(_rows(s, d)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-_WORDS = """words AS (SELECT conv_id * 1000 + turn AS clip_id, i::INT - 1 AS idx, w AS word, 0.4 * (i - 1) AS start_sec, 0.4 * (i - 1) + 0.36 AS end_sec FROM (
+_WORDS = """words AS (SELECT conv_id * 1000 + turn AS clip_id, i::INT - 1 AS idx, w AS word, (0.4 * (i - 1))::DOUBLE AS start_sec, (0.4 * (i - 1) + 0.36)::DOUBLE AS end_sec FROM (
   SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS ws FROM conversations)))"""
 
 
@@ -63,7 +63,7 @@ def _(s, d):
     return timing.ticks_to_seconds(rows).select("clip_id", "idx", *[F.round(c, 4).alias(c) for c in ("start_sec", "end_sec", "duration_sec")])
 
 
-@query("shift_words", f"WITH {_WORDS}, o AS (SELECT DISTINCT clip_id, (clip_id % 4) * 0.7 AS off FROM words WHERE clip_id % 5 <> 4), j AS (SELECT w.*, coalesce(o.off, 0) AS b FROM words w LEFT JOIN o USING (clip_id)) SELECT clip_id, idx, round(CASE WHEN b = 0 THEN start_sec ELSE greatest(0, start_sec - b) END, 4) AS start_sec, round(end_sec - b, 4) AS end_sec FROM j WHERE b = 0 OR end_sec - b > 0")
+@query("shift_words", f"WITH {_WORDS}, o AS (SELECT DISTINCT clip_id, ((clip_id % 4) * 0.7)::DOUBLE AS off FROM words WHERE clip_id % 5 <> 4), j AS (SELECT w.*, coalesce(o.off, 0.0::DOUBLE) AS b FROM words w LEFT JOIN o USING (clip_id)) SELECT clip_id, idx, round(CASE WHEN b = 0 THEN start_sec ELSE greatest(0, start_sec - b) END, 4) AS start_sec, round(end_sec - b, 4) AS end_sec FROM j WHERE b = 0 OR end_sec - b > 0")
 def _(s, d):
     w = _words(s, d)
     offsets = w.select("clip_id").distinct().where("clip_id % 5 <> 4").withColumn("offset_sec", F.col("clip_id") % 4 * 0.7)
