@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_OPEN: list[list[str]] = []  # paths written inside each open scratch()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +34,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, unless saved_result() wrote them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def saved_result(df: DataFrame, name: str) -> DataFrame:
+    """materialize, for a result that outlives the scratch tables it was made from."""
+    held = _OPEN[:]
+    _OPEN.clear()
+    try:
+        return materialize(df, name)
+    finally:
+        _OPEN.extend(held)
+
+
 def crc_of(col: Column | str) -> Column:
     """crc32 of a value written as text (0 to 2**32 - 1); null stays null."""
     col = F.col(col) if isinstance(col, str) else col

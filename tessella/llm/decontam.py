@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import materialize, total_bytes
+from tessella.llm.common import materialize, saved_result, scratch, total_bytes
 
 WIDTH = 10
 SLICE_BYTES = 8 << 20
@@ -248,7 +248,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count; repeated rows each give a row; an item with a null id counts as the text "None"; empty tables give no rows
     or only clean ones; other columns are ignored. Words are told apart by 64-bit hashes.
     """
-    index = materialize(build_index(docs, id_col, text_col), "postings")
+    with scratch(docs.sparkSession):
+        return saved_result(_contaminated(materialize(build_index(docs, id_col, text_col), "postings"), benchmark, width, slop, share), "contaminated")
+
+
+def _contaminated(index: DataFrame, benchmark: DataFrame, width: int, slop: int, share: float) -> DataFrame:
     slices = max(1, -(-total_bytes(benchmark, "text") // SLICE_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     hits = None

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, saved_result, scratch
 
 SHINGLE = 4
 HALVES = 16
@@ -285,7 +285,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on both); a null id never names a component unless all its ids are null, and only then is kept (null);
     an empty table gives no rows; other columns are ignored. Classes are told apart by 64-bit digests.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        return saved_result(_grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k), "groups")
+
+
+def _grouped(base: DataFrame, k: int) -> DataFrame:
     rows = materialize(sketch(base, k=k), "sketch")
     full = rows.where("n_shingles > 0")
     classes = materialize(
