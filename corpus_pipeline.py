@@ -37,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of repeated rows one stays."""
-    groups = materialize(neardup.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    groups = neardup.near_duplicates(docs).select("doc_id", "kept")
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     once = _without(_without(docs, groups.where("NOT kept")), repeated)
     again = _without(docs, groups.where("NOT kept")).join(repeated.select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
