@@ -116,14 +116,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """(key, class_id, n) of the tensored tables, without keys that can hold one class only."""
+    """(key, class_id, n_shingles, planes) of the tensored tables, without keys that can hold one class only."""
     each = classes.select("class_id", F.posexplode("halves").alias("band", "half"))
     shared = each.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     left = each.join(shared, "half").groupBy("class_id").agg(
         F.collect_list(F.when(F.col("band") < HALVES, F.col("half"))).alias("first"), F.collect_list(F.when(F.col("band") >= HALVES, F.col("half"))).alias("second")
     )
     keys = left.select("class_id", F.explode("first").alias("a"), "second").select("class_id", "a", F.explode("second").alias("b"))
-    return keys.select(F.xxhash64("a", "b").alias("key"), "class_id").join(classes.select("class_id", "n_shingles"), "class_id")
+    return keys.select(F.xxhash64("a", "b").alias("key"), "class_id").join(classes.select("class_id", "n_shingles", "planes"), "class_id")
 
 
 def _planes(minhashes: np.ndarray) -> np.ndarray:
@@ -143,12 +143,6 @@ def _agree(a: str, b: str):
     return F.expr(f"{unlike} <= {int((1 - AGREE) * _N)}")
 
 
-def _promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs whose minhashes agree often enough to be worth an exact comparison."""
-    both = pairs.join(marks.select(F.col("class_id").alias("x"), F.col("planes").alias("px")), "x").join(marks.select(F.col("class_id").alias("y"), F.col("planes").alias("py")), "y")
-    return both.where(_agree("px", "py")).select("x", "y")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (x, y) with 100 * |intersection| >= PERCENT * |union| of the full sets.
 
@@ -196,20 +190,20 @@ def components(edges: DataFrame, a: str = "x", b: str = "y", most_rounds: int =
 
 
 def _hub_pairs(tables: DataFrame) -> DataFrame:
-    """In each table, every class with the table's hub; pairs too unlike in size for a link are left out."""
+    """In each table, every class with the table's hub, where sizes and minhashes let a link be likely."""
     order = F.xxhash64("class_id", F.lit(0))
-    hub = tables.groupBy("key").agg(F.min_by(F.struct("class_id", "n_shingles"), order).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    pairs = tables.join(hub, "key").select(F.least("h.class_id", "class_id").alias("x"), F.greatest("h.class_id", "class_id").alias("y"), F.col("h.n_shingles").alias("n"), F.col("n_shingles").alias("m"))
-    return pairs.where(_sizes_allow("n", "m") & (F.col("x") != F.col("y"))).select("x", "y").distinct()
+    hub = tables.groupBy("key").agg(F.min_by(F.struct("class_id", "n_shingles", "planes"), order).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = (F.col("h.class_id") != F.col("class_id")) & _sizes_allow(F.col("h.n_shingles"), F.col("n_shingles")) & _agree("h.planes", "planes")
+    return tables.join(hub, "key").where(met).select(F.least("h.class_id", "class_id").alias("x"), F.greatest("h.class_id", "class_id").alias("y")).distinct()
 
 
-def _sizes_allow(a: str, b: str):
+def _sizes_allow(a, b):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _link(pairs: DataFrame, marks: DataFrame, texts, k: int) -> tuple[DataFrame, DataFrame]:
-    """(confirmed links, promising pairs) among candidate pairs; sets are made again only for promising pairs."""
-    promising = materialize(_promising(pairs, marks), "promising")
+def _link(pairs: DataFrame, texts, k: int) -> tuple[DataFrame, DataFrame]:
+    """(confirmed links, the pairs) among promising pairs; shingle sets are made again only for their classes."""
+    promising = materialize(pairs, "promising")
     wanted = promising.select(F.col("x").alias("class_id")).union(promising.select(F.col("y").alias("class_id"))).distinct()
     sets = materialize(_sets_of(texts(wanted), k), "sets")
     # the more common end of a pair becomes the hub that others come to
@@ -295,21 +289,20 @@ def _grouped(base: DataFrame, k: int) -> DataFrame:
     classes = materialize(
         full.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("planes").alias("planes"), F.min("doc_id").alias("least_id")), "classes"
     )
-    tables = materialize(_tables(classes.select("class_id", "n_shingles", "halves")), "tables")
-    marks = classes.select("class_id", "planes")
+    tables = materialize(_tables(classes), "tables")
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(class_id, text) with one text for each wanted class."""
         owner = classes.join(wanted, "class_id").where("least_id is not null").select("class_id", F.col("least_id").alias("doc_id"))
         return base.join(owner, "doc_id").select("class_id", "text")
 
-    stars, near = _link(_hub_pairs(tables), marks, texts, k)
+    stars, near = _link(_hub_pairs(tables), texts, k)
     families = components(near).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
     placed = materialize(_star_roots(families, stars), "families")
     split = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("family")
     members = materialize(placed.join(split, "family"), "members")
     inside = materialize(_family_links(members, materialize(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
-    across, _ = _link(_cross_pairs(_unsettled(tables, placed.select("class_id", F.col("family").alias("root"))), marks), marks, texts, k)
+    across, _ = _link(_cross_pairs(tables, placed.select("class_id", "family")), texts, k)
     links = stars.union(inside).union(across)
     roots = components(links)
     classed = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), "least_id")
@@ -329,16 +322,16 @@ def _star_roots(families: DataFrame, stars: DataFrame) -> DataFrame:
     return families.join(linked, "class_id", "left").select("class_id", "family", F.coalesce("r", "class_id").alias("root"))
 
 
-def _unsettled(tables: DataFrame, placed: DataFrame) -> DataFrame:
-    """Table rows with each class's root (class_id, root), without tables whose classes all have one root."""
-    rows = tables.join(placed, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(mixed, "key")
+def _cross_pairs(tables: DataFrame, families: DataFrame) -> DataFrame:
+    """Promising pairs of one table that lie in different families, each once; families has (class_id, family).
 
-
-def _cross_pairs(tables: DataFrame, marks: DataFrame) -> DataFrame:
-    """Promising pairs of one table that lie in different families (the root here), each once."""
-    rows = tables.join(marks, "class_id")
-    a = rows.select("key", F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), F.col("root").alias("rx"), F.col("planes").alias("px"))
-    b = rows.select("key", F.col("class_id").alias("y"), F.col("n_shingles").alias("m"), F.col("root").alias("ry"), F.col("planes").alias("py"))
-    return a.join(b, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _sizes_allow("n", "m") & _agree("px", "py")).select("x", "y").distinct()
+    In a table of several families the rows outside its largest family meet all rows, so a large family is never
+    compared with itself here.
+    """
+    rows = tables.join(families, "class_id", "left").withColumn("family", F.coalesce("family", "class_id"))
+    sizes = rows.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("family", F.struct("n", "family")).alias("largest"), F.count(F.lit(1)).alias("f")).where("f > 1").select("key", "largest")
+    few = rows.join(mixed, "key").where("family <> largest").select("key", F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), F.col("family").alias("fx"), F.col("planes").alias("px"))
+    both = rows.select("key", F.col("class_id").alias("y"), F.col("n_shingles").alias("m"), F.col("family").alias("fy"), F.col("planes").alias("py"))
+    met = (F.col("fx") != F.col("fy")) & _sizes_allow("n", "m") & _agree("px", "py")
+    return few.join(both, "key").where(met).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
