@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are a fixed lexicon and patterns mined from labelled training rows. A pattern is a word or a word beginning;
-counts over the labelled sample keep those whose toxic rows exceed chance beyond the number of patterns tried,
-and a greedy cover on a bounded sample picks voters that explain toxic rows no earlier voter does. The label model
+counts over all labelled training rows keep those whose toxic rows exceed chance beyond the number of patterns tried,
+and a greedy cover of all their toxic texts picks voters that explain toxic rows no earlier voter does. The label model
 estimates by expectation-maximisation how often each voter fires on toxic and on clean rows, treating the given
 label as one more noisy voter, and damps voters that fire together beyond what the classes explain. A logistic
 classifier is then fitted to the posterior labels.
@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import held_out, materialize
+from tessella.llm.common import held_out, materialize, scratch
 
 PREFIXES = (3, 4, 5, 6, 7)  # bytes of a word beginning
 MOST_PATTERNS = 100_000  # tested patterns, the most frequent ones in toxic rows
 MOST_VOTERS = 63
-SAMPLE_ROWS = 20_000  # labelled training rows, by id hash, that all learning reads
-COVER_ROWS = 4_000  # toxic rows for the greedy cover
+SAMPLE_ROWS = 20_000  # distinct vote vectors, the most frequent ones, for the label model and the classifier
+COVERED = 3  # toxic texts that a voter has to explain beyond earlier voters
+MERGE_PATTERNS = 2_000_000  # patterns of scans held before they are passed on
 PRECISION = 0.9
 LABEL_ACCURACY = 0.98
 THRESHOLD = 0.7
@@ -74,20 +75,29 @@ class _Finder:
 
 
 def _count(batches: Iterator[pa.RecordBatch], finder: _Finder | None) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in which each pattern occurs; all patterns, or those of the finder."""
+    """Rows of a task in which each pattern occurs; all patterns, or those of the finder."""
+    parts, held = [], 0
     for batch in batches:
-        hashes = []
         for words in textkit.scan(batch.column(0), textkit.LETTERS):
             if finder is None:
-                for h, row in _patterns(words):
-                    hashes.append(_once(h, row))
+                hashes = np.concatenate([_once(h, row) for h, row in _patterns(words)])
             else:
                 row, place = finder.find(words)
                 pairs = np.unique(row * len(finder.patterns) + place)
-                hashes.append(finder.patterns[pairs % max(1, len(finder.patterns))])
-        if hashes:
-            h, n = np.unique(np.concatenate(hashes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+                hashes = finder.patterns[pairs % max(1, len(finder.patterns))]
+            parts.append(np.unique(hashes, return_counts=True))
+            held += len(parts[-1][0])
+            if held > MERGE_PATTERNS:
+                yield _merged(parts)
+                parts, held = [], 0
+    if parts:
+        yield _merged(parts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    hashes, n = (np.concatenate(x) for x in zip(*parts))
+    hashes, place = np.unique(hashes, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(np.bincount(place, n, len(hashes)).astype(np.int64))], names=["pattern", "n"])
 
 
 def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -125,25 +135,28 @@ def _occurrences(batches: Iterator[pa.RecordBatch], finder: _Finder) -> Iterator
             row, place = pairs // max(1, len(finder.patterns)), pairs % max(1, len(finder.patterns))
             edges = np.searchsorted(row, np.arange(len(words.per_row) + 1))
             lists = [place[edges[r] : edges[r + 1]].astype(np.int32) for r in range(len(words.per_row))]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["places"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(words.first, len(words.per_row)), pa.array(lists, pa.list_(pa.int32()))], names=["digest", "places"])
+
 
+def _cover(lists: DataFrame, size: int) -> list[int]:
+    """Patterns that one after another explain most texts not yet explained; lists has (places, n texts with them)."""
 
-def _cover(lists: list[list[int]], size: int, least: int) -> list[int]:
-    """Patterns that one after another explain most rows not yet explained."""
-    holders: list[set[int]] = [set() for _ in range(size)]
-    for r, places in enumerate(lists):
-        for p in places:
-            holders[p].add(r)
+    def holders(rows: DataFrame) -> np.ndarray:
+        got = rows.select(F.explode("places").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[got.column("p").to_numpy()] = got.column("n").to_numpy()
+        return out
+
+    support = left = holders(lists)
     chosen: list[int] = []
-    left = set(range(len(lists)))
     while len(chosen) < MOST_VOTERS:
-        best = max(range(size), key=lambda p: (len(holders[p] & left), len(holders[p]), -p), default=None)
-        if best is None or len(holders[best] & left) < least:
+        best = max(range(size), key=lambda p: (left[p], support[p], -p), default=None)
+        if best is None or left[best] < COVERED:
             break
         chosen.append(best)
-        left -= holders[best]
+        left = holders(lists.where(~F.arrays_overlap("places", F.array(*[F.lit(p) for p in chosen]))))
     # voters beside the cover: further patterns by support, so that votes overlap and can be compared
-    rest = sorted((p for p in range(size) if p not in chosen), key=lambda p: (-len(holders[p]), p))
+    rest = sorted(set(range(size)) - set(chosen), key=lambda p: (-support[p], p))
     return chosen + rest[: max(0, min(MOST_VOTERS - len(chosen), len(chosen)))]
 
 
@@ -179,28 +192,28 @@ class Model:
             odds = odds + np.where(label == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
-    def learn(self, votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> None:
-        """Expectation-maximisation for the voters, then the classifier on posterior labels."""
-        n, k = votes.shape
+    def learn(self, votes: np.ndarray, label: np.ndarray, times: np.ndarray, rounds: int = 30) -> None:
+        """Expectation-maximisation for the voters, then the classifier on posterior labels; each row counts `times`."""
+        k = votes.shape[1]
         x = votes.astype(np.float64)
         q = np.where(label == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
         self.damping = np.ones(k)
         for _ in range(rounds):
-            prior = float(np.clip(q.mean(), 1e-4, 1 - 1e-4))
+            prior = float(np.clip(np.average(q, weights=times), 1e-4, 1 - 1e-4))
             both = np.stack([1 - q, q])
-            self.fires = np.clip((both @ x + 0.05) / (both.sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
+            self.fires = np.clip(((both * times) @ x + 0.05) / ((both * times).sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
             rest = x - (both.T @ self.fires)
-            spread = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            self.correlation = (rest.T @ rest) / np.outer(spread, spread)
+            spread = np.sqrt(times @ rest**2) + 1e-9
+            self.correlation = (rest.T @ (rest * times[:, None])) / np.outer(spread, spread)
             np.fill_diagonal(self.correlation, 0)
-            self.damping = 1 / (1 + np.abs(np.where(np.abs(self.correlation) > 0.1, self.correlation, 0)).sum(axis=1))
+            self.damping = 1 / (1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(axis=1))  # voters that exclude each other are not damped
             q = self.posterior(votes, prior, label)
         given = _features(votes)
         w = np.zeros(given.shape[1])
         for _ in range(40):  # Newton steps of a ridge logistic regression
             p = 1 / (1 + np.exp(-np.clip(given @ w, -30, 30)))
-            curve = given.T @ (given * (p * (1 - p) + 1e-6)[:, None]) + 0.05 * np.eye(len(w))
-            move = np.linalg.solve(curve, given.T @ (q - p) - 0.05 * w)
+            curve = given.T @ (given * (times * (p * (1 - p) + 1e-6))[:, None]) + 0.05 * np.eye(len(w))
+            move = np.linalg.solve(curve, given.T @ (times * (q - p)) - 0.05 * w)
             w += move
             if np.abs(move).max() < 1e-6:
                 break
@@ -224,29 +237,31 @@ def _vote_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, remainder: int = 1) -> Model:
     """Learn from labels of rows that are not held out; rows without a 0/1 label only get scores."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, id_col, text_col, modulus, remainder)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modulus: int, remainder: int) -> Model:
     spark = docs.sparkSession
-    marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    trainable = marked.where(~held_out("_id", modulus, remainder))
-    chosen = trainable.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)  # bounded, so it may be broadcast
-    labelled = materialize(texts.join(F.broadcast(chosen), "_id"), "labelled")
-    patterns = mine(labelled.select("text", "toxic"))
+    labelled = materialize(texts.join(marked.hint("shuffle_hash"), "_id").select("text", "toxic"), "labelled")
+    patterns = mine(labelled)
     voters = [lexicon_hashes()]
-    order = [F.xxhash64("_id"), F.col("_id"), F.xxhash64("text")]
     if len(patterns):
         held = spark.sparkContext.broadcast(_Finder(patterns))
-        sample = labelled.where("toxic = 1").select("_id", "text").dropDuplicates(["text"]).orderBy(*order).limit(COVER_ROWS)
-        lists = [r["places"] for r in sample.select("text").mapInArrow(lambda it: _occurrences(it, held.value), "places array<int>").toLocalIterator()]
-        voters += [patterns[p : p + 1] for p in _cover(lists, len(patterns), max(3, len(lists) // 400))]
+        found = labelled.where("toxic = 1").select("text", F.xxhash64("text").alias("digest")).mapInArrow(lambda it: _occurrences(it, held.value), "digest long, places array<int>")
+        lists = materialize(found.where(F.size("places") > 0).dropDuplicates(["digest"]).groupBy("places").agg(F.count(F.lit(1)).alias("n")), "places")
+        voters += [patterns[p : p + 1] for p in _cover(lists, len(patterns))]
     model = Model(voters)
     sent = spark.sparkContext.broadcast(model)
-    sample = labelled.select("_id", "text", "toxic").orderBy(*order).limit(SAMPLE_ROWS)
-    got = sample.select("text", "toxic").mapInArrow(lambda it: _vote_rows(it, sent.value), "toxic int, votes binary").toArrow()
+    votes = labelled.mapInArrow(lambda it: _vote_rows(it, sent.value), "toxic int, votes binary")
+    got = votes.groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "toxic", "votes").limit(SAMPLE_ROWS).toArrow()
     if not got.num_rows:  # nothing to learn from: the lexicon alone decides
         model.weights = np.concatenate([np.full(len(voters), 4.0), [0.0, 0.0, -3.0]])
         return model
-    votes = np.frombuffer(b"".join(got.column("votes").to_pylist()), dtype=bool).reshape(got.num_rows, len(voters))
-    model.learn(votes, got.column("toxic").to_numpy())
+    fired = np.frombuffer(b"".join(got.column("votes").to_pylist()), dtype=bool).reshape(got.num_rows, len(voters))
+    model.learn(fired, got.column("toxic").to_numpy(), got.column("n").to_numpy().astype(np.float64))
     return model
 
 

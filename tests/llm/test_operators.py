@@ -204,6 +204,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 300)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(9000):
+        words = [f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in rng.integers(0, 500, 20)]
+        mark = "vexlor" if i % 300 == 7 else "grumbat" if i % 10 == 3 else None  # the rare one: 1 row in 300
+        rows.append((i, " ".join([*words, mark] if mark else words), int(mark is not None), mark))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs, labels).collect()}
+    assert sum(got[i].held_out for i, _, _, mark in rows if mark == "vexlor") > 3
+    assert all(got[i].predicted == y for i, _, y, _ in rows)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (4, None, None), (99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.detect(odd, labels).count() == odd.count() and toxicity.detect(none, labels).count() == 0
