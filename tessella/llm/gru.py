@@ -14,6 +14,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+class Adam:
+    """Moments of the gradients of p, which it changes in place; gradients longer than 1 are shortened."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.turn = p, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+
+    def move(self, g: dict[str, np.ndarray], rate: float) -> None:
+        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+        self.turn += 1
+        now = rate * min(1.0, 1.0 / max(norm, 1e-9)) * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
+        for k, a in g.items():
+            self.m[k] += 0.1 * (a - self.m[k])
+            self.v[k] += 0.001 * (a * a - self.v[k])
+            self.p[k] -= now * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+
+
 class GRU:
     """Word ids 0 (unknown), 1 (end) and up, by falling frequency; classes are runs of `width` ids."""
 
@@ -80,12 +97,9 @@ class GRU:
         rows = np.arange(len(goal))
         cls, slot = goal // self.width, goal % self.width
         outer = _softmax(flat @ p["wc"] + p["bc"])
-        inner = _softmax(np.einsum("rh,rhm->rm", flat, p["wo"][cls]) + p["bo"][cls])
-        loss = -(np.log(outer[rows, cls] + 1e-20) + np.log(inner[rows, slot] + 1e-20)).mean()
+        loss = -np.log(outer[rows, cls] + 1e-20).sum()
         outer[rows, cls] -= 1
-        inner[rows, slot] -= 1
         outer /= len(goal)
-        inner /= len(goal)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["wc"], g["bc"] = flat.T @ outer, outer.sum(axis=0)
         order = np.argsort(cls, kind="stable")
@@ -94,8 +108,13 @@ class GRU:
         for c in range(self.classes):
             own = order[edges[c] : edges[c + 1]]
             if len(own):
-                g["wo"][c], g["bo"][c] = flat[own].T @ inner[own], inner[own].sum(axis=0)
-                d_flat[own] += inner[own] @ p["wo"][c].T
+                inner, at = _softmax(flat[own] @ p["wo"][c] + p["bo"][c]), np.arange(len(own))
+                loss -= np.log(inner[at, slot[own]] + 1e-20).sum()
+                inner[at, slot[own]] -= 1
+                inner /= len(goal)
+                g["wo"][c], g["bo"][c] = flat[own].T @ inner, inner.sum(axis=0)
+                d_flat[own] += inner @ p["wo"][c].T
+        loss /= len(goal)
         d_states, d_next = d_flat.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32)
         d_x = np.empty((steps, lanes, 3 * n), np.float32)
         for t in range(steps - 1, -1, -1):
@@ -108,7 +127,9 @@ class GRU:
             g["u"] += before.T @ d_u
             g["q"] += d_u[:, 2 * n :].sum(axis=0)
             d_next = (dh * z + d_u @ p["u"].T) * begin
-        np.add.at(g["x"], ids.reshape(-1), d_x.reshape(-1, 3 * n))
+        order = np.argsort(ids, axis=None, kind="stable")
+        seen, first = np.unique(ids.reshape(-1)[order], return_index=True)
+        g["x"][seen] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0)
         return loss, g, h
 
     def train(self, stream: np.ndarray, lanes: int = 64, steps: int = 24, epochs: int = 3, rate: float = 0.01) -> list[float]:
@@ -119,24 +140,27 @@ class GRU:
             return []
         goal = stream[: lanes * length].reshape(lanes, length).T
         given = np.vstack([np.full((1, lanes), END), goal[:-1]])
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        losses, turn, total = [], 0, epochs * -(-length // steps)
+        adam, losses, total = Adam(self.p), [], epochs * -(-length // steps)
         for _ in range(epochs):
             h, seen = np.zeros((lanes, self.hidden), np.float32), []
             for s in range(0, length, steps):
                 loss, g, h = self.loss_and_gradient(given[s : s + steps], goal[s : s + steps], h)
-                norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-                now = rate * (1 - turn / total) * min(1.0, 1.0 / max(norm, 1e-9))
-                turn += 1
-                scale = np.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-                for k, a in g.items():
-                    m[k] += 0.1 * (a - m[k])
-                    v[k] += 0.001 * (a * a - v[k])
-                    self.p[k] -= (now * scale) * m[k] / (np.sqrt(v[k]) + 1e-8)
+                adam.move(g, rate * (1 - adam.turn / total))
                 seen.append(loss)
             losses.append(float(np.mean(seen)))
         return losses
 
+    def pass_over(self, stream: np.ndarray, adam: Adam, rate: float, most_lanes: int = 512, steps: int = 24) -> None:
+        """One pass over all words of the stream; long streams run in more lanes, the last words in a lane of their own."""
+        lanes = max(1, min(most_lanes, len(stream) // (40 * steps)))
+        length = len(stream) // lanes
+        for part in (stream[: lanes * length].reshape(lanes, length).T, stream[lanes * length :].reshape(-1, 1)):
+            given = np.vstack([np.full((1, part.shape[1]), END), part[:-1]])
+            h = np.zeros((part.shape[1], self.hidden), np.float32)
+            for s in range(0, len(part), steps):
+                _, g, h = self.loss_and_gradient(given[s : s + steps], part[s : s + steps], h)
+                adam.move(g, rate)
+
     def score(self, ids: np.ndarray, bounds: np.ndarray, lanes: int = 2048, window: int = 32) -> np.ndarray:
         """ln probability of each whole document ids[bounds[i]:bounds[i+1]], the state carried over all its windows."""
         lengths = np.diff(bounds)

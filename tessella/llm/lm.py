@@ -4,7 +4,9 @@ Word counts are gathered over every training document by one distributed aggrega
 N / HEAD_SHARE of the N training tokens are sent to the tasks: there can be at most HEAD_SHARE of them. All other
 words of a document meet their counts in a join. The recurrent model reads the most frequent words; a word
 beyond them is an unknown one, spelled out by its add-one share among such words, so the model gives every text
-a proper probability. It is trained on a bounded sample of training documents in one task.
+a proper probability. Its vocabulary grows with the square root of the training tokens. It is trained on all training
+documents: in each round every task runs truncated backpropagation over its whole texts, and the tasks' weights are
+averaged, each by its number of tokens.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm import textkit
 from tessella.llm.common import held_out, materialize
-from tessella.llm.gru import END, GRU, UNKNOWN
+from tessella.llm.gru import END, GRU, UNKNOWN, Adam
 
 HEAD_SHARE = 1_000_000
-MODEL_WORDS = 1024
+MODEL_WORDS = 1024  # words of the model at least, if the corpus has them
 HIDDEN = 16
-SAMPLE_DOCS = 800
-SAMPLE_BYTES = 20_000
 EPOCHS = 3
+RATE = 0.01
+TASK_TOKENS = 2_000_000  # training tokens for a task of its own
+CHUNK = 65_536  # weights averaged together
 MERGE_WORDS = 2_000_000  # distinct words of scans held before they are passed on
 _LN10 = math.log(10)
 
@@ -59,24 +62,61 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _train(model_words: np.ndarray, model_counts: np.ndarray, hidden: int, epochs: int):
+def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _unpack(flat: np.ndarray, p: dict[str, np.ndarray]) -> None:
+    """Put flat weights into the arrays of p."""
+    at = 0
+    for k in sorted(p):
+        p[k][...] = flat[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+
+
+def _learn(batches: Iterator[pa.RecordBatch], model_words: np.ndarray, model_counts: np.ndarray, hidden: int, start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
+    """A task's weights, in chunks, after one pass over its whole texts from the given weights, and its tokens."""
     places = np.argsort(model_words)
     ordered = model_words[places]
-
-    def fit(sample: pa.Table) -> pa.Table:
+    model = GRU(model_counts, hidden)
+    _unpack(start, model.p)
+    adam, tokens = Adam(model.p), 0
+    for batch in batches:
         streams = []
-        for words in textkit.scan(sample.column("text"), textkit.SPACED):
-            ids = _ids(words.hashes(), ordered, places)
-            bounds = words.bounds
-            for r in range(len(words.per_row)):
-                streams += [ids[bounds[r] : bounds[r + 1]], np.array([END])]
-        model = GRU(model_counts, hidden)
-        model.train(np.concatenate(streams), epochs=epochs)
-        out = io.BytesIO()
-        np.savez(out, **model.p)
-        return pa.table({"model": pa.array([out.getvalue()], pa.binary())})
-
-    return fit
+        for words in textkit.scan(batch.column(0), textkit.SPACED):
+            streams.append(np.insert(_ids(words.hashes(), ordered, places), words.bounds[1:], END))
+        if streams:
+            stream = np.concatenate(streams)
+            tokens += len(stream)
+            model.pass_over(stream, adam, rate)
+    if tokens:
+        flat = _pack(model.p)
+        for chunk, at in enumerate(range(0, len(flat), CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([float(tokens)]), pa.array([flat[at : at + CHUNK].tobytes()], pa.binary())], names=["chunk", "tokens", "weights"])
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    """The weighted mean of one chunk's weights."""
+    total, tokens = 0.0, 0.0
+    for n, raw in zip(group.column("tokens").to_pylist(), group.column("weights")):
+        total = total + n * np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
+        tokens += n
+    return pa.table({"chunk": group.column("chunk")[:1], "weights": pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(texts: DataFrame, model_words: np.ndarray, model_counts: np.ndarray, hidden: int, epochs: int) -> bytes | None:
+    """The model's weights after `epochs` rounds over all rows of texts (text); None without rows."""
+    spark, model = texts.sparkSession, GRU(model_counts, hidden)
+    for turn in range(epochs):
+        held = spark.sparkContext.broadcast((model_words, model_counts, hidden, _pack(model.p), RATE * (1 - turn / epochs)))
+        each = texts.mapInArrow(lambda it, h=held: _learn(it, *h.value), "chunk long, tokens double, weights binary")
+        got = each.groupBy("chunk").applyInArrow(_mean, "chunk long, weights binary").toArrow().sort_by("chunk")
+        if not got.num_rows:
+            return None
+        _unpack(np.frombuffer(b"".join(got.column("weights").to_pylist()), np.float32), model.p)
+    out = io.BytesIO()
+    np.savez(out, **model.p)
+    return out.getvalue()
 
 
 def _ids(hashes: np.ndarray, ordered: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -135,7 +175,7 @@ class _Scorer:
             at += n
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, hidden: int = HIDDEN, epochs: int = EPOCHS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, hidden: int = HIDDEN, epochs: int = EPOCHS, sample_docs: int | None = None) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Tokens are the words split at ASCII white space after lower-casing A-Z, then one end. Documents whose
@@ -144,7 +184,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null text counts as empty and is one end; a null id is not held out; repeated rows count and are
     scored each; with no training rows the base is 0 for every token and score equals base_score; a text of any
     length is scored whole, in windows that pass their state on; an empty table gives no rows; other columns are ignored.
-    The sample for the recurrent model: up to sample_docs training texts of up to SAMPLE_BYTES bytes, by id hash.
+    The recurrent model learns from all training texts, whole; with sample_docs, from so many of them by id hash.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col, modulus, remainder).alias("held_out"))
@@ -155,16 +195,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, v = int(sums["n"]) + train_docs, int(sums["v"]) + (train_docs > 0)
     head = counts.where(F.col("n") * HEAD_SHARE >= n).toArrow()
     words, times = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy().astype(np.int64)
-    top = np.lexsort((words, -times))[: MODEL_WORDS - 2]
+    top = np.lexsort((words, -times))[: max(MODEL_WORDS, math.isqrt(n)) - 2]
     weights, spell = None, 0.0
     if train_docs:
         in_model = (times[top] + 1).sum() + train_docs + 1
         left = n + v + 1 - in_model
         spell = math.log10(left)
         model_counts = np.concatenate(([max(1, n - int(times[top].sum()) - train_docs), train_docs], times[top]))
-        sample = training.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-        fitted = sample.select("text").groupBy(F.lit(1).alias("one")).applyInArrow(_train(words[top], model_counts, hidden, epochs), "model binary").first()
-        weights = bytes(fitted["model"]) if fitted else None
+        texts = training if sample_docs is None else training.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
+        weights = train(texts.select("text").coalesce(max(1, n // TASK_TOKENS)), words[top], model_counts, hidden, epochs)
     order = np.argsort(words)
     model_id = np.zeros(len(words), np.int64)
     model_id[top] = np.arange(len(top)) + 2

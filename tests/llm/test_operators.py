@@ -145,6 +145,25 @@ def test_language_model_of_odd_rows(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_language_model_learns_from_every_training_text(spark):
+    """Word pairs stand only in one text beyond 20,000 bytes and in texts beyond the first 800."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: " ".join(f"n{j}" for j in rng.integers(0, 1500, n))
+    rows = [(i, noise(30)) for i in range(1000)] + [(i, "left right " * 4000) for i in (1000, 1001, 1002)] + [(1003, "left right " * 40), (1004, "right left left right right left left right " * 10)]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    gain = {i: (got[i].score - got[i].base_score) / got[i].n_tokens for i in (1003, 1004)}
+    assert gain[1003] > 0.15 and gain[1003] > gain[1004] + 0.2
+
+
+def test_model_vocabulary_grows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MODEL_WORDS", 8)
+    sizes = []
+    monkeypatch.setattr(lm, "train", lambda texts, words, counts, hidden, epochs: sizes.append(len(words)))
+    for n in (100, 900):
+        lm.score_documents(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60))) for i in range(n)], "doc_id long, text string"))
+    assert sizes[0] > 8 and sizes[1] > 55
+
+
 def test_recurrent_model_is_a_distribution_and_learns():
     model = GRU(np.array([5, 4, 9, 8, 7, 3, 2.0]), hidden=6)
     h = np.random.default_rng(0).normal(size=(3, 6)).astype(np.float32)
