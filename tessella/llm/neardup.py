@@ -46,9 +46,10 @@ def _shingle_sets(words: textkit.Words, k: int) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each row, sorted; a row with fewer than k words has its whole sequence as one."""
     h = words.hashes()
     n = len(h)
-    joined = np.zeros(max(0, n - k + 1), dtype=np.uint64)
+    whole = max(0, n - k + 1)
+    joined = np.zeros(whole, dtype=np.uint64)
     for j in range(k):
-        joined += h[j : n - k + 1 + j] * (_SPREAD[j % 4] + np.uint64(2 * j))
+        joined += h[j : whole + j] * (_SPREAD[j % 4] + np.uint64(2 * j))
     joined = textkit.mix(joined)
     bounds = words.bounds
     for r in range(len(words.per_row)):

@@ -57,6 +57,13 @@ def test_near_duplicates_match_brute_force(documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+@pytest.mark.parametrize("k", [4, 5, 7])
+def test_scans_shorter_than_a_shingle(k):
+    for n in range(k):
+        words = next(textkit.scan(pa.array(["w " * n]), textkit.SPACED))
+        assert [len(s) for s in neardup._shingle_sets(words, k)] == [int(n > 0)]
+
+
 def test_near_duplicates_chain_and_outsiders(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
