@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +41,22 @@ def word_tokens(text: Column) -> Column:
     return find_all(F.lower(text), WORD)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """n-grams as text, tokens joined by one space; empty if there are too few."""
-    last = F.size(tokens) - n
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+
+    def grams(t: Column) -> Column:
+        count = F.greatest(F.size(t) - n + 1, F.lit(0))
+        out = F.slice(t, 1, count)
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(t, i + 1, count), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return tokens if n == 1 else bound(tokens, grams)
 
 
 def space_words(text: Column) -> Column:

@@ -1,11 +1,14 @@
 """Grounding of generated text: sentences against the best context sentence, rule checks, verdicts, reports.
 
-Input is pairs (pair_id, subject, topic, context, generated). Similarities come from an inverted-index join on
-(pair_id, term), so sentences meet only where they share a term.
+Input is pairs (pair_id, subject, topic, context, generated). Texts are dealt by pair_id once; all that follows (term
+counts, inverse frequencies, matches, reports) groups by pair_id and more, so it needs no further shuffle. Sentences meet
+only where they share a term. What the checkers need of a context (lower case, trigrams) is made once a pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,57 +73,89 @@ def term_counts(sentences: DataFrame) -> DataFrame:
     return rows.select("pair_id", "idx", F.size("tokens").alias("total"), F.explode("tokens").alias("term")).groupBy("pair_id", "idx", "total", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _idf(sentences: Column, df: Column) -> Column:
+    return F.log((sentences + 1) / (df + 1)) + 1
+
+
+def _weight(n: Column, total: Column, idf: Column) -> Column:
+    """A term that the context lacks has the idf of a fresh one."""
+    return F.round(n / total * F.coalesce(idf, F.lit(0.6931471805599453 + 1)), 6)
+
+
 def tfidf_fit(context: DataFrame) -> DataFrame:
     """(pair_id, term, df, idf) over each pair's context sentences."""
     sizes = context.groupBy("pair_id").agg(F.count(F.lit(1)).alias("sentences"))
     df = term_counts(context).groupBy("pair_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(sizes, "pair_id").select("pair_id", "term", "df", (F.log((F.col("sentences") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return df.join(sizes, "pair_id").select("pair_id", "term", "df", _idf(F.col("sentences"), F.col("df")).alias("idf"))
 
 
 def tfidf_transform(sentences: DataFrame, idf: DataFrame) -> DataFrame:
-    """(pair_id, idx, term, weight); a term that the context lacks has the idf of a fresh one."""
-    return term_counts(sentences).join(idf.select("pair_id", "term", "idf"), ["pair_id", "term"], "left").select("pair_id", "idx", "term", F.round(F.col("n") / F.col("total") * F.coalesce("idf", F.lit(0.6931471805599453 + 1)), 6).alias("weight"))
+    """(pair_id, idx, term, weight) of sentences under a fitted idf."""
+    weight = _weight(F.col("n"), F.col("total"), F.col("idf"))
+    return term_counts(sentences).join(idf.select("pair_id", "term", "idf"), ["pair_id", "term"], "left").select("pair_id", "idx", "term", weight.alias("weight"))
+
+
+def weighted_terms(pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, idx, term, weight) of both sides (0 generated, 1 context) in one pass, as tfidf_fit and tfidf_transform give them."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), tx.sentences(F.col(c)).alias("s")) for i, c in enumerate(("generated", "context"))])
+    rows = usable_pairs(pairs).select("pair_id", "context", "generated").repartition("pair_id").select("pair_id", F.explode(sides).alias("x"))
+    rows = rows.select("pair_id", "x.side", F.size("x.s").alias("sentences"), F.posexplode("x.s").alias("idx", "sentence")).withColumn("tokens", tx.tokenize(F.col("sentence")))
+    keys = ["pair_id", "side", "idx", "sentences", "total", "term"]
+    terms = rows.select(*keys[:4], F.size("tokens").alias("total"), F.explode("tokens").alias("term")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    shared, there = W.partitionBy("pair_id", "term"), F.col("side") == 1
+    df, size = F.count_if(there).over(shared), F.max(F.when(there, F.col("sentences"))).over(shared)
+    return terms.select("pair_id", "side", "idx", "term", _weight(F.col("n"), F.col("total"), F.when(df > 0, _idf(size, df))).alias("weight"))
+
+
+def matches(weights: DataFrame, n: int = 5) -> DataFrame:
+    """(pair_id, idx, best_idx, cosine, evidence): each generated sentence's best context sentence and the n shared terms with the largest weight sums.
+
+    weights is as of weighted_terms. Only positive cosines count, ties go to the first sentence.
+    """
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("pair_id", "side", "idx")))
+    rows = weights.withColumn("norm", norm)
+    held = F.when(F.col("side") == 1, F.struct(F.col("idx").alias("best_idx"), F.col("weight").alias("wc"), F.col("norm").alias("cnorm")))
+    rows = rows.withColumn("there", F.collect_list(held).over(W.partitionBy("pair_id", "term"))).where("side = 0")
+    met = rows.select("pair_id", "idx", "term", "weight", "norm", F.inline("there"))
+    term = F.struct((-F.round(F.col("weight") + F.col("wc"), 6)).alias("w"), "term")
+    dots = met.groupBy("pair_id", "idx", "best_idx").agg(F.sum(F.col("weight") * F.col("wc")).alias("dot"), (F.max("norm") * F.max("cnorm")).alias("norms"), F.collect_list(term).alias("shared"))
+    scored = dots.withColumn("cosine", F.when(F.col("norms") > 0, F.round(F.col("dot") / F.col("norms"), 6)).otherwise(0.0)).where("cosine > 0")
+    best = scored.groupBy("pair_id", "idx").agg(F.max_by(F.struct("best_idx", "cosine", "shared"), F.struct("cosine", -F.col("best_idx"))).alias("b"))
+    return best.select("pair_id", "idx", "b.best_idx", "b.cosine", F.transform(F.slice(F.array_sort("b.shared"), 1, n), lambda x: x["term"]).alias("evidence"))
 
 
-def _norms(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("pair_id", "idx").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def _two_sides(generated: DataFrame, context: DataFrame) -> DataFrame:
+    return generated.withColumn("side", F.lit(0)).unionByName(context.withColumn("side", F.lit(1)))
 
 
 def best_context_match(generated: DataFrame, context: DataFrame) -> DataFrame:
-    """(pair_id, idx, best_idx, cosine) from two weight tables; only positive cosines count, ties go to the first sentence."""
-    g = generated.select("pair_id", "idx", "term", F.col("weight").alias("wg"))
-    c = context.select("pair_id", F.col("idx").alias("best_idx"), "term", F.col("weight").alias("wc"))
-    dots = g.join(c, ["pair_id", "term"]).groupBy("pair_id", "idx", "best_idx").agg(F.sum(F.col("wg") * F.col("wc")).alias("dot"))
-    dots = dots.join(_norms(generated), ["pair_id", "idx"]).join(_norms(context).select("pair_id", F.col("idx").alias("best_idx"), F.col("norm").alias("cnorm")), ["pair_id", "best_idx"])
-    scored = dots.withColumn("cosine", F.when(F.col("norm") * F.col("cnorm") > 0, F.round(F.col("dot") / (F.col("norm") * F.col("cnorm")), 6)).otherwise(0.0)).where("cosine > 0")
-    order = W.partitionBy("pair_id", "idx").orderBy(F.desc("cosine"), "best_idx")
-    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("pair_id", "idx", "best_idx", "cosine")
+    """(pair_id, idx, best_idx, cosine) from the weight tables of both sides."""
+    return matches(_two_sides(generated, context)).select("pair_id", "idx", "best_idx", "cosine")
 
 
-def evidence_terms(best: DataFrame, generated: DataFrame, context: DataFrame, n: int = 5) -> DataFrame:
-    """(pair_id, idx, evidence): the shared terms of a match with the largest weight sums."""
-    g = generated.select("pair_id", "idx", "term", F.col("weight").alias("wg"))
-    c = context.select("pair_id", F.col("idx").alias("best_idx"), "term", F.col("weight").alias("wc"))
-    shared = best.select("pair_id", "idx", "best_idx").join(g, ["pair_id", "idx"]).join(c, ["pair_id", "best_idx", "term"])
-    lists = shared.groupBy("pair_id", "idx").agg(F.array_sort(F.collect_list(F.struct((-F.round(F.col("wg") + F.col("wc"), 6)).alias("w"), "term"))).alias("l"))
-    return lists.select("pair_id", "idx", F.transform(F.slice("l", 1, n), lambda x: x["term"]).alias("evidence"))
+def evidence_terms(generated: DataFrame, context: DataFrame, n: int = 5) -> DataFrame:
+    """(pair_id, idx, evidence) from the weight tables of both sides."""
+    return matches(_two_sides(generated, context), n).select("pair_id", "idx", "evidence")
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
+    def share(both: Column) -> Column:
+        union = F.size(F.array_union(both["x"], both["y"]))
+        return F.when(union == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(both["x"], both["y"])) / union, 6))
+
     x, y = (F.array_distinct(tx.ngrams(tx.plain_tokens(t), 2)) for t in (a, b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(x, y)) / union, 6))
-
-
-def matched_sentences(pairs: DataFrame) -> DataFrame:
-    """Every generated sentence with its best context sentence, cosine, bigram overlap, similarity and evidence."""
-    generated, context = segment_sentences(pairs, "generated"), segment_sentences(pairs, "context")
-    idf = tfidf_fit(context)
-    wg, wc = tfidf_transform(generated, idf), tfidf_transform(context, idf)
-    best = best_context_match(wg, wc)
-    evidence = evidence_terms(best, wg, wc)
-    out = generated.join(best, ["pair_id", "idx"], "left").join(context.select("pair_id", F.col("idx").alias("best_idx"), F.col("sentence").alias("best")), ["pair_id", "best_idx"], "left")
-    out = out.join(evidence, ["pair_id", "idx"], "left").withColumn("best", F.coalesce("best", F.lit(""))).withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    return tx.bound(F.struct(x.alias("x"), y.alias("y")), share)
+
+
+def matched_sentences(pairs: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+    """Every generated sentence with its best context sentence, cosine, bigram overlap, similarity and evidence.
+
+    sentences: the generated ones (pair_id, idx, sentence) with any further columns, if already at hand.
+    """
+    dealt = pairs.repartition("pair_id")
+    context = segment_sentences(dealt, "context").select("pair_id", F.col("idx").alias("best_idx"), F.col("sentence").alias("best"))
+    out = (segment_sentences(dealt, "generated") if sentences is None else sentences).join(matches(weighted_terms(pairs)), ["pair_id", "idx"], "left").join(context, ["pair_id", "best_idx"], "left")
+    out = out.withColumn("best", F.coalesce("best", F.lit(""))).withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     out = out.withColumn("jaccard", F.when(F.col("best") == "", 0.0).otherwise(bigram_jaccard(F.col("sentence"), F.col("best"))))
     return out.withColumn("similarity", support_similarity(F.col("cosine"), F.col("jaccard"))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
@@ -135,50 +170,49 @@ def support_similarity(cosine: Column, jaccard: Column) -> Column:
     return F.least(F.lit(1.0), F.floor((whole + 5_000) / 10_000) / 10_000)
 
 
-def _missing(found: Column, context: Column) -> Column:
-    """Whether any of the found texts does not occur in context."""
-    return F.coalesce(F.exists(found, lambda x: ~F.contains(context, x)), F.lit(False))
+def prepared(context: Column) -> Column:
+    """What the checkers read of a context: it in lower case, that without white space, and its trigrams."""
+    grams = tx.ngrams(tx.plain_tokens(context), 3)
+    return F.struct(F.lower(context).alias("low"), F.regexp_replace(F.lower(context), r"\s+", "").alias("packed"), grams.alias("grams"))
 
 
-def check_equations(sentence: Column, context: Column) -> Column:
-    plain = F.regexp_replace(F.lower(context), r"\s+", "")
+def check_equations(sentence: Column, ready: Column) -> Column:
+    """Whether an equation of the sentence is missing in the context; ready is prepared(context), here and below."""
 
     def core(eq: Column) -> Column:
         cut = F.split(F.lower(F.regexp_replace(eq, r"^\s+|\s+$", "")), EQUATION_END)[0]
         return F.regexp_replace(F.regexp_replace(cut, r"^[ .,;:]+|[ .,;:]+$", ""), r"\s+", "")
 
-    return _missing(F.transform(tx.find_all(sentence, EQUATION), core), plain)
+    return F.coalesce(F.exists(tx.find_all(sentence, EQUATION), lambda e: ~F.contains(ready["packed"], core(e))), F.lit(False))
 
 
-def check_units(sentence: Column, context: Column) -> Column:
+def check_units(sentence: Column, ready: Column) -> Column:
     both = F.zip_with(tx.find_all(sentence, QUANTITY, 1), tx.find_all(sentence, QUANTITY, 2), lambda v, u: F.struct(v.alias("v"), F.lower(F.concat(v, F.lit(" "), u)).alias("q")))
-    low = F.lower(context)
-    return F.exists(both, lambda x: ~F.contains(low, x["q"]) & ~F.contains(low, x["v"]))
+    return F.exists(both, lambda x: ~F.contains(ready["low"], x["q"]) & ~F.contains(ready["low"], x["v"]))
 
 
 def check_citations(sentence: Column) -> Column:
     return ~(sentence.rlike(LABEL) | (F.size(tx.space_words(sentence)) < 5) | sentence.rlike(CITATION))
 
 
-def check_definitions(sentence: Column, context: Column) -> Column:
-    parts = F.split(sentence, DEFINITION, 2)
-    body = F.array_distinct(tx.ngrams(tx.plain_tokens(parts[1]), 3))
-    known = F.array_intersect(body, tx.ngrams(tx.plain_tokens(context), 3))
-    return F.when(~sentence.rlike(DEFINITION), False).otherwise((F.size(body) > 0) & (F.size(known) / F.greatest(F.size(body), F.lit(1)) < 0.30))
+def check_definitions(sentence: Column, ready: Column) -> Column:
+    def strange(body: Column) -> Column:
+        return (F.size(body) > 0) & (F.size(F.array_intersect(body, ready["grams"])) / F.greatest(F.size(body), F.lit(1)) < 0.30)
+
+    body = F.array_distinct(tx.ngrams(tx.plain_tokens(F.split(sentence, DEFINITION, 2)[1]), 3))
+    return F.when(~sentence.rlike(DEFINITION), False).otherwise(tx.bound(body, strange))
 
 
-def check_reactions(sentence: Column, context: Column) -> Column:
-    low = F.lower(context)
+def check_reactions(sentence: Column, ready: Column) -> Column:
     found = F.transform(tx.find_all(sentence, REACTION), lambda r: F.lower(F.regexp_replace(r, r"^\s+|\s+$", "")))
-    return F.exists(found, lambda r: ~F.contains(low, F.replace(r, F.lit("→"), F.lit("->"))) & ~F.contains(low, r))
+    return F.exists(found, lambda r: ~F.contains(ready["low"], F.replace(r, F.lit("→"), F.lit("->"))) & ~F.contains(ready["low"], r))
 
 
-def biology_terms(sentence: Column, context: Column) -> Column:
+def biology_terms(sentence: Column, ready: Column) -> Column:
     """Sorted distinct species-like names and process terms of the sentence that the context lacks."""
-    low = F.lower(context)
     names = F.filter(tx.find_all(sentence, BINOMIAL, 1), lambda x: ~F.lower(F.split(x, r"\s+")[0]).isin(*PROCESS_TERMS) & ~F.split(x, r"\s+")[1].isin(*COMMON_SECOND))
     terms = tx.find_all(sentence, "(?i)" + BEFORE + "(" + "|".join(PROCESS_PHRASES + PROCESS_TERMS) + ")" + AFTER, 1)
-    return F.array_sort(F.array_distinct(F.filter(F.concat(names, terms), lambda x: ~F.contains(low, F.lower(x)))))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(names, terms), lambda x: ~F.contains(ready["low"], F.lower(x)))))
 
 
 def subject_rules(subject: Column) -> Column:
@@ -187,18 +221,27 @@ def subject_rules(subject: Column) -> Column:
     return F.coalesce(F.try_element_at(rules, subject), F.array(*map(F.lit, SUBJECT_RULES["General"])))
 
 
-def checked_sentences(matched: DataFrame, pairs: DataFrame, citations: bool = True) -> DataFrame:
-    """matched with the names of its subject's checkers that flag the sentence."""
-    rows = matched.join(pairs.select("pair_id", "subject", "context"), "pair_id")
-    s, c = F.col("sentence"), F.col("context")
-    flags = {
-        "reaction": check_reactions(s, c), "equation": check_equations(s, c), "unit": check_units(s, c), "biology": F.size(biology_terms(s, c)) > 0,
-        "definition": check_definitions(s, c), "citation": check_citations(s) if citations else F.lit(False),
-    }
-    rules = subject_rules(F.col("subject"))
-    rows = rows.withColumn("rules", rules)
-    found = F.array_compact(F.array(*[F.when(F.array_contains("rules", k) & flag, F.lit(k)) for k, flag in flags.items()]))
-    return rows.withColumn("flagged", found).drop("rules", "context", "subject")
+def each_sentence(pairs: DataFrame, result: Callable[[Column, Column, Column], Column], name: str) -> DataFrame:
+    """(pair_id, idx, sentence, name): result(sentence, prepared context, subject's checkers) of every generated sentence.
+
+    A pair's sentences are met inside its row, where the prepared context is made once and never copied.
+    """
+    ready = F.struct(prepared(F.col("context")).alias("c"), subject_rules(F.col("subject")).alias("rules"))
+    found = tx.bound(ready, lambda r: F.transform(tx.sentences(F.col("generated")), lambda s: F.struct(s.alias("sentence"), result(s, r["c"], r["rules"]).alias(name))))
+    return usable_pairs(pairs).repartition("pair_id").select("pair_id", F.posexplode(found).alias("idx", "x")).select("pair_id", "idx", "x.*")
+
+
+def checked_sentences(pairs: DataFrame, citations: bool = True) -> DataFrame:
+    """(pair_id, idx, sentence, flagged): generated sentences with the names of their subject's checkers that flag them."""
+
+    def flagged(s: Column, c: Column, rules: Column) -> Column:
+        flags = {"reaction": check_reactions, "equation": check_equations, "unit": check_units, "biology": lambda s, c: F.size(biology_terms(s, c)) > 0, "definition": check_definitions}
+        found = [F.when(F.array_contains(rules, k), F.when(check(s, c), F.lit(k))) for k, check in flags.items()]
+        if citations:
+            found.append(F.when(F.array_contains(rules, "citation"), F.when(check_citations(s), F.lit("citation"))))
+        return F.array_compact(F.array(*found))
+
+    return each_sentence(pairs, flagged, "flagged")
 
 
 def sentence_verdict(checked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,7 +263,7 @@ def sentence_verdict(checked: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 
 def verdicts(pairs: DataFrame, threshold: float = THRESHOLD, citations: bool = True) -> DataFrame:
-    return sentence_verdict(checked_sentences(matched_sentences(pairs), pairs, citations), threshold)
+    return sentence_verdict(matched_sentences(pairs, checked_sentences(pairs, citations)), threshold)
 
 
 def grounding_report(pairs: DataFrame, verdict: DataFrame) -> DataFrame:

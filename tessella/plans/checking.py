@@ -117,10 +117,6 @@ def _weights(s, d):
     return g.tfidf_transform(generated, idf), g.tfidf_transform(context, idf)
 
 
-def _with_context(s, d):
-    return _sentences(s, d, "generated").join(fx.pairs(s, d).select("pair_id", "context"), "pair_id")
-
-
 @query("segment_sentences", _BASE + " SELECT pair_id, idx, sentence FROM gs")
 def _(s, d):
     return _sentences(s, d, "generated")
@@ -148,8 +144,7 @@ def _(s, d):
 
 @query("evidence_terms", _BEST + " SELECT pair_id, idx, evidence FROM ev")
 def _(s, d):
-    wg, wc = _weights(s, d)
-    return g.evidence_terms(g.best_context_match(wg, wc), wg, wc)
+    return g.evidence_terms(*_weights(s, d))
 
 
 @query("bigram_jaccard", _MATCHED + " SELECT pair_id, idx, round(jaccard, 4) AS jaccard FROM matched")
@@ -165,7 +160,7 @@ def _(s, d):
 def _check(name: str, key: str, column):
     @query(name, _CHECKED_FROM + f" SELECT pair_id, idx, f_{key} AS flagged FROM flags")
     def _(s, d):
-        return _with_context(s, d).select("pair_id", "idx", column(F.col("sentence"), F.col("context")).alias("flagged"))
+        return g.each_sentence(fx.pairs(s, d), lambda s, c, _: column(s, c), "flagged").drop("sentence")
 
 
 _check("check_equations", "equation", g.check_equations)
@@ -177,7 +172,7 @@ _check("check_reactions", "reaction", g.check_reactions)
 
 @query("check_biology_terms", _CHECKED_FROM + " SELECT pair_id, idx, terms FROM flags")
 def _(s, d):
-    return _with_context(s, d).select("pair_id", "idx", g.biology_terms(F.col("sentence"), F.col("context")).alias("terms"))
+    return g.each_sentence(fx.pairs(s, d), lambda s, c, _: g.biology_terms(s, c), "terms").drop("sentence")
 
 
 @query("subject_rules", _BASE + f" SELECT pair_id, {_RULES} AS rules FROM pairs")
