@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.functions.rounding import half_up, mean_of, units
 
 THRESHOLD = 0.45
 # fixed values: checkers of each subject, in the order their findings are listed
@@ -160,14 +161,9 @@ def matched_sentences(pairs: DataFrame, sentences: DataFrame | None = None) -> D
     return out.withColumn("similarity", support_similarity(F.col("cosine"), F.col("jaccard"))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
-def _units(value: Column, scale: int) -> Column:
-    return F.round(value * scale).cast("long")
-
-
 def support_similarity(cosine: Column, jaccard: Column) -> Column:
     """0.70 cosine + 0.30 bigram overlap to 4 places, in whole units so that ties round up everywhere."""
-    whole = 70 * _units(cosine, 1_000_000) + 30 * _units(jaccard, 1_000_000)
-    return F.least(F.lit(1.0), F.floor((whole + 5_000) / 10_000) / 10_000)
+    return F.least(F.lit(1.0), half_up(70 * units(cosine, 1_000_000) + 30 * units(jaccard, 1_000_000), 10_000))
 
 
 def prepared(context: Column) -> Column:
@@ -256,7 +252,7 @@ def sentence_verdict(checked: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return rows.withColumn("types", F.when(F.size(found) == 0, F.array(F.lit("supported"))).otherwise(found)).withColumns(
         {
             "is_hallucination": s < threshold,
-            "confidence": F.least(F.lit(1.0), F.floor((10_001 + 3 * F.abs(_units(s, 10_000) - round(threshold * 10_000))) / 2) / 10_000),
+            "confidence": F.least(F.lit(1.0), F.floor((10_001 + 3 * F.abs(units(s) - round(threshold * 10_000))) / 2) / 10_000),
             "risk": F.when(s < 0.30, "critical").when(s < 0.50, "high").when(s < 0.70, "medium").when(s < 0.85, "low").otherwise("none"),
         }
     )
@@ -271,7 +267,7 @@ def grounding_report(pairs: DataFrame, verdict: DataFrame) -> DataFrame:
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.array_contains("types", t), F.struct("idx", "sentence")))), lambda x: x["sentence"]).alias(t) for t in TYPES]
     bad = F.col("is_hallucination")
     sums = verdict.groupBy("pair_id").agg(
-        F.count(F.lit(1)).alias("sentences"), (F.floor((2 * F.sum(_units(F.col("support"), 10_000)) + F.count(F.lit(1))) / (2 * F.count(F.lit(1)))) / 10_000).alias("support"), F.round(F.avg(bad.cast("int")), 4).alias("hallucination_rate"), F.count_if(~bad).alias("supported"), F.count_if(bad).alias("hallucinated"),
+        F.count(F.lit(1)).alias("sentences"), mean_of(F.col("support")).alias("support"), F.round(F.avg(bad.cast("int")), 4).alias("hallucination_rate"), F.count_if(~bad).alias("supported"), F.count_if(bad).alias("hallucinated"),
         F.count_if(bad & (F.col("risk") == "critical")).alias("critical"), F.count_if(bad & (F.col("risk") == "high")).alias("high"), *lists,
     )
     base = usable_pairs(pairs).select("pair_id", "subject", "topic", F.size(tx.sentences(F.col("context"))).alias("context_sentences"), F.size(tx.space_words(F.col("context"))).alias("context_words"), F.size(tx.space_words(F.col("generated"))).alias("generated_words"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.functions import text as tx
+from tessella.functions.rounding import half_up, mean_of, units
 
 METRICS = ("accuracy", "context_usage", "hallucination", "structure", "readability", "alignment", "length", "stability", "consistency", "bleu", "rouge_l", "cosine", "manual")
 # fixed values: vocabulary of each subject for the template features
@@ -28,63 +27,72 @@ SUBJECT_TERMS = {
         "enthalpy", "gibbs", "concentration", "mole", "orbital", "polymer",
     ),
 }
+# fixed values: weights of the overall score, and the two-valued and constant scores of a sample
 WEIGHTS = {"accuracy": 0.20, "context_usage": 0.15, "faithful": 0.20, "structure": 0.15, "alignment": 0.15, "length": 0.15}
 
 
-def _gram_counts(pairs: DataFrame, side: str, n: int) -> DataFrame:
-    grams = tx.ngrams(tx.word_tokens(F.coalesce(F.col(side), F.lit(""))), n)
-    return pairs.select("pair_id", F.explode(grams).alias("gram")).groupBy("pair_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+def gram_sums(pairs: DataFrame) -> DataFrame:
+    """Per pair the sums that bleu2 and tf_cosine need, from one count of one- and two-grams of both sides.
+
+    r, c: words of context and generated; p1, p2: clipped precisions; dot, aa, bb: products of word counts. A pair without
+    words has no row.
+    """
+    tokens = F.array(*[F.struct(F.lit(i).alias("side"), tx.word_tokens(F.coalesce(F.col(side), F.lit(""))).alias("t")) for i, side in enumerate(("context", "generated"))])
+    sides = pairs.select("pair_id", "context", "generated").repartition("pair_id").select("pair_id", F.inline(tokens)).select("pair_id", "side", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("t").alias("g")), F.struct(F.lit(2).alias("n"), tx.ngrams(F.col("t"), 2).alias("g")))).alias("x"))
+    grams = sides.select("pair_id", "side", "x.n", F.explode("x.g").alias("gram")).groupBy("pair_id", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    one = F.col("n") == 1
+    total = lambda value, test=one: F.coalesce(F.sum(F.when(test, value)), F.lit(0))
+    precision = lambda n: total(F.least("a", "b"), F.col("n") == n) / F.nullif(total(F.col("b"), F.col("n") == n), F.lit(0))
+    a, b = F.col("a"), F.col("b")
+    return grams.groupBy("pair_id").agg(total(a).alias("r"), total(b).alias("c"), precision(1).alias("p1"), precision(2).alias("p2"), total(a * b).alias("dot"), total(a * a).alias("aa"), total(b * b).alias("bb"))
+
+
+def _bleu() -> Column:
+    score = F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("c"))) * F.exp((F.log("p1") + F.log("p2")) / 2)
+    return F.when((F.col("r") > 0) & (F.col("c") > 0) & (F.col("p1") > 0) & (F.col("p2") > 0), F.round(score, 4)).otherwise(0.0)
 
 
-def _precision(pairs: DataFrame, n: int) -> DataFrame:
-    c, r = _gram_counts(pairs, "generated", n), _gram_counts(pairs, "context", n).withColumnRenamed("n", "rn")
-    return c.join(r, ["pair_id", "gram"], "left").groupBy("pair_id").agg((F.sum(F.least("n", F.coalesce("rn", F.lit(0)))) / F.sum("n")).alias(f"p{n}"))
+def _cosine() -> Column:
+    return F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)).otherwise(0.0)
 
 
 def bleu2(pairs: DataFrame) -> DataFrame:
     """Clipped one- and two-gram precision with the brevity penalty; 0 if a precision or a side is empty."""
-    size = lambda c: F.size(tx.word_tokens(F.coalesce(F.col(c), F.lit(""))))
-    rows = pairs.select("pair_id", size("context").alias("r"), size("generated").alias("c")).join(_precision(pairs, 1), "pair_id", "left").join(_precision(pairs, 2), "pair_id", "left")
-    score = F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("c"))) * F.exp((F.log("p1") + F.log("p2")) / 2)
-    good = (F.col("r") > 0) & (F.col("c") > 0) & (F.coalesce("p1", F.lit(0.0)) > 0) & (F.coalesce("p2", F.lit(0.0)) > 0)
-    return rows.select("pair_id", F.when(good, F.round(score, 4)).otherwise(0.0).alias("bleu"))
+    return pairs.select("pair_id").join(gram_sums(pairs), "pair_id", "left").select("pair_id", _bleu().alias("bleu"))
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one vector operation for each token of the shorter side."""
-    if len(a) > len(b):
-        a, b = b, a
-    words = {w: i for i, w in enumerate(dict.fromkeys(b))}
-    codes = np.array([words[w] for w in b])
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for w in a:
-        hit = codes == words.get(w, -1)
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(hit, row[:-1] + 1, 0)))
-    return int(row[-1])
+def tf_cosine(pairs: DataFrame) -> DataFrame:
+    """Cosine of raw word counts; 0 if a side has no words."""
+    return pairs.select("pair_id").join(gram_sums(pairs), "pair_id", "left").select("pair_id", _cosine().alias("cosine"))
 
 
-def _rouge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for r, c in zip(batch.column("r").to_pylist(), batch.column("c").to_pylist()):
-            common = _lcs(r, c) if r and c else 0
-            out.append(round(2 * common / (len(r) + len(c)), 4) if common else 0.0)
-        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(out, pa.float64())], names=["pair_id", "rouge_l"])
+def common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: one bit for each token of a, one step over all bits for each token of b."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    free = whole
+    for w in b:
+        hit = free & places.get(w, 0)
+        if hit:
+            free = (free + hit | free - hit) & whole
+    return len(a) - free.bit_count()
 
 
-def rouge_l(pairs: DataFrame) -> DataFrame:
-    """Longest-common-subsequence F1 over word tokens; quadratic in a pair, so pairs are spread evenly first by key."""
-    tokens = lambda c: tx.word_tokens(F.coalesce(F.col(c), F.lit("")))
-    return pairs.select("pair_id", tokens("context").alias("r"), tokens("generated").alias("c")).mapInArrow(_rouge, "pair_id long, rouge_l double")
+@F.pandas_udf(DoubleType())
+def _rouge(r: pd.Series, c: pd.Series) -> pd.Series:
+    lengths = [(common_length(list(a), list(b)), len(a) + len(b)) for a, b in zip(r, c)]
+    return pd.Series([round(2 * n / total, 4) if n else 0.0 for n, total in lengths], dtype="float64")
 
 
-def tf_cosine(pairs: DataFrame) -> DataFrame:
-    """Cosine of raw word counts; 0 if a side has no words."""
-    a, b = _gram_counts(pairs, "context", 1).withColumnRenamed("n", "na"), _gram_counts(pairs, "generated", 1).withColumnRenamed("n", "nb")
-    both = a.join(b, ["pair_id", "gram"], "full")
-    sums = both.groupBy("pair_id").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"), F.sum(F.col("na") * F.col("na")).alias("aa"), F.sum(F.col("nb") * F.col("nb")).alias("bb"))
-    score = F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)
-    return pairs.select("pair_id").join(sums, "pair_id", "left").select("pair_id", F.coalesce(score, F.lit(0.0)).alias("cosine"))
+def _rouge_of(context: str, generated: str) -> Column:
+    return _rouge(*[tx.word_tokens(F.coalesce(F.col(c), F.lit(""))) for c in (context, generated)])
+
+
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """Longest-common-subsequence F1 over word tokens; pairs stay where they are, a pair costs its two lengths' product over 64."""
+    return pairs.select("pair_id", _rouge_of("context", "generated").alias("rouge_l"))
 
 
 def flesch_readability(text: Column) -> Column:
@@ -102,7 +110,7 @@ def sample_scores(pairs: DataFrame) -> DataFrame:
     pairs needs sections (0..5), is_valid, is_grounded and is_aligned beside the pair columns.
     """
     words = F.size(tx.space_words(F.coalesce("generated", F.lit(""))))
-    rows = pairs.join(bleu2(pairs), "pair_id").join(rouge_l(pairs), "pair_id").join(tf_cosine(pairs), "pair_id")
+    rows = pairs.join(gram_sums(pairs), "pair_id", "left").withColumns({"bleu": _bleu(), "cosine": _cosine(), "rouge_l": _rouge_of("context", "generated")})
     rows = rows.withColumns(
         {
             "accuracy": F.when(F.col("is_valid"), 0.95).otherwise(0.75), "context_usage": F.least(F.lit(1.0), F.col("cosine") * 1.5), "hallucination": F.when(F.col("is_grounded"), 0.05).otherwise(0.35),
@@ -110,16 +118,16 @@ def sample_scores(pairs: DataFrame) -> DataFrame:
             "length": F.when(words.between(250, 320), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(285 - words) / 285)), "stability": F.lit(0.90), "consistency": F.lit(0.92),
         }
     )
-    manual = 0.30 * F.col("accuracy") + 0.25 * F.col("structure") + 0.20 * F.col("context_usage") + 0.10 * F.col("readability") + 0.15 * F.col("sections") / 5
-    return rows.withColumn("manual", F.round(manual, 4)).select("pair_id", "version", *METRICS)
+    parts = {"accuracy": 30, "structure": 25, "context_usage": 20, "readability": 10}
+    manual = sum((units(F.col(k), 100_000) * w for k, w in parts.items()), units(F.col("sections") / 5, 100_000) * 15)
+    return rows.withColumn("manual", half_up(manual, 1000)).select("pair_id", "version", *METRICS)
 
 
 def version_scores(samples: DataFrame) -> DataFrame:
     """Means of the metrics of each version and its weighted overall score."""
-    rows = samples.groupBy("version").agg(*[F.round(F.avg(m), 4).alias(m) for m in METRICS])
-    parts = {"faithful": 1 - F.col("hallucination")}
-    overall = sum((w * parts.get(k, F.col(k) if k in METRICS else F.lit(0.0)) for k, w in WEIGHTS.items()), F.lit(0.0))
-    return rows.withColumn("overall", F.round(overall, 4))
+    rows = samples.groupBy("version").agg(*[mean_of(F.col(m)).alias(m) for m in METRICS])
+    points = {m: units(F.col(m)) for m in METRICS} | {"faithful": 10_000 - units(F.col("hallucination"))}
+    return rows.withColumn("overall", half_up(sum((round(100 * w) * points[k] for k, w in WEIGHTS.items()), F.lit(0)), 100))
 
 
 def version_number(version: Column) -> Column:

@@ -38,6 +38,25 @@ features AS (SELECT pair_id, version, mode, topic, wc::INT AS word_count, uq::IN
 ).replace("{vocab}", " ".join(f"WHEN '{s}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for s, v in metrics.SUBJECT_TERMS.items()))
 
 
+_LCS = """lcs AS (SELECT pair_id, 0 AS i, list_transform(range(0, len(r) + 1), lambda x : 0) AS p, r, c FROM t
+  UNION ALL SELECT pair_id, i + 1, list_transform(range(1, len(q) + 1), lambda j : list_max(q[1:j])), r, c FROM (
+    SELECT pair_id, i, r, c, list_transform(range(1, len(p) + 1), lambda j : CASE WHEN j > 1 AND r[j - 1] = c[i + 1] THEN greatest(p[j], p[j - 1] + 1) ELSE p[j] END) AS q FROM lcs WHERE i < len(c))),
+rouge AS (SELECT pair_id, CASE WHEN p[len(p)] = 0 THEN 0 ELSE round(2 * p[len(p)] / (len(r) + len(c)), 4) END AS rouge_l FROM lcs WHERE i = len(c))"""
+_ROUGE = _T.replace("WITH", "WITH RECURSIVE", 1) + ", " + _LCS
+_SAMPLES = _FL.replace("WITH", "WITH RECURSIVE", 1) + ", " + _LCS + """,
+base AS (SELECT pair_id, p.version, pair_id % 6 AS sections, pair_id % 6 = 5 AS valid, len(regexp_extract_all(p.generated, '\\S+')) AS words, bleu, rouge_l, cosine, readability, pair_id % 3 = 0 AS grounded, pair_id % 2 = 0 AS aligned
+  FROM pairs p JOIN bleu USING (pair_id) JOIN rouge USING (pair_id) JOIN co USING (pair_id) JOIN fl USING (pair_id)),
+s1 AS (SELECT pair_id, version, sections, CASE WHEN valid THEN 0.95 ELSE 0.75 END::DOUBLE AS accuracy, least(1.0::DOUBLE, cosine::DOUBLE * 1.5::DOUBLE) AS context_usage, CASE WHEN grounded THEN 0.05 ELSE 0.35 END::DOUBLE AS hallucination,
+  CASE WHEN valid THEN 1.0::DOUBLE ELSE sections / 5 END AS structure, readability::DOUBLE AS readability, CASE WHEN aligned THEN 0.92 ELSE 0.60 END::DOUBLE AS alignment, CASE WHEN words BETWEEN 250 AND 320 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - abs(285 - words) / 285) END AS length,
+  0.90::DOUBLE AS stability, 0.92::DOUBLE AS consistency, bleu::DOUBLE AS bleu, rouge_l::DOUBLE AS rouge_l, cosine::DOUBLE AS cosine FROM base),
+samples AS (SELECT *, floor((2 * (30 * round(accuracy * 100000)::BIGINT + 25 * round(structure * 100000)::BIGINT + 20 * round(context_usage * 100000)::BIGINT + 10 * round(readability * 100000)::BIGINT + 15 * round(pair_id % 6 / 5 * 100000)::BIGINT) + 1000) / 2000) / 10000 AS manual FROM s1)"""
+_SCORES = _SAMPLES + ", means AS (SELECT version, " + ", ".join(f"floor((2 * sum(round({m} * 1000000)::BIGINT) + 100 * count(*)) / (200 * count(*))) / 10000 AS {m}" for m in metrics.METRICS) + """ FROM samples GROUP BY 1),
+scores AS (SELECT *, floor((2 * (20 * round(accuracy * 10000)::BIGINT + 15 * round(context_usage * 10000)::BIGINT + 20 * (10000 - round(hallucination * 10000)::BIGINT) + 15 * round(structure * 10000)::BIGINT + 15 * round(alignment * 10000)::BIGINT + 15 * round(length * 10000)::BIGINT) + 100) / 200) / 10000 AS overall FROM means)"""
+_BARS = "repeat('█', floor(overall * 30)::INT) || repeat('░', 30 - floor(overall * 30)::INT)"
+_MATRIX = _SCORES + f""", cells AS (SELECT version, metric, printf('%.4f', value) AS cell FROM (UNPIVOT scores ON overall, {", ".join(metrics.METRICS)} INTO NAME metric VALUE value) UNION ALL SELECT version, 'bar', {_BARS} FROM scores)
+SELECT metric, """ + ", ".join(f"max(cell) FILTER (version = '{v}') AS {v}" for v in ("v1", "v2", "v3")) + " FROM cells GROUP BY 1"
+
+
 def _features(s, d):
     return metrics.prompt_features(fx.pairs(s, d), "generated")
 
@@ -52,7 +71,7 @@ def _(s, d):
     return metrics.bleu2(fx.pairs(s, d))
 
 
-@query("rouge_l")
+@query("rouge_l", _ROUGE + " SELECT * FROM rouge")
 def _(s, d):
     return metrics.rouge_l(fx.pairs(s, d))
 
@@ -67,22 +86,22 @@ def _(s, d):
     return fx.pairs(s, d).select("pair_id", metrics.flesch_readability(F.col("generated")).alias("readability"))
 
 
-@query("sample_scores")
+@query("sample_scores", _SAMPLES + " SELECT pair_id, version, " + ", ".join(metrics.METRICS) + " FROM samples")
 def _(s, d):
     return _samples(s, d)
 
 
-@query("version_scores")
+@query("version_scores", _SCORES + " SELECT * FROM scores")
 def _(s, d):
     return metrics.version_scores(_samples(s, d))
 
 
-@query("winning_version")
+@query("winning_version", _SCORES + " SELECT version, overall FROM scores ORDER BY overall DESC, regexp_extract(version, '([0-9]+)', 1)::INT LIMIT 1")
 def _(s, d):
     return metrics.winning_version(metrics.version_scores(_samples(s, d)))
 
 
-@query("metric_matrix")
+@query("metric_matrix", _MATRIX)
 def _(s, d):
     return metrics.metric_matrix(metrics.version_scores(_samples(s, d)), ["v1", "v2", "v3"])
 
