@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 UNKNOWN, END = 0, 1
+AT_ONCE = 2048  # rows of a softmax held together
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -15,20 +16,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
-    """Moments of the gradients of p, which it changes in place; gradients longer than 1 are shortened."""
+    """Moments of the gradients of p, which it changes in place; gradients longer than 1 are shortened.
+
+    A gradient is an array like its weights, or (rows, values) of the rows that a window touched: other rows stay as they
+    are, so a move costs what the window holds and not what the vocabulary does.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.turn = p, 0
         self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
 
-    def move(self, g: dict[str, np.ndarray], rate: float) -> None:
-        norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+    def move(self, g: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+        parts = {k: a if isinstance(a, tuple) else (slice(None), a) for k, a in g.items()}
+        norm = np.sqrt(sum(float(np.vdot(a, a)) for _, a in parts.values()))
         self.turn += 1
-        now = rate * min(1.0, 1.0 / max(norm, 1e-9)) * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
-        for k, a in g.items():
-            self.m[k] += 0.1 * (a - self.m[k])
-            self.v[k] += 0.001 * (a * a - self.v[k])
-            self.p[k] -= now * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+        now = np.float32(rate * min(1.0, 1.0 / max(norm, 1e-9)) * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
+        for k, (rows, a) in parts.items():
+            m, v = self.m[k][rows], self.v[k][rows]
+            m += np.float32(0.1) * (a - m)
+            v += np.float32(0.001) * (a * a - v)
+            self.m[k][rows], self.v[k][rows] = m, v
+            self.p[k][rows] -= now * m / (np.sqrt(v) + np.float32(1e-8))
 
 
 class GRU:
@@ -63,23 +71,26 @@ class GRU:
         new = cand + z * (h - cand)
         return (new, (h, z, r, q, cand)) if keep else new
 
+    def _by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """An order of ids by class, their classes and places in them in that order, and each class's run (class, first, last)."""
+        cls = (ids // self.width).astype(np.int16 if self.classes < 1 << 15 else np.int64)
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(cls, prepend=-1))
+        return order, cls, ids[order] - cls * self.width, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)]))
+
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(id | state) = ln P(class) + ln P(word in class), rows grouped by class."""
-        cls = ids // self.width
-        order = np.argsort(cls, kind="stable")
+        order, cls, slot, runs = self._by_class(ids)
         s = states[order]
-        logits = s @ self.p["wc"]
-        logits += self.p["bc"]
-        at = cls[order]
-        out = logits[np.arange(len(s)), at] - _log_sum(logits)
-        edges = np.searchsorted(at, np.arange(self.classes + 1))
-        for c in range(self.classes):
-            lo, hi = edges[c], edges[c + 1]
-            if lo < hi:
-                inner = s[lo:hi] @ self.p["wo"][c]
-                inner += self.p["bo"][c]
-                out[lo:hi] += inner[np.arange(hi - lo), ids[order[lo:hi]] % self.width] - _log_sum(inner)
-        back = np.empty(len(s), np.float64)
+        out = np.empty(len(s))
+        for lo in range(0, len(s), AT_ONCE):
+            out[lo : lo + AT_ONCE] = _log_share(s[lo : lo + AT_ONCE], self.p["wc"], self.p["bc"], cls[lo : lo + AT_ONCE])
+        for c, first, last in runs:
+            for lo in range(first, last, AT_ONCE):
+                hi = min(last, lo + AT_ONCE)
+                out[lo:hi] += _log_share(s[lo:hi], self.p["wo"][c], self.p["bo"][c], slot[lo:hi])
+        back = np.empty(len(s))
         back[order] = out
         return back
 
@@ -87,50 +98,45 @@ class GRU:
         """Mean loss over a (steps, lanes) window, its gradients, and the states after it."""
         steps, lanes = ids.shape
         n, p = self.hidden, self.p
-        tape, states = [], np.empty((steps, lanes, n), np.float32)
+        kind = p["u"].dtype
+        tape, states = [], np.empty((steps, lanes, n), kind)
         for t in range(steps):
             begin = (ids[t] != END).astype(np.float32)[:, None]
             h, kept = self.step(ids[t], h * begin, True)
             tape.append((begin, kept))
             states[t] = h
-        flat, goal = states.reshape(-1, n), targets.reshape(-1)
-        rows = np.arange(len(goal))
-        cls, slot = goal // self.width, goal % self.width
-        outer = _softmax(flat @ p["wc"] + p["bc"])
-        loss = -np.log(outer[rows, cls] + 1e-20).sum()
-        outer[rows, cls] -= 1
-        outer /= len(goal)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["wc"], g["bc"] = flat.T @ outer, outer.sum(axis=0)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        d_flat = outer @ p["wc"].T
-        for c in range(self.classes):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                inner, at = _softmax(flat[own] @ p["wo"][c] + p["bo"][c]), np.arange(len(own))
-                loss -= np.log(inner[at, slot[own]] + 1e-20).sum()
-                inner[at, slot[own]] -= 1
-                inner /= len(goal)
-                g["wo"][c], g["bo"][c] = flat[own].T @ inner, inner.sum(axis=0)
-                d_flat[own] += inner @ p["wo"][c].T
-        loss /= len(goal)
-        d_states, d_next = d_flat.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32)
-        d_x = np.empty((steps, lanes, 3 * n), np.float32)
+        order, cls, slot, runs = self._by_class(targets.reshape(-1))
+        flat = states.reshape(-1, n)[order]
+        total, d_flat = len(order), np.zeros((len(order), n), kind)
+        g = {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"])}
+        loss = 0.0
+        for lo in range(0, total, AT_ONCE):
+            s = slice(lo, lo + AT_ONCE)
+            loss += _share_gradient(flat[s], p["wc"], p["bc"], cls[s], total, d_flat[s], g["wc"], g["bc"])
+        seen = np.array([c for c, _, _ in runs])
+        wo, bo = np.zeros((len(runs), n, self.width), kind), np.zeros((len(runs), self.width), kind)
+        for i, (c, first, last) in enumerate(runs):
+            for lo in range(first, last, AT_ONCE):
+                s = slice(lo, min(last, lo + AT_ONCE))
+                loss += _share_gradient(flat[s], p["wo"][c], p["bo"][c], slot[s], total, d_flat[s], wo[i], bo[i])
+        g["wo"], g["bo"] = (seen, wo), (seen, bo)
+        d_states, d_next = np.empty_like(d_flat), np.zeros((lanes, n), kind)
+        d_states[order] = d_flat
+        d_states = d_states.reshape(steps, lanes, n)
+        d_x, d_u, before = (np.empty((steps, lanes, k), kind) for k in (3 * n, 3 * n, n))
         for t in range(steps - 1, -1, -1):
-            begin, (before, z, r, q, cand) = tape[t]
+            begin, (before[t], z, r, q, cand) = tape[t]
             dh = d_states[t] + d_next
             d_cand = dh * (1 - z) * (1 - cand * cand)
-            d_z, d_r = dh * (before - cand) * z * (1 - z), d_cand * q * r * (1 - r)
-            d_x[t] = np.concatenate([d_z, d_r, d_cand], axis=1)
-            d_u = np.concatenate([d_z, d_r, d_cand * r], axis=1)
-            g["u"] += before.T @ d_u
-            g["q"] += d_u[:, 2 * n :].sum(axis=0)
-            d_next = (dh * z + d_u @ p["u"].T) * begin
+            d_x[t, :, :n], d_x[t, :, n : 2 * n], d_x[t, :, 2 * n :] = dh * (before[t] - cand) * z * (1 - z), d_cand * q * r * (1 - r), d_cand
+            d_u[t, :, : 2 * n], d_u[t, :, 2 * n :] = d_x[t, :, : 2 * n], d_cand * r
+            d_next = (dh * z + d_u[t] @ p["u"].T) * begin
+        d_u = d_u.reshape(-1, 3 * n)
+        g["u"], g["q"] = before.reshape(-1, n).T @ d_u, d_u[:, 2 * n :].sum(axis=0)
         order = np.argsort(ids, axis=None, kind="stable")
-        seen, first = np.unique(ids.reshape(-1)[order], return_index=True)
-        g["x"][seen] = np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0)
-        return loss, g, h
+        words, first = np.unique(ids.reshape(-1)[order], return_index=True)
+        g["x"] = (words, np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0))
+        return loss / total, g, h
 
     def train(self, stream: np.ndarray, lanes: int = 64, steps: int = 24, epochs: int = 3, rate: float = 0.01) -> list[float]:
         """Adam over windows of `steps` words; states pass from window to window and restart after an end."""
@@ -161,7 +167,7 @@ class GRU:
                 _, g, h = self.loss_and_gradient(given[s : s + steps], part[s : s + steps], h)
                 adam.move(g, rate)
 
-    def score(self, ids: np.ndarray, bounds: np.ndarray, lanes: int = 2048, window: int = 32) -> np.ndarray:
+    def score(self, ids: np.ndarray, bounds: np.ndarray, lanes: int = 1024, window: int = 32) -> np.ndarray:
         """ln probability of each whole document ids[bounds[i]:bounds[i+1]], the state carried over all its windows."""
         lengths = np.diff(bounds)
         out = np.zeros(len(lengths))
@@ -184,11 +190,33 @@ class GRU:
         return out
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _shares(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each row's goal logit, exp of all logits, their sums); logits are first lowered by their row's largest where exp needs it."""
+    x = states @ w
+    x += b
+    for lowered in (False, True):
+        if lowered or x.max() > 80:
+            x -= x.max(axis=1, keepdims=True)
+        mine = x[np.arange(len(x)), goal]
+        shares = np.exp(x)
+        sums = shares @ np.ones(x.shape[1], x.dtype)
+        if sums.min() > 1e-30:
+            break
+    return mine, shares, sums
+
+
+def _log_share(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """ln of the softmax share of each row's goal."""
+    mine, _, sums = _shares(states, w, b, goal)
+    return mine - np.log(sums)
+
+
+def _share_gradient(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray, total: int, d_states: np.ndarray, d_w: np.ndarray, d_b: np.ndarray) -> float:
+    """The loss of the rows' goals; its gradient over total is added to d_states, d_w and d_b."""
+    mine, x, sums = _shares(states, w, b, goal)
+    x *= (1 / (sums * total))[:, None]
+    x[np.arange(len(x)), goal] -= 1 / total
+    d_states += x @ w.T
+    d_w += states.T @ x
+    d_b += np.ones(len(x), x.dtype) @ x
+    return float((np.log(sums) - mine).sum())

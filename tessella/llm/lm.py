@@ -4,9 +4,10 @@ Word counts are gathered over every training document by one distributed aggrega
 N / HEAD_SHARE of the N training tokens are sent to the tasks: there can be at most HEAD_SHARE of them. All other
 words of a document meet their counts in a join. The recurrent model reads the most frequent words; a word
 beyond them is an unknown one, spelled out by its add-one share among such words, so the model gives every text
-a proper probability. Its vocabulary grows with the square root of the training tokens. It is trained on all training
-documents: in each round every task runs truncated backpropagation over its whole texts, and the tasks' weights are
-averaged, each by its number of tokens.
+a proper probability. Its vocabulary grows with the cube root of the training tokens. It is trained on all training
+documents, each read whole and once: a round takes its share of them, every task runs truncated backpropagation over its
+texts from the same weights, and the tasks' weights are averaged, each by its number of tokens, in groups of bounded size.
+A task reads at least TOKENS_A_WEIGHT tokens for each weight it sends, so weights sent stay a fraction of the text read.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from tessella.llm.gru import END, GRU, UNKNOWN, Adam
 HEAD_SHARE = 1_000_000
 MODEL_WORDS = 1024  # words of the model at least, if the corpus has them
 HIDDEN = 16
-EPOCHS = 3
+ROUNDS = 4  # shares of the training documents, with the weights averaged after each
 RATE = 0.01
-TASK_TOKENS = 2_000_000  # training tokens for a task of its own
+TASK_TOKENS = 1_000_000  # training tokens of a round for a task of its own, at least
+TOKENS_A_WEIGHT = 2
 CHUNK = 65_536  # weights averaged together
+MERGED = 256  # tasks whose weights meet in one group
 MERGE_WORDS = 2_000_000  # distinct words of scans held before they are passed on
 _LN10 = math.log(10)
 
@@ -91,29 +94,43 @@ def _learn(batches: Iterator[pa.RecordBatch], model_words: np.ndarray, model_cou
             model.pass_over(stream, adam, rate)
     if tokens:
         flat = _pack(model.p)
+        part = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, len(flat), CHUNK)):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([float(tokens)]), pa.array([flat[at : at + CHUNK].tobytes()], pa.binary())], names=["chunk", "tokens", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part]), pa.array([float(tokens)]), pa.array([flat[at : at + CHUNK].tobytes()], pa.binary())], names=["chunk", "part", "tokens", "weights"])
 
 
-def _mean(group: pa.Table) -> pa.Table:
-    """The weighted mean of one chunk's weights."""
+_WEIGHTS = "chunk long, part long, tokens double, weights binary"
+
+
+def _mean(key: tuple, group: pa.Table) -> pa.Table:
+    """The mean of one chunk's weights by tokens, with the tokens' sum."""
     total, tokens = 0.0, 0.0
     for n, raw in zip(group.column("tokens").to_pylist(), group.column("weights")):
         total = total + n * np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
         tokens += n
-    return pa.table({"chunk": group.column("chunk")[:1], "weights": pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"chunk": key[:1], "part": key[1:], "tokens": [tokens], "weights": pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(texts: DataFrame, model_words: np.ndarray, model_counts: np.ndarray, hidden: int, epochs: int) -> bytes | None:
-    """The model's weights after `epochs` rounds over all rows of texts (text); None without rows."""
+def train(texts: DataFrame, model_words: np.ndarray, model_counts: np.ndarray, hidden: int, rounds: int, tokens: int) -> bytes | None:
+    """The model's weights after one pass over all rows of texts (text, deal: a hash), in `rounds` shares; None without rows."""
     spark, model = texts.sparkSession, GRU(model_counts, hidden)
-    for turn in range(epochs):
-        held = spark.sparkContext.broadcast((model_words, model_counts, hidden, _pack(model.p), RATE * (1 - turn / epochs)))
-        each = texts.mapInArrow(lambda it, h=held: _learn(it, *h.value), "chunk long, tokens double, weights binary")
-        got = each.groupBy("chunk").applyInArrow(_mean, "chunk long, weights binary").toArrow().sort_by("chunk")
-        if not got.num_rows:
-            return None
-        _unpack(np.frombuffer(b"".join(got.column("weights").to_pylist()), np.float32), model.p)
+    start, learnt = _pack(model.p), False
+    tasks = max(1, tokens // (rounds * max(TASK_TOKENS, TOKENS_A_WEIGHT * len(start))))
+    for turn in range(rounds):
+        held = spark.sparkContext.broadcast((model_words, model_counts, hidden, start, RATE * (1 - turn / rounds)))
+        share = texts.where(F.pmod("deal", F.lit(rounds)) == turn).select("text").coalesce(tasks)
+        means, parts = share.mapInArrow(lambda it, h=held: _learn(it, *h.value), _WEIGHTS), tasks
+        while True:
+            means, parts = means.withColumn("part", F.expr(f"part div {MERGED}")).groupBy("chunk", "part").applyInArrow(_mean, _WEIGHTS), -(-parts // MERGED)
+            if parts == 1:
+                break
+        got = means.select("chunk", "weights").toArrow().sort_by("chunk")
+        if got.num_rows:
+            start, learnt = np.frombuffer(b"".join(got.column("weights").to_pylist()), np.float32), True
+        held.destroy()
+    if not learnt:
+        return None
+    _unpack(start, model.p)
     out = io.BytesIO()
     np.savez(out, **model.p)
     return out.getvalue()
@@ -175,7 +192,7 @@ class _Scorer:
             at += n
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, hidden: int = HIDDEN, epochs: int = EPOCHS, sample_docs: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, hidden: int = HIDDEN, rounds: int = ROUNDS, sample_docs: int | None = None) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Tokens are the words split at ASCII white space after lower-casing A-Z, then one end. Documents whose
@@ -184,7 +201,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: null text counts as empty and is one end; a null id is not held out; repeated rows count and are
     scored each; with no training rows the base is 0 for every token and score equals base_score; a text of any
     length is scored whole, in windows that pass their state on; an empty table gives no rows; other columns are ignored.
-    The recurrent model learns from all training texts, whole; with sample_docs, from so many of them by id hash.
+    The recurrent model learns from all training texts, whole and once; with sample_docs, from so many of them by id hash.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col, modulus, remainder).alias("held_out"))
@@ -195,7 +212,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, v = int(sums["n"]) + train_docs, int(sums["v"]) + (train_docs > 0)
     head = counts.where(F.col("n") * HEAD_SHARE >= n).toArrow()
     words, times = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy().astype(np.int64)
-    top = np.lexsort((words, -times))[: max(MODEL_WORDS, math.isqrt(n)) - 2]
+    top = np.lexsort((words, -times))[: max(MODEL_WORDS, round(20 * n ** (1 / 3))) - 2]
     weights, spell = None, 0.0
     if train_docs:
         in_model = (times[top] + 1).sum() + train_docs + 1
@@ -203,7 +220,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spell = math.log10(left)
         model_counts = np.concatenate(([max(1, n - int(times[top].sum()) - train_docs), train_docs], times[top]))
         texts = training if sample_docs is None else training.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs)
-        weights = train(texts.select("text").coalesce(max(1, n // TASK_TOKENS)), words[top], model_counts, hidden, epochs)
+        weights = train(texts.select("text", F.xxhash64("doc_id", "text").alias("deal")), words[top], model_counts, hidden, rounds, n)
     order = np.argsort(words)
     model_id = np.zeros(len(words), np.int64)
     model_id[top] = np.arange(len(top)) + 2

@@ -137,7 +137,7 @@ def test_word_base_matches_brute_force(documents):
     held = {i: brute.crc(i) % 7 == 2 for i in tokens}
     count = Counter(w for i, t in tokens.items() if not held[i] for w in t)
     n, v = sum(count.values()), len(count)
-    rows = lm.score_documents(documents, sample_docs=60, epochs=2).collect()
+    rows = lm.score_documents(documents, sample_docs=60, rounds=2).collect()
     assert len(rows) == len(tokens)
     for r in rows:
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens[r.doc_id])
@@ -147,7 +147,7 @@ def test_word_base_matches_brute_force(documents):
 
 
 def test_language_model_of_odd_rows(odd, none):
-    rows = {r.doc_id: r for r in lm.score_documents(odd, sample_docs=10, epochs=1).collect()}
+    rows = {r.doc_id: r for r in lm.score_documents(odd, sample_docs=10, rounds=1).collect()}
     assert rows[0].n_tokens == rows[1].n_tokens == 1 and rows[9].n_tokens == 20_001 and rows[0].score == rows[1].score
     assert lm.score_documents(none).count() == 0
 
@@ -165,7 +165,7 @@ def test_language_model_learns_from_every_training_text(spark):
 def test_model_vocabulary_grows(spark, monkeypatch):
     monkeypatch.setattr(lm, "MODEL_WORDS", 8)
     sizes = []
-    monkeypatch.setattr(lm, "train", lambda texts, words, counts, hidden, epochs: sizes.append(len(words)))
+    monkeypatch.setattr(lm, "train", lambda texts, words, counts, hidden, rounds, tokens: sizes.append(len(words)))
     for n in (100, 900):
         lm.score_documents(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60))) for i in range(n)], "doc_id long, text string"))
     assert sizes[0] > 8 and sizes[1] > 55
@@ -196,7 +196,46 @@ def test_gradients():
             p[at] = kept + e
             losses.append(model.loss_and_gradient(ids, goals, h)[0])
         p[at] = kept
-        assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(g[k][at], abs=2e-5)
+        whole = np.zeros(p.shape)
+        rows, values = g[k] if isinstance(g[k], tuple) else (slice(None), g[k])
+        whole[rows] = values
+        assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(whole[at], abs=2e-5)
+
+
+def test_document_score_by_a_plain_forward_pass():
+    """The score of whole documents is the sum of plain word-by-word logs, with the state restarted at each document."""
+    rng = np.random.default_rng(2)
+    model = GRU(np.array([5, 4, 9, 8, 7, 3, 2, 2, 1, 1.0]), hidden=5)
+    model.p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in model.p.items()}
+    docs = [np.append(rng.integers(2, 10, n), END) for n in (0, 1, 40, 7, 95)]
+    p, n = {k: v.astype(np.float64) for k, v in model.p.items()}, 5
+    plain = []
+    for doc in docs:
+        h, last, total = np.zeros(n), END, 0.0
+        for w in doc:
+            x, hu = p["x"][last], h @ p["u"]
+            z, r = (1 / (1 + np.exp(-(x[i * n : i * n + n] + hu[i * n : i * n + n]))) for i in (0, 1))
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * (hu[2 * n :] + p["q"]))
+            c, s = divmod(int(w), model.width)
+            for logits, at in ((h @ p["wc"] + p["bc"], c), (h @ p["wo"][c] + p["bo"][c], s)):
+                total += logits[at] - np.log(np.exp(logits).sum())
+            last = w
+        plain.append(total)
+    got = model.score(np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs]))), lanes=3, window=8)
+    assert got == pytest.approx(plain, rel=1e-4)
+
+
+def test_rare_words_meet_their_counts_in_the_join(spark, monkeypatch):
+    """With no word in the head, every word's count comes from the join; the base is as of the plain sum."""
+    monkeypatch.setattr(lm, "HEAD_SHARE", 3)
+    rows = [(i, f"alpha beta{i % 5} gamma{i}" + " alpha" * (i % 3)) for i in range(40)]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+    tokens = {i: [*brute.spaced(t), "</>"] for i, t in rows}
+    count = Counter(w for i, t in tokens.items() if brute.crc(i) % 7 != 2 for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, words in tokens.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(words), sum(count[w] > 0 for w in words), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
 
 
 def test_language_accuracy_on_held_out_rows(spark):
