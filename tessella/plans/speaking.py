@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import notation as n
 from tessella.operators import speech, timing
-from tessella.sources.tables import read_table
+from tessella.sources.tables import read_table, spread
 
 QUERIES, SQL = {}, {}
 
@@ -120,7 +120,7 @@ _SPOKEN = ", ".join([_SQL_ROWS, _steps("src", "head", _HEAD, _TEX, _LOW), _sql_p
 
 def _rows(s, d):
     subject = F.element_at(F.array(*map(F.lit, _SUBJECTS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return read_table(s, d, "documents").select("doc_id", subject.alias("subject"), F.concat("text", F.expr(_NOTES)).alias("text"))
+    return spread(read_table(s, d, "documents")).select("doc_id", subject.alias("subject"), F.concat("text", F.expr(_NOTES)).alias("text"))
 
 
 @query("normalize_notation", _SPOKEN + " SELECT doc_id, md5(t) AS text_md5, length(t)::INT AS chars FROM spoken")
