@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
-_OPEN: list[list[str]] = []  # paths written inside each open scratch()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,47 +16,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, an own one on a local master, else an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="tessella-")
     return "file://" + _OWN_DIRS[app]
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables materialized inside are deleted at the end, unless saved_result() wrote them."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _OPEN.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+    return _written(df, name)[0]
 
 
-def saved_result(df: DataFrame, name: str) -> DataFrame:
-    """materialize, for a result that outlives the scratch tables it was made from."""
-    held = _OPEN[:]
-    _OPEN.clear()
-    try:
-        return materialize(df, name)
-    finally:
-        _OPEN.extend(held)
+class Scratch:
+    """Tables that one call needs for itself: kept in the shared folder, deleted at the end.
+
+        with Scratch(spark) as held:
+            rows = held.keep(rows, "rows")
+            return materialize(result(rows), "result")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """materialize, until the end."""
+        out, path = _written(df, name)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def crc_of(col: Column | str) -> Column:

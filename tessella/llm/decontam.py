@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import materialize, saved_result, scratch, total_bytes
+from tessella.llm.common import Scratch, materialize, total_bytes
 
 WIDTH = 10
 SLICE_BYTES = 8 << 20
@@ -248,17 +248,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count; repeated rows each give a row; an item with a null id counts as the text "None"; empty tables give no rows
     or only clean ones; other columns are ignored. Words are told apart by 64-bit hashes.
     """
-    with scratch(docs.sparkSession):
-        return saved_result(_contaminated(materialize(build_index(docs, id_col, text_col), "postings"), benchmark, width, slop, share), "contaminated")
+    with Scratch(docs.sparkSession) as held:
+        index = held.keep(build_index(docs, id_col, text_col), "postings")
+        return materialize(_contaminated(index, benchmark, width, slop, share, held), "contaminated")
 
 
-def _contaminated(index: DataFrame, benchmark: DataFrame, width: int, slop: int, share: float) -> DataFrame:
+def _contaminated(index: DataFrame, benchmark: DataFrame, width: int, slop: int, share: float, held: Scratch) -> DataFrame:
     slices = max(1, -(-total_bytes(benchmark, "text") // SLICE_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
     hits = None
     for k in range(slices):
         items = [(r["item_id"], r["text"]) for r in benchmark.where(F.coalesce(part, F.lit(0)) == k).select("item_id", "text").toLocalIterator()]
-        found = materialize(_hits(index, items, width, slop, share), "hits")
+        found = held.keep(_hits(index, items, width, slop, share), "hits")
         hits = found if hits is None else hits.union(found)
     merged = hits.groupBy("block", "ord").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.size(F.array_distinct(F.flatten(F.collect_list("near")))).alias("n_near"))
     covered = F.expr("aggregate(spans, named_struct('n', 0L, 'to', -1), (a, x) -> named_struct('n', a.n + greatest(0, x.e - greatest(x.s, a.to)), 'to', greatest(a.to, x.e)), a -> a.n)")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import held_out, materialize
+from tessella.llm.common import Scratch, held_out, materialize
 from tessella.llm.gru import END, GRU, UNKNOWN, Adam
 
 HEAD_SHARE = 1_000_000
@@ -203,10 +203,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     length is scored whole, in windows that pass their state on; an empty table gives no rows; other columns are ignored.
     The recurrent model learns from all training texts, whole and once; with sample_docs, from so many of them by id hash.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return materialize(_scored(docs, id_col, text_col, modulus, remainder, hidden, rounds, sample_docs, scratch), "scores")
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, modulus: int, remainder: int, hidden: int, rounds: int, sample_docs: int | None, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out(id_col, modulus, remainder).alias("held_out"))
     training = base.where(~F.col("held_out"))
-    counts = materialize(word_counts(training), "word-counts")
+    counts = scratch.keep(word_counts(training), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     train_docs = training.count()
     n, v = int(sums["n"]) + train_docs, int(sums["v"]) + (train_docs > 0)
@@ -225,7 +230,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model_id = np.zeros(len(words), np.int64)
     model_id[top] = np.arange(len(top)) + 2
     held = spark.sparkContext.broadcast((words[order], times[order], model_id[order], train_docs, spell, len(top) + 2, hidden, weights))
-    rows = materialize(base.mapInArrow(lambda it: _Scorer(*held.value).rows(it), _ROW), "scored")
+    rows = scratch.keep(base.mapInArrow(lambda it: _Scorer(*held.value).rows(it), _ROW), "scored")
     tail = rows.select("row", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("tail_n").alias("times")))).toDF("row", "word", "times")
     met = tail.join(counts, "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     scale = math.log10(n + v + 1)

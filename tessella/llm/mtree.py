@@ -7,28 +7,38 @@ nearest neighbours in a metric space, where triangle inequalities hold.
 Rows are dealt by nearest pivot (pivots: a bounded sample) and distance, and runs of TREE_ROWS rows become one paged
 M-tree each: a node keeps its routing vector, covering radius and distance to its parent's routing vector; a leaf page
 keeps each row's distance to the leaf's. A node's or row's distance is computed only if the stored distances cannot
-rule it out. Every row is in a tree. Queries meet trees in blocks; a query's search starts with the k-th best score
-among the pivots as its bound.
+rule it out. Every row is in a tree.
+
+A query first meets its home tree, the one with the nearest root; the k-th best score there bounds what can still count.
+Then the roots' covering radii rule out all trees that the bound cannot reach, before anything is moved: only the
+remaining queries go, packed, to the remaining trees. A tree that many queries want is searched in several groups.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import Scratch, materialize
 
-PIVOTS = 256
-TREE_ROWS = 8192
+MOST_PIVOTS = 4096
+TREE_ROWS = 4096
 PAGE_ROWS = 256
 FANOUT = 8
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512  # queries of one home tree packed together
+ROOTS_AT_ONCE = 16_384  # tree roots sent to the tasks together
+BLOCKS_A_GROUP = 64  # packed blocks that meet a tree in one task
 _SLACK = 1e-6
 
 
@@ -123,6 +133,7 @@ class Tree:
             "ids": ids[order].tobytes(), "v": v[order].astype(np.int32).tobytes() if np.abs(v).max(initial=0) < 2**31 else v[order].tobytes(), "far": np.concatenate(self.far).tobytes(),
             "route": self.points[self.route].tobytes(), "radius": np.array(self.radius).tobytes(), "to_parent": np.array(self.to_parent).tobytes(),
             "first": np.array(self.first, np.int32).tobytes(), "count": np.array(self.count, np.int32).tobytes(), "leaf": np.array(self.leaf).tobytes(),
+            "root": self.points[self.route[0]].tobytes(), "reach": self.radius[0],
         }
 
 
@@ -132,7 +143,7 @@ class Searcher:
     def __init__(self, row: dict[str, bytes], width: int, most: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
         n = len(self.ids)
-        self.v = np.frombuffer(row["v"], np.int32 if len(row["v"]) == 4 * n * width else np.int64).reshape(n, width).astype(np.float64)
+        self.v = np.frombuffer(row["v"], np.int32 if len(row["v"]) == 4 * n * width else np.int64).reshape(n, width).astype(_exact(most))
         self.far, self.radius, self.to_parent = (np.frombuffer(row[c]) for c in ("far", "radius", "to_parent"))
         self.route = np.frombuffer(row["route"]).reshape(len(self.radius), width + 1)
         self.first, self.count = (np.frombuffer(row[c], np.int32) for c in ("first", "count"))
@@ -143,7 +154,7 @@ class Searcher:
         """(ids, scores) of rows that may be among the k best; bound: a distance within which k rows are known to lie."""
         x = np.append(q.astype(np.float64), 0.0)
         base = float((x * x).sum()) + self.most
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        q, best_ids, best = q.astype(self.v.dtype), np.zeros(0, np.int64), np.zeros(0, self.v.dtype)
         root = float(np.sqrt(((x - self.route[0]) ** 2).sum()))
         heap = [(max(0.0, root - self.radius[0]), 0, root)]
         while heap:
@@ -155,7 +166,7 @@ class Searcher:
             if self.leaf[node]:
                 some = np.flatnonzero(np.abs(d - self.far[a:b]) <= reach) + a
                 self.computed += len(some)
-                score = self.v[some] @ x[:-1]
+                score = self.v[some] @ q
                 ids = self.ids[some]
                 other = ids != own
                 best_ids, best = np.concatenate([best_ids, ids[other]]), np.concatenate([best, score[other]])
@@ -163,7 +174,7 @@ class Searcher:
                     keep = np.lexsort((best_ids, -best))[:k]
                     best_ids, best = best_ids[keep], best[keep]
                 if len(best) == k:
-                    bound = min(bound, float(np.sqrt(max(0.0, base - 2 * best.min()))))
+                    bound = min(bound, float(np.sqrt(max(0.0, base - 2 * float(best.min())))))
                 continue
             child = np.arange(a, b)
             child = child[np.abs(d - self.to_parent[a:b]) - self.radius[a:b] <= reach]
@@ -177,34 +188,43 @@ class Searcher:
         return best_ids, best
 
 
+_TREE = "tree long, ids binary, v binary, far binary, route binary, radius binary, to_parent binary, first binary, count binary, leaf binary, root binary, reach double"
+_HITS = "qkey long, query_id long, vec_id long, score long"
+
+
+def _exact(most: int) -> type:
+    """A type in which inner products up to most are whole."""
+    return np.float64 if most < 2**53 else np.int64
+
+
 def _grow(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[pa.RecordBatch]:
     """Trees over runs of the rows as they come."""
-    ids, rows, held = [], [], 0
+    ids, rows, held, number = [], [], 0, TaskContext.get().partitionId() << 32
 
-    def tree():
+    def trees(numbers: Iterator[int]):
         i, v = np.concatenate(ids), np.concatenate(rows)
         for s in range(0, len(i), TREE_ROWS):
             part = v[s : s + TREE_ROWS]
             record = Tree(_lifted(part, most)).record(i[s : s + TREE_ROWS], part)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in record.values()], names=list(record))
+            yield pa.RecordBatch.from_arrays([pa.array([next(numbers)]), *[pa.array([x]) for x in record.values()]], names=["tree", *record])
 
+    numbers = itertools.count(number)
     for batch in batches:
         ids.append(np.asarray(batch.column("vec_id")))
         rows.append(_matrix(batch.column("v"), width))
         held += batch.num_rows
         if held >= TREE_ROWS:
-            yield from tree()
+            yield from trees(numbers)
             ids, rows, held = [], [], 0
     if held:
-        yield from tree()
+        yield from trees(numbers)
 
 
-def build(rows: DataFrame, width: int, most: int, count: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(trees, pivot ids, pivot vectors) over quantised rows; pivots are PIVOTS rows by id hash."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toArrow()
-    pivot_ids = np.asarray(sample.column("vec_id").combine_chunks())
-    pivots = _matrix(sample.column("v").combine_chunks(), width)
-    lifted = _lifted(pivots, most)
+def build(rows: DataFrame, width: int, most: int, count: int) -> DataFrame:
+    """Trees over quantised rows; pivots are as many rows by id hash as there are trees, MOST_PIVOTS at most."""
+    tasks = max(1, -(-count // TREE_ROWS))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, tasks)).toArrow()
+    lifted = _lifted(_matrix(sample.column("v").combine_chunks(), width), most)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norms = (lifted**2).sum(axis=1)
@@ -215,57 +235,133 @@ def build(rows: DataFrame, width: int, most: int, count: int) -> tuple[DataFrame
             gap = np.sqrt(np.maximum(0.0, d[np.arange(len(x)), home] + (x * x).sum(axis=1)))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(home.astype(np.int32)), pa.array(gap)], names=["vec_id", "v", "home", "gap"])
 
-    tasks = max(1, -(-count // TREE_ROWS))
     dealt = rows.mapInArrow(assign, "vec_id long, v array<long>, home int, gap double").repartitionByRange(tasks, "home", "gap", "vec_id").sortWithinPartitions("home", "gap", "vec_id")
-    schema = "ids binary, v binary, far binary, route binary, radius binary, to_parent binary, first binary, count binary, leaf binary"
-    return materialize(dealt.mapInArrow(lambda it: _grow(it, width, most), schema), "trees"), pivot_ids, pivots
+    return dealt.mapInArrow(lambda it: _grow(it, width, most), _TREE)
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best rows for each query row (id divisible by every): query_id, rank (from 1), vec_id, score.
+class Roots:
+    """The roots of some trees: numbers, lifted routing vectors, covering radii."""
 
-    The score is the integer inner product of quantised vectors, exact while below 2**53; ties go to the smaller id;
-    a query's own id is no candidate. Defined cases: rows with a null id, a null vector, or a null or non-finite
-    component take no part; shorter vectors count as padded with zeros; fewer than k candidates are all returned;
-    an id that occurs twice is searched for once with each different vector and found as often as it occurs; an empty
-    table gives no rows; other columns are ignored.
-    """
-    rows = materialize(quantised(vectors, id_col, vector_col), "quantised")
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0).cast("long"), lambda a, x: a + x)).alias("most"), F.count(F.lit(1)).alias("n")).first()
-    width, most, count = int(shape["width"] or 0), int(shape["most"] or 0), int(shape["n"])
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    trees, pivot_ids, pivots = build(rows, width, most, count)
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(lambda t: _pack(t, width, most, k, pivot_ids, pivots), "block int, query_ids binary, qv binary, bounds binary")
-    meet = trees.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(packed, "block")
-    found = meet.mapInArrow(lambda it: _search(it, width, most, k), "query_id long, place int, vec_id long, score long")
-    order = W.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _pack(group: pa.Table, width: int, most: int, k: int, pivot_ids: np.ndarray, pivots: np.ndarray) -> pa.Table:
-    """A block of queries as one row, each with its bound from the pivots."""
-    ids = group.column("vec_id").to_numpy()
+    def __init__(self, rows: pa.Table, width: int):
+        self.tree, self.reach = rows.column("tree").to_numpy(), rows.column("reach").to_numpy()
+        self.at = np.frombuffer(b"".join(rows.column("root").to_pylist())).reshape(-1, width + 1)
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        """Of queries (rows) from roots (columns)."""
+        x = v.astype(np.float64)
+        return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (self.at * self.at).sum(axis=1)[None, :] - 2 * (x @ self.at[:, :-1].T)))
+
+
+def _slices(trees: DataFrame, width: int) -> Iterator[Roots]:
+    """All roots, a bounded number at a time."""
+    parts = max(1, -(-trees.count() // ROOTS_AT_ONCE))
+    for i in range(parts):
+        rows = trees.where(F.pmod(F.xxhash64("tree"), F.lit(parts)) == i).select("tree", "root", "reach").toArrow()
+        if rows.num_rows:
+            yield Roots(rows, width)
+
+
+def _at_home(queries: DataFrame, roots: list[Broadcast], width: int) -> DataFrame:
+    """(qkey, vec_id, v, tree): each query with the tree of the nearest root."""
+
+    def nearest(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = held.value.distances(_matrix(batch.column("v"), width))
+            best = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.tree[best]), pa.array(d[np.arange(len(d)), best])], names=[*batch.schema.names, "tree", "gap"])
+
+    each = [queries.mapInArrow(lambda it, h=h: nearest(it, h), "qkey long, vec_id long, v array<long>, tree long, gap double") for h in roots]
+    return reduce(DataFrame.union, each).groupBy("qkey", "vec_id", "v").agg(F.min_by("tree", F.struct("gap", "tree")).alias("tree"))
+
+
+def _pack(group: pa.Table, width: int) -> pa.Table:
+    """Queries of one home tree as one row."""
     v = _matrix(group.column("v").combine_chunks(), width)
-    scores = v.astype(np.float64) @ pivots.T.astype(np.float64)
-    scores[ids[:, None] == pivot_ids[None, :]] = -np.inf
-    bounds = np.full(len(ids), np.inf)
-    if len(pivot_ids) >= k:
-        kth = -np.sort(-scores, axis=1)[:, k - 1]
-        good = np.isfinite(kth)
-        bounds[good] = np.sqrt(np.maximum(0.0, (v.astype(np.float64) ** 2).sum(axis=1)[good] + most - 2 * kth[good]))
-    return pa.table({"block": group.column("block")[:1], "query_ids": pa.array([ids.tobytes()], pa.binary()), "qv": pa.array([v.tobytes()], pa.binary()), "bounds": pa.array([bounds.tobytes()], pa.binary())})
+    blob = lambda c: pa.array([group.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary())
+    return pa.table({"tree": group.column("tree")[:1], "part": group.column("part")[:1], "qkeys": blob("qkey"), "query_ids": blob("vec_id"), "qv": pa.array([v.tobytes()], pa.binary())})
+
+
+def _found(tree: Searcher, row: dict, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(qkey, query_id, vec_id, score columns of the best rows in a tree, each query's k-th best distance) for one packed row."""
+    keys, ids = np.frombuffer(row["qkeys"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+    v = np.frombuffer(row["qv"], np.int64).reshape(len(ids), -1)
+    bounds = np.frombuffer(row["bounds"]) if row.get("bounds") else np.full(len(ids), np.inf)
+    hits = [tree.top(v[i], int(ids[i]), k, float(bounds[i])) for i in range(len(ids))]
+    sizes = [len(a) for a, _ in hits]
+    x = v.astype(np.float64)
+    base = (x * x).sum(axis=1) + tree.most
+    reached = np.array([np.sqrt(max(0.0, b - 2 * float(s.min()))) if len(s) == k else np.inf for b, (_, s) in zip(base, hits)])
+    return [np.repeat(keys, sizes), np.repeat(ids, sizes), np.concatenate([a for a, _ in hits]), np.concatenate([s for _, s in hits]).astype(np.int64)], reached
+
+
+def _first(batches: Iterator[pa.RecordBatch], width: int, most: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Packed queries in their home trees: their hits, and the bounds that follow."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            hits, bounds = _found(Searcher(row, width, most), row, k)
+            yield pa.RecordBatch.from_arrays([pa.array([row[c]]) for c in ("tree", "part", "qkeys", "query_ids", "qv")] + [pa.array([bounds.tobytes()], pa.binary())] + [pa.array([h], pa.list_(pa.int64())) for h in hits], names=["tree", "part", "qkeys", "query_ids", "qv", "bounds", "a", "b", "c", "d"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], width: int, most: int, k: int) -> Iterator[pa.RecordBatch]:
+def _reachable(batches: Iterator[pa.RecordBatch], held: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
+    """For each tree but the home tree, the packed queries whose bound its covering radius reaches."""
+    roots = held.value
     for batch in batches:
         for row in batch.to_pylist():
-            tree = Searcher(row, width, most)
-            ids, bounds = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["bounds"])
-            v = np.frombuffer(row["qv"], np.int64).reshape(len(ids), width)
-            out = [(tree.top(v[i], int(ids[i]), k, float(bounds[i]))) for i in range(len(ids))]
-            sizes = [len(a) for a, _ in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(np.arange(len(ids)), sizes).astype(np.int32)), pa.array(np.concatenate([a for a, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))],
-                names=["query_id", "place", "vec_id", "score"],
-            )
+            v, bounds = np.frombuffer(row["qv"], np.int64).reshape(-1, width), np.frombuffer(row["bounds"])
+            wanted = roots.distances(v) - roots.reach[None, :] <= (bounds + _SLACK * (1 + bounds))[:, None]
+            wanted[:, roots.tree == row["tree"]] = False
+            trees = np.flatnonzero(wanted.any(axis=0))
+            keys, ids = np.frombuffer(row["qkeys"], np.int64), np.frombuffer(row["query_ids"], np.int64)
+            pick = [np.flatnonzero(wanted[:, t]) for t in trees]
+            blobs = [pa.array([a[i].tobytes() for i in pick], pa.binary()) for a in (keys, ids, v, bounds)]
+            yield pa.RecordBatch.from_arrays([pa.array(roots.tree[trees]), pa.array(np.full(len(trees), row["tree"])), pa.array(np.full(len(trees), row["part"])), *blobs], names=["tree", "home", "part", "qkeys", "query_ids", "qv", "bounds"])
+
+
+def _second(key: tuple, group: pa.Table, width: int, most: int, k: int) -> pa.Table:
+    """A tree with some of the packed queries that reach it."""
+    is_tree = pc.is_valid(group.column("ids"))
+    tree = Searcher(group.filter(is_tree).to_pylist()[0], width, most)
+    parts = [_found(tree, row, k)[0] for row in group.filter(pc.invert(is_tree)).select(["qkeys", "query_ids", "qv", "bounds"]).to_pylist()]
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["qkey", "query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k best rows for each query row (id divisible by every): query_id, rank (from 1), vec_id, score.
+
+    The score is the exact integer inner product of quantised vectors; ties go to the smaller id; a query's own id is no
+    candidate. Defined cases: rows with a null id, a null vector, or a null or non-finite component take no part; shorter
+    vectors count as padded with zeros; fewer than k candidates are all returned; an id that occurs twice is searched for
+    once with each different vector and found as often as it occurs; an empty table gives no rows; other columns, whatever
+    their names, are ignored; vectors whose squared norm reaches 2**62 are an error.
+    """
+    with Scratch(vectors.sparkSession) as held:
+        return materialize(_top(vectors, k, every, id_col, vector_col, held), "top-k")
+
+
+def _top(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: str, held: Scratch) -> DataFrame:
+    spark = vectors.sparkSession
+    rows = held.keep(quantised(vectors, id_col, vector_col), "quantised")
+    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0).cast("long"), lambda a, x: a + x)).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    width, most, count = int(shape["width"] or 0), int(shape["most"] or 0), int(shape["n"])
+    if most >= 2**62:
+        raise ValueError("inner products of vectors of this length do not fit in 64 bits")
+    if not count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    trees = held.keep(build(rows, width, most, count), "trees")
+    roots = [spark.sparkContext.broadcast(r) for r in _slices(trees, width)]
+    queries = rows.where(F.col("vec_id") % every == 0).distinct().select(F.xxhash64("vec_id", "v").alias("qkey"), "vec_id", "v")
+    home = held.keep(_at_home(queries, roots, width), "home")
+    sizes = home.groupBy("tree").agg(F.expr(f"cast(ceil(count(*) / {QUERY_BLOCK}) AS long)").alias("parts"))
+    dealt = home.join(sizes, "tree").withColumn("part", F.pmod(F.col("qkey"), F.col("parts")))
+    packed = dealt.select("tree", "part", "qkey", "vec_id", "v").groupBy("tree", "part").applyInArrow(lambda t: _pack(t, width), "tree long, part long, qkeys binary, query_ids binary, qv binary")
+    started = packed.join(trees, "tree").mapInArrow(lambda it: _first(it, width, most, k), "tree long, part long, qkeys binary, query_ids binary, qv binary, bounds binary, a array<long>, b array<long>, c array<long>, d array<long>")
+    started = held.keep(started, "started")
+    hits = started.select(F.inline(F.arrays_zip("a", "b", "c", "d"))).toDF("qkey", "query_id", "vec_id", "score")
+    blocks = started.select("tree", "part", "qkeys", "query_ids", "qv", "bounds")
+    wants = reduce(DataFrame.union, [blocks.mapInArrow(lambda it, h=h: _reachable(it, h, width), "tree long, home long, part long, qkeys binary, query_ids binary, qv binary, bounds binary") for h in roots])
+    groups = max(1, -(-blocks.count() // BLOCKS_A_GROUP))
+    wants = held.keep(wants.withColumn("grp", F.pmod(F.xxhash64("home", "part"), F.lit(groups))).drop("home", "part"), "wants")
+    meet = wants.select("tree", "grp").distinct().join(trees, "tree").unionByName(wants, allowMissingColumns=True)
+    more = meet.groupBy("tree", "grp").applyInArrow(lambda key, t: _second(key, t, width, most, k), _HITS)
+    order = W.partitionBy("qkey", "query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

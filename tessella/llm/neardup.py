@@ -8,8 +8,8 @@ probability (1 - (1 - s**ROWS)**HALVES)**2; with 16 and 3 it misses at s = 0.8 w
 Texts with equal shingle sets are one class. Half-keys that only one class has are dropped first (the pair
 they would form cannot meet), which leaves few table rows. In a table, classes are compared with one hub (a star, not
 all pairs). Classes whose minhashes agree with a hub's in AGREE of the places are its family; families that their best
-hub's confirmed links do not cover are compared whole, in blocks, by matrix products of their sets; classes of
-different families that share a table are compared as pairs. So no link that
+hub's confirmed links do not cover are finished in blocks, the uncovered members with all, by matrix products of their
+sets; classes of different families that share a table are compared as pairs. So no link that
 could join two components is lost, but for agreement below AGREE, 5 standard deviations below 0.8.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import materialize, saved_result, scratch
+from tessella.llm.common import Scratch, materialize
 
 SHINGLE = 4
 HALVES = 16
@@ -32,8 +32,9 @@ ROWS = 3
 AGREE = 0.61
 PLANES = 4
 PERCENT = 80
-PAIRS_PER_SALT = 4096
+SETS_A_GROUP = 512  # sets that meet a hub's in one task
 BLOCK = 256
+HOT = 1024  # a key with over 1/HOT of all rows is joined without a shuffle
 COLUMNS = 8192
 
 _N = 2 * HALVES * ROWS
@@ -64,23 +65,28 @@ def _shingle_sets(words: textkit.Words, k: int) -> Iterator[np.ndarray]:
 
 
 _PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("class_tail", pa.int64()), ("halves", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("class_id", pa.int64()), ("halves", pa.list_(pa.int64())), ("planes", pa.list_(pa.int64()))])
+
+
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digests of all sets, 0 for empty ones; rows of the others; all their hashes, one set after another; where each begins)."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = np.concatenate(([0], np.cumsum(sizes)))[:-1][full]
+    out = np.zeros(len(sets), np.uint64)
+    if len(full):
+        out[full] = textkit.mix(np.add.reduceat(textkit.mix(flat), at) + sizes[full].astype(np.uint64))
+    return out, full, flat, at
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for words in textkit.scan(batch.column(1), textkit.SPACED):
+        for words in textkit.scan(batch.column(2), textkit.SPACED):
             sets = list(_shingle_sets(words, k))
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            full = np.flatnonzero(sizes)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at = np.concatenate(([0], np.cumsum(sizes)))[:-1][full]
-            cls, tail = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            cls, full, flat, at = _digests(sets)
             mins = np.zeros((_N, len(full)), dtype=np.uint64)
             if len(full):
-                cls[full] = textkit.mix(np.add.reduceat(textkit.mix(flat), at) + sizes[full].astype(np.uint64))
-                tail[full] = textkit.mix(np.add.reduceat(textkit.mix(flat ^ _ADD[0]), at))
                 for f in range(_N):
                     mins[f] = np.minimum.reduceat(flat * _MULT[f] + _ADD[f], at)
             mixed = textkit.mix(mins)
@@ -95,25 +101,44 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             lists: list = [None] * len(sets)
             for i, r in enumerate(full):
                 marks[r], lists[r] = bits[i], keys[i]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(words.first, len(sets)).cast(pa.int64()), pa.array(sizes), pa.array(cls.astype(np.int64)), pa.array(tail.astype(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
-                schema=_SKETCH,
-            )
+            own = [batch.column(i).slice(words.first, len(sets)) for i in (0, 1)]
+            rest = [pa.array([len(s) for s in sets], pa.int64()), pa.array(cls.astype(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, *rest], schema=_SKETCH)
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Per row: n_shingles, class_id/class_tail (equal for equal shingle sets), half-keys and minhash bits."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        lambda it: _sketches(it, k), "doc_id long, n_shingles long, class_id long, class_tail long, halves array<long>, planes array<long>"
-    )
+def sketch(base: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """Per row of (doc_id, text_hash, text): n_shingles, class_id (equal for equal shingle sets), half-keys and minhash bits."""
+    return base.mapInArrow(lambda it: _sketches(it, k), "doc_id long, text_hash long, n_shingles long, class_id long, halves array<long>, planes array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The sets of rows (class_id, text) whose text is of that class, once a task."""
+    seen: set[int] = set()
     for batch in batches:
-        ids = batch.column(0)
+        ids = batch.column(0).to_numpy()
         for words in textkit.scan(batch.column(1), textkit.SPACED):
-            blobs = [s.tobytes() for s in _shingle_sets(words, k)]
-            yield pa.RecordBatch.from_arrays([ids.slice(words.first, len(blobs)), pa.array(blobs, pa.binary())], names=["class_id", "hashes"])
+            sets = list(_shingle_sets(words, k))
+            own, keep = ids[words.first : words.first + len(sets)], []
+            for i in np.flatnonzero(_digests(sets)[0].astype(np.int64) == own):
+                if own[i] not in seen:
+                    seen.add(own[i])
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["class_id", "hashes"])
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right: one row a key, c at least the key's rows in left, total at most the sum of c.
+
+    A key with over 1/HOT of the total is sent to all tasks, so its rows need not meet; there can be HOT such keys at
+    most. The other keys are joined by a shuffle.
+    """
+    is_hot = F.col("c") * HOT > total
+    hot = right.where(is_hot).toArrow()
+    if not hot.num_rows:
+        return left.join(right.drop("c"), key)
+    held = F.broadcast(left.sparkSession.createDataFrame(hot, right.schema))
+    rest = left.join(held.select(key), key, "left_anti").join(right.where(~is_hot).drop("c"), key)
+    return left.join(held.drop("c"), key).unionByName(rest)
 
 
 def _tables(classes: DataFrame) -> DataFrame:
@@ -145,10 +170,9 @@ def _agree(a: str, b: str):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) with 100 * |intersection| >= PERCENT * |union| of the full sets.
+    """Pairs (x, y), with cx pairs of x or more, whose full sets have 100 * |intersection| >= PERCENT * |union|.
 
-    Each y carries its set to x, and a hot x is split over so many salted groups; their number follows the number of pairs, so a
-    group holds some hundred sets however many classes share a hub.
+    Each y carries its set to x; an x of many pairs is split over groups of about SETS_A_GROUP.
     """
 
     def check(group: pa.Table) -> pa.Table:
@@ -163,28 +187,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
         return rest.select(["x", "y"]).filter(pa.array(keep, pa.bool_())).cast(_PAIRS)
 
-    salts = max(1, -(-pairs.count() // PAIRS_PER_SALT))
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int"))
+    salted = pairs.select("x", "y", F.expr(f"pmod(xxhash64(y), cast(ceil(cx / {SETS_A_GROUP}) AS int))").cast("int").alias("salt"))
     hubs = salted.select("x", "salt").distinct().join(sets.select(F.col("class_id").alias("x"), "hashes"), "x").select("x", "salt", F.lit(None).cast("long").alias("y"), "hashes")
     rest = salted.join(sets.select(F.col("class_id").alias("y"), "hashes"), "y").select("x", "salt", "y", "hashes")
     return hubs.union(rest).groupBy("x", "salt").applyInArrow(check, "x long, y long")
 
 
-def components(edges: DataFrame, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node reachable over the edges, by alternating large and small stars."""
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    now = held.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    count, seen = now.count(), None
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.where("u <> v").distinct(), "edges")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = lookup(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = held.keep(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = lookup(large, least, "u", 2 * count).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = held.keep(small.where("u <> v").distinct(), "edges")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        count, seen = mark[0], mark
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -195,44 +219,48 @@ def _hub_pairs(tables: DataFrame) -> DataFrame:
     order = F.xxhash64("class_id", F.lit(0))
     hub = tables.groupBy("key").agg(F.min_by(F.struct("class_id", "n_shingles", "planes"), order).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     met = (F.col("h.class_id") != F.col("class_id")) & _sizes_allow(F.col("h.n_shingles"), F.col("n_shingles")) & _agree("h.planes", "planes")
-    return tables.join(hub, "key").where(met).select(F.least("h.class_id", "class_id").alias("x"), F.greatest("h.class_id", "class_id").alias("y")).distinct()
+    return lookup(tables, hub, "key", tables.count()).where(met).select(F.least("h.class_id", "class_id").alias("x"), F.greatest("h.class_id", "class_id").alias("y")).distinct()
 
 
 def _sizes_allow(a, b):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _link(pairs: DataFrame, texts, k: int) -> tuple[DataFrame, DataFrame]:
+def _link(pairs: DataFrame, texts, k: int, held: Scratch) -> tuple[DataFrame, DataFrame]:
     """(confirmed links, the pairs) among promising pairs; shingle sets are made again only for their classes."""
-    promising = materialize(pairs, "promising")
-    wanted = promising.select(F.col("x").alias("class_id")).union(promising.select(F.col("y").alias("class_id"))).distinct()
-    sets = materialize(_sets_of(texts(wanted), k), "sets")
+    promising = held.keep(pairs, "promising")
     # the more common end of a pair becomes the hub that others come to
     ends = [promising.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("c")) for c in ("x", "y")]
-    weight = ends[0].union(ends[1]).groupBy("node").agg(F.sum("c").alias("c"))
-    turned = (
-        promising.join(weight.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(weight.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y")
-        .select(F.when(F.col("cx") >= F.col("cy"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("cx") >= F.col("cy"), F.col("y")).otherwise(F.col("x")).alias("y"))
-    )
-    return materialize(_confirmed(turned, sets), "links"), promising
+    weight = held.keep(ends[0].union(ends[1]).groupBy("node").agg(F.sum("c").alias("c")), "weights")
+    sets = held.keep(_sets_of(texts(weight.select(F.col("node").alias("class_id"))), k), "sets")
+    total = 2 * promising.count()
+    turned = promising
+    for end in ("x", "y"):
+        turned = lookup(turned, weight.select(F.col("node").alias(end), "c", F.col("c").alias(f"c{end}")), end, total)
+    swap = F.col("cx") < F.col("cy")
+    turned = turned.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.greatest("cx", "cy").alias("cx"))
+    return held.keep(_confirmed(turned, sets), "links"), promising
 
 
 def _sets_of(texts: DataFrame, k: int) -> DataFrame:
-    return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary")
+    return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary").dropDuplicates(["class_id"])
 
 
 def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components of one family: members (family, class_id, root), sets (class_id, hashes).
+    """Links between components of one family: members (family, class_id, root, n, alone), sets (class_id, hashes).
 
-    A family is dealt to blocks of about BLOCK members and every pair of its blocks is one task: intersections of
-    all their sets come from matrix products over the shingles that occur twice, and only links that join two
-    components leave the task. Work is shared by as many tasks as a family has pairs of blocks.
+    Members that the family's best hub is linked with are one component already, so only the `alone` others are compared,
+    with all members. Both are dealt to blocks of about BLOCK; a block of either kind meets in one task, where
+    intersections of all the sets come from matrix products over the shingles that occur twice, and only links that
+    join two components leave the task.
     """
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    blocks = members.join(sizes, "family").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) AS int)")).withColumn("own", F.expr("pmod(xxhash64(class_id), blocks)"))
-    dealt = blocks.select("family", "class_id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class_id", "root").join(sets, "class_id")
-    return dealt.groupBy("family", "i", "j").applyInArrow(_compare_block, "x long, y long")
+    count = lambda c: F.expr(f"cast(ceil({c} / {BLOCK}) AS int)")
+    blocks = members.withColumns({"rows": count("n"), "few": count("alone")})
+    at = lambda c, salt: F.expr(f"pmod(xxhash64(class_id, {salt}), {c})")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    whole = blocks.select("family", "class_id", "root", F.lit(False).alias("single"), every("few").alias("i"), at("rows", 1).alias("j"))
+    single = blocks.where("class_id = root AND NOT is_hub").select("family", "class_id", "root", F.lit(True).alias("single"), at("few", 2).alias("i"), every("rows").alias("j"))
+    return whole.unionByName(single).join(sets, "class_id").groupBy("family", "i", "j").applyInArrow(_compare_block, "x long, y long")
 
 
 def _compare_block(group: pa.Table) -> pa.Table:
@@ -252,7 +280,8 @@ def _compare_block(group: pa.Table) -> pa.Table:
         m = np.zeros((n, COLUMNS), dtype=np.float32)
         m[row[lo:hi], column[lo:hi] - first] = 1
         common += m @ m.T
-    linked = (100 * common >= PERCENT * (size[:, None] + size[None, :] - common)) & (roots[:, None] != roots[None, :])
+    single = group.column("single").to_numpy()
+    linked = (100 * common >= PERCENT * (size[:, None] + size[None, :] - common)) & (roots[:, None] != roots[None, :]) & (single[:, None] > single[None, :])
     joined: dict[int, int] = {}
 
     def top(r: int) -> int:
@@ -261,7 +290,7 @@ def _compare_block(group: pa.Table) -> pa.Table:
         return r
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+    for i, j in zip(*np.nonzero(linked)):
         a, b = top(int(roots[i])), top(int(roots[j]))
         if a != b:
             joined[max(a, b)] = min(a, b)
@@ -270,57 +299,69 @@ def _compare_block(group: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Near-duplicate component of every row: doc_id, n_shingles, component_id, kept.
+    """Near-duplicate component of every row: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text), root.
 
     Words are split at ASCII white space after lower-casing A-Z; a row's set holds its distinct k-word shingles.
-    Rows link where the similarity of their sets is at least 0.8; component_id is the smallest id reachable.
-
-    Defined cases: null or wordless text has n_shingles 0 and is linked with nothing; fewer than k words form one
-    shingle; rows with equal sets are linked; repeated rows each give a row (an id seen with one text twice has kept
-    on both); a null id never names a component unless all its ids are null, and only then is kept (null);
-    an empty table gives no rows; other columns are ignored. Classes are told apart by 64-bit digests.
+    Rows link where the similarity of their sets is at least 0.8; component_id is the smallest id reachable, root names
+    the component itself.
+
+    Defined cases: null or wordless text has n_shingles 0, root null, and is linked with nothing; fewer than k words form
+    one shingle; rows with equal sets are linked; repeated rows each give a row (an id seen with one text twice has kept
+    on both); an id with two texts is two rows that are linked or not by their own texts; a null id never names a component
+    unless all its ids are null, and only then is kept (null); an empty table gives no rows; other columns are ignored.
+    Classes are told apart by 64-bit digests, texts by 64-bit hashes beside their ids.
     """
-    with scratch(docs.sparkSession):
-        return saved_result(_grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k), "groups")
+    with Scratch(docs.sparkSession) as held:
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        return materialize(_grouped(base, k, held), "groups")
 
 
-def _grouped(base: DataFrame, k: int) -> DataFrame:
-    rows = materialize(sketch(base, k=k), "sketch")
+def _grouped(base: DataFrame, k: int, held: Scratch) -> DataFrame:
+    rows = held.keep(sketch(base, k), "sketch")
     full = rows.where("n_shingles > 0")
-    classes = materialize(
-        full.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("planes").alias("planes"), F.min("doc_id").alias("least_id")), "classes"
+    owner = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = held.keep(
+        full.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.first("planes").alias("planes"), F.min(owner).alias("owner")), "classes"
     )
-    tables = materialize(_tables(classes), "tables")
+    tables = held.keep(_tables(classes), "tables")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        """(class_id, text) with one text for each wanted class."""
-        owner = classes.join(wanted, "class_id").where("least_id is not null").select("class_id", F.col("least_id").alias("doc_id"))
-        return base.join(owner, "doc_id").select("class_id", "text")
-
-    stars, near = _link(_hub_pairs(tables), texts, k)
-    families = components(near).select(F.col("node").alias("class_id"), F.col("root").alias("family"))
-    placed = materialize(_star_roots(families, stars), "families")
-    split = placed.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("family")
-    members = materialize(placed.join(split, "family"), "members")
-    inside = materialize(_family_links(members, materialize(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
-    across, _ = _link(_cross_pairs(tables, placed.select("class_id", "family")), texts, k)
-    links = stars.union(inside).union(across)
-    roots = components(links)
-    classed = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), "least_id")
-    smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = classed.join(smallest, "root").select("class_id", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id")).join(named, "class_id", "left")
+        """(class_id, text) of the wanted classes, from the row with the smallest id of each."""
+        one = classes.join(wanted, "class_id").select("class_id", F.col("owner.doc_id").alias("_id"), F.col("owner.text_hash").alias("_hash"))
+        return base.join(one, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class_id", "text")
+
+    stars, near = _link(_hub_pairs(tables), texts, k, held)
+    families = held.keep(components(near, held).select(F.col("node").alias("class_id"), F.col("root").alias("family")), "members")
+    placed = held.keep(_star_roots(families, stars), "families")
+    single = (F.col("class_id") == F.col("root")) & ~F.col("is_hub")
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("c"), F.count_if(single).alias("alone"))
+    members = held.keep(lookup(placed, sizes.where("alone > 0"), "family", placed.count()), "members")
+    inside = held.keep(_family_links(members, held.keep(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
+    across, _ = _link(_cross_pairs(tables, placed.select("class_id", "family")), texts, k, held)
+    roots = components(stars.union(inside).union(across), held)
+    classed = held.keep(classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), F.col("owner.doc_id").alias("least_id")), "roots")
+    smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
+    named = lookup(classed, smallest, "root", classed.count()).select("class_id", "component_id", "root")
+    out = rows.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).alias("class_id"))
+    out = _by_class(out, named)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "root")
+
+
+def _by_class(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with what is named of their classes; wordless rows have no class."""
+    sizes = rows.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count(F.lit(1)).alias("c"))
+    found = lookup(rows.where("class_id IS NOT NULL"), named.join(sizes, "class_id"), "class_id", rows.count())
+    return found.unionByName(rows.where("class_id IS NULL"), allowMissingColumns=True)
 
 
 def _star_roots(families: DataFrame, stars: DataFrame) -> DataFrame:
-    """Family members (class_id, family) with root: the family's hub of most confirmed links where linked with it, else themselves."""
+    """(class_id, family, root, is_hub): root is the family's hub of most confirmed links where linked with it, else the member itself."""
     ends = stars.select(F.col("x").alias("hub"), F.col("y").alias("class_id")).union(stars.select(F.col("y").alias("hub"), F.col("x").alias("class_id")))
     sizes = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
-    best = sizes.join(families, F.col("hub") == F.col("class_id")).groupBy("family").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    linked = ends.join(best, "hub").select("class_id", F.col("hub").alias("r")).union(best.select(F.col("hub").alias("class_id"), F.col("hub").alias("r"))).distinct()
-    return families.join(linked, "class_id", "left").select("class_id", "family", F.coalesce("r", "class_id").alias("root"))
+    best = sizes.join(families, F.col("hub") == F.col("class_id")).groupBy("family").agg(F.max_by(F.struct("hub", "c"), F.struct("c", "hub")).alias("b")).select("b.hub", "b.c")
+    linked = lookup(ends, best, "hub", 2 * stars.count()).select("class_id", F.col("hub").alias("r")).union(best.select(F.col("hub").alias("class_id"), F.col("hub").alias("r"))).distinct()
+    return families.join(linked, "class_id", "left").select("class_id", "family", F.coalesce("r", "class_id").alias("root"), F.coalesce(F.col("r") == F.col("class_id"), F.lit(False)).alias("is_hub"))
 
 
 def _cross_pairs(tables: DataFrame, families: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import held_out, materialize, scratch
+from tessella.llm.common import Scratch, held_out
 
 PREFIXES = (3, 4, 5, 6, 7)  # bytes of a word beginning
 MOST_PATTERNS = 100_000  # tested patterns, the most frequent ones in toxic rows
@@ -237,21 +237,21 @@ def _vote_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 3, remainder: int = 1) -> Model:
     """Learn from labels of rows that are not held out; rows without a 0/1 label only get scores."""
-    with scratch(docs.sparkSession):
-        return _fitted(docs, labels, id_col, text_col, modulus, remainder)
+    with Scratch(docs.sparkSession) as held:
+        return _fitted(docs, labels, id_col, text_col, modulus, remainder, held)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modulus: int, remainder: int) -> Model:
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modulus: int, remainder: int, scratch: Scratch) -> Model:
     spark = docs.sparkSession
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = materialize(texts.join(marked.hint("shuffle_hash"), "_id").select("text", "toxic"), "labelled")
+    labelled = scratch.keep(texts.join(marked.hint("shuffle_hash"), "_id").select("text", "toxic"), "labelled")
     patterns = mine(labelled)
     voters = [lexicon_hashes()]
     if len(patterns):
         held = spark.sparkContext.broadcast(_Finder(patterns))
         found = labelled.where("toxic = 1").select("text", F.xxhash64("text").alias("digest")).mapInArrow(lambda it: _occurrences(it, held.value), "digest long, places array<int>")
-        lists = materialize(found.where(F.size("places") > 0).dropDuplicates(["digest"]).groupBy("places").agg(F.count(F.lit(1)).alias("n")), "places")
+        lists = scratch.keep(found.where(F.size("places") > 0).dropDuplicates(["digest"]).groupBy("places").agg(F.count(F.lit(1)).alias("n")), "places")
         voters += [patterns[p : p + 1] for p in _cover(lists, len(patterns))]
     model = Model(voters)
     sent = spark.sparkContext.broadcast(model)
