@@ -23,11 +23,15 @@ def discover_templates(files: DataFrame) -> DataFrame:
 
 
 def latest_version(templates: DataFrame) -> DataFrame:
-    """The numerically highest version of each template, and the next free version over all templates."""
+    """The numerically highest version of each template, and the next free version over all templates.
+
+    Without any template there is one row that names none and has v1 as the next version.
+    """
     number = version_number(F.col("version"))
     best = templates.groupBy("name").agg(F.max_by("version", number).alias("latest"))
-    top = templates.agg(F.concat(F.lit("v"), (F.coalesce(F.max(number), F.lit(0)) + 1).cast("string")).alias("next_version"))
-    return best.join(F.broadcast(top), F.lit(True))
+    top = templates.agg(F.concat(F.lit("v"), (F.coalesce(F.max(number), F.lit(0)) + 1).cast("string")).alias("next_version"), F.count(F.lit(1)).alias("_n"))
+    empty = top.where("_n = 0").select(*[F.lit(None).cast(templates.schema[c].dataType).alias(k) for c, k in (("name", "name"), ("version", "latest"))], "next_version")
+    return best.join(F.broadcast(top.drop("_n")), F.lit(True)).unionByName(empty)  # top is one row
 
 
 def semver_latest(templates: DataFrame) -> DataFrame:
@@ -84,8 +88,8 @@ def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             lines = list(difflib.unified_diff((r["old"] or "").splitlines(), (r["new"] or "").splitlines(), r["from_version"] or "", r["to_version"], lineterm=""))
-            body = lines[2:]
-            rows.append((r["name"], r["from_version"], r["to_version"], sum(x.startswith("+") for x in body), sum(x.startswith("-") for x in body), lines))
+            changes = [sum(x.startswith(c) and not x.startswith(3 * c) for x in lines) for c in "+-"]
+            rows.append((r["name"], r["from_version"], r["to_version"], *changes, lines))
         columns = list(zip(*rows)) if rows else [[]] * 6
         types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["name", "from_version", "to_version", "added", "removed", "diff"])
@@ -97,11 +101,13 @@ def line_diffs(pairs: DataFrame) -> DataFrame:
 
 
 def _token_cosine(pairs: DataFrame) -> DataFrame:
+    """Cosine of token counts, from one count of both sides."""
     keys = ["name", "from_version", "to_version"]
-    counts = lambda c, n: pairs.select(*keys, F.explode(tx.plain_tokens(F.col(c))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(n))
-    both = counts("old", "a").join(counts("new", "b"), [*keys, "token"], "full").groupBy(*keys)
-    sums = both.agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return sums.select(*keys, F.coalesce(F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4), F.lit(0.0)).alias("similarity"))
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), tx.plain_tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for i, c in enumerate(("old", "new"))])
+    tokens = pairs.select(*keys, F.inline(sides)).select(*keys, "side", F.explode("t").alias("token"))
+    each = tokens.groupBy(*keys, "token").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    sums = each.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    return sums.select(*keys, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)).otherwise(0.0).alias("similarity"))
 
 
 def compare_versions(pairs: DataFrame) -> DataFrame:
@@ -113,47 +119,89 @@ def compare_versions(pairs: DataFrame) -> DataFrame:
 
 
 def successive_pairs(templates: DataFrame) -> DataFrame:
-    """Each version with the one before it, the first with an empty text."""
+    """Each version with the one before it, the first with an empty text.
+
+    Only version names are put in order; the texts then meet by (name, version), so a template of many versions is many keys.
+    """
     order = W.partitionBy("name").orderBy(version_number(F.col("version")))
-    return templates.select("name", F.lag("version").over(order).alias("from_version"), F.col("version").alias("to_version"), F.coalesce(F.lag("content").over(order), F.lit("")).alias("old"), F.col("content").alias("new"))
+    before = templates.select("name", "version").withColumn("from_version", F.lag("version").over(order))
+    old = templates.select("name", F.col("version").alias("from_version"), F.col("content").alias("old"))
+    rows = before.join(templates.select("name", "version", "content"), ["name", "version"]).join(old, ["name", "from_version"], "left")
+    return rows.select("name", "from_version", F.col("version").alias("to_version"), F.coalesce("old", F.lit("")).alias("old"), F.col("content").alias("new"))
+
+
+def _optional(rows: DataFrame, **columns: str) -> DataFrame:
+    """rows with null columns of the given types where they are missing."""
+    return rows.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in rows.columns})
+
+
+def _judged(templates: DataFrame, requests: DataFrame, overwrite: bool) -> DataFrame:
+    """requests with _known (the version exists) and reason: empty, exists, repeated, or null for those that count."""
+    rows = _optional(requests, source_version="string").join(templates.select("name", "version", F.lit(True).alias("_known")).distinct(), ["name", "version"], "left")
+    full, known = F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)), F.coalesce("_known", F.lit(False))
+    same = F.row_number().over(W.partitionBy("name", "version", full).orderBy("content", "source_version"))
+    reason = F.when(~full, "empty").when(known & F.lit(not overwrite), "exists").when(F.col("version").isNotNull() & (same > 1), "repeated")
+    return rows.withColumn("_known", known).withColumn("reason", reason)
+
+
+def _numbered(templates: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows in which those without a version get the next ones of all templates, by name and content.
+
+    One row a name is put in order over all names; within a name its own rows are.
+    """
+    number = version_number(F.col("version"))
+    top = templates.select("version").union(rows.select("version")).agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
+    free = rows.where("version IS NULL")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = free.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).select("name", before.alias("_before"))
+    place = F.col("_top") + F.col("_before") + F.row_number().over(W.partitionBy("name").orderBy("content", "source_version"))
+    named = free.join(places, "name").join(F.broadcast(top), F.lit(True)).withColumn("version", F.concat(F.lit("v"), place.cast("string"))).drop("_before", "_top")  # top is one row
+    return rows.where("version IS NOT NULL").unionByName(named)
 
 
 def save_version(templates: DataFrame, requests: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Templates with accepted requests (name, version or null, content, author) added.
+    """Templates with accepted requests (name, version or null, content, author, optionally source_version) added.
 
-    Empty contents, and existing versions without overwrite, are left out (see rejected_requests); a request without
-    a version gets the next one of all templates.
+    Empty contents, existing versions without overwrite, and repeats of a name and version are left out (see
+    rejected_requests); each request without a version gets a next one of all templates. Added rows have their operation
+    and source version, and the lines added and removed against the source version, else the text they overwrite, else
+    the latest version.
     """
-    top = templates.agg(F.coalesce(F.max(version_number(F.col("version"))), F.lit(0)).alias("_top"))
-    rows = requests.where(F.col("content").rlike(r"\S")).join(F.broadcast(top), F.lit(True))
-    rows = rows.withColumn("version", F.coalesce("version", F.concat(F.lit("v"), (F.col("_top") + 1).cast("string")))).drop("_top")
-    if overwrite:
-        kept = templates.join(rows.select("name", "version"), ["name", "version"], "left_anti")
-        return kept.unionByName(rows.withColumn("operation", F.lit("overwrite")), allowMissingColumns=True)
-    fresh = rows.join(templates.select("name", "version"), ["name", "version"], "left_anti")
-    return templates.unionByName(fresh.withColumn("operation", F.lit("save")), allowMissingColumns=True)
+    rows = _numbered(templates, _judged(templates, requests, overwrite).where("reason IS NULL").drop("reason"))
+    rows = rows.join(latest_version(templates).where("name IS NOT NULL").select("name", "latest"), "name", "left")
+    rows = rows.withColumn("_old", F.coalesce("source_version", F.when(F.col("_known"), F.col("version")), "latest")).withColumn("source_version", F.coalesce("source_version", F.when(~F.col("_known"), F.col("latest"))))
+    old = templates.select("name", F.col("version").alias("_old"), F.col("content").alias("old"))
+    pairs = rows.join(old, ["name", "_old"], "left").select("name", F.col("source_version").alias("from_version"), F.col("version").alias("to_version"), "old", F.col("content").alias("new"))
+    changes = line_diffs(pairs).select("name", F.col("to_version").alias("version"), "added", "removed")
+    new = rows.drop("_old", "_known", "latest").join(changes, ["name", "version"]).withColumn("operation", F.lit("overwrite" if overwrite else "save"))
+    kept = templates.join(new.select("name", "version"), ["name", "version"], "left_anti") if overwrite else templates
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
-def rejected_requests(templates: DataFrame, requests: DataFrame) -> DataFrame:
-    known = templates.select("name", "version", F.lit(True).alias("_known"))
-    rows = requests.join(known, ["name", "version"], "left")
-    reason = F.when(~F.coalesce(F.col("content").rlike(r"\S"), F.lit(False)), "empty").when(F.col("_known"), "exists")
-    return rows.withColumn("reason", reason).where("reason IS NOT NULL").drop("_known")
+def rejected_requests(templates: DataFrame, requests: DataFrame, overwrite: bool = False) -> DataFrame:
+    return _judged(templates, requests, overwrite).where("reason IS NOT NULL").drop("_known")
 
 
 def rollback_version(templates: DataFrame, targets: DataFrame, author: str) -> DataFrame:
-    """Templates with a copy of each target (name, version) under the next version; history stays."""
-    top = templates.agg(F.coalesce(F.max(version_number(F.col("version"))), F.lit(0)).alias("_top"))
-    copies = templates.join(targets.select("name", "version"), ["name", "version"]).join(F.broadcast(top), F.lit(True))
-    copies = copies.select("name", F.concat(F.lit("v"), (F.col("_top") + 1).cast("string")).alias("version"), "content", F.lit(author).alias("author"), F.lit("rollback").alias("operation"), F.col("version").alias("source_version"))
-    return templates.unionByName(copies, allowMissingColumns=True)
+    """Templates with a copy of each target (name, version) under a next version of its own; history stays."""
+    copies = templates.select("name", "version", "content").join(targets.select("name", "version"), ["name", "version"])
+    copies = copies.select("name", F.lit(None).cast("string").alias("version"), "content", F.lit(author).alias("author"), F.col("version").alias("source_version"), F.concat(F.lit("Rollback to "), "version", F.lit(".")).alias("notes"))
+    saved = save_version(templates.withColumn("_given", F.lit(True)), copies)
+    return saved.withColumn("operation", F.when(F.col("_given"), F.col("operation")).otherwise("rollback")).drop("_given")
+
 
+def changelog(records: DataFrame, name: str | None = None) -> DataFrame:
+    """(number, name, version, entry, json): one entry for each record, to be read in the order of number and name.
 
-def changelog(records: DataFrame) -> DataFrame:
-    """One ordered text for each template from records (name, version, author, saved_at, operation, source_version, notes, added, removed)."""
+    Records have name, version, author, saved_at, operation, source_version, notes, performance (a map), added, removed;
+    with name, only that template's. A log of many versions is many rows, never one text.
+    """
+    rows = records if name is None else records.where(F.col("name") == name)
+    said = lambda label, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"- {label}: "), F.col(c)))
+    figures = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("performance"))))
     entry = F.concat_ws(
-        "\n", F.format_string("## %s %s", "name", "version"), F.concat(F.lit("- Author: "), F.coalesce("author", F.lit("unknown"))), F.concat(F.lit("- Time: "), F.coalesce("saved_at", F.lit(""))),
-        F.concat(F.lit("- Operation: "), F.coalesce("operation", F.lit("save"))), F.concat(F.lit("- Source: "), F.col("source_version")), F.concat(F.lit("- Notes: "), F.col("notes")), F.format_string("- Changes: +%d / -%d lines", "added", "removed"),
+        "\n", F.format_string("## %s %s", "name", "version"), F.concat(F.lit("- Author: "), F.coalesce("author", F.lit("unknown"))), F.concat(F.lit("- Timestamp: "), F.coalesce("saved_at", F.lit(""))),
+        F.concat(F.lit("- Operation: "), F.coalesce("operation", F.lit("save"))), said("Source Version", "source_version"), F.when(F.size("performance") > 0, F.concat(F.lit("- Performance: "), figures)), said("Notes", "notes"),
+        F.format_string("- Changes: +%d / -%d lines", F.coalesce("added", F.lit(0)), F.coalesce("removed", F.lit(0))),
     )
-    lists = records.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(version_number(F.col("version")).alias("v"), entry.alias("t")))).alias("l"))
-    return lists.select("name", F.array_join(F.transform("l", lambda x: x["t"]), "\n\n").alias("changelog"), F.size("l").alias("versions"))
+    return rows.select(version_number(F.col("version")).alias("number"), "name", "version", entry.alias("entry"), F.to_json(F.struct(*rows.columns)).alias("json"))

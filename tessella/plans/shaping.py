@@ -205,16 +205,27 @@ def _(s, d):
     return templates.sync_registry(_registry(s, d), _templates(s, d), F.lit("2025-01-01")).select("name", "version", "hash", "author", "state", "saved_at")
 
 
+_ASKED = "rn <= 5 OR rn % 10 = 0"
+_ASK = "CASE WHEN rn IN (1, 3) THEN NULL WHEN rn IN (2, 4) THEN 'v9001' ELSE version END"
+_NEW = "CASE WHEN rn % 20 = 0 THEN ' ' ELSE 'new ' || rn || ' ' || name END"
+_LINES = "len(regexp_extract_all(content, '[^\\n]*\\n|[^\\n]+$'))::INT"
+
+
 def _requests(s, d):
-    return _templates(s, d).where("rn = 1 OR rn % 10 = 0").select("name", F.when(F.col("rn") > 1, F.col("version")).alias("version"), F.when(F.col("rn") % 20 == 0, F.lit(" ")).otherwise(F.concat(F.lit("new "), "name")).alias("content"), F.lit("bob").alias("author"))
+    return _templates(s, d).where(_ASKED).select("name", F.expr(_ASK).alias("version"), F.expr(_NEW).alias("content"), F.lit("bob").alias("author"))
 
 
-@query("save_version", f"WITH {_T} SELECT name, version, NULL AS operation FROM t UNION ALL SELECT DISTINCT name, 'v' || ((SELECT max(rn) FROM t) + 1), 'save' FROM t")
+@query(
+    "save_version",
+    f"""WITH {_T}, last AS (SELECT name, max(rn) AS m FROM t GROUP BY 1), old AS (SELECT name, version AS source_version, {_LINES} AS removed FROM t JOIN last USING (name) WHERE rn = m),
+free AS (SELECT name, 'v' || (9001 + row_number() OVER (ORDER BY name, rn)) AS version FROM t WHERE rn IN (1, 3)), fixed AS (SELECT name, 'v9001' AS version FROM t WHERE rn = 2)
+SELECT name, version, NULL AS operation, NULL AS source_version, NULL AS added, NULL AS removed FROM t UNION ALL SELECT name, version, 'save', source_version, 1, removed FROM (SELECT * FROM free UNION ALL SELECT * FROM fixed) JOIN old USING (name)""",
+)
 def _(s, d):
-    return templates.save_version(_templates(s, d).select("name", "version", "content"), _requests(s, d)).select("name", "version", "operation")
+    return templates.save_version(_templates(s, d).select("name", "version", "content"), _requests(s, d)).select("name", "version", "operation", "source_version", "added", "removed")
 
 
-@query("rejected_requests", f"WITH {_T} SELECT name, version, CASE WHEN rn % 20 = 0 THEN 'empty' ELSE 'exists' END AS reason FROM t WHERE rn % 10 = 0")
+@query("rejected_requests", f"WITH {_T} SELECT name, {_ASK} AS version, CASE WHEN rn % 20 = 0 THEN 'empty' WHEN rn = 4 THEN 'repeated' ELSE 'exists' END AS reason FROM t WHERE ({_ASKED}) AND rn NOT IN (1, 2, 3)")
 def _(s, d):
     return templates.rejected_requests(_templates(s, d), _requests(s, d)).select("name", "version", "reason")
 
@@ -230,15 +241,20 @@ def _(s, d):
     return templates.compare_versions(_successive(s, d)).select("name", "from_version", "to_version", "added", "removed", "changed", "similarity", F.map_entries("performance_delta").alias("performance_delta"))
 
 
-@query("rollback_version", f"WITH {_T} SELECT name, version, NULL AS operation, NULL AS source_version FROM t UNION ALL SELECT name, 'v' || ((SELECT max(rn) FROM t) + 1), 'rollback', 'v1' FROM t WHERE rn = 1")
+@query("rollback_version", f"WITH {_T} SELECT name, version, NULL AS operation, NULL AS source_version, NULL AS notes FROM t UNION ALL SELECT name, 'v' || ((SELECT max(rn) FROM t) + row_number() OVER (ORDER BY name, content, version)), 'rollback', version, 'Rollback to ' || version || '.' FROM t WHERE rn <= 2")
 def _(s, d):
     t = _templates(s, d)
-    return templates.rollback_version(t.select("name", "version", "content"), t.where("rn = 1"), "eve").select("name", "version", "operation", "source_version")
+    return templates.rollback_version(t.select("name", "version", "content"), t.where("rn <= 2"), "eve").select("name", "version", "operation", "source_version", "notes")
+
 
+_RECORD = "'ann' AS author, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE '2024-01-0' || (1 + doc_id % 3) END AS saved_at, CASE WHEN doc_id % 2 = 0 THEN 'save' END AS operation, CASE WHEN rn > 1 THEN 'v' || (rn - 1) END AS source_version, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'note ' || lang END AS notes, cast(length(content) % 50 AS int) AS added, cast(doc_id % 7 AS int) AS removed"
 
-@query("changelog")
+
+@query(
+    "changelog",
+    f"""WITH {_T}, r AS (SELECT name, version, rn, doc_id, {_RECORD} FROM t) SELECT rn::INT AS number, name, version, '## ' || name || ' ' || version || chr(10) || '- Author: ann' || chr(10) || '- Timestamp: ' || coalesce(saved_at, '') || chr(10) || '- Operation: ' || coalesce(operation, 'save')
+ || coalesce(chr(10) || '- Source Version: ' || source_version, '') || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '- Performance: {{"accuracy":' || (doc_id % 10) || '.5,"speed":2.0}}' ELSE '' END || CASE WHEN coalesce(notes, '') = '' THEN '' ELSE chr(10) || '- Notes: ' || notes END || chr(10) || '- Changes: +' || added || ' / -' || removed || ' lines' AS entry FROM r""",
+)
 def _(s, d):
-    t = _templates(s, d).select("name", "version", "content")
-    diffs = templates.line_diffs(templates.successive_pairs(t)).select("name", F.col("to_version").alias("version"), F.col("from_version").alias("source_version"), "added", "removed")
-    rows = diffs.withColumns({"author": F.lit("system"), "saved_at": F.lit("2024-01-01"), "operation": F.lit("discover"), "notes": F.lit(None).cast("string")})
-    return templates.changelog(rows).select("name", "versions", F.md5("changelog").alias("changelog_md5"))
+    figures = F.expr("CASE WHEN doc_id % 5 = 0 THEN map('speed', 2.0D, 'accuracy', doc_id % 10 + 0.5D) ELSE map() END")
+    return templates.changelog(_templates(s, d).select("name", "version", figures.alias("performance"), F.expr("struct(" + _RECORD + ")").alias("r")).select("name", "version", "performance", "r.*")).select("number", "name", "version", "entry")
