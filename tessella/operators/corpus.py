@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import path_exists
+
 SKIP_WORDS = "answer|appendix|appendices"
 LEAST_CHARS = 5000
 CHUNK_CHARS = 5000
@@ -133,21 +143,19 @@ def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return previous_context(number_chunks(pack_text_chunks(blocks).unionByName(explode_table_rows(blocks))))
 
 
-def hashed_embedding(chunks: DataFrame, dim: int = 64, key: tuple[str, ...] = ("doc_id", "chunk_id"), text: str = "embedding_text") -> DataFrame:
-    """Feature-hashed, L2-normalised vectors: crc32(token) mod dim counts. A neural encoder takes embed_batch instead."""
-    token = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")
-    counts = chunks.select(*key, token).select(*key, (F.crc32(F.col("token").cast("binary")) % dim).cast("int").alias("slot")).groupBy(*key, "slot").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.col("m")[i], F.lit(0)) / F.col("norm")).cast("float"))
-    return rows.select(*key, vector.alias("embedding"))
+def hash_encoder(texts: list[str], dim: int = 64) -> list[list[float]]:
+    """Feature-hashed token counts of each text: the shipped encoder for embed_batch, where a neural one can stand."""
+    out = []
+    for text in texts:
+        row = [0.0] * dim
+        for token, n in Counter(re.findall("[a-z0-9]+", text.lower())).items():
+            row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += n
+        out.append(row)
+    return out
 
 
 def embed_batch(chunks: DataFrame, encode, text: str = "embedding_text", batch: int = 64) -> DataFrame:
     """Any encoder (list of texts -> rows of floats) over Arrow batches in slices; vectors come out L2-normalised."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -167,20 +175,19 @@ def keyed_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks by subject and class; documents of the batch replace what the touched partitions hold of them."""
+    """Store chunks by subject and class; documents of the batch replace what the partitions they fall in hold of them.
+
+    Only those partitions are read and rewritten, and each is swapped when its new files are complete.
+    """
     spark = chunks.sparkSession
     fresh = keyed_chunks(chunks)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh.write.partitionBy("subject", "class_level").parquet(path)
-        return
-    kept = old.join(fresh.select("pdf_name").distinct(), "pdf_name", "left_anti")
-    merged = kept.unionByName(fresh, allowMissingColumns=True)
-    merged.write.mode("overwrite").partitionBy("subject", "class_level").parquet(path + ".next")
-    spark.read.parquet(path + ".next").write.mode("overwrite").partitionBy("subject", "class_level").parquet(path)
+    if path_exists(spark, path):
+        touched = [(r["subject"], r["class_level"]) for r in fresh.select("subject", "class_level").distinct().collect()]  # one row a partition
+        tests = [F.col("subject").eqNullSafe(F.lit(a)) & F.col("class_level").cast("string").eqNullSafe(F.lit(b)) for a, b in touched]
+        old = spark.read.parquet(path).where(reduce(lambda x, y: x | y, tests, F.lit(False)))
+        kept = old.join(fresh.select("pdf_name").distinct(), "pdf_name", "left_anti").withColumn("class_level", F.col("class_level").cast(fresh.schema["class_level"].dataType))
+        fresh = fresh.unionByName(kept, allowMissingColumns=True)
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "class_level").parquet(path)
 
 
 def collection_info(chunks: DataFrame) -> DataFrame:
@@ -188,5 +195,9 @@ def collection_info(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("subject").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("pdf_name").alias("documents"), F.grouping("subject").alias("_g")).select(F.when(F.col("_g") == 1, "All").otherwise(F.col("subject")).alias("subject"), "chunks", "documents")
 
 
-def list_collections(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t.name, t.tableType) for t in spark.catalog.listTables()], "name string, kind string")
+def collection_status(spark: SparkSession, name: str) -> DataFrame:
+    """(collection, exists, points, all_collections) of one collection; a missing one has no points."""
+    exists = spark.catalog.tableExists(name)
+    points = spark.table(name).agg(F.count(F.lit(1)).alias("points")) if exists else spark.range(1).select(F.lit(0).cast("long").alias("points"))
+    names = F.array(*[F.lit(t.name) for t in spark.catalog.listTables()]).cast("array<string>")
+    return points.select(F.lit(name).alias("collection"), F.lit(exists).alias("exists"), "points", names.alias("all_collections"))

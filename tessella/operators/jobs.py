@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,13 +72,29 @@ def response_cache_key(parts: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)])), 256)
 
 
+def _fold_cache(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
+    """Hits of requests sorted by key and time; from a write the next one is found by search, and carried over batches."""
+    key, written = None, -np.inf
+    for batch in batches:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        at = batch.column("seconds").to_numpy()
+        hit = np.ones(len(at), bool)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(at)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
+                continue
+            if keys[lo] != key:
+                key, written = keys[lo], -np.inf
+            i = lo
+            while (i := i + int(np.searchsorted(at[i:hi] - written, ttl, side="left"))) < hi:
+                hit[i], written = False, at[i]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("request_id"), pa.array(hit)], names=["key", "request_id", "hit"])
+
+
 def cache_hits_ttl(requests: DataFrame, ttl: int = CACHE_SECONDS) -> DataFrame:
-    """Each request as hit or miss: a hit lies within ttl seconds of the last write of its key; only a miss writes."""
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seconds", "request_id"))).alias("asks"))
-    step = F.expr(
-        f"""aggregate(asks, named_struct('at', cast(NULL AS double), 'out', cast(array() AS array<struct<request_id:bigint,hit:boolean>>)),
-              (a, x) -> CASE WHEN a.at IS NOT NULL AND x.seconds - a.at < {ttl}
-                THEN named_struct('at', a.at, 'out', array_append(a.out, named_struct('request_id', x.request_id, 'hit', true)))
-                ELSE named_struct('at', x.seconds, 'out', array_append(a.out, named_struct('request_id', x.request_id, 'hit', false))) END, a -> a.out)"""
-    )
-    return ordered.select("key", F.explode(step).alias("r")).select("key", "r.request_id", "r.hit")
+    """Each request (key, request_id, seconds) as hit or miss: a hit lies within ttl seconds of the last write of its key; only a miss writes.
+
+    A key's requests depend on one another in order, so they pass through one task, in batches, with one number kept.
+    """
+    ordered = requests.select("key", "request_id", "seconds").repartition("key").sortWithinPartitions("key", "seconds", "request_id")
+    return ordered.mapInArrow(lambda it: _fold_cache(it, ttl), "key string, request_id long, hit boolean")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.sources.tables import small_side
 
 SECTIONS = ("HOOK", "CONCEPT", "EXAMPLE", "MEMORY", "NEET ALERT")
 TIERS = ("Easy", "Medium", "Hard")
@@ -47,8 +48,8 @@ def validate_script(rows: DataFrame, key: str = "id", text: str = "text", contex
 
 def token_cost(calls: DataFrame, prices: DataFrame, default: str) -> DataFrame:
     """Tokens (length div 4) and price of each call's model, summed; a model without a price is charged as the default."""
-    base = prices.where(F.col("model") == default).select(F.col("price_in").alias("_in"), F.col("price_out").alias("_out"))
-    rows = calls.join(F.broadcast(prices), "model", "left").join(F.broadcast(base), F.lit(True))
+    base = prices.where(F.col("model") == default).agg(F.max("price_in").alias("_in"), F.max("price_out").alias("_out"))  # one row
+    rows = calls.join(small_side(prices), "model", "left").join(F.broadcast(base), F.lit(True))
     rows = rows.withColumn("tin", F.expr("length(prompt) div 4")).withColumn("tout", F.expr("length(completion) div 4"))
     cost = F.col("tin") / 1000 * F.coalesce("price_in", "_in") + F.col("tout") / 1000 * F.coalesce("price_out", "_out")
     return rows.groupBy("model").agg(F.sum("tin").alias("tokens_in"), F.sum("tout").alias("tokens_out"), F.round(F.sum(cost), 6).alias("cost"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import small_side
+
 CRITERIA = ("naturalness", "clarity", "pacing")
 LOW, HIGH = 1.0, 5.0
 
@@ -34,16 +37,18 @@ def rating_coverage(clean: DataFrame) -> DataFrame:
 
 
 def blind_sheet(listeners: DataFrame, samples: DataFrame, seed: int = 92) -> DataFrame:
-    """Every listener with every sample in one shuffled order that all listeners share.
+    """Every listener with every sample, which is what a sheet is, in one shuffled order that all listeners share.
 
-    Samples are a test's manifest; their order is found first, over samples alone, and joined to listeners on a
-    constant key.
+    Samples are placed by the hash of their id, in 4,096 runs of hashes side by side; the smaller of both lists is sent
+    to the tasks if it is small enough.
     """
-    from pyspark.sql import Window as W
-
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "sample_id"))
-    placed = samples.select("sample_id").distinct().withColumn("place", F.row_number().over(W.orderBy(order, "sample_id"))).withColumn("_all", F.lit(1))
-    return listeners.select("listener_id").distinct().withColumn("_all", F.lit(1)).join(placed, "_all").drop("_all")
+    rows = samples.select("sample_id").distinct().withColumn("_h", order).withColumn("_run", F.substring("_h", 1, 3))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).select("_run", before.alias("_before"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_run").orderBy("_h", "sample_id"))
+    placed = rows.join(F.broadcast(runs), "_run").select("sample_id", place.cast("int").alias("place"))  # 4,096 runs at most
+    return placed.crossJoin(small_side(listeners.select("listener_id").distinct()))
 
 
 def mos_matrix(summary: DataFrame) -> DataFrame:

@@ -32,22 +32,30 @@ def metadata_filter(subject: str | None = None, class_level: str | int | None =
 
 
 def _block_top(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, least: float | None) -> Iterator[pa.RecordBatch]:
-    """Local top-k of every query over the batches of a task, by block matrix products."""
-    best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+    """Local top-k of every query over the batches of a task, by block matrix products; only scores that can still count are sorted."""
+    who, which, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(ids), -np.inf if least is None else least)
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        chunk = np.asarray(batch.column(0))
         v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-        norm = np.sqrt((v * v).sum(axis=1))
+        v = v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-300)[:, None]
         for at in range(0, len(v), 2048):
-            part = v[at : at + 2048] / np.maximum(norm[at : at + 2048], 1e-300)[:, None]
-            s = np.concatenate([best_s, q @ part.T], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(np.asarray(batch.column(0))[at : at + 2048], (len(ids), len(part)))], axis=1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-    query = np.repeat(ids, best_s.shape[1])
-    good = best_s.ravel() >= least if least is not None else np.isfinite(best_s.ravel())
-    yield pa.RecordBatch.from_arrays([pa.array(query[good]), pa.array(best_i.ravel()[good]), pa.array(best_s.ravel()[good])], names=["query_id", "chunk_id", "score"])
+            s = q @ v[at : at + 2048].T
+            if s.shape[1] > k:
+                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+            rows, columns = np.nonzero(s >= floor[:, None])
+            who, which, score = np.concatenate([who, rows]), np.concatenate([which, chunk[at + columns]]), np.concatenate([score, s[rows, columns]])
+            order = np.lexsort((which, -score, who))
+            who, which, score = who[order], which[order], score[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            who, which, score, place = (x[place < k] for x in (who, which, score, place))
+            floor[who[place == k - 1]] = np.maximum(floor[who[place == k - 1]], score[place == k - 1])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(which), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+
+def _usable(rows: DataFrame, key: str, width: int) -> DataFrame:
+    v = F.col("embedding")
+    return rows.where(F.col(key).isNotNull() & (F.size(v) == width) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select(key, "embedding")
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, score_threshold: float | None = None) -> DataFrame:
@@ -55,19 +63,23 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, score_thresho
 
     Chunks (chunk_id, embedding) stay where they are: tasks keep k rows for each query, and only those are shuffled.
     Queries (query_id, embedding) go out in slices of QUERIES_AT_ONCE, so their number is not bounded by memory.
+    Rows with a null id, with a null vector or one holding null or non-finite components, or of another length than the
+    longest query vector take no part; a vector of zeros scores 0 with everything.
     """
     spark = chunks.sparkSession
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    chunks, queries = _usable(chunks, "chunk_id", width), _usable(queries, "query_id", width)
     n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     part = F.pmod(F.xxhash64("query_id"), F.lit(n))
     found = None
     for turn in range(n):
-        rows = queries.where(part == turn).select("query_id", "embedding").toArrow()
+        rows = queries.where(part == turn).toArrow()
         if not rows.num_rows:
             continue
         q = np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
         q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
         held = spark.sparkContext.broadcast((np.asarray(rows.column("query_id").combine_chunks()), q))
-        got = chunks.select("chunk_id", "embedding").mapInArrow(lambda it, h=held: _block_top(it, *h.value, k, score_threshold), "query_id long, chunk_id long, score double")
+        got = chunks.mapInArrow(lambda it, h=held: _block_top(it, *h.value, k, score_threshold), "query_id long, chunk_id long, score double")
         found = got if found is None else found.union(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
@@ -102,11 +114,17 @@ def retrieval_summary(queries: DataFrame, hits: DataFrame, filters: dict[str, st
     return out.select("query_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), F.coalesce("low_score", F.lit(0.0)).alias("low_score"), active.alias("filters"))
 
 
-def retrieval_log(queries: DataFrame, hits: DataFrame, caller: str) -> DataFrame:
-    """One event for each query with its hits, empty ones too; append it with sources.tables.write_json_lines."""
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits"))
+def retrieval_log(queries: DataFrame, hits: DataFrame, caller: str, filters: dict[str, str | None], at: Column) -> DataFrame:
+    """One event for each query (query_id, query) with its hits, empty ones too; append it with sources.tables.write_json_lines.
+
+    logged_at, caller, query, filters as text (None without any), total, top_score, low_score, hits in rank order.
+    """
+    named = ", ".join(f"{k}={v}" for k, v in filters.items() if v is not None) or "None"
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("hits"), F.max("score").alias("top_score"), F.min("score").alias("low_score"))
     none = F.array().cast("array<struct<rank:int,chunk_id:bigint,score:double>>")
-    return queries.select("query_id").join(lists, "query_id", "left").select("query_id", F.lit(caller).alias("caller"), F.coalesce("hits", none).alias("hits"))
+    rows = queries.select("query_id", "query").join(lists, "query_id", "left").withColumn("hits", F.coalesce("hits", none))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return rows.select("query_id", at.alias("logged_at"), F.lit(caller).alias("caller"), "query", F.lit(named).alias("filters"), F.size("hits").alias("total"), zero("top_score"), zero("low_score"), "hits")
 
 
 def recent_log(entries: DataFrame, max_bytes: int, text: str, ts: str, tie: str) -> DataFrame:

@@ -124,10 +124,14 @@ def _(s, d):
     return corpus.embedding_text(corpus.chunk_documents(md_docs(s, d))).select("doc_id", "chunk_id", *_md5("embedding_text"))
 
 
-@query("embed_batch")
+_HASHED = """, tk AS (SELECT doc_id, chunk_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS slot FROM (SELECT doc_id, chunk_id, unnest(regexp_extract_all(lower('Section: ' || section || chr(10) || chr(10) || 'Content: ' || content), '[a-z0-9]+')) AS t FROM chunks)),
+sl AS (SELECT doc_id, chunk_id, slot, count(*) AS n FROM tk GROUP BY ALL), nm AS (SELECT doc_id, chunk_id, map_from_entries(list((slot, n))) AS m, sqrt(sum(n * n)) AS norm FROM sl GROUP BY 1, 2)"""
+
+
+@query("embed_batch", f"WITH {_CHUNKS}{_HASHED} SELECT doc_id, chunk_id, list_transform(range(0, 64), lambda i : round(coalesce(m[i], 0) / norm, 4)::DOUBLE) AS embedding FROM nm")
 def _(s, d):
-    chunks = corpus.embedding_text(corpus.chunk_documents(md_docs(s, d)))
-    return corpus.hashed_embedding(chunks).select("doc_id", "chunk_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+    chunks = corpus.embedding_text(corpus.chunk_documents(md_docs(s, d))).select("doc_id", "chunk_id", "embedding_text")
+    return corpus.embed_batch(chunks, corpus.hash_encoder).select("doc_id", "chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 def _stored(s, d):
@@ -145,8 +149,14 @@ def _(s, d):
     return corpus.collection_info(_stored(s, d))
 
 
+@query("collection_status", f"WITH {_CHUNKS}, {_PATHS} SELECT 'textbook_chunks' AS collection, true AS exists, count(*) AS points FROM chunks JOIN meta USING (doc_id) UNION ALL SELECT 'no_such_chunks', false, 0")
+def _(s, d):
+    _stored(s, d).createOrReplaceTempView("textbook_chunks")
+    return corpus.collection_status(s, "textbook_chunks").union(corpus.collection_status(s, "no_such_chunks")).drop("all_collections")
+
+
 _VECTORS = """vec AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, CAST(e.label AS VARCHAR) AS subject, CAST(6 + vec_id % 7 AS VARCHAR) AS class_level, CAST(vec_id % 10 AS VARCHAR) AS chapter_number, 'v' || (vec_id % 25) AS pdf_name, d.text AS content, d.source AS section FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id),
-q AS (SELECT vec_id AS query_id, v FROM vec WHERE vec_id % 50 = 0), c AS (SELECT * FROM vec WHERE vec_id % 50 <> 0)"""
+q AS (SELECT vec_id AS query_id, v, 'like ' || vec_id AS query FROM vec WHERE vec_id % 20 = 0), c AS (SELECT * FROM vec)"""
 _SCORED = _VECTORS + ", sc AS (SELECT query_id, c.*, list_cosine_similarity(q.v, c.v) AS score FROM q, c WHERE {test})"
 _TOP = _SCORED + ", hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM sc {least}) WHERE rank <= 5)"
 
@@ -154,7 +164,7 @@ _TOP = _SCORED + ", hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITI
 def _vectors(s, d):
     docs = read_table(s, d, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("section"))
     e = read_table(s, d, "embeddings").selectExpr("vec_id AS chunk_id", "embedding", "cast(label AS string) AS subject", "cast(6 + vec_id % 7 AS string) AS class_level", "cast(vec_id % 10 AS string) AS chapter_number", "'v' || (vec_id % 25) AS pdf_name")
-    return e.where("chunk_id % 50 <> 0").join(docs, F.col("chunk_id") == F.col("doc_id"), "left").drop("doc_id"), read_table(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding")
+    return e.join(docs, F.col("chunk_id") == F.col("doc_id"), "left").drop("doc_id"), read_table(s, d, "embeddings").where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding", "'like ' || vec_id AS query")
 
 
 def _hits(s, d, test=None, least=None):
@@ -203,10 +213,12 @@ def _(s, d):
     return out.select("query_id", "total", F.round("top_score", 4).alias("top_score"), F.round("low_score", 4).alias("low_score"), F.array_join(F.transform(F.map_entries("filters"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("filters"))
 
 
-@query("retrieval_log", "WITH " + _TOP.format(test="subject = '3'", least="WHERE score >= 0.2") + " SELECT q.query_id, 'search' AS caller, coalesce(string_agg(vec_id, ',' ORDER BY rank), '') AS hits FROM q LEFT JOIN hits h USING (query_id) GROUP BY 1")
+@query("retrieval_log", "WITH " + _TOP.format(test="subject = '3'", least="WHERE score >= 0.2") + " SELECT q.query_id, '2025-01-01 00:00:00' AS logged_at, 'search' AS caller, any_value(query) AS query, 'subject=3' AS filters, count(h.vec_id)::INT AS total, round(coalesce(max(score), 0), 4) AS top_score, round(coalesce(min(score), 0), 4) AS low_score, coalesce(string_agg(vec_id || ' ' || printf('%.3f', score), ',' ORDER BY rank), '') AS hits FROM q LEFT JOIN hits h USING (query_id) GROUP BY 1")
 def _(s, d):
     queries, hits = _hits(s, d, retrieval.metadata_filter("3"), 0.2)
-    return retrieval.retrieval_log(queries, hits, "search").select("query_id", "caller", F.array_join(F.transform("hits", lambda h: h["chunk_id"].cast("string")), ",").alias("hits"))
+    out = retrieval.retrieval_log(queries, hits, "search", {"subject": "3", "class_level": None}, F.lit("2025-01-01 00:00:00"))
+    shown = F.array_join(F.transform("hits", lambda h: F.format_string("%d %.3f", h["chunk_id"], h["score"])), ",")
+    return out.withColumns({"hits": shown, "top_score": F.round("top_score", 4), "low_score": F.round("low_score", 4)})
 
 
 @query("recent_log", "SELECT event_id, used::BIGINT AS used FROM (SELECT event_id, sum(strlen(props)) OVER (ORDER BY ts DESC, event_id DESC) AS used FROM events) WHERE used <= 32768")

@@ -16,6 +16,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked to be sent to all tasks, if it has at most so many rows; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _path_status(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files, at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path_status(spark, path)
+    return files.exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, at = _path_status(spark, path)
+    return files.exists(at) and files.getFileStatus(at).isDirectory()
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files with their paths."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.operators.learners import ABILITY_STEP, FIRST_MASTERY, MASTERY_STEP, OFFSETS, WEAK
+from tessella.sources.tables import is_folder, path_exists
 
 _STATE = "ability double, topics array<string>, mastery array<double>"
 _OUT = "user_id long, event_id long, ability double, mastery double, next_topic string"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the Parquet files under path, or of the one file there, with the schema they have now.
-
-    The source takes a folder or a pattern, so the last letter of the path becomes a pattern that matches both.
-    """
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path[:-1] + "?")
+    """A stream of the Parquet files in the folder path, or of the one file there, with the schema they have now."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -72,15 +73,11 @@ def stream_ingest(sources: DataFrame, store: str, checkpoint: str, chunk) -> Non
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["pdf_name"])
-        try:
-            # a batch that is run again must not be kept out by its own first try
+        least = batch.groupBy("pdf_name").agg(F.min_by(F.struct(*batch.columns), "doc_id").alias("r")).select("r.*")
+        if path_exists(spark, store):  # a batch that is run again must not be kept out by its own first try
             seen = spark.read.parquet(store).where(F.col("batch") != number).select("pdf_name").distinct()
-            fresh = fresh.join(seen, "pdf_name", "left_anti")
-        except Exception as e:  # noqa: BLE001 - nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        chunk(fresh).write.mode("overwrite").parquet(f"{store}/batch={number}")
+            least = least.join(seen, "pdf_name", "left_anti")
+        chunk(least).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     sources.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
