@@ -25,8 +25,8 @@ def _docs(s, d):
 
 
 _SCRIPT = """CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'HOOK: ' || text || chr(10) || '[Concept] one two' || chr(10) || 'EXAMPLE: three' || chr(10) || 'Memory: ' || text || chr(10) || 'NEET ALERT: end'
- WHEN 2 THEN 'HOOK: a' || chr(10) || 'HOOK: b ' || text ELSE text || chr(10) || 'CONCEPT: ' || substr(text, 1, 200) END"""
-_S = f"s AS (SELECT doc_id AS id, {_SCRIPT} AS text, substr(text, 1, 400) AS context FROM documents)"
+ WHEN 2 THEN 'HOOK: a' || chr(10) || 'HOOK: b ' || text ELSE text || chr(10) || 'CONCEPT: ' || text END"""
+_S = f"s AS (SELECT doc_id AS id, {_SCRIPT} AS text, CASE WHEN doc_id % 5 = 0 THEN source ELSE text END AS context FROM documents)"
 _PARSED = f"""WITH {_S}, m AS (SELECT id, regexp_replace(chr(10) || text, '(?i)\\n\\[?(HOOK|CONCEPT|EXAMPLE|MEMORY|NEET ALERT)\\]?:?', chr(1) || '\\1' || chr(2), 'g') AS t, text FROM s),
 p AS (SELECT id, text, string_split(t, chr(1))[2:] AS parts FROM m),
 e AS (SELECT id, unnest(parts) AS x, generate_subscripts(parts, 1)::INT - 1 AS pos FROM p WHERE len(parts) > 0),
@@ -35,7 +35,7 @@ sections AS (SELECT id, pos, upper(string_split(x, chr(2))[1]) AS name, regexp_r
 
 
 def _scripts(s, d):
-    return _docs(s, d).select(F.col("doc_id").alias("id"), F.expr(_SCRIPT.replace("chr(10)", "'\\n'")).alias("text"), F.substring("text", 1, 400).alias("context"))
+    return _docs(s, d).select(F.col("doc_id").alias("id"), F.expr(_SCRIPT.replace("chr(10)", "'\\n'")).alias("text"), F.expr("CASE WHEN doc_id % 5 = 0 THEN source ELSE text END").alias("context"))
 
 
 @query("parse_sections", _PARSED + " SELECT id, pos, name, md5(content) AS content_md5, len(regexp_extract_all(content, '\\S+'))::INT AS words FROM sections")
@@ -66,24 +66,23 @@ def _(s, d):
     return outputs.token_cost(calls, prices, "m0")
 
 
-_WORDS = "regexp_replace(substr(text, 1, 80), '[^A-Za-z ]', ''{g})"
-_RAW = f"""CASE doc_id % 6 WHEN 0 THEN j WHEN 1 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN 'Here it is: ' || j || ' as asked' WHEN 3 THEN replace(j, '}}', ', }}') WHEN 4 THEN '{{"title": "x' ELSE 'plain words' END"""
-_J = """'{"title": "' || {w} || '", "n": ' || doc_id || '}'"""
+_RAW = f"""CASE doc_id % 6 WHEN 0 THEN j WHEN 1 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN 'Here it is: ' || j || ' as asked' WHEN 3 THEN rtrim(j, '}}') || ', }}' WHEN 4 THEN left(j, length(j) - 2) ELSE text END"""
+_TRIMMED = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
 _FIX = r"""regexp_replace(CASE WHEN starts_with(f, '{') OR starts_with(f, '[') OR regexp_extract(f, '(?s)(\{.*\}|\[.*\])', 1) = '' THEN f ELSE regexp_extract(f, '(?s)(\{.*\}|\[.*\])', 1) END, ',\s*([\]}])', '\1', 'g')"""
 
 
 @query(
     "repair_json",
-    "WITH j AS (SELECT doc_id, " + _J.replace("{w}", _WORDS.replace("{g}", ", 'g'")) + f" AS j FROM documents), r AS (SELECT doc_id, {_RAW} AS raw FROM j), f AS (SELECT *, CASE WHEN starts_with(trim(raw), '```') THEN regexp_replace(regexp_replace(trim(raw), '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '') ELSE trim(raw) END AS f FROM r), x AS (SELECT *, {_FIX} AS fixed FROM f) "
-    "SELECT doc_id, CASE WHEN ok THEN raw WHEN json_valid(fixed) THEN fixed END AS json, NOT ok AND json_valid(fixed) AS was_repaired, CASE WHEN NOT ok AND NOT json_valid(fixed) THEN 'malformed' END AS error FROM (SELECT *, json_valid(raw) AND NOT regexp_matches(raw, ',\\s*[\\]}]') AS ok FROM x)",
+    f"WITH j AS (SELECT doc_id, text, to_json({{'title': text, 'n': doc_id}})::VARCHAR AS j FROM documents), r AS (SELECT doc_id, {_RAW} AS raw FROM j), f AS (SELECT *, CASE WHEN starts_with({_TRIMMED}, '```') THEN regexp_replace(regexp_replace({_TRIMMED}, '(?i)^```(?:json)?\\s*', ''), '\\s*```$', '') ELSE {_TRIMMED} END AS f FROM r), x AS (SELECT *, {_FIX} AS fixed FROM f) "
+    "SELECT doc_id, md5(CASE WHEN ok THEN raw WHEN json_valid(fixed) THEN fixed END) AS json_md5, NOT ok AND json_valid(fixed) AS was_repaired, CASE WHEN NOT ok AND NOT json_valid(fixed) THEN 'malformed' END AS error FROM (SELECT *, json_valid(raw) AND NOT regexp_matches(raw, ', \\}$') AS ok FROM x)",
 )
 def _(s, d):
-    rows = _docs(s, d).select("doc_id", F.expr(_J.replace("{w}", _WORDS.replace("{g}", ""))).alias("j")).select("doc_id", F.expr(_RAW.replace("chr(10)", "'\\n'")).alias("raw"))
-    return outputs.repair_json(rows).select("doc_id", "json", "was_repaired", "error")
+    rows = _docs(s, d).select("doc_id", "text", F.to_json(F.struct(F.col("text").alias("title"), F.col("doc_id").alias("n"))).alias("j")).select("doc_id", F.expr(_RAW.replace("chr(10)", "'\n'").replace("rtrim(j, '}')", "rtrim('}', j)")).alias("raw"))
+    return outputs.repair_json(rows).select("doc_id", F.md5("json").alias("json_md5"), "was_repaired", "error")
 
 
-_SCENE = "named_struct('scene_id', CASE WHEN i % 2 = 0 THEN i END, 'title', 'T' || i || ' ' || source, 'narration', substring(text, i * 40, 30 + i * 30), 'bullets', cast(NULL AS array<string>), 'visual_type', CASE WHEN i % 3 = 0 THEN 'diagram' END, 'formula', CASE WHEN i = 2 THEN 'F=ma' END, 'animation', CASE WHEN i % 2 = 0 THEN 'Zoom' ELSE 'Pan' END, 'background', 'bg ' || lang, 'subtitle', CASE WHEN i % 4 = 0 THEN 'sub' END, 'duration', CASE WHEN i % 3 = 1 THEN i * 2.5D END)"
-_SQL_SCENES = """WITH sc AS (SELECT doc_id AS id, i AS pos, CASE WHEN i <= 3 + doc_id % 5 THEN i END AS have, CASE WHEN i % 2 = 0 THEN i ELSE i END AS scene_id, 'T' || i || ' ' || source AS title, substr(text, (i * 40)::INT, (30 + i * 30)::INT) AS narration, CASE WHEN i % 4 = 0 THEN 'sub' END AS subtitle, CASE WHEN i % 3 = 1 THEN i * 2.5 END AS duration,
+_SCENE = "named_struct('scene_id', CASE WHEN i % 2 = 0 THEN i END, 'title', 'T' || i || ' ' || source, 'narration', 'Scene ' || i || '. ' || text, 'bullets', cast(NULL AS array<string>), 'visual_type', CASE WHEN i % 3 = 0 THEN 'diagram' END, 'formula', CASE WHEN i = 2 THEN 'F=ma' END, 'animation', CASE WHEN i % 2 = 0 THEN 'Zoom' ELSE 'Pan' END, 'background', 'bg ' || lang, 'subtitle', CASE WHEN i % 4 = 0 THEN 'sub' END, 'duration', CASE WHEN i % 3 = 1 THEN i * 2.5D END)"
+_SQL_SCENES = """WITH sc AS (SELECT doc_id AS id, i AS pos, CASE WHEN i <= 3 + doc_id % 5 THEN i END AS have, CASE WHEN i % 2 = 0 THEN i ELSE i END AS scene_id, 'T' || i || ' ' || source AS title, 'Scene ' || i || '. ' || text AS narration, CASE WHEN i % 4 = 0 THEN 'sub' END AS subtitle, CASE WHEN i % 3 = 1 THEN i * 2.5 END AS duration,
   CASE WHEN i = 2 THEN 'F=ma' END AS formula, CASE WHEN i % 2 = 0 THEN 'Zoom' ELSE 'Pan' END AS animation, 'bg ' || lang AS background, list_extract(['HOOK', 'CONCEPT', 'EXAMPLE', 'MEMORY', 'NEET ALERT'], i) AS dt FROM documents, unnest(range(1, 6)) r(i)),
 ns AS (SELECT id, pos::INT AS pos, scene_id::INT AS scene_id, CASE WHEN have IS NULL THEN dt ELSE title END AS title, CASE WHEN have IS NULL THEN 'Overview of ' || dt || ' for the lesson.' ELSE narration END AS narration, CASE WHEN have IS NULL THEN 'Overview of ' || dt ELSE coalesce(subtitle, narration) END AS subtitle,
   CASE WHEN have IS NULL THEN 15.0 ELSE coalesce(duration, round(greatest(5.0, len(regexp_extract_all(narration, '\\S+')) * 0.4), 1)) END AS duration, CASE WHEN have IS NULL THEN 'Static' ELSE animation END AS animation, CASE WHEN have IS NULL THEN 'Clean educational graphic explaining ' || dt ELSE background END AS background, CASE WHEN have IS NOT NULL THEN formula END AS formula FROM sc)"""
@@ -93,9 +92,9 @@ def _lessons(s, d):
     return _docs(s, d).select(F.col("doc_id").alias("id"), F.expr(f"transform(sequence(1, cast(3 + doc_id % 5 AS int)), i -> {_SCENE})").alias("scenes"))
 
 
-@query("normalize_scenes", _SQL_SCENES + " SELECT id, pos, scene_id, title, narration, subtitle, duration::DOUBLE AS duration FROM ns")
+@query("normalize_scenes", _SQL_SCENES + " SELECT id, pos, scene_id, title, md5(narration) AS narration_md5, md5(subtitle) AS subtitle_md5, duration::DOUBLE AS duration FROM ns")
 def _(s, d):
-    return outputs.normalize_scenes(_lessons(s, d)).select("id", "pos", "scene_id", "title", "narration", "subtitle", "duration")
+    return outputs.normalize_scenes(_lessons(s, d)).select("id", "pos", "scene_id", "title", F.md5("narration").alias("narration_md5"), F.md5("subtitle").alias("subtitle_md5"), "duration")
 
 
 @query("scene_totals", _SQL_SCENES + " SELECT id, count(*) AS scenes, round(sum(duration), 1)::DOUBLE AS total FROM ns GROUP BY 1")
@@ -118,9 +117,9 @@ def _(s, d):
     return outputs.scene_script(outputs.normalize_scenes(_lessons(s, d)))
 
 
-_QUIZ = "named_struct('difficulty', element_at(array('Easy', 'Medium', 'Hard', 'Easy'), CASE WHEN doc_id % 2 = 0 THEN i ELSE 1 END), 'topic', CASE WHEN i = 1 THEN source END, 'question', 'Q' || substring(text, 1, i * 2), 'options', array('A) one', 'B: two', 'C. three', CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE 'D four' END), 'correct_answer', element_at(array('A', 'B', 'E', 'D'), i), 'explanation', substring(text, 1, 20), 'reference', substring(text, i * 10, 40))"
+_QUIZ = "named_struct('difficulty', element_at(array('Easy', 'Medium', 'Hard', 'Easy'), CASE WHEN doc_id % 2 = 0 THEN i ELSE 1 END), 'topic', CASE WHEN i = 1 THEN source END, 'question', CASE WHEN doc_id % 7 = 0 THEN 'Q' || i ELSE 'Q' || i || ' ' || text END, 'options', array('A) one', 'B: two', 'C. three', CASE WHEN doc_id % 5 = 0 THEN 'none' ELSE 'D four' END), 'correct_answer', element_at(array('A', 'B', 'E', 'D'), i), 'explanation', text, 'reference', CASE WHEN i = 2 THEN lang || ' ' || source ELSE text END)"
 _SQL_QUIZ = """WITH q AS (SELECT doc_id AS id, i::INT AS question_id, CASE WHEN doc_id % 2 = 0 THEN ['Easy', 'Medium', 'Hard'][i] ELSE ['Easy', 'Medium', 'Hard'][i] END AS difficulty, CASE WHEN i = 1 THEN source ELSE 'general' END AS topic, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 4 END AS options,
-  ['Understand', 'Apply', 'Analyze'][i] AS bloom, CASE WHEN doc_id % 5 <> 0 AND i <> 3 AND length('Q' || substr(text, 1, (i * 2)::INT)) >= 5 AND length(substr(text, 1, 20)) >= 5 AND length(substr(text, (i * 10)::INT, 40)) >= 5 THEN true ELSE false END AS is_valid, substr(text, (i * 10)::INT, 40) AS reference, substr(text, 1, 60) AS context FROM documents, unnest(range(1, 4)) r(i))"""
+  ['Understand', 'Apply', 'Analyze'][i] AS bloom, CASE WHEN doc_id % 5 <> 0 AND i <> 3 AND doc_id % 7 <> 0 AND length('Q' || i || ' ' || text) >= 5 AND length(text) >= 5 AND length(CASE WHEN i = 2 THEN lang || ' ' || source ELSE text END) >= 5 THEN true ELSE false END AS is_valid, CASE WHEN i = 2 THEN lang || ' ' || source ELSE text END AS reference, text AS context FROM documents, unnest(range(1, 4)) r(i))"""
 
 
 def _quiz(s, d):
@@ -138,7 +137,7 @@ def _(s, d):
     _SQL_QUIZ + ", o AS (SELECT id, len(list_intersect(list_distinct(regexp_extract_all(lower(reference), '[\\p{L}\\p{N}_]+')), list_distinct(regexp_extract_all(lower(context), '[\\p{L}\\p{N}_]+')))) / greatest(len(list_distinct(regexp_extract_all(lower(reference), '[\\p{L}\\p{N}_]+'))), 1) < 0.30 AS low FROM q) SELECT id, bool_and(NOT low) AS is_grounded, count(*) FILTER (low) AS errors FROM o GROUP BY 1",
 )
 def _(s, d):
-    return outputs.quiz_grounding(_quiz(s, d), _docs(s, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("context")))
+    return outputs.quiz_grounding(_quiz(s, d), _docs(s, d).select(F.col("doc_id").alias("id"), F.col("text").alias("context")))
 
 
 _BODY = """CASE doc_id % 4 WHEN 0 THEN 'SYSTEM: teach {topic} well. ' || text || ' USER: tell {subject} and {topic}' WHEN 1 THEN text || ' {retrieved_context} {1bad} {x-y}' WHEN 2 THEN text || ' {topic}' ELSE text END"""
