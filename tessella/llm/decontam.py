@@ -3,7 +3,8 @@
 build_index cuts the documents into blocks and stores, for every word of a block, the sorted list of its positions
 (gaps, so that frequent words compress). A block holds whole documents, so all lists that a phrase needs lie in one
 row and no posting is shuffled. A test window is looked up from its rarest word by corpus-wide count: that word's
-list, shifted by its offset, is intersected with the shifted lists of the other words in order of rarity.
+list, shifted by its offset, is intersected with the shifted lists of the other words in order of rarity. Near matches are
+looked up from each of the rarest words that the block knows, one more than may be missing.
 
 The benchmark is read in slices of at most SLICE_BYTES of text; only one slice's windows are ever sent to the tasks
 at once, and the slices' matches are merged per document, so a benchmark of any size works.
@@ -24,7 +25,7 @@ from tessella.llm import textkit
 from tessella.llm.common import Scratch, materialize, total_bytes
 
 WIDTH = 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 MOST_CANDIDATES = 1 << 20  # looked at together; more are taken in turns
 SLOP = 2
@@ -91,7 +92,7 @@ def windows_of(items: list[tuple], width: int = WIDTH) -> Windows:
     size = distinct[:, width].astype(np.int64)
     inside = np.arange(width)[None, :] < size[:, None]
     vocab = np.unique(distinct[:, :width][inside])
-    places = np.where(inside, np.searchsorted(vocab, distinct[:, :width]), -1)
+    places = np.where(inside, np.searchsorted(vocab, distinct[:, :width]), -1).astype(np.int32)
     return Windows(vocab, places, size, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1], names)
 
 
@@ -144,49 +145,62 @@ class _Block:
         return found
 
     def matches(self, w: Windows, slop: int, share: float):
-        """(window, start word, document) of exact and of near matches, in turns of bounded size."""
-        rarest = w.words[np.arange(len(w.words)), w.by_rarity[:, 0]]
-        seen = self.size > 0
-        known = np.where(w.words >= 0, seen[w.words], False).sum(axis=1)
-        need = np.where(slop > 0, np.ceil(share * w.length), w.length)
-        live = np.flatnonzero((known >= need) & seen[rarest]) if len(w.words) else np.zeros(0, np.int64)
-        load = np.cumsum(self.size[rarest[live]])
-        done = 0
-        while done < len(live):
-            upto = max(done + 1, int(np.searchsorted(load, (load[done - 1] if done else 0) + MOST_CANDIDATES, side="right")))
-            part = live[done:upto]
-            done = upto
-            sizes = self.size[rarest[part]]
-            win = np.repeat(part, sizes)
-            offset = w.by_rarity[win, 0]
-            start = (self.keys[_ranges(self.at[rarest[part]], sizes)] & 0xFFFFFFFF) - offset
-            doc = np.searchsorted(self.bounds, start + offset, side="right") - 1
-            if slop:
-                yield self._near(w, win, start, doc, slop, share)
-            good = (start >= self.bounds[doc]) & (start + w.length[win] <= self.bounds[doc + 1]) & (known[win] == w.length[win])
+        """(kind, window, start word, document) of exact and of near matches, in turns of bounded size."""
+        if not len(w.words):
+            return
+        seen = np.where(w.words >= 0, self.size[w.words] > 0, False)
+        known = seen.sum(axis=1)
+        whole = np.flatnonzero(known == w.length)
+        for win, start, doc in self._starts(w, whole, w.by_rarity[whole, 0]):
+            good = (start >= self.bounds[doc]) & (start + w.length[win] <= self.bounds[doc + 1])
             win, start, doc = win[good], start[good], doc[good]
             for j in range(1, w.words.shape[1]):
-                off = w.by_rarity[win, j]
-                word = w.words[win, off]
+                off = w.by_rarity[win, j].astype(np.int64)
+                word = w.words[win, off].astype(np.int64)
                 good = (word < 0) | self.has(np.maximum(word, 0), start + off, start + off)
                 win, start, doc = win[good], start[good], doc[good]
             yield "exact", win, start, doc
+        if not slop:
+            return
+        need = np.ceil(share * w.length).astype(np.int64)
+        some = np.flatnonzero(known >= need)
+        by_rarity = w.by_rarity[some].astype(np.int64)
+        there = np.take_along_axis(seen[some], by_rarity, axis=1)
+        rank = np.where(there, np.cumsum(there, axis=1), 0)
+        # of so many known words at least one stands in every near match
+        for anchor in range(1, int((w.length - need).max(initial=0)) + 2):
+            has = (rank == anchor).any(axis=1) & (anchor <= w.length[some] - need[some] + 1)
+            offset = by_rarity[has, (rank[has] == anchor).argmax(axis=1)]
+            for win, start, doc in self._starts(w, some[has], offset):
+                yield self._near(w, win, start, doc, slop, need)
+
+    def _starts(self, w: Windows, windows: np.ndarray, offset: np.ndarray):
+        """(window, start word, document) for every posting of each window's word at offset, in turns of about MOST_CANDIDATES."""
+        offset = offset.astype(np.int64)
+        word = w.words[windows, offset]
+        load = np.cumsum(self.size[word])
+        done = 0
+        while done < len(windows):
+            upto = max(done + 1, int(np.searchsorted(load, (load[done - 1] if done else 0) + MOST_CANDIDATES, side="right")))
+            turn = slice(done, upto)
+            done = upto
+            sizes = self.size[word[turn]]
+            at = self.keys[_ranges(self.at[word[turn]], sizes)] & 0xFFFFFFFF
+            yield np.repeat(windows[turn], sizes), at - np.repeat(offset[turn], sizes), np.searchsorted(self.bounds, at, side="right") - 1
 
-    def _near(self, w: Windows, win, start, doc, slop: int, share: float):
-        """Windows of which share of the words stand within slop of their places, the rarest one at its own."""
+    def _near(self, w: Windows, win, start, doc, slop: int, need: np.ndarray):
+        """Windows of which so many words as needed stand within slop of their places in the document."""
         low, high = self.bounds[doc], self.bounds[doc + 1] - 1
-        count = np.ones(len(win), np.int64)
-        need = np.ceil(share * w.length[win])
-        left = w.length[win] - 1
-        for j in range(1, w.words.shape[1]):
-            alive = np.flatnonzero(count + left >= need)
-            off = w.by_rarity[win[alive], j]
-            word = w.words[win[alive], off]
+        count, left = np.zeros(len(win), np.int64), w.length[win].copy()
+        for j in range(w.words.shape[1]):
+            alive = np.flatnonzero(count + left >= need[win])
+            off = w.by_rarity[win[alive], j].astype(np.int64)
+            word = w.words[win[alive], off].astype(np.int64)
             at = start[alive] + off
             hit = (word >= 0) & self.has(np.maximum(word, 0), np.maximum(at - slop, low[alive]), np.minimum(at + slop, high[alive]))
             count[alive] += hit
             left[alive] -= word >= 0
-        good = count >= need
+        good = count >= need[win]
         return "near", win[good], start[good], doc[good]
 
 
@@ -231,7 +245,7 @@ def _hits(index: DataFrame, items: list[tuple], width: int, slop: int, share: fl
     count = np.zeros(len(vocab), np.int64)
     for row in counted.toLocalIterator():
         count[row["word"]] = row["n"]
-    w.by_rarity = np.argsort(np.where(w.words >= 0, count[w.words], np.iinfo(np.int64).max), axis=1, kind="stable")
+    w.by_rarity = np.argsort(np.where(w.words >= 0, count[w.words], np.iinfo(np.int64).max), axis=1, kind="stable").astype(np.int16)
     held = spark.sparkContext.broadcast(w)
     return index.select("block", "bounds", "terms", "counts", "gaps").mapInArrow(lambda it: _match(it, held.value, slop, share), _HITS)
 
@@ -242,7 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A window is width words
     of an item in a row (all words of a shorter one). n_hit counts document words inside an occurrence of a window;
     items lists the items with an occurring window; n_near counts items of which a window occurs with share of its
-    words within slop places (slop 0: not looked for).
+    words within slop places of where they stand in it, one of the rarest exactly (slop 0: not looked for).
 
     Defined cases: null or wordless texts have no words and are clean; wordless items have no window; equal items all
     count; repeated rows each give a row; an item with a null id counts as the text "None"; empty tables give no rows

@@ -25,7 +25,6 @@ ORDER = 3
 BITS = 16  # n-grams are told apart by so many hash bits
 SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 40
-SAMPLE_BYTES = 8_000
 RIDGE = 0.05
 SHARPNESS = 8.0
 UNDETERMINED = "und"
@@ -93,9 +92,9 @@ def _mark(data, offsets, base, lo, hi, alphabet, seen, lettered) -> None:
 class Model:
     """Landmark n-grams and the weights that turn kernel values into one score for each language."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, rows: np.ndarray, langs: list[str]):
+        """rows: presence of n-grams in the sample texts."""
         self.langs = sorted(set(langs))
-        rows = np.concatenate([s for _, s, _ in presence(pa.array(texts, pa.string()))])
         target = np.array([self.langs.index(x) for x in langs])
         places = np.concatenate([np.flatnonzero(target == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(self.langs))])
         marks = rows[places]
@@ -125,19 +124,32 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
+def _packed_presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, seen, _ in presence(batch.column(1)):
+            bits = pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(seen)) for c in (0, 2)), bits], names=["lang", "rank", "bits"])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, modulus: int = 4, remainder: int = 2) -> Model | None:
     """Learn from text and lang of at most per_language rows of each language, chosen by id hash among training rows.
 
-    A sample text has a letter and up to SAMPLE_BYTES bytes. None if there is no such row.
+    A sample text has a letter and is read whole; only its n-grams' presence (8 KB) leaves the executors. None if there
+    is no such row.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, modulus, remainder)).where((F.octet_length(text_col) <= SAMPLE_BYTES) & F.col(text_col).rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    named = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "rank", "text").toPandas()
-    if not len(sample):
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, modulus, remainder)).where(F.col(text_col).rlike(r"\p{L}"))
+    named = usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "hash"))
+    # rows equal in id and text are one choice; the choice holds no text
+    chosen = named.select("lang", "id", "hash").distinct().withColumn("rank", place).where(F.col("rank") <= per_language)
+    chosen = chosen.toDF("_lang", "_id", "_hash", "rank")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang"))
+    sample = named.join(F.broadcast(chosen), same).select("lang", "text", "rank").mapInArrow(_packed_presence, "lang string, rank int, bits binary")  # per_language rows a language
+    got = sample.dropDuplicates(["lang", "rank"]).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    if not got.num_rows:
         return None
-    sample = sample.sort_values(["lang", "rank"])
-    return Model(sample["text"].tolist(), sample["lang"].tolist())
+    bits = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1)
+    return Model(np.unpackbits(bits, axis=1).astype(bool), got.column("lang").to_pylist())
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,6 @@ from tessella.llm.common import materialize
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 BUCKETS = 2048
 SAMPLE_ROWS = 4_000
-SAMPLE_BYTES = 20_000
 STEPS = 20
 STEP = 0.7
 TOLERANCE = 5e-4  # of all tokens, on each domain's share
@@ -77,20 +76,20 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Train on at most SAMPLE_ROWS labelled rows of up to SAMPLE_BYTES bytes, by id hash."""
+    """Train on at most SAMPLE_ROWS labelled rows, by id hash; their texts are read whole, only features leave the executors."""
     domains = sorted(targets)
     marked = labels.select(F.col(id_col).alias("_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where(F.col("domain").isin(domains)).groupBy("_id").agg(F.min("domain").alias("domain"))
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)  # bounded, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = rows.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(SAMPLE_ROWS)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in textkit.scan(batch.column(0), textkit.ALNUM, 1 << 18):
                 x = features(words).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(words.first, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], names=["domain", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(words.first, len(x)) for c in (1, 2)), pa.array([v.tobytes() for v in x], pa.binary())], names=["domain", "place", "x"])
 
-    got = sample.select("text", "domain").mapInArrow(prepare, "domain string, x binary").toArrow()
+    each = rows.select("text", "domain", F.xxhash64("_id", "text").alias("place")).mapInArrow(prepare, "domain string, place long, x binary")
+    got = each.orderBy("place").limit(SAMPLE_ROWS).toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float16).reshape(got.num_rows, BUCKETS + 6).astype(np.float32)
     return Classifier(domains, x, np.array([domains.index(d) for d in got.column("domain").to_pylist()], dtype=np.int64))
 

@@ -19,7 +19,7 @@ crcs AS (
   FROM bytes, crc_table),
 base AS (
   SELECT d.doc_id, strlen(coalesce(d.text, '')) + 1 AS size, c.crc, coalesce('=' || d.source, 'null') AS stratum,
-         md5('7:' || coalesce(d.doc_id::VARCHAR, 'null')) AS k
+         md5('7:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || c.crc) AS k
   FROM documents d JOIN crcs c ON c.text = coalesce(d.text, '')),
 ranked AS (
   SELECT *, (2 * (row_number() OVER (PARTITION BY stratum ORDER BY k, doc_id, crc, size) - 1) + 1)::DOUBLE

@@ -45,8 +45,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
     Returns id_col, size (UTF-8 bytes + 1), text_crc32, law, shard, slot (gapless from 0 in each shard),
     grown_shard (null: only the law `key` has it), stratum. One output row per input row, repeated rows too.
 
-    Defined cases: null text has size 1 and crc32 0; a null source is a stratum of its own; null ids take part
-    and count as the text "null" in the shuffle; equal keys are ordered by id, crc32 and size, so only rows
+    The shuffle hashes id and crc32, so that one id on many rows is spread like any rows. Defined cases: null text has
+    size 1 and crc32 0; a null source is a stratum of its own; null ids take part and count as the text "null"; equal keys are ordered by id, crc32 and size, so only rows
     equal in all of these are interchangeable; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,7 +55,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 7, id_col: str = "d
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("null")).alias("stratum"),
-    ).withColumn("_key", shuffle_key(seed, F.col("doc_id")))
+    ).withColumn("_key", shuffle_key(seed, F.col("doc_id"), F.col("text_crc32")))
     n = docs.count()
     buckets = bucket_count(n)
     order = [F.col(c).asc_nulls_first() for c in ("_key", "doc_id", "text_crc32", "size")]

@@ -57,6 +57,56 @@ def test_near_duplicates_match_brute_force(documents):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_an_id_with_two_texts_loses_no_link(spark):
+    """Copies that reach one another only through a text whose id also has another text."""
+    rng = np.random.default_rng(5)
+    rows, groups = [], []
+    for letter, first in (("a", 1), ("z", 101)):
+        hub = [f"{letter}{i}" for i in range(200)]
+        rows.append((50, " ".join(hub)))
+        groups.append(set(range(first, first + 6)))
+        for copy in range(6):
+            own = list(hub)
+            for place in range(copy, 30, 6):  # every copy changes other words, so copies are less alike than with the hub
+                own[place * 6] = f"{letter}x{copy}"
+            rows.append((first + copy, " ".join(own)))
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(4)).where("doc_id <> 50").collect()}
+    sets = {i: brute.shingles(t) for i, t in rows if i != 50}
+    hubs = [brute.shingles(t) for i, t in rows if i == 50]
+    for hub, group in zip(hubs, groups):
+        assert all(100 * len(hub & sets[i]) >= 80 * len(hub | sets[i]) for i in group)
+        assert {found[i] for i in group} == {min(min(group), 50)}
+
+
+def test_a_large_family_with_members_outside_its_hub(spark):
+    """Near copies of one text, some of which are linked with others but not with the original."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(words, n):
+        out = list(words)
+        for place in rng.choice(len(out), n, replace=False):
+            out[place] = f"n{rng.integers(1 << 30)}"
+        return out
+
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1200):
+        near = changed(base, 2)
+        rows.append((i, " ".join(near if i % 100 else changed(near, 3))))
+    expected = brute.near_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
+def test_repeated_and_null_ids_of_near_duplicates(spark):
+    words = lambda seed: " ".join(f"{seed}{i}" for i in range(20))
+    rows = [(None, words("a")), (None, words("a")), (None, words("b")), (7, words("b")), (3, words("c")), (3, words("c")), (9, None)]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("None", "None", True)] * 2 + [("None", "7", False), ("7", "7", True), ("3", "3", True), ("3", "3", True), ("9", "9", True)])
+    empty = neardup.near_duplicates(spark.createDataFrame(rows[:0], "doc_id long, text string"))
+    assert empty.count() == 0
+
+
 @pytest.mark.parametrize("k", [4, 5, 7])
 def test_scans_shorter_than_a_shingle(k):
     for n in range(k):
