@@ -243,7 +243,8 @@ def _link(pairs: DataFrame, texts, k: int, held: Scratch) -> tuple[DataFrame, Da
 
 
 def _sets_of(texts: DataFrame, k: int) -> DataFrame:
-    return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary").dropDuplicates(["class_id"])
+    """(class_id, hashes); a class whose text stands on several equal rows may come once a task, which links nothing else."""
+    return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary")
 
 
 def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
