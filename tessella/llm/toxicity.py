@@ -1,11 +1,13 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are a fixed lexicon and patterns mined from labelled training rows. A pattern is a word or a word beginning;
-counts over all labelled training rows keep those whose toxic rows exceed chance beyond the number of patterns tried,
-and a greedy cover of all their toxic texts picks voters that explain toxic rows no earlier voter does. The label model
-estimates by expectation-maximisation how often each voter fires on toxic and on clean rows, treating the given
-label as one more noisy voter, and damps voters that fire together beyond what the classes explain. A logistic
-classifier is then fitted to the posterior labels.
+Voters are fixed lexicons, one a language, and patterns mined from labelled training rows. A pattern is a word or a word
+beginning; counts over all labelled training rows keep those whose toxic rows exceed chance beyond the number of
+patterns tried, and a greedy cover of all their toxic texts picks voters that explain toxic rows no earlier voter does;
+patterns that are common in clean rows and far rarer in toxic ones vote for clean. The label model is generative: by
+expectation-maximisation it estimates how often each voter, and the given label as one more voter, fires on toxic and on
+clean rows. Voters that fire together beyond what the classes explain are tied in a forest of the strongest
+correlations, and a tied voter's rates depend on its neighbour's vote, so that it adds only what it knows beyond it. A
+logistic classifier is then fitted to the posterior labels.
 """
 
 from __future__ import annotations
@@ -30,8 +32,17 @@ MERGE_PATTERNS = 2_000_000  # patterns of scans held before they are passed on
 PRECISION = 0.9
 LABEL_ACCURACY = 0.98
 THRESHOLD = 0.7
-#: words of plain abuse in English; one voter
-LEXICON = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "vermin")
+LABEL_TRUST = 0.05  # share of the rows that stands behind LABEL_ACCURACY before the label's own rates are estimated
+TIED = 0.1  # correlation within the classes from which two voters are tied
+MOST_CLEAN_VOTERS = 8
+CLEAN_SHARE, CLEAN_RATIO = 0.02, 3.0  # of clean rows, and times rarer in toxic ones, for a voter for clean
+#: words of plain abuse; one voter a language
+LEXICONS = {
+    "en": ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "vermin"),
+    "de": ("idiot", "idioten", "dumm", "dummkopf", "trottel", "abschaum", "versager", "widerlich", "wertlos", "schwachkopf", "ungeziefer"),
+    "es": ("idiota", "idiotas", "estúpido", "estúpida", "imbécil", "escoria", "basura", "asqueroso", "patético", "inútil", "payaso"),
+    "fr": ("idiot", "idiote", "stupide", "imbécile", "crétin", "ordure", "minable", "pathétique", "dégoûtant", "bouffon", "vermine"),
+}
 
 _WHOLE = np.uint64(0x5851F42D4C957F2D)
 
@@ -47,9 +58,9 @@ def _patterns(words: textkit.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield words.hash_range(starts, starts + n), row[long]
 
 
-def lexicon_hashes() -> np.ndarray:
-    words = next(iter(textkit.scan(pa.array([" ".join(LEXICON)]), textkit.LETTERS)))
-    return np.unique(words.hashes() ^ _WHOLE)
+def lexicon_hashes() -> list[np.ndarray]:
+    scans = [next(iter(textkit.scan(pa.array([" ".join(words)]), textkit.LETTERS))) for words in LEXICONS.values()]
+    return [np.unique(w.hashes() ^ _WHOLE) for w in scans]
 
 
 class _Finder:
@@ -109,22 +120,27 @@ def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return h[fresh]
 
 
-def mine(labelled: DataFrame) -> np.ndarray:
-    """Patterns (hashes) that mark toxic rows of labelled (text, toxic) far beyond chance, over all rows."""
+def mine(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns that mark toxic rows far beyond chance, patterns that mark clean ones) of labelled (text, toxic), counted over all rows."""
     toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
     sizes = labelled.agg(F.sum(F.col("toxic")).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    none = np.zeros(0, np.uint64)
     if not sizes["t"] or sizes["t"] == sizes["n"]:
-        return np.zeros(0, np.uint64)
+        return none, none
     rate = sizes["t"] / sizes["n"]
     tried = toxic.select("text").mapInArrow(lambda it: _count(it, None), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("t"))
     least = max(3, int(np.ceil((np.log(MOST_PATTERNS) + 4) / np.log(1 / rate))))
     frequent = tried.where(F.col("t") >= least).orderBy(F.desc("t"), "pattern").limit(MOST_PATTERNS).toArrow()
-    support = dict(zip(frequent.column("pattern").to_numpy().view(np.uint64).tolist(), frequent.column("t").to_pylist()))
-    finder = _Finder(np.array(sorted(support), dtype=np.uint64))
-    held = labelled.sparkSession.sparkContext.broadcast(finder)
+    hashes, order = np.unique(frequent.column("pattern").to_numpy().view(np.uint64), return_index=True)
+    support = frequent.column("t").to_numpy()[order]
+    held = labelled.sparkSession.sparkContext.broadcast(_Finder(hashes))
     found = clean.select("text").mapInArrow(lambda it: _count(it, held.value), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
-    wrong = dict(zip(found.column("pattern").to_numpy().view(np.uint64).tolist(), found.column("n").to_pylist()))
-    return np.array(sorted(p for p, t in support.items() if t >= PRECISION * (t + wrong.get(p, 0))), dtype=np.uint64)
+    wrong = np.zeros(len(hashes), np.int64)
+    wrong[np.searchsorted(hashes, found.column("pattern").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    in_clean = wrong / (sizes["n"] - sizes["t"])
+    telling = np.flatnonzero((in_clean >= CLEAN_SHARE) & (in_clean >= CLEAN_RATIO * support / sizes["t"]))
+    telling = telling[np.lexsort((hashes[telling], -in_clean[telling]))][:MOST_CLEAN_VOTERS]
+    return hashes[support >= PRECISION * (support + wrong)], hashes[telling]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], finder: _Finder) -> Iterator[pa.RecordBatch]:
@@ -160,14 +176,30 @@ def _cover(lists: DataFrame, size: int) -> list[int]:
     return chosen + rest[: max(0, min(MOST_VOTERS - len(chosen), len(chosen)))]
 
 
+def _forest(correlation: np.ndarray) -> np.ndarray:
+    """Each voter's neighbour in a maximum spanning forest of correlations from TIED on; itself for the first of a tree."""
+    k = len(correlation)
+    parent, strength = np.arange(k), np.full(k, TIED)
+    waiting = set(range(k))
+    while waiting:
+        v = max(sorted(waiting), key=lambda i: (strength[i] if parent[i] != i else 0, -i))
+        waiting.remove(v)
+        for i in waiting:
+            if abs(correlation[v, i]) > strength[i]:
+                parent[i], strength[i] = v, abs(correlation[v, i])
+    return parent
+
+
 @dataclass
 class Model:
     """Voters, the label model's estimates and the classifier."""
 
     voters: list[np.ndarray]
     fires: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))  # P(voter fires | clean), P(. | toxic)
-    damping: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    label_rates: np.ndarray = field(default_factory=lambda: np.array([1 - LABEL_ACCURACY, LABEL_ACCURACY]))  # P(label 1 | clean), P(. | toxic)
     correlation: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    given: np.ndarray = field(default_factory=lambda: np.zeros((2, 2, 0)))  # P(voter fires | class, whether its neighbour fires)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def __post_init__(self):
@@ -184,29 +216,32 @@ class Model:
             fired[row[self.owner[place, v]], v] = True
         return fired
 
-    def posterior(self, votes: np.ndarray, prior: float, label: np.ndarray | None = None) -> np.ndarray:
-        clean, toxic = self.fires
+    def posterior(self, votes: np.ndarray, prior: float, label: np.ndarray) -> np.ndarray:
+        """P(toxic | votes, label) under the forest."""
+        beside = votes[:, self.parent]
+        clean, toxic = (np.where(beside, rates[1], rates[0]) for rates in self.given)
         each = np.where(votes, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean)))
-        odds = np.log(prior / (1 - prior)) + each @ self.damping
-        if label is not None:
-            odds = odds + np.where(label == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        said = np.where(label == 1, np.log(self.label_rates[1] / self.label_rates[0]), np.log((1 - self.label_rates[1]) / (1 - self.label_rates[0])))
+        return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + each.sum(axis=1) + said, -40, 40)))
 
     def learn(self, votes: np.ndarray, label: np.ndarray, times: np.ndarray, rounds: int = 30) -> None:
-        """Expectation-maximisation for the voters, then the classifier on posterior labels; each row counts `times`."""
-        k = votes.shape[1]
+        """Expectation-maximisation for voters and label, then the classifier on posterior labels; each row counts `times`."""
         x = votes.astype(np.float64)
         q = np.where(label == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY)
-        self.damping = np.ones(k)
+        trust = LABEL_TRUST * times.sum()
         for _ in range(rounds):
             prior = float(np.clip(np.average(q, weights=times), 1e-4, 1 - 1e-4))
             both = np.stack([1 - q, q])
-            self.fires = np.clip(((both * times) @ x + 0.05) / ((both * times).sum(axis=1, keepdims=True) + 1), 1e-4, 1 - 1e-4)
+            mass = (both * times).sum(axis=1)
+            self.fires = np.clip(((both * times) @ x + 0.05) / (mass[:, None] + 1), 1e-4, 1 - 1e-4)
+            believed = np.array([1 - LABEL_ACCURACY, LABEL_ACCURACY])
+            self.label_rates = np.clip(((both * times) @ (label == 1) + trust * believed) / (mass + trust), 1e-4, 1 - 1e-4)
             rest = x - (both.T @ self.fires)
             spread = np.sqrt(times @ rest**2) + 1e-9
             self.correlation = (rest.T @ (rest * times[:, None])) / np.outer(spread, spread)
             np.fill_diagonal(self.correlation, 0)
-            self.damping = 1 / (1 + np.where(self.correlation > 0.1, self.correlation, 0).sum(axis=1))  # voters that exclude each other are not damped
+            self.parent = _forest(self.correlation)
+            self.given = np.stack([self._rates(x, w * times, fires) for w, fires in zip(both, self.fires)])
             q = self.posterior(votes, prior, label)
         given = _features(votes)
         w = np.zeros(given.shape[1])
@@ -219,6 +254,14 @@ class Model:
                 break
         self.weights = w
 
+    def _rates(self, x: np.ndarray, weight: np.ndarray, fires: np.ndarray) -> np.ndarray:
+        """(2, voters): how often each voter fires where its neighbour does not and where it does, drawn towards its own rate."""
+        together = np.einsum("ij,ij,i->j", x, x[:, self.parent], weight)
+        beside, own = weight @ x[:, self.parent], weight @ x
+        rates = np.stack([(own - together + fires) / (weight.sum() - beside + 1), (together + fires) / (beside + 1)])
+        alone = self.parent == np.arange(x.shape[1])
+        return np.clip(np.where(alone[None, :], fires[None, :], rates), 1e-4, 1 - 1e-4)
+
     def scores(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_features(votes) @ self.weights, -30, 30)))
 
@@ -246,19 +289,21 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modu
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     labelled = scratch.keep(texts.join(marked.hint("shuffle_hash"), "_id").select("text", "toxic"), "labelled")
-    patterns = mine(labelled)
-    voters = [lexicon_hashes()]
+    patterns, telling = mine(labelled)
+    voters = lexicon_hashes()
+    lexicons = len(voters)
     if len(patterns):
         held = spark.sparkContext.broadcast(_Finder(patterns))
         found = labelled.where("toxic = 1").select("text", F.xxhash64("text").alias("digest")).mapInArrow(lambda it: _occurrences(it, held.value), "digest long, places array<int>")
         lists = scratch.keep(found.where(F.size("places") > 0).dropDuplicates(["digest"]).groupBy("places").agg(F.count(F.lit(1)).alias("n")), "places")
         voters += [patterns[p : p + 1] for p in _cover(lists, len(patterns))]
+    voters += [telling[p : p + 1] for p in range(len(telling))]
     model = Model(voters)
     sent = spark.sparkContext.broadcast(model)
     votes = labelled.mapInArrow(lambda it: _vote_rows(it, sent.value), "toxic int, votes binary")
     got = votes.groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "toxic", "votes").limit(SAMPLE_ROWS).toArrow()
-    if not got.num_rows:  # nothing to learn from: the lexicon alone decides
-        model.weights = np.concatenate([np.full(len(voters), 4.0), [0.0, 0.0, -3.0]])
+    if not got.num_rows:  # nothing to learn from: the lexicons alone decide
+        model.weights = np.concatenate([np.full(lexicons, 4.0), np.zeros(len(voters) - lexicons), [0.0, 0.0, -3.0]])
         return model
     fired = np.frombuffer(b"".join(got.column("votes").to_pylist()), dtype=bool).reshape(got.num_rows, len(voters))
     model.learn(fired, got.column("toxic").to_numpy(), got.column("n").to_numpy().astype(np.float64))
@@ -287,7 +332,7 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Only the text is an input of a score. Defined cases: null and wordless texts have no vote and get the score of
     such a row; a null id is scored and not held out but gives no training row; of several labels of one id the
-    largest counts, labels other than 0 and 1 do not; without labels the fixed lexicon decides alone; repeated rows
+    largest counts, labels other than 0 and 1 do not; without labels the fixed lexicons decide alone; repeated rows
     each give a row; an empty table gives no rows; other columns are ignored.
     """
     model = fit(docs, labels, id_col, text_col)
