@@ -4,8 +4,8 @@ Candidate spans come from strict patterns (the base, which always stays) and fro
 voted on by regex labelers (strict form, usual grouping), gazetteer labelers (known endings, number ranges,
 prefixes) and context labelers (telling words before it, clean edges, other finds in the text).
 Expectation-maximisation over the counts of vote patterns (at most 2**VOTES for each kind, so bounded) estimates each
-labeler's reliability on true and false candidates; a logistic span classifier is fitted to the posteriors and
-decides on the looser candidates.
+labeler's reliability on true and false candidates; a logistic span classifier, which also sees features of the span and of
+its surroundings (2**BITS patterns at most), is fitted to the posteriors and decides on the looser candidates.
 
 Patterns are written so that Java's engine takes time in proportion to the text and no recursion: an atom that
 cannot be left early is possessive, and a start inside a run is tried only where the run begins or the last match ended,
@@ -19,10 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import Scratch, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 VOTES = 7
+BITS = VOTES + 5  # votes, then features of the span and its surroundings
 ACCEPT = 0.9
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -113,7 +114,14 @@ def _voted(kind: str, strict: bool) -> str:
         "many > 1",
         luhn,
     ]
-    bits = " + ".join(f"CASE WHEN {v} THEN {1 << k} ELSE 0 END" for k, v in enumerate(votes))
+    features = [
+        r"rlike(substring(text, greatest(1, x.s - 1), least(x.s, 2)), '[:=]\\s?$')",
+        "x.s = 0 OR substring(text, x.s, 1) = '\\n'",
+        r"rlike(substring(text, x.e + 1, 1), '^(?:[\\s.,;)]|)$')",
+        "x.e - x.s >= 16",
+        r"rlike(x.v, '[ ._/()-].*[ ._/()-]')",
+    ]
+    bits = " + ".join(f"CASE WHEN {v} THEN {1 << k} ELSE 0 END" for k, v in enumerate(votes + features))
     return f"named_struct('s', x.s, 'kind', {order}, 'e', x.e, 'base', {'true' if strict else 'false'}, 'votes', {bits})"
 
 
@@ -134,16 +142,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fit(found: DataFrame, rounds: int = 50) -> list[list[float]]:
-    """For each kind the classifier's weights (votes, then the constant), from the counts of vote patterns."""
+    """For each kind the classifier's weights (votes, features, then the constant), from the counts of their patterns."""
     counted = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").agg(F.count(F.lit(1)).alias("n"))
-    table = [(r["kind"], [r["votes"] >> b & 1 for b in range(VOTES)], r["n"]) for r in counted.collect()]
+    table = [(r["kind"], [r["votes"] >> b & 1 for b in range(BITS)], r["n"]) for r in counted.collect()]
     return [_fit_kind([(v, n) for kind, v, n in table if kind == k], rounds) for k in range(len(KINDS))]
 
 
-def _fit_kind(table: list[tuple[list[int], int]], rounds: int) -> list[float]:
+def reliabilities(table: list[tuple[tuple[int, ...], int]], rounds: int) -> tuple[list[float], list[float], list[float]]:
+    """(P(labeler votes | true), P(labeler votes | false), P(true | votes) of each row) by expectation-maximisation over (votes, count) rows."""
     total = sum(n for _, n in table)
-    if not total:
-        return [0.0] * VOTES + [-10.0]
     # a first belief: most labelers for it; a pseudo-count keeps reliabilities inside (0, 1)
     belief = [min(0.98, max(0.02, sum(v) / VOTES)) for v, _ in table]
     for _ in range(rounds):
@@ -157,15 +164,28 @@ def _fit_kind(table: list[tuple[list[int], int]], rounds: int) -> list[float]:
                 p, q = min(yes[b], 0.999), min(no[b], 0.999)
                 odds += math.log(p / q) if v[b] else math.log((1 - p) / (1 - q))
             belief[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    w = [0.0] * (VOTES + 1)
+    return yes, no, belief
+
+
+def _fit_kind(table: list[tuple[list[int], int]], rounds: int) -> list[float]:
+    total = sum(n for _, n in table)
+    if not total:
+        return [0.0] * BITS + [-10.0]
+    voted: dict[tuple[int, ...], int] = {}
+    for v, n in table:
+        voted[tuple(v[:VOTES])] = voted.get(tuple(v[:VOTES]), 0) + n
+    belief = dict(zip(voted, reliabilities(list(voted.items()), rounds)[2]))
+    w = [0.0] * (BITS + 1)
     for _ in range(400):  # a logistic classifier, by gradient on the pattern table
         step = [0.02 * -x for x in w]
-        for q, (v, n) in zip(belief, table):
+        for v, n in table:
             x = [*v, 1]
             p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
-            for b in range(VOTES + 1):
-                step[b] += (q - p) * x[b] * n / total
-        w = [a + 2.0 * s for a, s in zip(w, step)]
+            gap = (belief[tuple(v[:VOTES])] - p) * n / total
+            for b, on in enumerate(x):
+                if on:
+                    step[b] += gap
+        w = [a + 1.5 * s for a, s in zip(w, step)]
     return w
 
 
@@ -179,9 +199,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans ''; repeated rows each give a row; null ids are kept; an empty table gives no rows; other columns are
     ignored; texts of any length are read whole.
     """
-    found = materialize(candidates(docs, id_col, text_col), "candidates")
-    weights = fit(found)
-    linear = "CASE x.kind " + " ".join(f"WHEN {k} THEN {w[-1]!r}D + " + " + ".join(f"{w[b]!r}D * ((x.votes >> {b}) & 1)" for b in range(VOTES)) for k, w in enumerate(weights)) + " END"
+    with Scratch(docs.sparkSession) as held:
+        found = held.keep(candidates(docs, id_col, text_col), "candidates")
+        return materialize(_decided(found, fit(found)), "spans")
+
+
+def _decided(found: DataFrame, weights: list[list[float]]) -> DataFrame:
+    linear = "CASE x.kind " + " ".join(f"WHEN {k} THEN {w[-1]!r}D + " + " + ".join(f"{w[b]!r}D * ((x.votes >> {b}) & 1)" for b in range(BITS)) for k, w in enumerate(weights)) + " END"
     kept = found.select("doc_id", F.expr("filter(found, x -> x.base)").alias("base"), F.expr(f"filter(found, x -> x.base OR 1D / (1D + exp(-({linear}))) >= {ACCEPT}D)").alias("all"))
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     text = lambda c: f"array_join(transform({c}, x -> concat_ws(':', element_at({names}, x.kind + 1), x.s, x.e)), ',')"

@@ -178,6 +178,36 @@ def test_personal_data_matches_brute_force(spark, documents):
             assert set(base) <= set(r.spans.split(",") if r.spans else [])
 
 
+def test_personal_data_adds_what_the_labelers_agree_on(spark):
+    """Written-out addresses in telling surroundings are added, look-alikes without them are not; base spans stay."""
+    rows = [(i, f"contact me by mail: user{i}@example.com or call +1 415 555 {1000 + i}, thanks.") for i in range(60)]
+    rows += [(100 + i, f"please write, contact mail: user{i} (at) example (dot) com today, or write user{i}@mail.org now") for i in range(20)]
+    rows += [(200 + i, f"meet{i}x(at)9noon9xy") for i in range(5)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i, r in got.items():
+        base, spans = brute.base_spans(texts[i]), r.spans.split(",") if r.spans else []
+        assert set(base) <= set(spans)
+        places = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans))
+        assert all(b <= c for (_, b), (c, _) in zip(places, places[1:]))
+        added = [texts[i][int(a) : int(b)] for _, a, b in (x.split(":") for x in spans if x not in base)]
+        assert added == ([f"user{i - 100} (at) example (dot) com"] if 100 <= i < 200 else [])
+
+
+def test_reliabilities_by_a_plain_version():
+    """Rates after one round, and the belief that follows from them, by Bayes' rule."""
+    table = [((1, 1, 1, 1, 1, 1, 1), 30), ((0, 1, 1, 0, 1, 0, 1), 9), ((0, 0, 0, 0, 0, 1, 0), 50)]
+    yes, no, belief = pii.reliabilities(table, 1)
+    first = [0.98, 4 / 7, 1 / 7]
+    true, n = sum(q * c for q, (_, c) in zip(first, table)), sum(c for _, c in table)
+    assert yes[0] == pytest.approx((0.98 * 30 + 0.9) / (true + 1)) and no[5] == pytest.approx((0.02 * 30 + 6 / 7 * 50 + 0.3) / (n - true + 1))
+    prior = (true + 1) / (n + 2)
+    like = lambda rates, v: math.prod(r if x else 1 - r for r, x in zip([min(r, 0.999) for r in rates], v))
+    for q, (v, _) in zip(belief, table):
+        a, b = prior * like(yes, v), (1 - prior) * like(no, v)
+        assert q == pytest.approx(a / (a + b), abs=1e-9)
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
 
