@@ -3,11 +3,12 @@
 import difflib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import corpus, grounding, learners, metrics, outputs, ratings, retrieval, speech, templates, timing
+from tessella.operators import corpus, grounding, jobs, learners, metrics, outputs, ratings, retrieval, speech, templates, timing
 
 
 def test_sentences_keep_numbers_and_abbreviations(spark):
@@ -92,12 +93,95 @@ def test_latest_is_numeric(spark):
         ("nope", r"\frac{a}{b} of m_1 m_2", "a upon b of m 1 m 2."),
         ("physics", "HOOK: remember the units: now", "remember the units, now."),
         ("physics", "", ""),
+        ("physics", None, ""),
+        ("physics", "9.8 m/s2 and 9.8 m/s^2, 3 m/s 4, 7 km/h. m_1 m then 3kg", "9.8 metres per second squared and 9.8 metres per second squared, 3 metres/s 4, 7 kilometres per hour. m 1 m then 3 kilograms."),
+        ("physics", "x^2 + y^{3} - z^{-4} = w^15, a^25", "x squared plus y cubed minus z to the power minus 4 equals w to the power 15, a squared 5."),
+        ("physics", r"**Bold** # head `c` \alpha \to \beta_1 \foo $x$ α≤Σ ½ ⁻¹", "Bold head c alpha gives 1 x alpha is less than or equal to sigma half to the power minus to the power one."),
+        ("physics", "5/ 6 a/b (x)+(y) up-down 3 - 4 50% 90°", "5 over 6 a/b (x) plus (y) up-down 3 minus 4 50 percent 90 degrees."),
+        ("physics", "key units, the formula NEET formula. zero units x units", "key, units, the formula NEET formula. zero units x units."),
+        ("chemistry", "H2SO4 (aq) + 2NaOH → C20H42 + O3 at 300 K, SN1 E2 Na+ and Cl+x NEET", "sulphuric acid aqueous plus 2 sodium hydroxide gives C 20 H 42 plus O three at 300 kelvin, S N one E two Na ion and Cl plus x NEET."),
+        ("chemistry", "Na+,K+ Fe2 Xy9 CO Hello2 the SN2 mechanism", "Na ion,K ion Fe two Xy9 carbon monoxide Hello2 the S N two mechanism."),
+        ("biology", "NADPH, NADP; ATP:: 5' to 3' F1 gen important exception DNAs", "N A D P H, N A D P; A T P, five prime to three prime F one gen, important exception DNAs."),
     ],
 )
 def test_spoken_text(spark, subject, raw, spoken):
     assert speech.normalize_notation(spark.createDataFrame([(subject, raw)], "subject string, text string")).first().text == spoken
 
 
+def test_long_texts_are_cut_into_grams_in_linear_time(spark):
+    words = [f"w{i % 700}" for i in range(16_000)]
+    row = spark.createDataFrame([(" ".join(words),)], "t string").select(tx.ngrams(tx.word_tokens(F.col("t")), 3).alias("g"), tx.ngrams(tx.word_tokens(F.lit("a b")), 3).alias("few"), tx.ngrams(tx.word_tokens(F.col("t")), 1).alias("one")).first()
+    assert row.g == [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] and row.few == [] and row.one == words
+
+
+def test_empty_registry_starts_at_v1(spark):
+    row = templates.latest_version(spark.createDataFrame([], "name string, version string, content string")).first()
+    assert (row.name, row.latest, row.next_version) == (None, None, "v1")
+
+
+T = "name string, version string, content string"
+ASK = T + ", author string, source_version string"
+
+
+def test_saved_versions_are_numbered_one_by_one(spark):
+    have = spark.createDataFrame([("a", "v1", "x\ny"), ("a", "v2", "x\nz"), ("b", "v1", "q")], T)
+    asked = spark.createDataFrame([("a", None, "x\nw", "ann", "v1"), ("a", None, "k", "ann", None), ("b", "v9", "r", "ann", None), ("b", "v9", "s", "ann", None), ("a", "v1", "t", "ann", None), ("a", None, " ", "ann", None)], ASK)
+    new = {(r.name, r.version): (r.content, r.source_version, r.added, r.removed) for r in templates.save_version(have, asked).where("operation = 'save'").collect()}
+    assert new == {("a", "v10"): ("k", "v2", 1, 2), ("a", "v11"): ("x\nw", "v1", 1, 1), ("b", "v9"): ("r", "v1", 1, 1)}
+    assert sorted((r.version or "", r.reason) for r in templates.rejected_requests(have, asked).collect()) == [("", "empty"), ("v1", "exists"), ("v9", "repeated")]
+    over = templates.save_version(have, asked.where("version = 'v1'"), overwrite=True).where("name = 'a' AND version = 'v1'").collect()
+    assert [(r.content, r.operation, r.source_version, r.added, r.removed) for r in over] == [("t", "overwrite", None, 1, 2)]
+
+
+def test_rollbacks_get_versions_of_their_own(spark):
+    have = spark.createDataFrame([("a", "v1", "x"), ("a", "v2", "y"), ("a", "v3", "z")], T)
+    rows = templates.rollback_version(have, have.where("version < 'v3'").select("name", "version"), "eve").where("operation = 'rollback'").collect()
+    assert sorted((r.version, r.content, r.source_version, r.notes) for r in rows) == [("v4", "x", "v1", "Rollback to v1."), ("v5", "y", "v2", "Rollback to v2.")]
+
+
+def test_changelog_of_one_template(spark):
+    rows = spark.createDataFrame([("a", "v2", "ann", "t2", "save", "v1", "", {"z": 1.0, "b": 2.0}, 3, 1), ("b", "v1", None, None, None, None, "first", {}, None, None)], "name string, version string, author string, saved_at string, operation string, source_version string, notes string, performance map<string,double>, added int, removed int")
+    entries = {r.name: r.entry for r in templates.changelog(rows).collect()}
+    assert entries["a"] == '## a v2\n- Author: ann\n- Timestamp: t2\n- Operation: save\n- Source Version: v1\n- Performance: {"b":2.0,"z":1.0}\n- Changes: +3 / -1 lines'
+    assert entries["b"] == "## b v1\n- Author: unknown\n- Timestamp: \n- Operation: save\n- Notes: first\n- Changes: +0 / -0 lines"
+    assert [r.name for r in templates.changelog(rows, "b").collect()] == ["b"]
+
+
+def test_unusable_vectors_take_no_part(spark):
+    nan = float("nan")
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [1.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0])], "chunk_id long, embedding array<double>")
+    rows = retrieval.vector_topk(chunks, spark.createDataFrame([(0, [2.0, 0.0]), (1, None)], "query_id long, embedding array<double>"), 5).orderBy("rank").collect()
+    assert [(r.query_id, r.chunk_id, r.score) for r in rows] == [(0, 1, 1.0), (0, 8, 1.0), (0, 7, 0.0)]
+
+
+def test_top_k_by_numpy(spark):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (5000, 6)).astype(float) + 0.5
+    chunks = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "chunk_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieval.vector_topk(chunks, chunks.where("chunk_id < 20").withColumnRenamed("chunk_id", "query_id"), 7).collect()}
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    for q in range(20):
+        s = np.round(unit @ unit[q], 12)
+        best = np.lexsort((np.arange(5000), -s))[:7]
+        assert all(s[got[q, r + 1]] == s[b] for r, b in enumerate(best))
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    row = lambda name, subject, text: spark.createDataFrame([(name, 1, text, [1.0], subject, "9")], "pdf_name string, chunk_id int, content string, embedding array<double>, subject string, class_level string")
+    corpus.write_chunks(row("p", "s", "one").union(row("q", "s", "other")).union(row("r", "u", "far")), path)
+    before = sorted(f.name for f in (tmp_path / "chunks" / "subject=u" / "class_level=9").iterdir())
+    corpus.write_chunks(row("p", "s", "two"), path)
+    assert sorted((r.pdf_name, r.content) for r in spark.read.parquet(path).collect()) == [("p", "two"), ("q", "other"), ("r", "far")]
+    assert before == sorted(f.name for f in (tmp_path / "chunks" / "subject=u" / "class_level=9").iterdir())
+
+
+def test_cache_of_a_hot_key(spark):
+    asks = [("k", i, 10.0 * i) for i in range(3000)] + [("j", 9000 + i, float(i)) for i in range(5)]
+    got = {r.request_id: r.hit for r in jobs.cache_hits_ttl(spark.createDataFrame(asks, "key string, request_id long, seconds double").repartition(4), 95).collect()}
+    assert all(got[i] == (i % 10 != 0) for i in range(3000)) and [got[9000 + i] for i in range(5)] == [False, True, True, True, True]
+
+
 def test_scene_duration_cases(spark):
     rows = spark.createDataFrame([(0.0, None), (-1.0, 5.0), (4.0, None), (4.0, 3.0), (4.0, 6.0), (4.0, 20.0)], "a double, h double").select(timing.scene_duration(F.col("a"), F.col("h")).alias("d")).collect()
     assert [r.d for r in rows] == [0.1, 5.0, 4.0, 4.0, 6.0, 7.0]
