@@ -420,6 +420,28 @@ def test_section_tokens_match_brute_force(documents, odd, none, rule):
     assert tokencount.section_tokens(none, rule=rule).count() == 0
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_tokens_of_each_section_match_brute_force(documents, odd, rule):
+    """Every token's bytes are marked with their section one by one."""
+    with open(tokencount.DEFAULT_RANKS, "rb") as f:
+        encoder, _ = tokencount._encoder(f.read())
+    for df in (documents.where("doc_id < 40"), odd.where("doc_id < 9 OR doc_id > 10")):
+        expected = {}
+        for i, text in pairs(df):
+            owner = [n for n, line in enumerate((text or "").split("\n")) for _ in (line + "\n").encode()]
+            counts, crossing, at = Counter(), Counter(), 0
+            for token in encoder.encode_ordinary(text or ""):
+                size = len(encoder.decode_single_token_bytes(token))
+                own = Counter(owner[at : at + size])
+                at += size
+                home = {"first": min(own), "last": max(own), "most": min(own, key=lambda x: (-own[x], x))}[rule]
+                counts[home] += 1
+                crossing[home] += len(own) > 1
+            expected |= {(i, n): (counts[n], crossing[n]) for n in counts}
+        got = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing) for r in tokencount.section_tokens(df, rule=rule).collect()}
+        assert {k: v for k, v in got.items() if v[0]} == expected
+
+
 def test_boundary_rules():
     edges = np.array([0, 4, 6, 12])
     starts, ends = np.array([0, 3, 3, 6]), np.array([3, 5, 10, 12])
@@ -440,3 +462,72 @@ def test_mixing_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (7, 1, 1), (8, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mix(odd, labels).count() == odd.count() and mixing.mix(none, labels).count() == 0
     assert mixing.mix(odd, labels.where("quality > 5")).where("rate is null").count() == 0
+
+
+def test_rates_by_a_plain_version(spark):
+    """Rates by the same projected gradient over plain arrays, whatever the number of tasks."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([1, 1, 1], 200)
+    n = rng.integers(0, 90, 200)
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(n, p)], "n_tokens long, p array<double>").repartition(5)
+    rate, goal, shares = mixing.fit_rates(rows, targets)
+    got = {(r.n_tokens, tuple(r.p)): r.w for r in rows.select("n_tokens", "p", rate.alias("w")).collect()}
+    w, whole = np.ones(200), n.sum()
+    for _ in range(mixing.STEPS):
+        off = (w * n) @ p / whole - np.array(goal)
+        if np.abs(off).max() < mixing.TOLERANCE:
+            break
+        live = n * (w > 0)
+        scaled = np.linalg.inv((p * live[:, None]).T @ p / whole + 1e-4 * np.eye(3)) @ off
+        w = np.maximum(0, w - mixing.STEP * (p @ scaled + mixing.PULL * (w - 1)))
+    assert all(got[int(t), tuple(float(x) for x in q)] == pytest.approx(x, abs=1e-6) for t, q, x in zip(n, p, w))
+    assert shares == pytest.approx((w * n) @ p / whole, abs=1e-6) and max(abs(a - b) for a, b in zip(shares, goal)) < mixing.TOLERANCE
+
+
+def test_language_scores_by_plain_kernels(monkeypatch):
+    """Kernels from plain sets of n-grams, with the same landmarks and ridge, give the same probabilities (hashes so wide that none meet)."""
+    monkeypatch.setattr(langid, "BITS", 20)
+    texts = ["The house is old, and the river runs by.", "We read the news in the morning!", "Das Haus ist alt und der Fluss ist breit.", "Wir lesen am Morgen die Zeitung.", "La casa es vieja y el río es ancho.", "Leemos las noticias por la mañana."]
+    langs = ["en", "en", "de", "de", "es", "es"]
+    news = ["the old house by the river", "der alte Fluss", "la vieja casa", "Zeitung and news y noticias"]
+
+    def grams(text):
+        letters = "".join(c.lower() if c.isalpha() else " " for c in text)
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    seen = lambda t: np.concatenate([s for _, s, _ in langid.presence(pa.array(t))])
+    model = langid.Model(seen(texts), langs)
+    names = sorted(set(langs))
+    order = [i for k in names for i in range(6) if langs[i] == k]
+    sets = [grams(t) for t in texts]
+    marks = [sets[i] for i in order]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors / np.sqrt(values)
+    given = np.column_stack([kernel(sets, marks) @ root, np.ones(6)])
+    goal = np.array([[1.0 if x == k else -1.0 for k in names] for x in langs])
+    solved = np.linalg.solve(given.T @ given + langid.RIDGE * np.eye(7), given.T @ goal)
+    raw = (np.column_stack([kernel([grams(t) for t in news], marks) @ root, np.ones(4)]) @ solved) * langid.SHARPNESS / 2
+    plain = np.exp(raw) / np.exp(raw).sum(axis=1, keepdims=True)
+    assert model.langs == names and model.scores(seen(news)) == pytest.approx(plain, abs=0.01)
+
+
+def test_top_k_beyond_exact_floats_and_with_clashing_columns(spark):
+    """Products above 2**53 are exact; columns named like the operator's own do not disturb it."""
+    rng = np.random.default_rng(9)
+    v = [[float(x) / 256 for x in rng.integers(1_400_000_000, 1_400_000_040, 2)] for _ in range(60)]
+    rows = [(i, x, 1, 2.0, "t", [1]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, tree string, v array<int>")
+    whole = [[math.floor(256 * x) for x in row] for row in v]
+    expected = set()
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in enumerate(whole) if i != q)[:5]
+        expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in mtree.search(df, 5, 50).collect()} == expected and -best[0][0] > 2**53
+    with pytest.raises(ValueError):
+        mtree.search(spark.createDataFrame([(0, [1e8])], "vec_id long, embedding array<double>"))
