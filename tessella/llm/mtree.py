@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -341,8 +342,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
 def _top(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: str, held: Scratch) -> DataFrame:
     spark = vectors.sparkSession
     rows = held.keep(quantised(vectors, id_col, vector_col), "quantised")
-    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0).cast("long"), lambda a, x: a + x)).alias("most"), F.count(F.lit(1)).alias("n")).first()
-    width, most, count = int(shape["width"] or 0), int(shape["most"] or 0), int(shape["n"])
+    shape = rows.agg(F.max(F.size("v")).alias("width"), F.max(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    # any bound on the squared norms will do for the lift
+    width, most, count = int(shape["width"] or 0), math.ceil((shape["most"] or 0) * (1 + 1e-9)), int(shape["n"])
     if most >= 2**62:
         raise ValueError("inner products of vectors of this length do not fit in 64 bits")
     if not count:
