@@ -33,7 +33,7 @@ def _offset(difficulty: Column) -> Column:
 
 
 def ability_trace(graded: DataFrame) -> DataFrame:
-    """Final ability of each user: an ordered fold, since each step depends on the last one's clamp."""
+    """Final ability of each user: an ordered fold, since each step depends on the last one's clamp; so a learner's attempts (four numbers each) meet in one row."""
     ordered = graded.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "event_id", _offset(F.col("difficulty")).alias("d"), F.col("correct").cast("double").alias("obs")))).alias("steps"))
     fold = F.aggregate("steps", F.lit(0.0), lambda a, s: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), a + F.lit(ABILITY_STEP) * (s["obs"] - 1 / (1 + F.exp(-(a - s["d"])))))))
     return ordered.select("user_id", F.size("steps").alias("attempts"), fold.alias("ability"))
