@@ -10,6 +10,7 @@ domains' second moments over documents of positive rate, so that rare domains co
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +143,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pu
             break
         scale = np.linalg.inv(np.array(sums[d:], dtype=np.float64).reshape(d, d) / max(1, whole) + 1e-4 * np.eye(d))
         residuals.append([round(float(x), 9) for x in scale @ (np.array(shares) - np.array(goal))])
+    gap = max(abs(a - b) for a, b in zip(shares, goal))
+    if whole and gap >= TOLERANCE:
+        warnings.warn(f"mixing stopped after {len(residuals)} steps with a domain {gap:.4f} of all tokens from its target", stacklevel=2)
     return _rate(residuals, STEP, pull), goal, shares
 
 
