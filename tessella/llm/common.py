@@ -66,6 +66,14 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underlines before it if df has such a column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def crc_of(col: Column | str) -> Column:
     """crc32 of a value written as text (0 to 2**32 - 1); null stays null."""
     col = F.col(col) if isinstance(col, str) else col

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import held_out
+from tessella.llm.common import free_name, held_out
 
 ORDER = 3
 BITS = 16  # n-grams are told apart by so many hash bits
@@ -92,19 +92,19 @@ def _mark(data, offsets, base, lo, hi, alphabet, seen, lettered) -> None:
 class Model:
     """Landmark n-grams and the weights that turn kernel values into one score for each language."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str]):
-        """rows: presence of n-grams in the sample texts."""
+    def __init__(self, bits: np.ndarray, langs: list[str]):
+        """bits: packed presence of n-grams in the sample texts."""
         self.langs = sorted(set(langs))
         target = np.array([self.langs.index(x) for x in langs])
         places = np.concatenate([np.flatnonzero(target == k)[:LANDMARKS_PER_LANGUAGE] for k in range(len(self.langs))])
-        marks = rows[places]
+        marks = np.unpackbits(bits[places], axis=1).astype(bool)
         self.columns = np.flatnonzero(marks.any(axis=0))
         self.marks = marks[:, self.columns].astype(np.float32)
         self.norms = np.sqrt(np.maximum(1, marks.sum(axis=1)))
         values, vectors = np.linalg.eigh(self._kernel(marks).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        mapped = self._kernel(rows) @ root
+        mapped = np.concatenate([self._kernel(np.unpackbits(bits[i : i + 64], axis=1).astype(bool)) for i in range(0, len(bits), 64)]) @ root
         goal = np.where(target[:, None] == np.arange(len(self.langs))[None, :], 1.0, -1.0)
         weight = 1.0 / np.bincount(target, minlength=len(self.langs))[target]
         weight *= len(target) / weight.sum()
@@ -148,15 +148,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = sample.dropDuplicates(["lang", "rank"]).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     if not got.num_rows:
         return None
-    bits = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1)
-    return Model(np.unpackbits(bits, axis=1).astype(bool), got.column("lang").to_pylist())
+    return Model(np.frombuffer(textkit.joined(got.column("bits")), np.uint8).reshape(got.num_rows, -1), got.column("lang").to_pylist())
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, best = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-        text = batch.column("_text")
-        for first, seen, lettered in presence(text):
+        for first, seen, lettered in presence(batch.column(0)):
             rows = np.flatnonzero(lettered)
             if model is None or not len(rows):
                 continue
@@ -164,21 +162,20 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             top = p.argmax(axis=1)
             for r, k, v in zip(rows + first, top, p.max(axis=1)):
                 langs[r], best[r] = model.langs[k], v
-        kept = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs), pa.array(best)], names=[*kept, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(best)], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score (0 to 1) to the kept columns of every row; the whole text is read.
+    """Add lang_pred and score (0 to 1) to the kept columns of every row, in place of kept ones so named; the whole text is read.
 
     Defined cases: lang_pred is `und` with score 0 where the text is null or has no letter, or nothing could be
     learned; repeated rows each give a row; an empty table gives no rows. Only the text is an input.
     """
-    keep = docs.columns if keep is None else keep
-    given = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
+    given = docs.select(F.col(f"`{text_col}`").alias(free_name(docs, "text")), *[F.col(f"`{c}`") for c in keep])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema[1:])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return given.mapInArrow(lambda it: _predict(it, held.value), f"{schema}, lang_pred string, score double")
+    return given.mapInArrow(lambda it: _predict(it, held.value), f"{schema}lang_pred string, score double")
 
 
 def detect_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

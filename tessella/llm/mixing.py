@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import materialize
+from tessella.llm.common import free_name, materialize
 
 #: domains of the label table, and the share of tokens that the mixture should have of each
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
@@ -91,28 +91,27 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: s
 
     each = rows.select("text", "domain", F.xxhash64("_id", "text").alias("place")).mapInArrow(prepare, "domain string, place long, x binary")
     got = each.orderBy("place").limit(SAMPLE_ROWS).toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float16).reshape(got.num_rows, BUCKETS + 6).astype(np.float32)
+    x = np.frombuffer(textkit.joined(got.column("x")), dtype=np.float16).reshape(got.num_rows, BUCKETS + 6).astype(np.float32)
     return Classifier(domains, x, np.array([domains.index(d) for d in got.column("domain").to_pylist()], dtype=np.int64))
 
 
 def _posterior_rows(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [c for c in batch.schema.names if c != "_text"]
         tokens, rows = [], []
-        for words in textkit.scan(batch.column("_text"), textkit.ALNUM, 1 << 18):
+        for words in textkit.scan(batch.column(0), textkit.ALNUM, 1 << 18):
             tokens.append(words.per_row)
             rows.append(model.posteriors(features(words)))
         p = np.concatenate(rows) if rows else np.zeros((0, len(model.domains)))
         n = np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=[*kept, "n_tokens", "p"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], names=[*batch.schema.names[1:], "n_tokens", "p"])
 
 
 def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep, n_tokens and p (posteriors in the order of model.domains) of every row."""
-    given = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
+    given = docs.select(F.col(f"`{text_col}`").alias(free_name(docs, "text")), *[F.col(f"`{c}`") for c in keep])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema[1:])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return given.mapInArrow(lambda it: _posterior_rows(it, held.value), f"{schema}{', ' if schema else ''}n_tokens long, p array<double>")
+    return given.mapInArrow(lambda it: _posterior_rows(it, held.value), f"{schema}n_tokens long, p array<double>")
 
 
 def _rate(residuals: list[list[float]], step: float, pull: float) -> Column:
@@ -167,7 +166,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     keep = [id_col] if keep is None else keep
     model = fit(docs, labels, targets, id_col, text_col)
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    rows = materialize(posteriors(docs.withColumn("_key", key), model, [*keep, "_key"], text_col), "posteriors")
+    own = free_name(docs, "key")
+    rows = materialize(posteriors(docs.withColumn(own, key), model, [*keep, own], text_col), "posteriors")
     rate, _, _ = fit_rates(rows, targets)
     out = rows.withColumn("rate", rate)
-    return out.select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), seed, F.col("_key")).alias("copies"))
+    return out.select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), seed, F.col(own)).alias("copies"))

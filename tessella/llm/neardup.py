@@ -16,6 +16,7 @@ could join two components is lost, but for agreement below AGREE, 5 standard dev
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ PLANES = 4
 PERCENT = 80
 SETS_A_GROUP = 512  # sets that meet a hub's in one task
 BLOCK = 256
-HOT = 1024  # a key with over 1/HOT of all rows is joined without a shuffle
+HOT = 1024  # a key with over 1/HOT of all rows, and more than HOT_ROWS, is joined without a shuffle
+HOT_ROWS = 256
 COLUMNS = 8192
 
 _N = 2 * HALVES * ROWS
@@ -129,10 +131,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 def lookup(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """left joined with right: one row a key, c at least the key's rows in left, total at most the sum of c.
 
-    A key with over 1/HOT of the total is sent to all tasks, so its rows need not meet; there can be HOT such keys at
-    most. The other keys are joined by a shuffle.
+    A key with over 1/HOT of the total, and more rows than a task is ever to hold anyway, is sent to all tasks, so its
+    rows need not meet; there can be HOT such keys at most. The other keys are joined by a shuffle.
     """
-    is_hot = F.col("c") * HOT > total
+    is_hot = F.col("c") > max(HOT_ROWS, total // HOT)
     hot = right.where(is_hot).toArrow()
     if not hot.num_rows:
         return left.join(right.drop("c"), key)
@@ -197,7 +199,7 @@ def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most
     """(node, root): the smallest node reachable over the edges, by alternating large and small stars."""
     now = held.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     count, seen = now.count(), None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if count else 0):
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
         large = lookup(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -210,7 +212,8 @@ def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most
             break
         count, seen = mark[0], mark
     else:
-        raise RuntimeError("components did not settle")
+        if count:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -229,11 +232,13 @@ def _sizes_allow(a, b):
 def _link(pairs: DataFrame, texts, k: int, held: Scratch) -> tuple[DataFrame, DataFrame]:
     """(confirmed links, the pairs) among promising pairs; shingle sets are made again only for their classes."""
     promising = held.keep(pairs, "promising")
+    total = 2 * promising.count()
+    if not total:
+        return promising, promising
     # the more common end of a pair becomes the hub that others come to
     ends = [promising.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("c")) for c in ("x", "y")]
     weight = held.keep(ends[0].union(ends[1]).groupBy("node").agg(F.sum("c").alias("c")), "weights")
     sets = held.keep(_sets_of(texts(weight.select(F.col("node").alias("class_id"))), k), "sets")
-    total = 2 * promising.count()
     turned = promising
     for end in ("x", "y"):
         turned = lookup(turned, weight.select(F.col("node").alias(end), "c", F.col("c").alias(f"c{end}")), end, total)
@@ -337,9 +342,11 @@ def _grouped(base: DataFrame, k: int, held: Scratch) -> DataFrame:
     single = (F.col("class_id") == F.col("root")) & ~F.col("is_hub")
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("c"), F.count_if(single).alias("alone"))
     members = held.keep(lookup(placed, sizes.where("alone > 0"), "family", placed.count()), "members")
-    inside = held.keep(_family_links(members, held.keep(_sets_of(texts(members.select("class_id")), k), "sets")), "links")
+    links = [stars]
+    if not members.isEmpty():
+        links.append(held.keep(_family_links(members, held.keep(_sets_of(texts(members.select("class_id")), k), "sets")), "links"))
     across, _ = _link(_cross_pairs(tables, placed.select("class_id", "family")), texts, k, held)
-    roots = components(stars.union(inside).union(across), held)
+    roots = components(reduce(DataFrame.union, [*links, across]), held)
     classed = held.keep(classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), F.col("owner.doc_id").alias("least_id")), "roots")
     smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
     named = lookup(classed, smallest, "root", classed.count()).select("class_id", "component_id", "root")

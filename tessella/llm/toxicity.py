@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import Scratch, held_out
+from tessella.llm.common import Scratch, free_name, held_out
 
 PREFIXES = (3, 4, 5, 6, 7)  # bytes of a word beginning
 MOST_PATTERNS = 100_000  # tested patterns, the most frequent ones in toxic rows
@@ -305,25 +305,25 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modu
     if not got.num_rows:  # nothing to learn from: the lexicons alone decide
         model.weights = np.concatenate([np.full(lexicons, 4.0), np.zeros(len(voters) - lexicons), [0.0, 0.0, -3.0]])
         return model
-    fired = np.frombuffer(b"".join(got.column("votes").to_pylist()), dtype=bool).reshape(got.num_rows, len(voters))
+    fired = np.frombuffer(textkit.joined(got.column("votes")), dtype=bool).reshape(got.num_rows, len(voters))
     model.learn(fired, got.column("toxic").to_numpy(), got.column("n").to_numpy().astype(np.float64))
     return model
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [model.scores(model.votes(w)) for w in textkit.scan(batch.column("_text"), textkit.LETTERS)]
-        kept = [c for c in batch.schema.names if c != "_text"]
+        parts = [model.scores(model.votes(w)) for w in textkit.scan(batch.column(0), textkit.LETTERS)]
         score = np.concatenate(parts) if parts else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 from THRESHOLD on) to the kept columns; whole texts are read."""
-    given = docs.select(*(docs.columns if keep is None else keep), F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
+    """Add score (0 to 1) and predicted (1 from THRESHOLD on) to the kept columns, in place of kept ones so named; whole texts are read."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("score", "predicted")]
+    given = docs.select(F.col(f"`{text_col}`").alias(free_name(docs, "text")), *[F.col(f"`{c}`") for c in keep])
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema[1:])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    out = given.mapInArrow(lambda it: _score_rows(it, held.value), f"{schema}, score double")
+    out = given.mapInArrow(lambda it: _score_rows(it, held.value), f"{schema}score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

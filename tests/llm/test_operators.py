@@ -502,7 +502,7 @@ def test_language_scores_by_plain_kernels(monkeypatch):
         return np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
 
     seen = lambda t: np.concatenate([s for _, s, _ in langid.presence(pa.array(t))])
-    model = langid.Model(seen(texts), langs)
+    model = langid.Model(np.packbits(seen(texts), axis=1), langs)
     names = sorted(set(langs))
     order = [i for k in names for i in range(6) if langs[i] == k]
     sets = [grams(t) for t in texts]
@@ -531,3 +531,14 @@ def test_top_k_beyond_exact_floats_and_with_clashing_columns(spark):
     assert {tuple(r) for r in mtree.search(df, 5, 50).collect()} == expected and -best[0][0] > 2**53
     with pytest.raises(ValueError):
         mtree.search(spark.createDataFrame([(0, [1e8])], "vec_id long, embedding array<double>"))
+
+
+def test_all_columns_kept_beside_clashing_names(odd):
+    """By default all columns stay; those named like a result are replaced, others named like inner columns are not disturbed."""
+    more = odd.withColumns({"_text": F.lit(1), "Text_": F.lit("x"), "predicted": F.lit("p"), "key": F.lit(2)})
+    named = langid.identify(more, langid.fit(more))
+    assert named.columns == [c for c in more.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"] and named.count() == odd.count()
+    scored = toxicity.score(more, toxicity.fit(more, more.selectExpr("doc_id", "1 AS toxic", "1 AS quality")))
+    assert scored.columns == [c for c in more.columns if c not in ("score", "predicted")] + ["score", "predicted"] and scored.where("key = 2").count() == odd.count()
+    mixed = mixing.mix(more, more.selectExpr("doc_id", "0 AS toxic", "1 AS quality"), keep=["doc_id", "key"])
+    assert mixed.columns[:2] == ["doc_id", "key"] and mixed.where("key = 2").count() == odd.count()
