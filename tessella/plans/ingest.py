@@ -128,7 +128,7 @@ _HASHED = """, tk AS (SELECT doc_id, chunk_id, CAST('0x' || substr(md5(t), 1, 8)
 sl AS (SELECT doc_id, chunk_id, slot, count(*) AS n FROM tk GROUP BY ALL), nm AS (SELECT doc_id, chunk_id, map_from_entries(list((slot, n))) AS m, sqrt(sum(n * n)) AS norm FROM sl GROUP BY 1, 2)"""
 
 
-@query("embed_batch", f"WITH {_CHUNKS}{_HASHED} SELECT doc_id, chunk_id, list_transform(range(0, 64), lambda i : round(coalesce(m[i], 0) / norm, 4)::DOUBLE) AS embedding FROM nm")
+@query("embed_batch", f"WITH {_CHUNKS}{_HASHED} SELECT doc_id, chunk_id, list_transform(range(0, 64), lambda i : round((coalesce(m[i], 0) / norm)::FLOAT::DOUBLE, 4)) AS embedding FROM nm")
 def _(s, d):
     chunks = corpus.embedding_text(corpus.chunk_documents(md_docs(s, d))).select("doc_id", "chunk_id", "embedding_text")
     return corpus.embed_batch(chunks, corpus.hash_encoder).select("doc_id", "chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
