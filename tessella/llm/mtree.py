@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -262,17 +262,22 @@ def _slices(trees: DataFrame, width: int) -> Iterator[Roots]:
             yield Roots(rows, width)
 
 
-def _at_home(queries: DataFrame, roots: list[Broadcast], width: int) -> DataFrame:
-    """(qkey, vec_id, v, tree): each query with the tree of the nearest root."""
+def _by_slice(trees: DataFrame, width: int, use: Callable[[Broadcast], DataFrame], name: str, held: Scratch) -> DataFrame:
+    """use(roots) for every slice of roots, one slice sent at a time."""
+    parts = []
+    for roots in _slices(trees, width):
+        sent = trees.sparkSession.sparkContext.broadcast(roots)
+        parts.append(held.keep(use(sent), name))
+        sent.destroy()
+    return reduce(DataFrame.union, parts)
 
-    def nearest(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = held.value.distances(_matrix(batch.column("v"), width))
-            best = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.tree[best]), pa.array(d[np.arange(len(d)), best])], names=[*batch.schema.names, "tree", "gap"])
 
-    each = [queries.mapInArrow(lambda it, h=h: nearest(it, h), "qkey long, vec_id long, v array<long>, tree long, gap double") for h in roots]
-    return reduce(DataFrame.union, each).groupBy("qkey", "vec_id", "v").agg(F.min_by("tree", F.struct("gap", "tree")).alias("tree"))
+def _nearest(batches: Iterator[pa.RecordBatch], held: Broadcast, width: int) -> Iterator[pa.RecordBatch]:
+    """Queries with the tree of the nearest root and its distance."""
+    for batch in batches:
+        d = held.value.distances(_matrix(batch.column("v"), width))
+        best = d.argmin(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.tree[best]), pa.array(d[np.arange(len(d)), best])], names=[*batch.schema.names, "tree", "gap"])
 
 
 def _pack(group: pa.Table, width: int) -> pa.Table:
@@ -350,9 +355,9 @@ def _top(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: str, h
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     trees = held.keep(build(rows, width, most, count), "trees")
-    roots = [spark.sparkContext.broadcast(r) for r in _slices(trees, width)]
     queries = rows.where(F.col("vec_id") % every == 0).distinct().select(F.xxhash64("vec_id", "v").alias("qkey"), "vec_id", "v")
-    home = held.keep(_at_home(queries, roots, width), "home")
+    home = _by_slice(trees, width, lambda r: queries.mapInArrow(lambda it: _nearest(it, r, width), "qkey long, vec_id long, v array<long>, tree long, gap double"), "nearest", held)
+    home = home.groupBy("qkey", "vec_id", "v").agg(F.min_by("tree", F.struct("gap", "tree")).alias("tree"))
     sizes = home.groupBy("tree").agg(F.expr(f"cast(ceil(count(*) / {QUERY_BLOCK}) AS long)").alias("parts"))
     dealt = home.join(sizes, "tree").withColumn("part", F.pmod(F.col("qkey"), F.col("parts")))
     packed = dealt.select("tree", "part", "qkey", "vec_id", "v").groupBy("tree", "part").applyInArrow(lambda t: _pack(t, width), "tree long, part long, qkeys binary, query_ids binary, qv binary")
@@ -360,9 +365,9 @@ def _top(vectors: DataFrame, k: int, every: int, id_col: str, vector_col: str, h
     started = held.keep(started, "started")
     hits = started.select(F.inline(F.arrays_zip("a", "b", "c", "d"))).toDF("qkey", "query_id", "vec_id", "score")
     blocks = started.select("tree", "part", "qkeys", "query_ids", "qv", "bounds")
-    wants = reduce(DataFrame.union, [blocks.mapInArrow(lambda it, h=h: _reachable(it, h, width), "tree long, home long, part long, qkeys binary, query_ids binary, qv binary, bounds binary") for h in roots])
+    wants = _by_slice(trees, width, lambda r: blocks.mapInArrow(lambda it: _reachable(it, r, width), "tree long, home long, part long, qkeys binary, query_ids binary, qv binary, bounds binary"), "wants", held)
     groups = max(1, -(-blocks.count() // BLOCKS_A_GROUP))
-    wants = held.keep(wants.withColumn("grp", F.pmod(F.xxhash64("home", "part"), F.lit(groups))).drop("home", "part"), "wants")
+    wants = wants.withColumn("grp", F.pmod(F.xxhash64("home", "part"), F.lit(groups))).drop("home", "part")
     meet = wants.select("tree", "grp").distinct().join(trees, "tree").unionByName(wants, allowMissingColumns=True)
     more = meet.groupBy("tree", "grp").applyInArrow(lambda key, t: _second(key, t, width, most, k), _HITS)
     order = W.partitionBy("qkey", "query_id").orderBy(F.desc("score"), "vec_id")
