@@ -25,7 +25,7 @@ ORDER = 3
 BITS = 16  # n-grams are told apart by so many hash bits
 SAMPLE_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 40
-CHOICE_PARTS = 256
+CHOICE_PARTS = (1024, 16, 1)  # groups of a language, one choice after another
 RIDGE = 0.05
 SHARPNESS = 8.0
 UNDETERMINED = "und"
@@ -140,12 +140,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, modulus, remainder)).where(F.col(text_col).rlike(r"\p{L}"))
     named = usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    # rows equal in id and text are one choice; the choice holds no text; first the best of each part, so a common language is many groups
-    chosen = named.select("lang", "id", "hash").distinct().withColumn("part", F.pmod(F.xxhash64("hash", "id"), F.lit(CHOICE_PARTS)))
-    for group in (["lang", "part"], ["lang"]):
-        place = F.row_number().over(W.partitionBy(*group).orderBy(F.xxhash64("id"), "id", "hash"))
-        chosen = chosen.withColumn("rank", place).where(F.col("rank") <= per_language)
-    chosen = chosen.drop("part").toDF("_lang", "_id", "_hash", "rank")
+    # rows equal in id and text are one choice; the choice holds no text; the best of many parts meet in few, then in one
+    chosen = named.select("lang", "id", "hash").distinct()
+    for parts in CHOICE_PARTS:
+        group = W.partitionBy("lang", F.pmod(F.xxhash64("hash", "id"), F.lit(parts)))
+        chosen = chosen.withColumn("rank", F.row_number().over(group.orderBy(F.xxhash64("id"), "id", "hash"))).where(F.col("rank") <= per_language)
+    chosen = chosen.toDF("_lang", "_id", "_hash", "rank")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang"))
     sample = named.join(F.broadcast(chosen), same).select("lang", "text", "rank").mapInArrow(_packed_presence, "lang string, rank int, bits binary")  # per_language rows a language
     got = sample.dropDuplicates(["lang", "rank"]).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
