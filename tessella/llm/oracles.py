@@ -79,4 +79,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, r::INT AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-SQL = {"op9_exact_top_k": OP9, "op10_decontaminate": OP10, "op3_interleave": OP3, "op4_near_duplicates": OP4}
+OP11 = r"""
+WITH p AS (
+  SELECT page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url, coalesce(html, '') AS payload, (((coalesce(page_id, 0) % 3155760000) + 3155760000) % 3155760000)::BIGINT AS s FROM pages),
+d AS (
+  SELECT page_id, url, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS h,
+         strftime(TIMESTAMP '2024-01-01' + to_seconds(s), '%Y-%m-%dT%H:%M:%SZ') AS captured_at,
+         regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^[a-z][a-z0-9+.-]*://([^/?@]*@)?', '') AS bare FROM p),
+k AS (
+  SELECT *, array_to_string(list_transform(range(0, 8), lambda i : array_to_string(list_transform([15, 10, 5, 0],
+           lambda b : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * i + 1)::INT, 5))::INT >> b) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+         regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www[0-9]*[.]|:(80|443)$', '', 'g') AS host, regexp_replace(bare, '^[^/?]*', '') AS rest FROM d),
+u AS (SELECT *, CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END AS url_key FROM k),
+f AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id, url) AS nth, first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id, url) AS first_id FROM u)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first_id END AS refers_to,
+       url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS slot, row_number() OVER (PARTITION BY url_key ORDER BY captured_at, page_id) - 1 AS capture, true AS intact
+FROM f
+"""
+
+
+def _product_codes(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out one by one; all sums of whole numbers are exact in DOUBLE."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, k, x, min([xx + cc - 2 * list_inner_product(x, c), e]) AS m FROM p JOIN c{r} USING (k) GROUP BY ALL)"""
+    mean = ", ".join(f"floor(sum(x[{j + 1}]) / count(*))" for j in range(width))
+    step = f"""n{{r}} AS (SELECT k, m[2] AS e, [{mean}] AS c FROM a{{r}} GROUP BY 1, 2),
+c{{s}} AS MATERIALIZED (SELECT k, e, c, list_inner_product(c, c) AS cc FROM (SELECT k, e, coalesce(n{{r}}.c, c{{r}}.c) AS c FROM c{{r}} LEFT JOIN n{{r}} USING (k, e)))"""
+    each = ",\n".join(f"{near.format(r=r)},\n{step.format(r=r, s=r + 1)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x : floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, x, list_inner_product(x, x) AS xx FROM (SELECT vec_id, k, v[k * {width} + 1 : k * {width} + {width}] AS x FROM v, range({parts}) r(k))),
+c0 AS MATERIALIZED (
+  SELECT k, (row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1)::DOUBLE AS e, x AS c, xx AS cc FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})),
+{each},
+{near.format(r=rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', m[2]::INT), '' ORDER BY k) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY 1),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x : x::BIGINT), ','), ',' ORDER BY k, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN v USING (vec_id), book
+"""
+
+
+SQL = {"op11_capture_history": OP11, "op13_vector_codes": _product_codes(), "op9_exact_top_k": OP9, "op10_decontaminate": OP10, "op3_interleave": OP3, "op4_near_duplicates": OP4}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import decontam, langid, lm, mixing, mtree, neardup, pii, sharding, tokencount, toxicity
+from tessella.llm import decontam, langid, lm, mixing, mtree, neardup, pii, runs, sharding, tokencount, toxicity, vectorcodes, warc
 from tessella.llm.common import table
 
 
@@ -49,4 +50,17 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-QUERIES = {"op9_exact_top_k": op9_exact_top_k, "op1_mixing": op1_mixing, "op5_section_tokens": op5_section_tokens, "op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
+def op11_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_history(table(spark, sf_dir, "pages"))
+    return found.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to_page").alias("refers_to"), "url_key", F.col("at").alias("captured_at"), "slot", "capture", "intact")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op11_capture_history": op11_capture_history, "op12_periodic_runs": op12_periodic_runs, "op13_vector_codes": op13_vector_codes, "op9_exact_top_k": op9_exact_top_k, "op1_mixing": op1_mixing, "op5_section_tokens": op5_section_tokens, "op7_personal_data": op7_personal_data, "op6_toxicity": op6_toxicity, "op2_identify_language": op2_identify_language, "op8_gru_scores": op8_gru_scores, "op10_decontaminate": op10_decontaminate, "op3_interleave": op3_interleave, "op4_near_duplicates": op4_near_duplicates}
