@@ -78,12 +78,11 @@ def _record_id(run: str, page_id: Column, url: Column, at: Column, digest: Colum
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(d, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
 
-def _record(mark: str, fields: dict[str, Column], http: Column, payload: Column) -> Column:
-    """One record less its last line feed, which the writer of lines adds."""
-    block = F.concat(http, F.lit(2 * CRLF), payload)
+def _record(mark: str, fields: dict[str, Column], http: Column, payload: Column, size: Column) -> Column:
+    """One record, whose payload has size bytes, less its last line feed, which the writer of lines adds."""
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in fields.items()]
-    head = F.concat_ws(CRLF, *lines, F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
-    return F.concat(F.lit(mark), head, F.lit(2 * CRLF), block, F.lit(CRLF + "\r")).alias("value")
+    head = F.concat_ws(CRLF, *lines, F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), (F.octet_length(http) + size + len(2 * CRLF)).cast("string")))
+    return F.concat(F.lit(mark), head, F.lit(2 * CRLF), http, F.lit(2 * CRLF), payload, F.lit(CRLF + "\r")).alias("value")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, records: int = RECORDS_A_FILE, compression: str = "gzip") -> None:
@@ -122,8 +121,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, records: int = R
             "WARC-Refers-To-Date": F.col("first_at"), "X-Refers-To-Page-Id": F.col("first_id").cast("string"),
         }
         own_copy = F.when(F.col("bytes") < least, F.monotonically_increasing_id() + 1).otherwise(0)  # short payloads that are repeated whole are responses each
-        full = responses.withColumn("copy", own_copy).select(_record(mark, fields("response", F.col("copy")), http, F.col("payload")))
-        empty = revisits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(_record(mark, fields("revisit", F.col("copy")) | refers, http, F.lit("")))
+        full = responses.withColumn("copy", own_copy).select(_record(mark, fields("response", F.col("copy")), http, F.col("payload"), F.col("bytes")))
+        empty = revisits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(_record(mark, fields("revisit", F.col("copy")) | refers, http, F.lit(""), F.lit(0)))
         full.unionByName(empty).write.option("compression", compression).option("maxRecordsPerFile", records).text(f"{path}/archives")
         spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.json(f"{path}/manifest")
 
@@ -140,9 +139,11 @@ def read_records(spark: SparkSession, path: str, mark: str | None = None) -> Dat
         mark = spark.read.schema("mark string").json(f"{path}/manifest").first()["mark"]
         path = f"{path}/archives"
     lines = spark.read.option("lineSep", mark).text(path).where("value <> ''").select("value", F.col("_metadata.file_path").alias("archive"))
-    parts = lines.select("archive", F.split("value", 2 * CRLF, 3).alias("p"), (F.octet_length("value") + len(mark)).cast("long").alias("size"))
-    head, http, rest = F.col("p")[0], F.try_element_at("p", F.lit(2)), F.try_element_at("p", F.lit(3))
-    payload = F.left(rest, F.greatest(F.length(rest) - len(2 * CRLF), F.lit(0)))
+    heads = F.substring_index("value", 2 * CRLF, 2)  # headers of the record and of the response; what follows is cut as bytes
+    parts = lines.select("archive", "value", heads.alias("heads"), F.octet_length("value").cast("long").alias("length"), F.octet_length(heads).cast("long").alias("at"))
+    head, http = F.substring_index("heads", 2 * CRLF, 1), F.when(F.contains("heads", F.lit(2 * CRLF)), F.substring_index("heads", 2 * CRLF, -1))
+    rest = F.col("length") - F.col("at") - 2 * len(2 * CRLF)
+    payload = F.when(rest >= 0, F.substring(F.col("value").cast("binary"), (F.col("at") + len(2 * CRLF) + 1).cast("int"), rest.cast("int"))).cast("string")
 
     def field(name: str, of: Column = head) -> Column:
         found = F.regexp_extract(of, f"(?i)(?:^|{CRLF}){name}:[ \\t]*([^\r\n]*)", 1)
@@ -152,7 +153,7 @@ def read_records(spark: SparkSession, path: str, mark: str | None = None) -> Dat
         field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("X-Page-Id").try_cast("long").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("at"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("digest"), field("Content-Length", http).try_cast("long").alias("bytes"), field("WARC-Refers-To").alias("refers_to"),
         field("X-Refers-To-Page-Id").try_cast("long").alias("refers_to_page"), field("Content-Length").try_cast("long").alias("_length"), payload.alias("payload"),
-        (F.octet_length(http) + F.octet_length(rest)).cast("long").alias("_block"), "archive", "size",
+        (F.octet_length(http) + len(2 * CRLF) + rest).alias("_block"), "archive", (F.col("length") + len(mark)).alias("size"),
     )
     whole = (F.col("_length") == F.col("_block")) & ((F.col("record_type") != "response") | ((F.octet_length("payload") == F.col("bytes")) & (base32_sha1(F.col("payload")) == F.col("digest"))))
     shown = F.when(F.col("record_type") != "revisit", F.col("payload"))
