@@ -189,10 +189,15 @@ _KEY = """sha256('{"model":"m' || (k % 2) || '","system":"' || event_type || '",
 _ASKS = f"asks AS (SELECT event_id AS request_id, epoch(ts)::DOUBLE AS seconds, {_KEY} AS key FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events))"
 
 
-def _asks(s: SparkSession, d: str) -> DataFrame:
-    rows = read_table(s, d, "events").withColumn("k", F.expr(fx.TOPIC_K))
+def asks_of(events: DataFrame) -> DataFrame:
+    """events with request_id, seconds and key of the cache request that each stands for."""
+    rows = events.withColumn("k", F.expr(fx.TOPIC_K))
     parts = {"template": F.expr("'t' || (k % 10)"), "version": F.lit("v1"), "system": F.col("event_type"), "temperature": F.lit("0.2"), "model": F.expr("'m' || (k % 2)")}
-    return rows.select(F.col("event_id").alias("request_id"), F.expr("unix_micros(cast(ts AS timestamp)) / 1000000D").alias("seconds"), jobs.response_cache_key(parts).alias("key"))
+    return rows.withColumns({"request_id": F.col("event_id"), "seconds": F.expr("unix_micros(cast(ts AS timestamp)) / 1000000D"), "key": jobs.response_cache_key(parts)})
+
+
+def _asks(s: SparkSession, d: str) -> DataFrame:
+    return asks_of(read_table(s, d, "events")).select("request_id", "seconds", "key")
 
 
 @query("response_cache_key", f"WITH {_ASKS} SELECT request_id, key FROM asks")
@@ -200,13 +205,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _asks(s, d).select("request_id", "key")
 
 
-@query(
-    "cache_hits_ttl",
-    f"""WITH {_ASKS}, lists AS (SELECT key, list({{'at': seconds, 'id': request_id}} ORDER BY seconds, request_id) AS asked FROM asks GROUP BY 1),
-folded AS (SELECT key, list_reduce(list_concat([{{'w': -1e18::DOUBLE, 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}}], list_transform(asked, lambda x : {{'w': x.at, 'out': [{{'id': x.id, 'hit': false}}]::STRUCT(id BIGINT, hit BOOLEAN)[]}})),
-  lambda acc, x : CASE WHEN x.w - acc.w < 86400 THEN {{'w': acc.w, 'out': list_append(acc.out, {{'id': x.out[1].id, 'hit': true}})}} ELSE {{'w': x.w, 'out': list_append(acc.out, {{'id': x.out[1].id, 'hit': false}})}} END) AS f FROM lists)
-SELECT key, o.id AS request_id, o.hit AS hit FROM (SELECT key, unnest(f.out) AS o FROM folded)""",
-)
+CACHE_SQL = """lists AS (SELECT key, list({'at': seconds, 'id': request_id} ORDER BY seconds, request_id) AS asked FROM asks GROUP BY 1),
+folded AS (SELECT key, list_reduce(list_concat([{'w': -1e18::DOUBLE, 'out': []::STRUCT(id BIGINT, hit BOOLEAN)[]}], list_transform(asked, lambda x : {'w': x.at, 'out': [{'id': x.id, 'hit': false}]::STRUCT(id BIGINT, hit BOOLEAN)[]})),
+  lambda acc, x : CASE WHEN x.w - acc.w < 86400 THEN {'w': acc.w, 'out': list_append(acc.out, {'id': x.out[1].id, 'hit': true})} ELSE {'w': x.w, 'out': list_append(acc.out, {'id': x.out[1].id, 'hit': false})} END) AS f FROM lists),
+folded_hits AS (SELECT key, o.id AS request_id, o.hit AS hit FROM (SELECT key, unnest(f.out) AS o FROM folded))"""
+
+
+@query("cache_hits_ttl", f"WITH {_ASKS}, {CACHE_SQL} SELECT key, request_id, hit FROM folded_hits")
 def _(s: SparkSession, d: str) -> DataFrame:
     return jobs.cache_hits_ttl(_asks(s, d))
 

@@ -1,19 +1,18 @@
-"""Streaming forms of the batch operators, with the same results on the same input."""
+"""Streaming forms of the batch operators, with the same results on the same input in whatever batches it comes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.operators.learners import ABILITY_STEP, FIRST_MASTERY, MASTERY_STEP, OFFSETS, WEAK
+from tessella.operators.jobs import CACHE_SECONDS
 from tessella.sources.tables import is_folder, path_exists
+from tessella.streaming.ordered import CacheState, LearnerState
 
-_STATE = "ability double, topics array<string>, mastery array<double>"
-_OUT = "user_id long, event_id long, ability double, mastery double, next_topic string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -25,35 +24,50 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run all input there is and append each batch, with its number, to a Parquet table; a replayed batch replaces itself."""
+@contextmanager
+def _state_store(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, in so many partitions (fixed by a checkpoint's first start)."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": _ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Run all input there is and append each batch, with its number, to a Parquet table; a replayed batch replaces itself.
+
+    Started again with the same checkpoint it goes on after the last batch that was finished, with the state of then.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(lambda b, i: keep(b.drop("batch"), i)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with _state_store(stream.sparkSession, partitions):
+        running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
 
 
-def _learn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ability, topics, mastery = state.get if state.exists else (0.0, [], [])
-    known = dict(zip(topics, mastery))
-    rows = pd.concat(list(batches)).sort_values(["created_at", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        seen = float(r.correct)
-        expected = 1 / (1 + 2.718281828459045 ** -(ability - OFFSETS.get(str(r.difficulty).upper(), 0.0)))
-        ability = max(-3.0, min(3.0, ability + ABILITY_STEP * (seen - expected)))
-        now = known.get(r.topic, FIRST_MASTERY)
-        known[r.topic] = max(0.0, min(1.0, now + MASTERY_STEP * (seen - now)))
-        weak = [(m, t) for t, m in known.items() if m < WEAK]
-        out.append((key[0], r.event_id, ability, known[r.topic], min(weak)[1] if weak else None))
-    state.update((ability, list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+def _tick(rows: DataFrame) -> Column:
+    return F.coalesce(F.col("tick"), F.lit(False)) if "tick" in rows.columns else F.lit(False)
 
 
-def stream_learner_state(graded: DataFrame) -> DataFrame:
-    """Each graded attempt with the learner's state after it; state is kept for each user."""
-    return graded.groupBy("user_id").applyInPandasWithState(_learn, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_learner_state(graded: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(user_id, event_id, at, ability, mastery, next_topic) of each graded attempt, at in microseconds, as learners.ability_trace and
+    mastery_trace have them up to it.
+
+    Attempts may come late by up to delay and in any batches: they wait for the watermark and are folded in the order of
+    created_at and event_id. Later ones are left out (Spark counts them). Rows whose column tick is true only move the
+    clock. A null answer counts as wrong, a null topic as ''; rows without a user or a time take no part.
+    """
+    rows = graded.withColumn("tick", _tick(graded)).where("user_id IS NOT NULL").withWatermark("created_at", delay).where("created_at IS NOT NULL")
+    rows = rows.select("user_id", "created_at", F.unix_micros("created_at").alias("at"), F.col("event_id").alias("id"), "topic", "difficulty", F.coalesce("correct", F.lit(False)).alias("correct"), "tick")
+    out = "user_id long, event_id long, at long, ability double, mastery double, next_topic string"
+    return rows.groupBy("user_id").transformWithStateInPandas(LearnerState(), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def stream_job_state(events: DataFrame) -> DataFrame:
@@ -68,7 +82,7 @@ def latest_of(batches: DataFrame, key: str) -> DataFrame:
     return batches.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select(key, "r.*")
 
 
-def stream_ingest(sources: DataFrame, store: str, checkpoint: str, chunk) -> None:
+def stream_ingest(sources: DataFrame, store: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame]) -> None:
     """New sources, less those whose pdf_name the store has, chunked by chunk(df) and stored; exactly once through the checkpoint."""
 
     def take(batch: DataFrame, number: int) -> None:
@@ -82,6 +96,13 @@ def stream_ingest(sources: DataFrame, store: str, checkpoint: str, chunk) -> Non
     sources.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_cache_dedupe(requests: DataFrame, ttl: str = "86400 seconds") -> DataFrame:
-    """The first request of each key within ttl of event time; an approximation of jobs.cache_hits_ttl at expiry."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+def stream_cache_dedupe(requests: DataFrame, ttl: int = CACHE_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """(key, request_id, at, hit) of each request (key, request_id, ts), at in microseconds, as jobs.cache_hits_ttl has it by event time.
+
+    A miss writes; its state is forgotten by a timer when the watermark is ttl seconds past the write. Requests may come
+    late by up to delay, in any batches; later ones are left out. Rows whose column tick is true only move the clock.
+    Rows without a key or a time take no part.
+    """
+    rows = requests.withColumn("tick", _tick(requests)).where("key IS NOT NULL").withWatermark("ts", delay).where("ts IS NOT NULL")
+    rows = rows.select("key", "ts", F.unix_micros("ts").alias("at"), F.col("request_id").alias("id"), "tick")
+    return rows.groupBy("key").transformWithStateInPandas(CacheState(ttl * 1_000_000), outputStructType="key string, request_id long, at long, hit boolean", outputMode="Append", timeMode="EventTime")
