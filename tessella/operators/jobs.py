@@ -11,10 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators.learners import newest
+from tessella.sources.tables import small_side
 
 #: fixed percent of each known stage
 STAGE_PERCENT = {"queued": 5, "retrieval": 15, "script": 30, "scenes": 45, "speech": 60, "slides": 78, "assembly": 92, "done": 100}
 CACHE_SECONDS = 86_400
+BUSY_REQUESTS = 100_000  # a key with more is cut at gaps
 
 
 def job_latest_state(events: DataFrame) -> DataFrame:
@@ -73,28 +75,47 @@ def response_cache_key(parts: dict[str, Column]) -> Column:
 
 
 def _fold_cache(batches: Iterator[pa.RecordBatch], ttl: int) -> Iterator[pa.RecordBatch]:
-    """Hits of requests sorted by key and time; from a write the next one is found by search, and carried over batches."""
-    key, written = None, -np.inf
+    """Hits of requests sorted by key, piece and time; from a write the next one is found by search, and carried over batches."""
+    piece, written = None, -np.inf
     for batch in batches:
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        keys, pieces = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "piece"))
         at = batch.column("seconds").to_numpy()
         hit = np.ones(len(at), bool)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(at)]
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (pieces[1:] != pieces[:-1])) + 1).tolist(), len(at)]
         for lo, hi in zip(edges, edges[1:]):
             if lo == hi:
                 continue
-            if keys[lo] != key:
-                key, written = keys[lo], -np.inf
+            if (keys[lo], pieces[lo]) != piece:
+                piece, written = (keys[lo], pieces[lo]), -np.inf
             i = lo
             while (i := i + int(np.searchsorted(at[i:hi] - written, ttl, side="left"))) < hi:
                 hit[i], written = False, at[i]
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("request_id"), pa.array(hit)], names=["key", "request_id", "hit"])
 
 
-def cache_hits_ttl(requests: DataFrame, ttl: int = CACHE_SECONDS) -> DataFrame:
+def cache_pieces(requests: DataFrame, ttl: int, busy: int = BUSY_REQUESTS) -> DataFrame:
+    """requests (key, request_id, seconds) with piece: busy keys are cut where no request came for ttl seconds, which restarts their state.
+
+    Requests that far apart lie in different stretches of ttl seconds, so the cuts are found from the first and last request
+    of each stretch. Keys of at most `busy` requests are one piece. The table of stretches is of busy keys only.
+    """
+    rows = requests.select("key", "request_id", "seconds").where("seconds IS NOT NULL")
+    stretch = F.floor(F.col("seconds") / ttl)
+    spans = rows.groupBy("key", stretch.alias("_s")).agg(F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("key").orderBy("_s")
+    spans = spans.withColumn("total", F.sum("n").over(W.partitionBy("key"))).where(F.col("total") > busy)
+    cut = F.coalesce((F.col("lo") - F.lag("hi").over(order) >= ttl).cast("int"), F.lit(0))
+    places = spans.withColumn("cut", cut).select("key", "_s", F.sum("cut").over(order).alias("piece")).where("piece > 0")
+    named = places.select(F.col("key").alias("_key"), F.col("_s").alias("_at"), F.col("piece").cast("long").alias("_piece"))
+    met = rows.withColumn("_s", stretch).join(small_side(named), F.col("key").eqNullSafe(F.col("_key")) & (F.col("_s") == F.col("_at")), "left")
+    return met.select("key", "request_id", "seconds", F.coalesce("_piece", F.lit(0)).alias("piece"))
+
+
+def cache_hits_ttl(requests: DataFrame, ttl: int = CACHE_SECONDS, busy: int = BUSY_REQUESTS) -> DataFrame:
     """Each request (key, request_id, seconds) as hit or miss: a hit lies within ttl seconds of the last write of its key; only a miss writes.
 
-    A key's requests depend on one another in order, so they pass through one task, in batches, with one number kept.
+    A key's requests depend on one another in order, up to a gap of ttl seconds: pieces between such gaps are folded by
+    different tasks, each in batches with one number kept. Requests without a time take no part.
     """
-    ordered = requests.select("key", "request_id", "seconds").repartition("key").sortWithinPartitions("key", "seconds", "request_id")
+    ordered = cache_pieces(requests, ttl, busy).repartition("key", "piece").sortWithinPartitions("key", "piece", "seconds", "request_id")
     return ordered.mapInArrow(lambda it: _fold_cache(it, ttl), "key string, request_id long, hit boolean")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,11 +36,53 @@ def _offset(difficulty: Column) -> Column:
     return out
 
 
+def _fold_ability(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.RecordBatch]:
+    """Attempts sorted by user and time to (user_id, attempts, ability), or to every attempt with the ability after it.
+
+    Carried from batch to batch: the user, how many attempts were seen and the ability they led to.
+    """
+    user, seen, ability = None, 0, 0.0
+    for batch in batches:
+        users = batch.column("user_id").to_pylist()
+        ids, numbers, values = [], [], []
+        for i, (u, d, obs) in enumerate(zip(users, batch.column("d").to_pylist(), batch.column("obs").to_pylist())):
+            if u != user or not seen:
+                if seen and not each:
+                    ids.append(user)
+                    numbers.append(seen)
+                    values.append(ability)
+                user, seen, ability = u, 0, 0.0
+            seen += 1
+            ability = max(-3.0, min(3.0, ability + ABILITY_STEP * (obs - 1 / (1 + math.exp(d - ability)))))
+            if each:
+                values.append(ability)
+        if each:
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("event_id"), pa.array(values, pa.float64())], names=["user_id", "event_id", "ability"])
+        elif ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("user_id").type), pa.array(numbers, pa.int32()), pa.array(values, pa.float64())], names=["user_id", "attempts", "ability"])
+    if seen and not each:
+        yield pa.RecordBatch.from_arrays([pa.array([user], batch.schema.field("user_id").type), pa.array([seen], pa.int32()), pa.array([ability], pa.float64())], names=["user_id", "attempts", "ability"])
+
+
+def _sorted_steps(graded: DataFrame) -> DataFrame:
+    steps = graded.select("user_id", "created_at", "event_id", _offset(F.col("difficulty")).alias("d"), F.coalesce(F.col("correct"), F.lit(False)).cast("double").alias("obs"))
+    return steps.repartition("user_id").sortWithinPartitions("user_id", "created_at", "event_id")
+
+
 def ability_trace(graded: DataFrame) -> DataFrame:
-    """Final ability of each user: an ordered fold, since each step depends on the last one's clamp; so a learner's attempts (four numbers each) meet in one row."""
-    ordered = graded.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "event_id", _offset(F.col("difficulty")).alias("d"), F.col("correct").cast("double").alias("obs")))).alias("steps"))
-    fold = F.aggregate("steps", F.lit(0.0), lambda a, s: F.greatest(F.lit(-3.0), F.least(F.lit(3.0), a + F.lit(ABILITY_STEP) * (s["obs"] - 1 / (1 + F.exp(-(a - s["d"])))))))
-    return ordered.select("user_id", F.size("steps").alias("attempts"), fold.alias("ability"))
+    """(user_id, attempts, ability): final ability of each user; a null answer counts as wrong.
+
+    Each step depends on the last one's clamp, so a user's attempts go through one task in order, but in batches: three
+    values are carried and no history stands in one row.
+    """
+    kind = graded.schema["user_id"].dataType.simpleString()
+    return _sorted_steps(graded).mapInArrow(lambda it: _fold_ability(it, False), f"user_id {kind}, attempts int, ability double")
+
+
+def ability_history(graded: DataFrame) -> DataFrame:
+    """(user_id, event_id, ability): the ability after every attempt, by the same fold."""
+    kinds = {c: graded.schema[c].dataType.simpleString() for c in ("user_id", "event_id")}
+    return _sorted_steps(graded).mapInArrow(lambda it: _fold_ability(it, True), f"user_id {kinds['user_id']}, event_id {kinds['event_id']}, ability double")
 
 
 def mastery_trace(graded: DataFrame) -> DataFrame:
@@ -44,7 +90,7 @@ def mastery_trace(graded: DataFrame) -> DataFrame:
     order = W.partitionBy("user_id", "topic").orderBy(F.desc("created_at"), F.desc("event_id"))
     weighted = graded.withColumn("age", F.row_number().over(order) - 1)
     keep = 1 - MASTERY_STEP
-    return weighted.groupBy("user_id", "topic").agg((F.lit(FIRST_MASTERY) * F.pow(F.lit(keep), F.count(F.lit(1))) + F.sum(F.lit(MASTERY_STEP) * F.pow(F.lit(keep), "age") * F.col("correct").cast("double"))).alias("mastery"))
+    return weighted.groupBy("user_id", "topic").agg((F.lit(FIRST_MASTERY) * F.pow(F.lit(keep), F.count(F.lit(1))) + F.sum(F.lit(MASTERY_STEP) * F.pow(F.lit(keep), "age") * F.coalesce(F.col("correct"), F.lit(False)).cast("double"))).alias("mastery"))
 
 
 def weak_strong_topics(mastery: DataFrame) -> DataFrame:

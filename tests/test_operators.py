@@ -231,3 +231,25 @@ def test_one_rating_has_no_spread(spark):
     clean = ratings.clean_ratings(spark.createDataFrame([("L", "S", "4", "x", "9")], "listener_id string, sample_id string, naturalness string, clarity string, pacing string"))
     row = ratings.mos_summary(clean, spark.createDataFrame([], "sample_id string, subject string")).where("subject = 'unknown'").first()
     assert (row.n, row["mean"], row.sd) == (1, 4.0, 0.0)
+
+
+def test_ability_of_one_learner_with_very_many_attempts(spark):
+    rows = spark.range(0, 2_000_000, numPartitions=8).select(F.floor(F.col("id") / 1_900_000).alias("user_id"), F.col("id").alias("event_id"), F.col("id").alias("created_at"), F.when(F.col("id") % 3 == 0, "hard").alias("difficulty"), F.when(F.col("id") % 7 != 0, F.col("id") % 2 == 0).alias("correct"))
+    got = {r.user_id: (r.attempts, r.ability) for r in learners.ability_trace(rows).collect()}
+    a = 0.0
+    for i in range(1_900_000):
+        a = max(-3.0, min(3.0, a + 0.3 * ((i % 2 == 0 and i % 7 != 0) - 1 / (1 + math.exp((1.5 if i % 3 == 0 else 0.0) - a)))))
+    assert got[0] == (1_900_000, pytest.approx(a, abs=1e-9)) and got[1][0] == 100_000
+    history = learners.ability_history(rows.where("event_id < 5000")).orderBy("event_id").collect()
+    assert len(history) == 5000 and history[-1].ability == learners.ability_trace(rows.where("event_id < 5000")).first().ability
+    assert learners.ability_trace(rows.where("false")).count() == 0
+
+
+def test_a_busy_cache_key_is_cut_at_gaps(spark):
+    day = jobs.CACHE_SECONDS
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"), F.col("id").alias("request_id"), (F.col("id") * 7.0 + F.floor(F.col("id") / 5_000) * (day + 1) + F.when(F.col("id") % 15_000 == 0, day / 2).otherwise(0)).alias("seconds"))
+    whole = sorted(map(tuple, jobs.cache_hits_ttl(rows).collect()))
+    assert sorted(map(tuple, jobs.cache_hits_ttl(rows, busy=1_000).collect())) == whole
+    pieces = jobs.cache_pieces(rows, day, 1_000).groupBy("key", "piece").count()
+    assert pieces.where("key = 'hot'").count() == 5 and pieces.where("key = 'k1' AND piece > 0").count() == 0
+    assert pieces.agg(F.max("count")).first()[0] <= 5_000
