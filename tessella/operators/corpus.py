@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.sources.tables import path_exists
+from tessella.sources import chunkstore
 
 SKIP_WORDS = "answer|appendix|appendices"
 LEAST_CHARS = 5000
@@ -174,20 +173,27 @@ def keyed_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("embedding IS NOT NULL").withColumn("point_id", F.sha2(F.concat_ws(":", "pdf_name", F.col("chunk_id").cast("string")), 256))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks by subject and class; documents of the batch replace what the partitions they fall in hold of them.
+PARTITIONS = ["subject", "class_level"]
 
-    Only those partitions are read and rewritten, and each is swapped when its new files are complete.
+
+def write_chunks(chunks: DataFrame, path: str) -> str:
+    """Store chunks by subject and class, as one batch that replaces all that the store holds of the batch's documents.
+
+    Documents replace their chunks wherever those lie, also if no chunk of theirs has an embedding now. The batch becomes
+    visible at once, when its files are complete (see sources.chunkstore); what is there already is neither read nor moved.
+    An empty subject or class is read back as null.
     """
-    spark = chunks.sparkSession
-    fresh = keyed_chunks(chunks)
-    if path_exists(spark, path):
-        touched = [(r["subject"], r["class_level"]) for r in fresh.select("subject", "class_level").distinct().collect()]  # one row a partition
-        tests = [F.col("subject").eqNullSafe(F.lit(a)) & F.col("class_level").cast("string").eqNullSafe(F.lit(b)) for a, b in touched]
-        old = spark.read.parquet(path).where(reduce(lambda x, y: x | y, tests, F.lit(False)))
-        kept = old.join(fresh.select("pdf_name").distinct(), "pdf_name", "left_anti").withColumn("class_level", F.col("class_level").cast(fresh.schema["class_level"].dataType))
-        fresh = fresh.unionByName(kept, allowMissingColumns=True)
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "class_level").parquet(path)
+    return chunkstore.commit(keyed_chunks(chunks), chunks, path, "pdf_name", PARTITIONS)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that a store holds now."""
+    return chunkstore.live(spark, path, "pdf_name")
+
+
+def compact_chunks(spark: SparkSession, path: str) -> None:
+    """Rewrite a store as one batch and delete what is replaced."""
+    chunkstore.compact(spark, path, "pdf_name", PARTITIONS)
 
 
 def collection_info(chunks: DataFrame) -> DataFrame:
@@ -195,9 +201,12 @@ def collection_info(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("subject").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("pdf_name").alias("documents"), F.grouping("subject").alias("_g")).select(F.when(F.col("_g") == 1, "All").otherwise(F.col("subject")).alias("subject"), "chunks", "documents")
 
 
-def collection_status(spark: SparkSession, name: str) -> DataFrame:
-    """(collection, exists, points, all_collections) of one collection; a missing one has no points."""
+def collection_status(spark: SparkSession, name: str, prefix: str = "") -> DataFrame:
+    """(collection, exists, points, all_collections) of one collection; a missing one has no points.
+
+    all_collections: sorted names of the catalog's tables that start with prefix.
+    """
     exists = spark.catalog.tableExists(name)
     points = spark.table(name).agg(F.count(F.lit(1)).alias("points")) if exists else spark.range(1).select(F.lit(0).cast("long").alias("points"))
-    names = F.array(*[F.lit(t.name) for t in spark.catalog.listTables()]).cast("array<string>")
+    names = F.array(*[F.lit(n) for n in sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))]).cast("array<string>")
     return points.select(F.lit(name).alias("collection"), F.lit(exists).alias("exists"), "points", names.alias("all_collections"))

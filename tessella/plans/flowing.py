@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import corpus
 from tessella.plans import fixtures as fx
 from tessella.plans import ingest, learning
-from tessella.sources.tables import read_table
+from tessella.sources.tables import read_table, scratch_path
 from tessella.streaming import jobs as stream
 
 QUERIES, SQL = {}, {}
@@ -29,11 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def _place(s: SparkSession, name: str) -> tuple[str, str]:
     """(table path, checkpoint path) in the folder that driver and executors share."""
-    folder = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not s.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = folder or "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    base = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = scratch_path(s, name)
     return f"{base}/table", f"{base}/checkpoint"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import corpus, retrieval
-from tessella.sources.tables import read_table
+from tessella.sources.tables import read_table, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -139,9 +139,16 @@ def _stored(s, d):
     return chunks.withColumn("embedding", F.when(F.col("doc_id") % 10 != 9, F.array(F.lit(1.0))))
 
 
-@query("write_chunks", f"WITH {_CHUNKS}, {_PATHS} SELECT sha256(m.pdf_name || ':' || c.chunk_id) AS point_id, m.subject, m.class_level FROM chunks c JOIN meta m USING (doc_id) WHERE doc_id % 10 <> 9")
+@query("write_chunks", f"WITH {_CHUNKS}, {_PATHS} SELECT sha256(m.pdf_name || ':' || c.chunk_id) AS point_id, nullif(m.subject, '') AS subject, nullif(m.class_level, '') AS class_level FROM chunks c JOIN meta m USING (doc_id) WHERE doc_id % 10 <> 9")
 def _(s, d):
-    return corpus.keyed_chunks(_stored(s, d)).select("point_id", "subject", "class_level")
+    """Stored twice and read back: first with a third of the documents under another subject and with a chunk too many, some of them with embeddings that they lose."""
+    path, now = scratch_path(s, "chunks"), _stored(s, d)
+    changed = F.col("doc_id") % 3 == 0
+    before = now.withColumns({"subject": F.when(changed, "elsewhere").otherwise(F.col("subject")), "embedding": F.when(changed | (F.col("doc_id") % 10 != 9), F.array(F.lit(1.0)))})
+    extra = before.where(changed & (F.col("chunk_id") == 1)).withColumn("chunk_id", F.lit(-1))
+    corpus.write_chunks(before.unionByName(extra), path)
+    corpus.write_chunks(now.where(changed), path)
+    return corpus.read_chunks(s, path).select("point_id", "subject", F.col("class_level").cast("string").alias("class_level"))
 
 
 @query("collection_info", f"WITH {_CHUNKS}, {_PATHS} SELECT coalesce(subject, 'All') AS subject, count(*) AS chunks, count(DISTINCT pdf_name) AS documents FROM chunks JOIN meta USING (doc_id) GROUP BY ROLLUP (subject)")
@@ -149,10 +156,11 @@ def _(s, d):
     return corpus.collection_info(_stored(s, d))
 
 
-@query("collection_status", f"WITH {_CHUNKS}, {_PATHS} SELECT 'textbook_chunks' AS collection, true AS exists, count(*) AS points FROM chunks JOIN meta USING (doc_id) UNION ALL SELECT 'no_such_chunks', false, 0")
+@query("collection_status", f"WITH {_CHUNKS}, {_PATHS}, n AS (SELECT ['textbook_chunks', 'textbook_notes'] AS all_collections) SELECT 'textbook_chunks' AS collection, true AS exists, count(*) AS points, any_value(all_collections) AS all_collections FROM chunks JOIN meta USING (doc_id), n UNION ALL SELECT 'textbook_none', false, 0, all_collections FROM n")
 def _(s, d):
     _stored(s, d).createOrReplaceTempView("textbook_chunks")
-    return corpus.collection_status(s, "textbook_chunks").union(corpus.collection_status(s, "no_such_chunks")).drop("all_collections")
+    s.range(0).createOrReplaceTempView("textbook_notes")
+    return corpus.collection_status(s, "textbook_chunks", "textbook_").union(corpus.collection_status(s, "textbook_none", "textbook_"))
 
 
 _VECTORS = """vec AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, CAST(e.label AS VARCHAR) AS subject, CAST(6 + vec_id % 7 AS VARCHAR) AS class_level, CAST(vec_id % 10 AS VARCHAR) AS chapter_number, 'v' || (vec_id % 25) AS pdf_name, d.text AS content, d.source AS section FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id),

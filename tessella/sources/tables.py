@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,37 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.exists(at) and files.getFileStatus(at).isDirectory()
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    files, at = _path_status(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def move_path(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file or folder to a name that is not taken, in one step where the file system can."""
+    files, at = _path_status(spark, old)
+    to = _path_status(spark, new)[1]
+    if files.exists(to):
+        raise FileExistsError(new)
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"cannot move {old} to {new}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, at = _path_status(spark, path)
+    files.delete(at, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where that is unset, in an own folder on a local master, else an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files with their paths."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

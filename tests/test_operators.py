@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.operators import corpus, grounding, jobs, learners, metrics, outputs, ratings, retrieval, speech, templates, timing
+from tessella.sources import chunkstore
 
 
 def test_sentences_keep_numbers_and_abbreviations(spark):
@@ -166,14 +167,46 @@ def test_top_k_by_numpy(spark):
         assert all(s[got[q, r + 1]] == s[b] for r, b in enumerate(best))
 
 
-def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+def chunk_rows(spark, *rows):
+    return spark.createDataFrame([(n, i, text, v, s, "9") for n, i, text, v, s in rows], "pdf_name string, chunk_id int, content string, embedding array<double>, subject string, class_level string")
+
+
+def stored(spark, path):
+    return sorted((r.pdf_name, r.chunk_id, r.content, r.subject) for r in corpus.read_chunks(spark, path).collect())
+
+
+def test_a_document_that_moves_leaves_nothing_behind(spark, tmp_path):
     path = f"file://{tmp_path}/chunks"
-    row = lambda name, subject, text: spark.createDataFrame([(name, 1, text, [1.0], subject, "9")], "pdf_name string, chunk_id int, content string, embedding array<double>, subject string, class_level string")
-    corpus.write_chunks(row("p", "s", "one").union(row("q", "s", "other")).union(row("r", "u", "far")), path)
-    before = sorted(f.name for f in (tmp_path / "chunks" / "subject=u" / "class_level=9").iterdir())
-    corpus.write_chunks(row("p", "s", "two"), path)
-    assert sorted((r.pdf_name, r.content) for r in spark.read.parquet(path).collect()) == [("p", "two"), ("q", "other"), ("r", "far")]
-    assert before == sorted(f.name for f in (tmp_path / "chunks" / "subject=u" / "class_level=9").iterdir())
+    corpus.write_chunks(chunk_rows(spark, ("p", 1, "one", [1.0], "s"), ("p", 2, "more", [1.0], "s"), ("q", 1, "other", [1.0], "s"), ("r", 1, "far", [1.0], "u")), path)
+    before = sorted(str(f) for f in (tmp_path / "chunks" / "data").rglob("*.parquet"))
+    corpus.write_chunks(chunk_rows(spark, ("p", 1, "two", [1.0], "t"), ("r", 1, "gone", None, "u")), path)
+    assert stored(spark, path) == [("p", 1, "two", "t"), ("q", 1, "other", "s")]
+    assert set(before) < {str(f) for f in (tmp_path / "chunks" / "data").rglob("*.parquet")}
+    corpus.compact_chunks(spark, path)
+    assert stored(spark, path) == [("p", 1, "two", "t"), ("q", 1, "other", "s")]
+    assert len(list((tmp_path / "chunks" / "log").glob("batch_id=*"))) == len(list((tmp_path / "chunks" / "data").glob("batch_id=*"))) == 1
+
+
+def test_a_batch_that_dies_before_its_list_is_never_seen(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/chunks"
+    corpus.write_chunks(chunk_rows(spark, ("p", 1, "one", [1.0], "s"), ("q", 1, "other", [1.0], "s")), path)
+    for dies in ("move_path", None):
+        if dies:
+            monkeypatch.setattr(chunkstore, dies, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            corpus.write_chunks(chunk_rows(spark, ("p", 1, "two", [1.0], "t")), path)
+        except OSError:
+            assert stored(spark, path) == [("p", 1, "one", "s"), ("q", 1, "other", "s")]
+        monkeypatch.undo()
+    assert stored(spark, path) == [("p", 1, "two", "t"), ("q", 1, "other", "s")]
+
+
+def test_filters_on_subject_reach_the_stored_files(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    corpus.write_chunks(chunk_rows(spark, *[(f"d{i}", 1, "x", [1.0], f"s{i % 3}") for i in range(9)]), path)
+    corpus.write_chunks(chunk_rows(spark, ("d0", 1, "y", [1.0], "s1")), path)
+    plan = corpus.read_chunks(spark, path).where("subject = 's1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(subject" in plan and len(corpus.read_chunks(spark, path).where("subject = 's1'").collect()) == 4
 
 
 def test_cache_of_a_hot_key(spark):
@@ -207,14 +240,6 @@ def test_encoder_vectors_are_unit_length(spark):
     assert all(math.isclose(sum(x * x for x in r.embedding), 1, rel_tol=1e-5) for r in rows)
 
 
-def test_stored_chunks_are_replaced(spark, tmp_path):
-    path = f"file://{tmp_path}/chunks"
-    row = lambda text: spark.createDataFrame([("p", 1, text, [1.0], "s", "9")], "pdf_name string, chunk_id int, content string, embedding array<double>, subject string, class_level string")
-    corpus.write_chunks(row("one"), path)
-    corpus.write_chunks(row("two"), path)
-    assert [r.content for r in spark.read.parquet(path).collect()] == ["two"]
-
-
 def test_topk_without_queries_or_chunks(spark):
     none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
     assert retrieval.vector_topk(none, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")).count() == 0
