@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import scratch_path
+
 QUERIES_AT_ONCE = 4096  # query vectors sent to the tasks together
 
 
@@ -31,58 +33,86 @@ def metadata_filter(subject: str | None = None, class_level: str | int | None =
     return out
 
 
-def _block_top(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, k: int, least: float | None) -> Iterator[pa.RecordBatch]:
-    """Local top-k of every query over the batches of a task, by block matrix products; only scores that can still count are sorted."""
-    who, which, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    floor = np.full(len(ids), -np.inf if least is None else least)
-    for batch in batches:
-        chunk = np.asarray(batch.column(0))
-        v = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-        v = v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-300)[:, None]
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of length 1; a vector of zeros stays one."""
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    largest = np.abs(v).max(axis=1, initial=0)[:, None]
+    v = v / np.where(largest > 0, largest, 1)  # squares of very large and very small components stay in range
+    return v / np.where(largest > 0, np.sqrt((v * v).sum(axis=1))[:, None], 1)
+
+
+class LocalTop:
+    """Top-k of every query (ids and rows of one length) over the blocks of a task, by block matrix products; only scores that can still count are sorted."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: float | None):
+        self.ids, self.q, self.k, self.every = ids, q, k, np.arange(len(ids))
+        self.who, self.which, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(ids), -np.inf if least is None else least)
+
+    def add(self, batch: pa.RecordBatch, asked: np.ndarray | None = None) -> None:
+        """Rows (chunk_id, embedding) that the queries at the places `asked`, or all, meet if they are of the same length."""
+        asked = self.every if asked is None else asked
+        same = np.flatnonzero(batch.column(1).value_lengths().to_numpy(zero_copy_only=False) == self.q.shape[1])
+        if not len(same) or not len(asked):
+            return
+        batch = batch if len(same) == batch.num_rows else batch.take(pa.array(same))
+        chunk, v = np.asarray(batch.column(0)), unit_rows(batch.column(1))
         for at in range(0, len(v), 2048):
-            s = q @ v[at : at + 2048].T
-            if s.shape[1] > k:
-                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
-            rows, columns = np.nonzero(s >= floor[:, None])
-            who, which, score = np.concatenate([who, rows]), np.concatenate([which, chunk[at + columns]]), np.concatenate([score, s[rows, columns]])
+            s = self.q[asked] @ v[at : at + 2048].T
+            if s.shape[1] > self.k:
+                self.floor[asked] = np.maximum(self.floor[asked], np.partition(s, -self.k, axis=1)[:, -self.k])
+            rows, columns = np.nonzero(s >= self.floor[asked][:, None])
+            who, which, score = np.concatenate([self.who, asked[rows]]), np.concatenate([self.which, chunk[at + columns]]), np.concatenate([self.score, s[rows, columns]])
             order = np.lexsort((which, -score, who))
             who, which, score = who[order], which[order], score[order]
             place = np.arange(len(who)) - np.searchsorted(who, who)
-            who, which, score, place = (x[place < k] for x in (who, which, score, place))
-            floor[who[place == k - 1]] = np.maximum(floor[who[place == k - 1]], score[place == k - 1])
-    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(which), pa.array(score)], names=["query_id", "chunk_id", "score"])
+            full = place == self.k - 1
+            self.floor[who[full]] = np.maximum(self.floor[who[full]], score[full])
+            self.who, self.which, self.score = (x[place < self.k] for x in (who, which, score))
 
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.who]), pa.array(self.which), pa.array(self.score)], names=["query_id", "chunk_id", "score"])
 
-def _usable(rows: DataFrame, key: str, width: int) -> DataFrame:
+
+def _block_top(batches: Iterator[pa.RecordBatch], queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: float | None) -> Iterator[pa.RecordBatch]:
+    """Top-k of queries (ids and rows of one length each) over all batches of a task."""
+    tops = [LocalTop(ids, q, k, least) for ids, q in queries]
+    for batch in batches:
+        for top in tops:
+            top.add(batch)
+    for top in tops:
+        yield top.batch()
+
+
+def finite(rows: DataFrame, key: str) -> DataFrame:
+    """rows with a key and a vector without null and non-finite components."""
     v = F.col("embedding")
-    return rows.where(F.col(key).isNotNull() & (F.size(v) == width) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).select(key, "embedding")
+    return rows.where(F.col(key).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, score_threshold: float | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k nearest chunks by cosine; ties go to the smaller chunk id.
 
     Chunks (chunk_id, embedding) stay where they are: tasks keep k rows for each query, and only those are shuffled.
-    Queries (query_id, embedding) go out in slices of QUERIES_AT_ONCE, so their number is not bounded by memory.
-    Rows with a null id, with a null vector or one holding null or non-finite components, or of another length than the
-    longest query vector take no part; a vector of zeros scores 0 with everything.
+    Queries (query_id, embedding) of up to QUERIES_AT_ONCE are met in one scan; for more, chunks are indexed in pages first
+    and a slice reads the pages that it needs only (see operators.vectorpages). Vectors meet those of their own length.
+    Rows with a null id, with a null vector or one holding null or non-finite components take no part; a vector of zeros
+    scores 0 with everything.
     """
     spark = chunks.sparkSession
-    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
-    chunks, queries = _usable(chunks, "chunk_id", width), _usable(queries, "query_id", width)
-    n = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    found = None
-    for turn in range(n):
-        rows = queries.where(part == turn).toArrow()
-        if not rows.num_rows:
-            continue
-        q = np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
-        q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-        held = spark.sparkContext.broadcast((np.asarray(rows.column("query_id").combine_chunks()), q))
-        got = chunks.mapInArrow(lambda it, h=held: _block_top(it, *h.value, k, score_threshold), "query_id long, chunk_id long, score double")
-        found = got if found is None else found.union(got)
-    if found is None:
+    chunks, queries = finite(chunks, "chunk_id").select("chunk_id", "embedding"), finite(queries, "query_id").select("query_id", "embedding")
+    rows = queries.where("size(embedding) > 0").limit(QUERIES_AT_ONCE + 1).toArrow()
+    if rows.num_rows > QUERIES_AT_ONCE:
+        from tessella.operators import vectorpages  # it builds on this module
+
+        return vectorpages.search(vectorpages.build(chunks, scratch_path(spark, "pages")), queries, k, score_threshold)
+    if not rows.num_rows:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+    ids, vectors = rows.column("query_id").combine_chunks(), rows.column("embedding").combine_chunks()
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    each = [np.flatnonzero(sizes == w) for w in np.unique(sizes)]
+    held = spark.sparkContext.broadcast([(np.asarray(ids)[at], unit_rows(vectors.take(pa.array(at)))) for at in each])
+    found = chunks.mapInArrow(lambda it: _block_top(it, held.value, k, score_threshold), "query_id long, chunk_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import corpus, retrieval
+from tessella.operators import corpus, retrieval, vectorpages
 from tessella.sources.tables import read_table, scratch_path
 
 QUERIES, SQL = {}, {}
@@ -200,6 +200,14 @@ def _(s, d):
     return _hits(s, d, None, 0.2)[1].select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("vector_topk_paged", "WITH " + _TOP.format(test="c.class_level = '7'", least="WHERE score >= 0.1") + " SELECT query_id, vec_id AS chunk_id, rank, round(score, 4) AS score FROM hits")
+def _(s, d):
+    """Over an index of pages, with a filter on a stored column and a threshold."""
+    chunks, queries = _vectors(s, d)
+    index = vectorpages.build(chunks.select("chunk_id", "class_level", "embedding"), scratch_path(s, "pages"), pivots=32)
+    return vectorpages.search(index, queries, 5, 0.1, retrieval.metadata_filter(class_level="7")).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("scroll_chunks", f"WITH {_VECTORS} SELECT vec_id AS chunk_id, pdf_name FROM c WHERE subject = '1' ORDER BY vec_id LIMIT 5")
 def _(s, d):
     return retrieval.scroll_chunks(_vectors(s, d)[0], retrieval.metadata_filter("1")).select("chunk_id", "pdf_name")

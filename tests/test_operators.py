@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
-from tessella.operators import corpus, grounding, jobs, learners, metrics, outputs, ratings, retrieval, speech, templates, timing
+from tessella.operators import corpus, grounding, jobs, learners, metrics, outputs, ratings, retrieval, speech, templates, timing, vectorpages
 from tessella.sources import chunkstore
 
 
@@ -278,3 +278,45 @@ def test_a_busy_cache_key_is_cut_at_gaps(spark):
     pieces = jobs.cache_pieces(rows, day, 1_000).groupBy("key", "piece").count()
     assert pieces.where("key = 'hot'").count() == 5 and pieces.where("key = 'k1' AND piece > 0").count() == 0
     assert pieces.agg(F.max("count")).first()[0] <= 5_000
+
+
+def test_a_query_of_another_length_drops_only_itself(spark):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 0.0]), (4, [])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.1]), (11, [0.0, 0.0, 5.0]), (12, [1.0] * 9), (13, [])], "query_id long, embedding array<double>")
+    assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in retrieval.vector_topk(chunks, queries, 2).collect()) == [(10, 1, 1), (10, 2, 2), (11, 3, 1)]
+
+
+@pytest.mark.parametrize("least", [None, 0.6])
+def test_pages_give_the_same_hits_and_are_skipped(spark, tmp_path, least, monkeypatch):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(0, 1, (40, 24))
+    v = centers[rng.integers(0, 40, 6000)] + rng.normal(0, 0.15, (6000, 24))
+    v[17] = 0
+    rows = [(i, x.tolist(), i % 3) for i, x in enumerate(v)] + [(7000, [1.0, 2.0], 0), (7001, None, 0), (7002, [float("nan")] * 24, 0)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>, kind int").repartition(6).cache()
+    queries = chunks.where("chunk_id % 50 = 17 OR chunk_id >= 7000").select(F.col("chunk_id").alias("query_id"), "embedding")
+    monkeypatch.setattr(vectorpages, "QUERIES_AT_ONCE", 25)
+    index = vectorpages.build(chunks, f"file://{tmp_path}/pages", pivots=64, files=8)
+    for test in (None, F.col("kind") == 1):
+        got = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in vectorpages.search(index, queries, 4, least, test).collect())
+        want = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in retrieval.vector_topk(chunks if test is None else chunks.where(test), queries, 4, least).collect())
+        assert got == want and len(want) > 400
+    assert index.spared > 5 * index.met > 0
+    index.read = index.unread = 0
+    one = queries.where("query_id = 67")
+    assert vectorpages.search(index, one, 4).count() == 4 and index.unread > 5 * index.read > 0
+
+
+def test_many_queries_go_through_pages(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (300, 5)))], "chunk_id long, embedding array<double>").cache()
+    queries = chunks.withColumnRenamed("chunk_id", "query_id")
+    want = sorted(map(tuple, retrieval.vector_topk(chunks, queries, 3).select("query_id", "rank", "chunk_id").collect()))
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 50)
+    assert sorted(map(tuple, retrieval.vector_topk(chunks, queries, 3).select("query_id", "rank", "chunk_id").collect())) == want
+
+
+def test_empty_pages(spark, tmp_path):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    index = vectorpages.build(none, f"file://{tmp_path}/pages")
+    assert vectorpages.search(index, spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")).count() == 0
