@@ -1,22 +1,29 @@
 """Grounding of generated text: sentences against the best context sentence, rule checks, verdicts, reports.
 
-Input is pairs (pair_id, subject, topic, context, generated). Texts are dealt by pair_id once; all that follows (term
-counts, inverse frequencies, matches, reports) groups by pair_id and more, so it needs no further shuffle. Sentences meet
-only where they share a term. What the checkers need of a context (lower case, trigrams) is made once a pair.
+Input is pairs (pair_id, subject, topic, context, generated). Texts are dealt by pair_id once, and a pair is matched and
+checked inside its row; term counts, inverse frequencies and weights are also to be had as tables. Sentences meet only
+where they share a term. What the checkers need of a context (lower case, trigrams) is made once a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions.rounding import half_up, mean_of, units
+from tessella.sources.tables import dealt
 
 THRESHOLD = 0.45
+PRODUCTS = 1 << 20  # products of weights that are held at a time
+_FRESH = math.log(2) + 1  # idf of a term that the context lacks
 # fixed values: checkers of each subject, in the order their findings are listed
 SUBJECT_RULES = {
     "Physics": ("equation", "unit", "definition", "citation"),
@@ -80,7 +87,7 @@ def _idf(sentences: Column, df: Column) -> Column:
 
 def _weight(n: Column, total: Column, idf: Column) -> Column:
     """A term that the context lacks has the idf of a fresh one."""
-    return F.round(n / total * F.coalesce(idf, F.lit(0.6931471805599453 + 1)), 6)
+    return F.round(n / total * F.coalesce(idf, F.lit(_FRESH)), 6)
 
 
 def tfidf_fit(context: DataFrame) -> DataFrame:
@@ -96,33 +103,93 @@ def tfidf_transform(sentences: DataFrame, idf: DataFrame) -> DataFrame:
     return term_counts(sentences).join(idf.select("pair_id", "term", "idf"), ["pair_id", "term"], "left").select("pair_id", "idx", "term", weight.alias("weight"))
 
 
-def weighted_terms(pairs: DataFrame) -> DataFrame:
-    """(pair_id, side, idx, term, weight) of both sides (0 generated, 1 context) in one pass, as tfidf_fit and tfidf_transform give them."""
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), tx.sentences(F.col(c)).alias("s")) for i, c in enumerate(("generated", "context"))])
-    rows = usable_pairs(pairs).select("pair_id", "context", "generated").repartition("pair_id").select("pair_id", F.explode(sides).alias("x"))
-    rows = rows.select("pair_id", "x.side", F.size("x.s").alias("sentences"), F.posexplode("x.s").alias("idx", "sentence")).withColumn("tokens", tx.tokenize(F.col("sentence")))
-    keys = ["pair_id", "side", "idx", "sentences", "total", "term"]
-    terms = rows.select(*keys[:4], F.size("tokens").alias("total"), F.explode("tokens").alias("term")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    shared, there = W.partitionBy("pair_id", "term"), F.col("side") == 1
-    df, size = F.count_if(there).over(shared), F.max(F.when(there, F.col("sentences"))).over(shared)
-    return terms.select("pair_id", "side", "idx", "term", _weight(F.col("n"), F.col("total"), F.when(df > 0, _idf(size, df))).alias("weight"))
+def _pair_matches(side: np.ndarray, idx: np.ndarray, terms: pa.Array, weight: np.ndarray, n: int) -> list[tuple[int, int, float, list[str]]]:
+    """(idx, best_idx, cosine, evidence) of a pair's generated sentences that share a term with the context.
+
+    Products of weights are formed by term, for so many generated sentences at a time that PRODUCTS bounds the products
+    and the sums held; only pairs of sentences that share a term have any.
+    """
+    coded = terms.dictionary_encode()
+    term, words = np.asarray(coded.indices), coded.dictionary
+    rank = np.empty(len(words), np.int64)
+    rank[np.asarray(pc.sort_indices(words))] = np.arange(len(words))
+    term, words = rank[term], words.take(pc.sort_indices(words))
+    there = np.flatnonzero(side == 1)
+    there = there[np.argsort(term[there], kind="stable")]
+    first = np.searchsorted(term[there], np.arange(len(words) + 1))
+    own = np.flatnonzero(side == 0)
+    own = own[(first[term[own] + 1] > first[term[own]])]
+    if not len(own) or not len(there):
+        return []
+    own = own[np.argsort(idx[own], kind="stable")]
+    names, place = np.unique(idx[there], return_inverse=True)
+    norms = np.sqrt(np.bincount(place, weights=weight[there] ** 2))
+    length = np.sqrt(np.bincount(idx[side == 0], weights=weight[side == 0] ** 2))
+    count = first[term[own] + 1] - first[term[own]]
+    starts = np.flatnonzero(np.append(True, idx[own][1:] != idx[own][:-1]))
+    cost = np.add.reduceat(count, starts) + len(names)
+    out, block = [], np.cumsum(cost) // PRODUCTS
+    for number in np.unique(block):
+        mine = np.flatnonzero(block == number)
+        lo, hi = starts[mine[0]], starts[mine[-1] + 1] if mine[-1] + 1 < len(starts) else len(own)
+        rows, c = own[lo:hi], count[lo:hi]
+        local = np.searchsorted(starts[mine], np.arange(lo, hi), side="right") - 1
+        left = np.repeat(np.arange(len(rows)), c)
+        right = np.repeat(first[term[rows]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        key = local[left] * len(names) + place[right]
+        dots = np.bincount(key, weights=weight[rows[left]] * weight[there[right]], minlength=len(mine) * len(names)).reshape(len(mine), -1)
+        both = length[idx[own[starts[mine]]]][:, None] * norms[None, :]
+        cosine = np.floor(np.divide(dots, both, out=np.zeros_like(dots), where=both > 0) * 1e6 + 0.5) / 1e6
+        best = cosine.argmax(axis=1)  # of equal ones the first
+        held = np.flatnonzero(best[local[left]] == place[right])
+        together = np.rint(weight[rows[left[held]]] * 1e6) + np.rint(weight[there[right[held]]] * 1e6)
+        shared = term[rows[left[held]]]
+        order = np.lexsort((shared, -together, local[left[held]]))
+        edges = np.searchsorted(local[left[held]][order], np.arange(len(mine) + 1))
+        for i, (s, e) in enumerate(zip(edges, edges[1:])):
+            if cosine[i, best[i]] > 0:
+                out.append((int(idx[own[starts[mine[i]]]]), int(names[best[i]]), float(cosine[i, best[i]]), words.take(pa.array(shared[order[s : min(e, s + n)]])).to_pylist()))
+    return out
+
+
+def _match_pairs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Matches of rows (pair_id, side, idx, term, weight) that come pair by pair; a pair is held at a time."""
+
+    def result(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(pieces).combine_chunks()
+        found = _pair_matches(*(t.column(c).to_numpy() for c in ("side", "idx")), t.column("term").combine_chunks(), t.column("weight").to_numpy(), n)
+        idx, best, cosine, evidence = zip(*found) if found else ((), (), (), ())
+        ids = t.column("pair_id").combine_chunks().take(pa.array(np.zeros(len(found), np.int64)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(idx, pa.int32()), pa.array(best, pa.int32()), pa.array(cosine, pa.float64()), pa.array(evidence, pa.list_(pa.string()))], names=["pair_id", "idx", "best_idx", "cosine", "evidence"])
+
+    held: list[pa.RecordBatch] = []
+    done: list[pa.RecordBatch] = []
+    for batch in batches:
+        codes = np.asarray(batch.column("pair_id").dictionary_encode().indices)
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and lo < hi and held[-1].column("pair_id")[0] != batch.column("pair_id")[lo]:
+                done.append(result(held))
+                held = []
+            if lo < hi:
+                held.append(batch.slice(lo, hi - lo))
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0] if sum(d.num_rows for d in done) else done[0]
+            done = []
+    if held:
+        yield result(held)
 
 
 def matches(weights: DataFrame, n: int = 5) -> DataFrame:
     """(pair_id, idx, best_idx, cosine, evidence): each generated sentence's best context sentence and the n shared terms with the largest weight sums.
 
-    weights is as of weighted_terms. Only positive cosines count, ties go to the first sentence.
+    weights is (pair_id, side, idx, term, weight), side 0 being generated and 1 the context. Only positive cosines count, ties go
+    to the first sentence.
     """
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("pair_id", "side", "idx")))
-    rows = weights.withColumn("norm", norm)
-    held = F.when(F.col("side") == 1, F.struct(F.col("idx").alias("best_idx"), F.col("weight").alias("wc"), F.col("norm").alias("cnorm")))
-    rows = rows.withColumn("there", F.collect_list(held).over(W.partitionBy("pair_id", "term"))).where("side = 0")
-    met = rows.select("pair_id", "idx", "term", "weight", "norm", F.inline("there"))
-    term = F.struct((-F.round(F.col("weight") + F.col("wc"), 6)).alias("w"), "term")
-    dots = met.groupBy("pair_id", "idx", "best_idx").agg(F.sum(F.col("weight") * F.col("wc")).alias("dot"), (F.max("norm") * F.max("cnorm")).alias("norms"), F.collect_list(term).alias("shared"))
-    scored = dots.withColumn("cosine", F.when(F.col("norms") > 0, F.round(F.col("dot") / F.col("norms"), 6)).otherwise(0.0)).where("cosine > 0")
-    best = scored.groupBy("pair_id", "idx").agg(F.max_by(F.struct("best_idx", "cosine", "shared"), F.struct("cosine", -F.col("best_idx"))).alias("b"))
-    return best.select("pair_id", "idx", "b.best_idx", "b.cosine", F.transform(F.slice(F.array_sort("b.shared"), 1, n), lambda x: x["term"]).alias("evidence"))
+    kind = weights.schema["pair_id"].dataType.simpleString()
+    rows = weights.where("pair_id IS NOT NULL").select("pair_id", F.col("side").cast("int"), F.col("idx").cast("int"), "term", F.col("weight").cast("double"))
+    rows = dealt(rows, "pair_id").sortWithinPartitions("pair_id")
+    return rows.mapInArrow(lambda it: _match_pairs(it, n), f"pair_id {kind}, idx int, best_idx int, cosine double, evidence array<string>")
 
 
 def _two_sides(generated: DataFrame, context: DataFrame) -> DataFrame:
@@ -148,14 +215,54 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return tx.bound(F.struct(x.alias("x"), y.alias("y")), share)
 
 
-def matched_sentences(pairs: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
+def _weighed(generated: pa.Array, context: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """side, idx, term and weight of a pair's sentences, given as lists of tokens; weights as of tfidf_fit and tfidf_transform."""
+    sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (generated, context)]
+    coded = pa.chunked_array([generated.flatten(), context.flatten()], pa.string()).combine_chunks().dictionary_encode()
+    words = max(1, len(coded.dictionary))
+    total = np.concatenate(sizes)
+    place = np.repeat(np.arange(len(total)), total)
+    key, count = np.unique(place * words + np.asarray(coded.indices), return_counts=True)
+    place, term = key // words, key % words
+    there = place >= len(sizes[0])
+    df = np.bincount(term[there], minlength=words)
+    idf = np.where(df > 0, np.log((len(sizes[1]) + 1) / (df + 1)) + 1, _FRESH)
+    weight = np.floor(count / total[place] * idf[term] * 1e6 + 0.5 + 1e-9) / 1e6
+    return there.astype(np.int64), np.where(there, place - len(sizes[0]), place), pa.DictionaryArray.from_arrays(pa.array(term, pa.int32()), coded.dictionary), weight
+
+
+def _match_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Adds the match of every generated sentence to pairs, each in its own row; drops the tokens (the last two columns)."""
+    kind = pa.list_(pa.struct([("best_idx", pa.int32()), ("cosine", pa.float64()), ("evidence", pa.list_(pa.string()))]))
+    for batch in batches:
+        out = []
+        for generated, context in zip(batch.column("gt"), batch.column("ct")):
+            row: list[dict | None] = [None] * len(generated.values)
+            for idx, best, cosine, evidence in _pair_matches(*_weighed(generated.values, context.values), n):
+                row[idx] = {"best_idx": best, "cosine": cosine, "evidence": evidence}
+            out.append(row)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, kind)], names=[*batch.schema.names[:-2], "m"])
+
+
+def matched_sentences(pairs: DataFrame, result: Callable[[Column, Column, Column], Column] | None = None, name: str = "flagged", n: int = 5) -> DataFrame:
     """Every generated sentence with its best context sentence, cosine, bigram overlap, similarity and evidence.
 
-    sentences: the generated ones (pair_id, idx, sentence) with any further columns, if already at hand.
+    With result, also a column `name` as of each_sentence. A pair is worked on inside its row: sentences and tokens are made
+    there, matched in linear memory and only then dealt out as rows, so nothing is joined or shuffled but the pairs once.
     """
-    dealt = pairs.repartition("pair_id")
-    context = segment_sentences(dealt, "context").select("pair_id", F.col("idx").alias("best_idx"), F.col("sentence").alias("best"))
-    out = (segment_sentences(dealt, "generated") if sentences is None else sentences).join(matches(weighted_terms(pairs)), ["pair_id", "idx"], "left").join(context, ["pair_id", "best_idx"], "left")
+    rows = dealt(usable_pairs(pairs).select("pair_id", "subject", "context", "generated"), "pair_id")
+    rows = rows.select("pair_id", "subject", "context", tx.sentences(F.col("generated")).alias("g"), tx.sentences(F.col("context")).alias("c"))
+    rows = rows.withColumns({t: F.transform(s, tx.tokenize) for t, s in (("gt", "g"), ("ct", "c"))})
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("pair_id", "subject", "context", "g", "c")}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    met = rows.mapInArrow(lambda it: _match_rows(it, n), schema + ", m array<struct<best_idx:int,cosine:double,evidence:array<string>>>")
+
+    def each(ready: Column) -> Column:
+        fields = lambda s, m: [s.alias("sentence"), m.alias("m"), F.get("c", m["best_idx"]).alias("best"), *([result(s, ready["c"], ready["rules"]).alias(name)] if result else [])]
+        return F.zip_with("g", "m", lambda s, m: F.struct(*fields(s, m)))
+
+    found = tx.bound(F.struct(prepared(F.col("context")).alias("c"), subject_rules(F.col("subject")).alias("rules")), each) if result else each(None)
+    out = met.select("pair_id", F.posexplode(found).alias("idx", "x")).select("pair_id", "idx", "x.*").select("*", "m.best_idx", "m.cosine", "m.evidence").drop("m")
     out = out.withColumn("best", F.coalesce("best", F.lit(""))).withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
     out = out.withColumn("jaccard", F.when(F.col("best") == "", 0.0).otherwise(bigram_jaccard(F.col("sentence"), F.col("best"))))
     return out.withColumn("similarity", support_similarity(F.col("cosine"), F.col("jaccard"))).withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
@@ -224,11 +331,11 @@ def each_sentence(pairs: DataFrame, result: Callable[[Column, Column, Column], C
     """
     ready = F.struct(prepared(F.col("context")).alias("c"), subject_rules(F.col("subject")).alias("rules"))
     found = tx.bound(ready, lambda r: F.transform(tx.sentences(F.col("generated")), lambda s: F.struct(s.alias("sentence"), result(s, r["c"], r["rules"]).alias(name))))
-    return usable_pairs(pairs).repartition("pair_id").select("pair_id", F.posexplode(found).alias("idx", "x")).select("pair_id", "idx", "x.*")
+    return dealt(usable_pairs(pairs), "pair_id").select("pair_id", F.posexplode(found).alias("idx", "x")).select("pair_id", "idx", "x.*")
 
 
-def checked_sentences(pairs: DataFrame, citations: bool = True) -> DataFrame:
-    """(pair_id, idx, sentence, flagged): generated sentences with the names of their subject's checkers that flag them."""
+def flagged_by(citations: bool = True) -> Callable[[Column, Column, Column], Column]:
+    """The names of the subject's checkers that flag a sentence, for each_sentence and matched_sentences."""
 
     def flagged(s: Column, c: Column, rules: Column) -> Column:
         flags = {"reaction": check_reactions, "equation": check_equations, "unit": check_units, "biology": lambda s, c: F.size(biology_terms(s, c)) > 0, "definition": check_definitions}
@@ -237,7 +344,7 @@ def checked_sentences(pairs: DataFrame, citations: bool = True) -> DataFrame:
             found.append(F.when(F.array_contains(rules, "citation"), F.when(check_citations(s), F.lit("citation"))))
         return F.array_compact(F.array(*found))
 
-    return each_sentence(pairs, flagged, "flagged")
+    return flagged
 
 
 def sentence_verdict(checked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -259,7 +366,7 @@ def sentence_verdict(checked: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 
 def verdicts(pairs: DataFrame, threshold: float = THRESHOLD, citations: bool = True) -> DataFrame:
-    return sentence_verdict(matched_sentences(pairs, checked_sentences(pairs, citations)), threshold)
+    return sentence_verdict(matched_sentences(pairs, flagged_by(citations)), threshold)
 
 
 def grounding_report(pairs: DataFrame, verdict: DataFrame) -> DataFrame:
@@ -270,7 +377,7 @@ def grounding_report(pairs: DataFrame, verdict: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sentences"), mean_of(F.col("support")).alias("support"), F.round(F.avg(bad.cast("int")), 4).alias("hallucination_rate"), F.count_if(~bad).alias("supported"), F.count_if(bad).alias("hallucinated"),
         F.count_if(bad & (F.col("risk") == "critical")).alias("critical"), F.count_if(bad & (F.col("risk") == "high")).alias("high"), *lists,
     )
-    base = usable_pairs(pairs).select("pair_id", "subject", "topic", F.size(tx.sentences(F.col("context"))).alias("context_sentences"), F.size(tx.space_words(F.col("context"))).alias("context_words"), F.size(tx.space_words(F.col("generated"))).alias("generated_words"))
+    base = dealt(usable_pairs(pairs), "pair_id").select("pair_id", "subject", "topic", F.size(tx.sentences(F.col("context"))).alias("context_sentences"), F.size(tx.space_words(F.col("context"))).alias("context_words"), F.size(tx.space_words(F.col("generated"))).alias("generated_words"))
     return base.join(sums, "pair_id")
 
 

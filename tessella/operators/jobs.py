@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.operators.learners import newest
-from tessella.sources.tables import small_side
+from tessella.sources.tables import dealt, small_side
 
 #: fixed percent of each known stage
 STAGE_PERCENT = {"queued": 5, "retrieval": 15, "script": 30, "scenes": 45, "speech": 60, "slides": 78, "assembly": 92, "done": 100}
@@ -117,5 +117,5 @@ def cache_hits_ttl(requests: DataFrame, ttl: int = CACHE_SECONDS, busy: int = BU
     A key's requests depend on one another in order, up to a gap of ttl seconds: pieces between such gaps are folded by
     different tasks, each in batches with one number kept. Requests without a time take no part.
     """
-    ordered = cache_pieces(requests, ttl, busy).repartition("key", "piece").sortWithinPartitions("key", "piece", "seconds", "request_id")
+    ordered = dealt(cache_pieces(requests, ttl, busy), "key", "piece").sortWithinPartitions("key", "piece", "seconds", "request_id")
     return ordered.mapInArrow(lambda it: _fold_cache(it, ttl), "key string, request_id long, hit boolean")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import dealt
+
 ABILITY_STEP = 0.3
 MASTERY_STEP = 0.15
 FIRST_MASTERY = 0.5
@@ -66,7 +68,7 @@ def _fold_ability(batches: Iterator[pa.RecordBatch], each: bool) -> Iterator[pa.
 
 def _sorted_steps(graded: DataFrame) -> DataFrame:
     steps = graded.select("user_id", "created_at", "event_id", _offset(F.col("difficulty")).alias("d"), F.coalesce(F.col("correct"), F.lit(False)).cast("double").alias("obs"))
-    return steps.repartition("user_id").sortWithinPartitions("user_id", "created_at", "event_id")
+    return dealt(steps, "user_id").sortWithinPartitions("user_id", "created_at", "event_id")
 
 
 def ability_trace(graded: DataFrame) -> DataFrame:

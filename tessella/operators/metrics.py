@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from tessella.functions import text as tx
 from tessella.functions.rounding import half_up, mean_of, units
+from tessella.sources.tables import dealt
 
 METRICS = ("accuracy", "context_usage", "hallucination", "structure", "readability", "alignment", "length", "stability", "consistency", "bleu", "rouge_l", "cosine", "manual")
 # fixed values: vocabulary of each subject for the template features
@@ -38,7 +39,7 @@ def gram_sums(pairs: DataFrame) -> DataFrame:
     words has no row.
     """
     tokens = F.array(*[F.struct(F.lit(i).alias("side"), tx.word_tokens(F.coalesce(F.col(side), F.lit(""))).alias("t")) for i, side in enumerate(("context", "generated"))])
-    sides = pairs.select("pair_id", "context", "generated").repartition("pair_id").select("pair_id", F.inline(tokens)).select("pair_id", "side", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("t").alias("g")), F.struct(F.lit(2).alias("n"), tx.ngrams(F.col("t"), 2).alias("g")))).alias("x"))
+    sides = dealt(pairs.select("pair_id", "context", "generated"), "pair_id").select("pair_id", F.inline(tokens)).select("pair_id", "side", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("t").alias("g")), F.struct(F.lit(2).alias("n"), tx.ngrams(F.col("t"), 2).alias("g")))).alias("x"))
     grams = sides.select("pair_id", "side", "x.n", F.explode("x.g").alias("gram")).groupBy("pair_id", "n", "gram").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     one = F.col("n") == 1
     total = lambda value, test=one: F.coalesce(F.sum(F.when(test, value)), F.lit(0))

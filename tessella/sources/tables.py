@@ -19,6 +19,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all cores and shuffle partitions, however few bytes it has: for costly work on each row, which should not be merged into few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked to be sent to all tasks, if it has at most so many rows; else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,8 +2,13 @@
 
 import difflib
 import math
+import re
+import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +325,57 @@ def test_empty_pages(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
     index = vectorpages.build(none, f"file://{tmp_path}/pages")
     assert vectorpages.search(index, spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")).count() == 0
+
+
+def plain_matches(generated, context):
+    """(idx, best_idx, cosine, evidence) by the definition."""
+    tokens = lambda s: [w for w in re.findall("[a-z0-9]+", s.lower()) if len(w) > 1 and w not in tx.STOP_WORDS]
+    g, c = [tokens(s) for s in generated], [tokens(s) for s in context]
+    df = Counter(w for s in c for w in set(s))
+    idf = lambda w: math.log((len(c) + 1) / (df[w] + 1)) + 1 if w in df else math.log(2) + 1
+    weigh = lambda s: {w: math.floor(n / len(s) * idf(w) * 1e6 + 0.5 + 1e-9) / 1e6 for w, n in Counter(s).items()}
+    gw, cw = [weigh(s) for s in g], [weigh(s) for s in c]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = []
+    for i, a in enumerate(gw):
+        best = (0.0, 0)
+        for j, b in enumerate(cw):
+            both = norm(a) * norm(b)
+            cosine = math.floor(sum(x * b[w] for w, x in a.items() if w in b) / both * 1e6 + 0.5) / 1e6 if both else 0.0
+            best = max(best, (cosine, -j))
+        if best[0] > 0:
+            b = cw[-best[1]]
+            shared = sorted((-round(a[w] + b[w], 6), w) for w in a if w in b)
+            out.append((i, -best[1], best[0], [w for _, w in shared[:5]]))
+    return out
+
+
+def test_matches_of_long_and_odd_pairs_like_the_definition(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(400)] + ["the", "x", "Größe"])
+    text = lambda n: " ".join(f"{' '.join(words[rng.zipf(1.4, 14) % len(words)])}. The end is here now." for _ in range(n))
+    pairs = [(1, "Physics", "t", text(60), text(40)), (2, "General", "t", "Only one sentence is here.", text(5)), (3, "General", "t", "one two three", "! ? ."), (None, "General", "t", text(3), text(3))]
+    df = spark.createDataFrame(pairs, "pair_id long, subject string, topic string, context string, generated string")
+    for most in (1 << 20, 500):
+        monkeypatch.setattr(grounding, "PRODUCTS", most)
+        got = {}
+        for r in sorted(grounding.matched_sentences(df).collect(), key=lambda r: r.idx):
+            if r.best_idx is not None:
+                got.setdefault(r.pair_id, []).append((r.idx, r.best_idx, r.cosine, r.evidence))
+        cut = df.select("pair_id", tx.sentences(F.col("generated")).alias("g"), tx.sentences(F.col("context")).alias("c")).collect()
+        assert got == {r.pair_id: m for r in cut if (m := plain_matches(r.g, r.c))}
+        tables = [grounding.segment_sentences(df.where("pair_id IS NOT NULL"), s) for s in ("generated", "context")]
+        idf = grounding.tfidf_fit(tables[1])
+        rows = grounding.matches(grounding._two_sides(*[grounding.tfidf_transform(t, idf) for t in tables])).collect()
+        assert sorted((r.pair_id, r.idx, r.best_idx, r.evidence) for r in rows) == sorted((p, i, b, e) for p, m in got.items() if p for i, b, _, e in m)
+
+
+def test_a_pair_of_twenty_thousand_words_holds_few_products(monkeypatch):
+    rng = np.random.default_rng(7)
+    sides = [pa.array([[f"t{w}" for w in rng.zipf(1.3, 20) % 3000] for _ in range(1000)], pa.list_(pa.string())) for _ in range(2)]
+    tracemalloc.start()
+    began = time.time()
+    found = grounding._pair_matches(*grounding._weighed(*sides), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1000 and peak < 200e6 and time.time() - began < 10
