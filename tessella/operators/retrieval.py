@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.sources.tables import scratch_path
 
+_WIDTHS = [1_000_000 * 3600, 1_000_000 * 60, 1_000_000, 1_000, 1]  # an hour to a microsecond, in microseconds
 QUERIES_AT_ONCE = 4096  # query vectors sent to the tasks together
 
 
@@ -160,17 +161,37 @@ def retrieval_log(queries: DataFrame, hits: DataFrame, caller: str, filters: dic
 def recent_log(entries: DataFrame, max_bytes: int, text: str, ts: str, tie: str) -> DataFrame:
     """Newest entries that fit in max_bytes together.
 
-    Only candidates are ordered: an entry can fit only if all newer buckets (hours) fit, which a small table of bucket
-    sums decides; the running sum then covers the buckets around the cut.
+    Sums by hour tell in which hour the cut lies; that hour alone is summed by minute, and so on down to the microsecond.
+    What is then put in order are entries that fit and those of one microsecond, hour by hour, so no task orders an hour
+    that the cut goes through.
     """
-    bucket = F.date_trunc("hour", ts)
-    rows = entries.withColumn("_b", bucket).withColumn("_n", F.octet_length(text))
-    sums = rows.groupBy("_b").agg(F.sum("_n").alias("n"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = entries.withColumn("_t", at).withColumn("_n", F.octet_length(text))
+    since, used = None, 0  # entries from `since` on use `used` bytes and fit
+    low, high = None, None  # the bucket of the cut
+    for width in _WIDTHS:
+        inside = rows if low is None else rows.where((F.col("_t") >= low) & (F.col("_t") < high))
+        sums = inside.where("_t IS NOT NULL").groupBy(F.floor(F.col("_t") / width).cast("long").alias("b")).agg(F.sum("_n").alias("n")).orderBy(F.desc("b"))
+        cut = None
+        for r in sums.toLocalIterator():  # newest first, no further than the cut
+            if used + (r["n"] or 0) > max_bytes:
+                cut = r["b"]
+                break
+            used += r["n"] or 0
+            since = r["b"] * width
+        if cut is None:
+            break
+        low, high = cut * width, (cut + 1) * width
+        since = low if width == 1 else since
+    if since is None:
+        return rows.where("false").drop("_t", "_n").withColumn("used", F.lit(0).cast("long"))
+    rows = rows.where(F.col("_t") >= since).withColumn("_b", F.floor(F.col("_t") / _WIDTHS[0]))
     newer = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("before") < max_bytes)
-    inside = W.partitionBy("_b").orderBy(F.desc(ts), F.desc(tie))
-    out = rows.join(sums.select("_b", "before"), "_b").withColumn("used", F.col("before") + F.sum("_n").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    return out.where(F.col("used") <= max_bytes).drop("_b", "_n", "before")
+    sums = rows.groupBy("_b").agg(F.sum("_n").alias("n"))
+    sums = sums.select("_b", F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("before"))
+    order = W.partitionBy("_b").orderBy(F.desc(ts), F.desc(tie))
+    out = rows.join(sums, "_b").withColumn("used", F.col("before") + F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return out.where(F.col("used") <= max_bytes).drop("_b", "_n", "_t", "before")
 
 
 def hit_preview(hits: DataFrame) -> DataFrame:

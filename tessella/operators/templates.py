@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
+from tessella.functions.linediff import unified_lines
 from tessella.operators.metrics import version_number
 
+SPLITS = 200
 PLACEHOLDER = r"\{([a-zA-Z_][a-zA-Z0-9_]*)\}"
 
 
@@ -87,7 +88,7 @@ def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            lines = list(difflib.unified_diff((r["old"] or "").splitlines(), (r["new"] or "").splitlines(), r["from_version"] or "", r["to_version"], lineterm=""))
+            lines = unified_lines((r["old"] or "").splitlines(), (r["new"] or "").splitlines(), r["from_version"] or "", r["to_version"] or "")
             changes = [sum(x.startswith(c) and not x.startswith(3 * c) for x in lines) for c in "+-"]
             rows.append((r["name"], r["from_version"], r["to_version"], *changes, lines))
         columns = list(zip(*rows)) if rows else [[]] * 6
@@ -110,10 +111,28 @@ def _token_cosine(pairs: DataFrame) -> DataFrame:
     return sums.select(*keys, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)).otherwise(0.0).alias("similarity"))
 
 
+def performance_delta(old: Column, new: Column) -> Column:
+    """Map of (delta, from, to) by name from two maps of performance values: numbers, or texts of any kind.
+
+    Two numbers give their difference rounded to 6 places; else values that differ are kept as texts, null where a side has none.
+    """
+
+    def change(_, a: Column, b: Column) -> Column:
+        x, y = (v.cast("string").try_cast("double") for v in (a, b))
+        numbers = x.isNotNull() & y.isNotNull()
+        return F.when(numbers, F.struct(F.round(y - x, 6).alias("delta"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to"))).when(
+            ~a.cast("string").eqNullSafe(b.cast("string")), F.struct(F.lit(None).cast("double").alias("delta"), a.cast("string").alias("from"), b.cast("string").alias("to"))
+        )
+
+    none = F.create_map().cast("map<string,string>")
+    both = F.map_zip_with(*[F.coalesce(v.cast("map<string,string>"), none) for v in (old, new)], change)
+    return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(both, lambda _, v: v.isNotNull()))))
+
+
 def compare_versions(pairs: DataFrame) -> DataFrame:
-    """Line changes and token similarity of version pairs, and the change of the performance values both versions have."""
+    """Line changes, token similarity and performance_delta of version pairs."""
     keys = ["name", "from_version", "to_version"]
-    delta = F.map_filter(F.map_zip_with("old_performance", "new_performance", lambda _, a, b: F.round(b - a, 6)), lambda _, v: v.isNotNull())
+    delta = performance_delta(F.col("old_performance"), F.col("new_performance"))
     out = line_diffs(pairs).withColumn("changed", F.col("added") + F.col("removed")).join(_token_cosine(pairs), keys, "left")
     return out.join(pairs.select(*keys, delta.alias("performance_delta")), keys).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
@@ -147,13 +166,18 @@ def _judged(templates: DataFrame, requests: DataFrame, overwrite: bool) -> DataF
 def _numbered(templates: DataFrame, rows: DataFrame) -> DataFrame:
     """rows in which those without a version get the next ones of all templates, by name and content.
 
-    One row a name is put in order over all names; within a name its own rows are.
+    Names fall into stretches of their order, cut at some of the names: only the stretches, SPLITS at most, are ordered in
+    one task; within a stretch its names are, and within a name its own rows.
     """
     number = version_number(F.col("version"))
     top = templates.select("version").union(rows.select("version")).agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
     free = rows.where("version IS NULL")
-    before = F.coalesce(F.sum("_n").over(W.orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    places = free.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).select("name", before.alias("_before"))
+    counts = free.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = sorted(r["name"] for r in counts.where("name IS NOT NULL").orderBy(F.xxhash64("name"), "name").limit(SPLITS).select("name").collect())
+    counts = counts.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= F.col("name"))))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", earlier(W.orderBy("_part")).alias("_parts"))
+    places = counts.withColumn("_names", earlier(W.partitionBy("_part").orderBy("name"))).join(F.broadcast(parts), "_part").select("name", (F.col("_parts") + F.col("_names")).alias("_before"))
     place = F.col("_top") + F.col("_before") + F.row_number().over(W.partitionBy("name").orderBy("content", "source_version"))
     named = free.join(places, "name").join(F.broadcast(top), F.lit(True)).withColumn("version", F.concat(F.lit("v"), place.cast("string"))).drop("_before", "_top")  # top is one row
     return rows.where("version IS NOT NULL").unionByName(named)

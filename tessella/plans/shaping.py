@@ -145,9 +145,10 @@ _T = f"t AS (SELECT source AS name, 'v' || row_number() OVER (PARTITION BY sourc
 
 
 def _templates(s, d):
+    """t in Spark: versions are numbered without the texts, which join by document."""
     docs = _docs(s, d)
-    sql = _T.removeprefix("t AS (").removesuffix(")").replace("FROM documents", "FROM {docs}").replace("{topic}", "{{topic}}").replace("{subject}", "{{subject}}").replace("{retrieved_context}", "{{retrieved_context}}").replace("{1bad}", "{{1bad}}").replace("{x-y}", "{{x-y}}")
-    return s.sql(sql, docs=docs)
+    numbers = s.sql("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM {docs}", docs=docs.select("doc_id", "source"))
+    return docs.join(numbers, "doc_id").select(F.col("source").alias("name"), F.concat(F.lit("v"), "rn").alias("version"), F.expr(_BODY).alias("content"), "doc_id", "lang", "rn")
 
 
 @query("discover_templates", f"WITH {_T} SELECT name, version, md5(content) AS content_md5 FROM t WHERE doc_id % 9 <> 0")
@@ -231,8 +232,14 @@ def _(s, d):
 
 def _successive(s, d):
     t = _templates(s, d).select("name", "version", "content")
-    perf = lambda c: F.create_map(F.lit("length"), F.length(c).cast("double"), F.lit("lines"), F.regexp_count(F.col(c), F.lit("\n")).cast("double"))
-    return templates.successive_pairs(t).where("from_version IS NOT NULL").withColumns({"old_performance": perf("old"), "new_performance": perf("new")})
+
+    def perf(c: str, shift: int):
+        """Lengths and lines of both versions, a number that only every other version has, and a tag that always changes."""
+        n = F.substring("to_version", 2, 20).cast("int") - shift
+        pairs = [(F.lit("length"), F.length(c).cast("double")), (F.lit("lines"), F.regexp_count(F.col(c), F.lit("\n")).cast("double")), (F.lit("tag"), F.concat(F.lit("t"), n % 3)), (F.when(n % 2 == 0, "even").otherwise(""), n.cast("double"))]
+        return F.map_filter(F.create_map(*[x.cast("string") for p in pairs for x in p]), lambda k, _: k != "")
+
+    return templates.successive_pairs(t).where("from_version IS NOT NULL").withColumns({"old_performance": perf("old", 1), "new_performance": perf("new", 0)})
 
 
 @query(
@@ -240,13 +247,15 @@ def _successive(s, d):
     f"""WITH {_T}, k AS (SELECT name, rn, tok, count(*) AS n FROM (SELECT name, rn, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS tok FROM t) GROUP BY ALL), sq AS (SELECT name, rn, sum(n * n) AS q FROM k GROUP BY 1, 2),
 dots AS (SELECT b.name, b.rn, sum(a.n * b.n) AS dot FROM k a JOIN k b ON a.name = b.name AND a.rn = b.rn - 1 AND a.tok = b.tok GROUP BY 1, 2)
 SELECT n.name, o.version AS from_version, n.version AS to_version, ({_LINES.replace('content', 'n.content')} - {_LINES.replace('content', 'o.content')})::INT AS net_lines, coalesce(round(dot / (sqrt(qa.q) * sqrt(qb.q)), 4), 0) AS similarity,
-  [{{'key': 'length', 'value': (length(n.content) - length(o.content))::DOUBLE}}, {{'key': 'lines', 'value': (len(regexp_extract_all(n.content, chr(10))) - len(regexp_extract_all(o.content, chr(10))))::DOUBLE}}] AS performance_delta
+  list_concat(CASE WHEN n.rn % 2 = 0 THEN ['even:,null,' || n.rn::DOUBLE] ELSE ['even:,' || o.rn::DOUBLE || ',null'] END,
+    ['length:' || (length(n.content) - length(o.content))::DOUBLE || ',null,null', 'lines:' || (len(regexp_extract_all(n.content, chr(10))) - len(regexp_extract_all(o.content, chr(10))))::DOUBLE || ',null,null', 'tag:,t' || (o.rn % 3) || ',t' || (n.rn % 3)]) AS performance_delta
 FROM t n JOIN t o ON n.name = o.name AND o.rn = n.rn - 1 LEFT JOIN dots d ON d.name = n.name AND d.rn = n.rn LEFT JOIN sq qa ON qa.name = n.name AND qa.rn = o.rn LEFT JOIN sq qb ON qb.name = n.name AND qb.rn = n.rn""",
 )
 def _(s, d):
     """Lines added less lines removed stand for the diff here; the diff itself is held against the standard library's in the tests."""
     out = templates.compare_versions(_successive(s, d)).withColumn("net_lines", F.col("added") - F.col("removed"))
-    return out.select("name", "from_version", "to_version", "net_lines", "similarity", F.map_entries("performance_delta").alias("performance_delta"))
+    shown = lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"]["delta"].cast("string"), F.lit("")), F.lit(","), F.coalesce(e["value"]["from"], F.lit("null")), F.lit(","), F.coalesce(e["value"]["to"], F.lit("null")))
+    return out.select("name", "from_version", "to_version", "net_lines", "similarity", F.transform(F.map_entries("performance_delta"), shown).alias("performance_delta"))
 
 
 @query("rollback_version", f"WITH {_T} SELECT name, version, NULL AS operation, NULL AS source_version, NULL AS notes FROM t UNION ALL SELECT name, 'v' || ((SELECT max(rn) FROM t) + row_number() OVER (ORDER BY name, content, version)), 'rollback', version, 'Rollback to ' || version || '.' FROM t WHERE rn <= 2")

@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import random
 import re
 import time
 import tracemalloc
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import linediff
 from tessella.functions import text as tx
 from tessella.operators import corpus, grounding, jobs, learners, metrics, outputs, ratings, retrieval, speech, templates, timing, vectorpages
 from tessella.sources import chunkstore
@@ -379,3 +381,70 @@ def test_a_pair_of_twenty_thousand_words_holds_few_products(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 1000 and peak < 200e6 and time.time() - began < 10
+
+
+def edited(rnd, a, k):
+    b = list(a)
+    for _ in range(rnd.randrange(20)):
+        if b:
+            i, turn = rnd.randrange(len(b)), rnd.randrange(4)
+            if turn == 0:
+                del b[i : i + rnd.randrange(1, 9)]
+            elif turn == 1:
+                b[i:i] = [str(rnd.randrange(k)) for _ in range(rnd.randrange(1, 6))]
+            elif turn == 2:
+                b[i] = str(rnd.randrange(k))
+            else:
+                j = rnd.randrange(len(b))
+                b[i:i] = b[j : j + rnd.randrange(1, 30)]
+    return b
+
+
+def test_line_diffs_equal_the_standard_ones(monkeypatch):
+    monkeypatch.setattr(linediff, "SHORT", 0)
+    rnd = random.Random(1)
+    for _ in range(500):
+        n, k = rnd.choice([0, 1, 3, 10, 40, 230, 400]), rnd.choice([2, 5, 30, 300])
+        a = [str(rnd.randrange(k)) for _ in range(n)]
+        b = edited(rnd, a, k) if rnd.random() < 0.9 else [str(rnd.randrange(k)) for _ in range(rnd.choice([5, 250]))]
+        assert linediff.matching_blocks(a, b) == [tuple(m) for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()]
+        assert linediff.unified_lines(a, b, "v1", "v2") == list(difflib.unified_diff(a, b, "v1", "v2", lineterm=""))
+
+
+def test_a_diff_of_twenty_thousand_lines_is_quick():
+    a = [f"line {i % 9000}" for i in range(20_000)]
+    every_other = [line if i % 2 else f"new {i}" for i, line in enumerate(a)]
+    began = time.time()
+    assert len(linediff.matching_blocks([f"l{i}" for i in range(20_000)], [f"l{i}" if i % 2 else "" for i in range(20_000)])) == 10_001
+    lines = linediff.unified_lines(a, every_other, "v1", "v2")
+    assert sum(x.startswith("+new") for x in lines) == 10_000 and time.time() - began < 2
+
+
+def test_performance_of_one_side_or_no_number_is_kept(spark):
+    rows = spark.createDataFrame([("p", "v1", "v2", "a", "b", {"f1": "0.5", "speed": "2", "note": "x", "same": "s"}, {"f1": "0.75", "note": "y", "same": "s", "new": "3"}), ("q", "v1", "v2", "a", "a", None, {"z": "1"})], "name string, from_version string, to_version string, old string, new string, old_performance map<string,string>, new_performance map<string,string>")
+    got = {r.name: {k: tuple(v) for k, v in r.performance_delta.items()} for r in templates.compare_versions(rows).collect()}
+    assert got == {"p": {"f1": (0.25, None, None), "new": (None, None, "3"), "note": (None, "x", "y"), "speed": (None, "2", None)}, "q": {"z": (None, None, "1")}}
+
+
+def test_very_many_names_are_numbered_in_their_order(spark):
+    have = spark.createDataFrame([("a", "v7", "old")], "name string, version string, content string")
+    asked = spark.range(3000).select(F.concat(F.lit("n"), F.col("id") % 1500).alias("name"), F.lit(None).cast("string").alias("version"), F.concat(F.lit("c"), "id").alias("content"), F.lit("x").alias("author"))
+    rows = templates.save_version(have, asked).where("operation = 'save'").select("name", "content", "version").collect()
+    order = sorted((r.name, r.content) for r in rows)
+    assert {(r.name, r.content): r.version for r in rows} == {k: f"v{8 + i}" for i, k in enumerate(order)} and len(order) == 3000
+
+
+def test_recent_log_cuts_inside_one_microsecond(spark):
+    rnd = random.Random(2)
+    at = [1_700_000_000_000_000 + rnd.choice([0, 1, 5_000, 70_000_000, 70_000_001, 9_000_000_000]) for _ in range(400)]
+    rows = [(i, t, "x" * rnd.randrange(9)) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, at long, props string").withColumn("ts", F.timestamp_micros("at")).drop("at")
+    newest = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    for most in (0, 3, 40, 333, 900, 1500, 10_000):
+        want, used = {}, 0
+        for i, _, text in newest:
+            used += len(text)
+            if used > most:
+                break
+            want[i] = used
+        assert {r.id: r.used for r in retrieval.recent_log(df, most, "props", "ts", "id").collect()} == want
