@@ -187,7 +187,8 @@ def save_version(templates: DataFrame, requests: DataFrame, overwrite: bool = Fa
     """Templates with accepted requests (name, version or null, content, author, optionally source_version) added.
 
     Empty contents, existing versions without overwrite, and repeats of a name and version are left out (see
-    rejected_requests); each request without a version gets a next one of all templates. Added rows have their operation
+    rejected_requests); each request without a version gets a next one of all templates. Contents are stored without white
+    space at their end, with one line feed. Added rows have their operation
     and source version, and the lines added and removed against the source version, else the text they overwrite, else
     the latest version.
     """
@@ -197,7 +198,8 @@ def save_version(templates: DataFrame, requests: DataFrame, overwrite: bool = Fa
     old = templates.select("name", F.col("version").alias("_old"), F.col("content").alias("old"))
     pairs = rows.join(old, ["name", "_old"], "left").select("name", F.col("source_version").alias("from_version"), F.col("version").alias("to_version"), "old", F.col("content").alias("new"))
     changes = line_diffs(pairs).select("name", F.col("to_version").alias("version"), "added", "removed")
-    new = rows.drop("_old", "_known", "latest").join(changes, ["name", "version"]).withColumn("operation", F.lit("overwrite" if overwrite else "save"))
+    stored = F.concat(F.regexp_replace("content", r"(?U)\s+$", ""), F.lit("\n"))
+    new = rows.drop("_old", "_known", "latest").join(changes, ["name", "version"]).withColumn("content", stored).withColumn("operation", F.lit("overwrite" if overwrite else "save"))
     kept = templates.join(new.select("name", "version"), ["name", "version"], "left_anti") if overwrite else templates
     return kept.unionByName(new, allowMissingColumns=True)
 

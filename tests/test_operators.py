@@ -135,16 +135,16 @@ def test_saved_versions_are_numbered_one_by_one(spark):
     have = spark.createDataFrame([("a", "v1", "x\ny"), ("a", "v2", "x\nz"), ("b", "v1", "q")], T)
     asked = spark.createDataFrame([("a", None, "x\nw", "ann", "v1"), ("a", None, "k", "ann", None), ("b", "v9", "r", "ann", None), ("b", "v9", "s", "ann", None), ("a", "v1", "t", "ann", None), ("a", None, " ", "ann", None)], ASK)
     new = {(r.name, r.version): (r.content, r.source_version, r.added, r.removed) for r in templates.save_version(have, asked).where("operation = 'save'").collect()}
-    assert new == {("a", "v10"): ("k", "v2", 1, 2), ("a", "v11"): ("x\nw", "v1", 1, 1), ("b", "v9"): ("r", "v1", 1, 1)}
+    assert new == {("a", "v10"): ("k\n", "v2", 1, 2), ("a", "v11"): ("x\nw\n", "v1", 1, 1), ("b", "v9"): ("r\n", "v1", 1, 1)}
     assert sorted((r.version or "", r.reason) for r in templates.rejected_requests(have, asked).collect()) == [("", "empty"), ("v1", "exists"), ("v9", "repeated")]
     over = templates.save_version(have, asked.where("version = 'v1'"), overwrite=True).where("name = 'a' AND version = 'v1'").collect()
-    assert [(r.content, r.operation, r.source_version, r.added, r.removed) for r in over] == [("t", "overwrite", None, 1, 2)]
+    assert [(r.content, r.operation, r.source_version, r.added, r.removed) for r in over] == [("t\n", "overwrite", None, 1, 2)]
 
 
 def test_rollbacks_get_versions_of_their_own(spark):
     have = spark.createDataFrame([("a", "v1", "x"), ("a", "v2", "y"), ("a", "v3", "z")], T)
     rows = templates.rollback_version(have, have.where("version < 'v3'").select("name", "version"), "eve").where("operation = 'rollback'").collect()
-    assert sorted((r.version, r.content, r.source_version, r.notes) for r in rows) == [("v4", "x", "v1", "Rollback to v1."), ("v5", "y", "v2", "Rollback to v2.")]
+    assert sorted((r.version, r.content, r.source_version, r.notes) for r in rows) == [("v4", "x\n", "v1", "Rollback to v1."), ("v5", "y\n", "v2", "Rollback to v2.")]
 
 
 def test_changelog_of_one_template(spark):
@@ -448,3 +448,11 @@ def test_recent_log_cuts_inside_one_microsecond(spark):
                 break
             want[i] = used
         assert {r.id: r.used for r in retrieval.recent_log(df, most, "props", "ts", "id").collect()} == want
+
+
+def test_marks_inside_a_text_are_left_out(spark):
+    rows = spark.createDataFrame([("5 kg of \ufdd0H\ufdd1 and 3 m/s", "Physics"), ("5 kg of H and 3 m/s", "Physics")], "text string, subject string")
+    spoken = [r.text for r in speech.normalize_notation(rows).collect()]
+    assert spoken[0] == spoken[1] and "\ufdd0" not in spoken[0]
+    units = rows.select(speech.expand_units(F.col("text")).alias("u")).collect()
+    assert units[0].u == units[1].u
