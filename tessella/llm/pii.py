@@ -56,19 +56,43 @@ def _literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_SPAN = "struct<s:int,e:int,v:string,b:string,n:string>"
+_PIECE = 64  # elements that a fold appends one by one; lists of so many are then joined
+
+
+def _fold(items: str, start: dict[str, str], step: str, kind: str) -> str:
+    """SQL: the elements, of type kind, that a fold over the array items puts out, in time in proportion to its length.
+
+    step gives the next state from a and x: the fields of start and out, an array that it may append to. The fold goes by
+    pieces, since appending copies the array.
+    """
+    fields = lambda of: ", ".join(f"'{k}', {of}.{k}" for k in start)
+    first = ", ".join(f"'{k}', {v}" for k, v in start.items())
+    inner = f"aggregate(slice(z, c * {_PIECE} + 1, {_PIECE}), named_struct({fields('w')}, 'out', cast(array() AS array<{kind}>)), (a, x) -> {step})"
+    outer = f"transform(array({inner}), r -> named_struct({fields('r')}, 'out', array_append(w.out, r.out)))[0]"
+    whole = f"aggregate(sequence(0, size(z) div {_PIECE}), named_struct({first}, 'out', cast(array() AS array<array<{kind}>>)), (w, c) -> {outer}, w -> flatten(w.out))"
+    return f"transform(array({items}), z -> {whole})[0]"
+
+
 def _spans(text: str, guard: str, pattern: str) -> Column:
-    """array<struct<s,e,v>>: code point start, end and text of every leftmost non-overlapping match."""
+    """array<struct<s,e,v,b,n>>: code point start, end and text of every leftmost non-overlapping match, the 28 characters before it and the one after."""
     p = _literal(pattern)
-    none = "cast(array() AS array<struct<s:int,e:int,v:string>>)"
-    step = "named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.v), 'v', x.v)"
-    return F.expr(
-        f"""CASE WHEN {guard} THEN aggregate(
-              zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, v) -> named_struct('g', g, 'v', v)),
-              named_struct('at', 0, 'out', {none}),
-              (a, x) -> CASE WHEN x.v IS NULL THEN a ELSE named_struct('at', a.at + length(x.g) + length(x.v), 'out', array_append(a.out, {step})) END,
-              a -> a.out)
-            ELSE {none} END"""
-    )
+    parts = f"transform(array(named_struct('g', split({text}, {p}, -1), 'v', regexp_extract_all({text}, {p}, 0))), q -> transform(q.v, (v, i) -> named_struct('g', q.g[i], 'v', v, 'n', left(coalesce(nullif(q.g[i + 1], ''), get(q.v, i + 1), ''), 1))))[0]"
+    span = "named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.v), 'v', x.v, 'b', right(concat(a.tail, x.g), 28), 'n', x.n)"
+    step = f"named_struct('at', a.at + length(x.g) + length(x.v), 'tail', right(concat(a.tail, x.g, x.v), 28), 'out', array_append(a.out, {span}))"
+    return F.expr(f"CASE WHEN {guard} THEN {_fold(parts, {'at': '0', 'tail': chr(39) * 2}, step, _SPAN)} ELSE cast(array() AS array<{_SPAN}>) END")
+
+
+def _apart(loose: str, taken: str) -> str:
+    """SQL: the spans of loose that overlap none of taken.
+
+    Ends of loose spans and starts of taken ones are put in order; where a loose span ends, those taken that start before
+    are known by their greatest end.
+    """
+    ends = f"transform({loose}, x -> named_struct('p', x.e, 'tag', 0, 'q', x.s, 'x', x))"
+    starts = f"transform({taken}, t -> named_struct('p', t.s, 'tag', 1, 'q', t.e, 'x', cast(NULL AS {_SPAN})))"
+    step = "CASE WHEN x.tag = 1 THEN named_struct('most', greatest(a.most, x.q), 'out', a.out) WHEN a.most > x.q THEN a ELSE named_struct('most', a.most, 'out', array_append(a.out, x.x)) END"
+    return f"CASE WHEN size({loose}) = 0 OR size({taken}) = 0 THEN {loose} ELSE {_fold(f'array_sort(concat({starts}, {ends}))', {'most': '-1'}, step, _SPAN)} END"
 
 
 def _luhn(digits: str) -> str:
@@ -104,20 +128,19 @@ def _voted(kind: str, strict: bool) -> str:
     """SQL: struct<kind, s, e, base, votes> of a candidate x, null for a strict match that fails its test."""
     order = KINDS.index(kind)
     luhn = VALID["card"] if kind == "card" else "true"
-    before = "lower(substring(text, greatest(1, x.s - 27), least(x.s, 28)))"
     votes = [
         "true" if strict else "false",
         USUAL[kind],
         KNOWN[kind],
-        rf"rlike({before}, '(?:{CONTEXT[kind]})')",
-        r"NOT rlike(substring(text, greatest(1, x.s), CASE WHEN x.s = 0 THEN 0 ELSE 1 END) || ' ' || substring(text, x.e + 1, 1), '[\\p{L}\\p{N}]')",
+        rf"rlike(lower(x.b), '(?:{CONTEXT[kind]})')",
+        r"NOT rlike(right(x.b, 1) || ' ' || x.n, '[\\p{L}\\p{N}]')",
         "many > 1",
         luhn,
     ]
     features = [
-        r"rlike(substring(text, greatest(1, x.s - 1), least(x.s, 2)), '[:=]\\s?$')",
-        "x.s = 0 OR substring(text, x.s, 1) = '\\n'",
-        r"rlike(substring(text, x.e + 1, 1), '^(?:[\\s.,;)]|)$')",
+        r"rlike(right(x.b, 2), '[:=]\\s?$')",
+        "x.s = 0 OR right(x.b, 1) = '\\n'",
+        r"rlike(x.n, '^(?:[\\s.,;)]|)$')",
         "x.e - x.s >= 16",
         r"rlike(x.v, '[ ._/()-].*[ ._/()-]')",
     ]
@@ -137,7 +160,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = []
     for k in KINDS:
         parts.append(f"transform(base_{k}, x -> {_voted(k, True)})")
-        parts.append(f"transform(filter(loose_{k}, x -> NOT exists(taken, b -> b.s < x.e AND x.s < b.e)), x -> {_voted(k, False)})")
+        parts.append(f"transform({_apart(f'loose_{k}', 'taken')}, x -> {_voted(k, False)})")
     return rows.select("doc_id", F.expr(f"CASE WHEN many = 0 THEN cast(array() AS array<struct<s:int,kind:int,e:int,base:boolean,votes:int>>) ELSE array_sort(concat({', '.join(parts)})) END").alias("found"))
 
 

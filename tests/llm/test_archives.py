@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import runs, vectorcodes, warc
+from tessella.llm import pii, runs, vectorcodes, warc
 
 PAGES = [
     (1, "http://a.b/x", "same"), (2, "http://a.b/x", "same"), (0, "http://www.A.b:80/x#f", None), (3, None, ""), (None, "u\r\nv", "same"), (1, "http://a.b/x", "same"),
@@ -241,3 +241,23 @@ def test_odd_vectors(spark):
     assert sorted((r.vec_id or -1, r.error, r.label_error) for r in got) == [(-1, 0, 0), (1, 0, 0), (2, 0, 0), (2, 0, 0)]
     assert {r.code for r in got if r.vec_id == 1} == {"00000000"} and len({r.codebooks_sha256 for r in got}) == 1
     assert vectorcodes.vector_codes(df.where("false")).count() == 0
+
+
+def test_personal_data_in_a_text_of_very_many_finds(spark):
+    unit = "call +1 (212) 555-0123 or 212-555-0199 now, "
+    rows = spark.createDataFrame([(1, unit * 8_000), (2, unit), (3, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(rows).collect()}
+    assert (got[1].n_phone, got[2].n_phone, got[3].spans) == (8_000, 1, "")
+    first, last = got[2].spans.split(","), got[1].spans.split(",")[-1].split(":")
+    assert got[1].spans.split(",")[: len(first)] == first and int(last[1]) >= 7_999 * len(unit)
+
+
+def test_loose_spans_beside_taken_ones(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(200):
+        spans = [sorted(((s := rnd.randrange(400)), s + rnd.randrange(1, 12), "v", "b", "n") for _ in range(rnd.choice([0, 3, 90]))) for _ in range(2)]
+        rows.append((i, *spans))
+    df = spark.createDataFrame(rows, f"id long, loose array<{pii._SPAN}>, taken array<{pii._SPAN}>")
+    got = {r.id: sorted(map(tuple, r.out)) for r in df.select("id", F.expr(pii._apart("loose", "taken")).alias("out")).collect()}
+    assert got == {i: sorted(x for x in loose if not any(t[0] < x[1] and x[0] < t[1] for t in taken)) for i, loose, taken in rows}
