@@ -100,6 +100,8 @@ def cache_pieces(requests: DataFrame, ttl: int, busy: int = BUSY_REQUESTS) -> Da
     of each stretch. Keys of at most `busy` requests are one piece. The table of stretches is of busy keys only.
     """
     rows = requests.select("key", "request_id", "seconds").where("seconds IS NOT NULL")
+    if rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > busy).isEmpty():
+        return rows.withColumn("piece", F.lit(0).cast("long"))
     stretch = F.floor(F.col("seconds") / ttl)
     spans = rows.groupBy("key", stretch.alias("_s")).agg(F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.count(F.lit(1)).alias("n"))
     order = W.partitionBy("key").orderBy("_s")
