@@ -38,6 +38,9 @@ BLOCK = 256
 HOT = 1024  # a key with over 1/HOT of all rows, and more than HOT_ROWS, is joined without a shuffle
 HOT_ROWS = 256
 COLUMNS = 8192
+FEW = 16  # rows of a table outside its largest family that are compared with all its rows one by one
+SPARSE = 1024  # comparisons over one rare shingle that are made as pairs, so at most 32 for one of its rows
+RARITY_BITS = 20  # buckets of the shingle counts that order the sets: 8 MB, whatever the corpus
 
 _N = 2 * HALVES * ROWS
 _MULT = textkit.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
@@ -252,11 +255,86 @@ def _sets_of(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(lambda it: _sets(it, k), "class_id long, hashes binary")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of a task's sets in each bucket of their hashes."""
+    n = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for blob in batch.column(0):
+            np.add.at(n, _bucket(np.frombuffer(blob.as_buffer(), dtype=np.uint64)), 1)
+    some = np.flatnonzero(n)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["bucket", "n"])
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(class_id, shingle) of each set's rarest shingles, one of which any linked set shares."""
+    for batch in batches:
+        parts = []
+        for blob in batch.column(1):
+            h = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+            least = len(h) - -(-PERCENT * len(h) // 100) + 1
+            parts.append(h[np.lexsort((h, counts[_bucket(h)]))[:least]])
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+        shingles = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shingles.view(np.int64))], names=["class_id", "shingle"])
+
+
+def _rare_shingles(members: DataFrame, sets: DataFrame, held: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(shingle, class_id, root) of the members' rarest shingles that different roots share, and (shingle, largest, c, alone) of each.
+
+    largest is the root of most of a shingle's c classes, alone the number of the others.
+    """
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    got = sets.select("hashes").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+    rare = sets.select("class_id", "hashes").mapInArrow(lambda it: _rarest(it, sent.value), "class_id long, shingle long").distinct()
+    edges = held.keep(rare.join(members, "class_id"), "rare")
+    each = edges.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle")
+    sizes = each.agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("c"), (F.sum("n") - F.max("n")).alias("alone")).where("alone > 0")
+    return edges, held.keep(sizes, "shared")
+
+
+def _sparse_pairs(edges: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """Pairs (x, y) of different roots that share a rare shingle of few classes; each shingle's list of others is bounded by SPARSE."""
+    others = edges.join(sizes.where(f"alone * c <= {SPARSE}"), "shingle").where("root <> largest")
+    few = others.groupBy("shingle").agg(F.collect_list(F.struct("class_id", "root")).alias("few"), F.first("c").alias("c"))
+    both = lookup(edges, few, "shingle", total).select("class_id", "root", F.explode("few").alias("f")).where("root <> f.root")
+    return both.select(F.least("class_id", "f.class_id").alias("x"), F.greatest("class_id", "f.class_id").alias("y")).distinct()
+
+
+def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sizes and minhashes let a link be likely."""
+    for end in ("x", "y"):
+        pairs = pairs.join(classes.select(F.col("class_id").alias(end), F.col("n_shingles").alias(f"n{end}"), F.col("planes").alias(f"p{end}")), end)
+    return pairs.where(_sizes_allow(F.col("nx"), F.col("ny")) & _agree("px", "py")).select("x", "y")
+
+
+def _dense_members(edges: DataFrame, sizes: DataFrame, held: Scratch) -> DataFrame:
+    """(family, class_id, root, single, n, alone) of classes joined by rare shingles of many classes; single: outside the largest root."""
+    total = edges.count()
+    dense = held.keep(lookup(edges, sizes.where(f"alone * c > {SPARSE}").select("shingle", "c"), "shingle", total), "dense")
+    families = _with_roots(components(dense.select(F.col("shingle").alias("x"), F.col("class_id").alias("y")), held), "class_id", "family")
+    members = held.keep(dense.select("class_id", "root").distinct().join(families, "class_id"), "members")
+    parts = members.groupBy("family", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("family")
+    whole = parts.agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("n"), F.sum("m").alias("c"), (F.sum("m") - F.max("m")).alias("alone"))
+    return lookup(members, whole.where("alone > 0"), "family", members.count()).withColumn("single", F.col("root") != F.col("largest"))
+
+
+def _with_roots(found: DataFrame, node: str, root: str) -> DataFrame:
+    """components with a row for each root too."""
+    return found.select(F.col("node").alias(node), F.col("root").alias(root)).union(found.select("root", "root").distinct())
+
+
 def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components of one family: members (family, class_id, root, n, alone), sets (class_id, hashes).
+    """Links between components of one family: members (family, class_id, root, single, n, alone), sets (class_id, hashes).
 
-    Members that the family's best hub is linked with are one component already, so only the `alone` others are compared,
-    with all members. Both are dealt to blocks of about BLOCK; a block of either kind meets in one task, where
+    Members of the family's largest component need no comparison among themselves, so only the `alone` others are
+    compared, with all members. Both are dealt to blocks of about BLOCK; a block of either kind meets in one task, where
     intersections of all the sets come from matrix products over the shingles that occur twice, and only links that
     join two components leave the task.
     """
@@ -265,7 +343,7 @@ def _family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     at = lambda c, salt: F.expr(f"pmod(xxhash64(class_id, {salt}), {c})")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     whole = blocks.select("family", "class_id", "root", F.lit(False).alias("single"), every("few").alias("i"), at("rows", 1).alias("j"))
-    single = blocks.where("class_id = root AND NOT is_hub").select("family", "class_id", "root", F.lit(True).alias("single"), at("few", 2).alias("i"), every("rows").alias("j"))
+    single = blocks.where("single").select("family", "class_id", "root", F.lit(True).alias("single"), at("few", 2).alias("i"), every("rows").alias("j"))
     return whole.unionByName(single).join(sets, "class_id").groupBy("family", "i", "j").applyInArrow(_compare_block, "x long, y long")
 
 
@@ -337,16 +415,20 @@ def _grouped(base: DataFrame, k: int, held: Scratch) -> DataFrame:
         return base.join(one, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class_id", "text")
 
     stars, near = _link(_hub_pairs(tables), texts, k, held)
-    families = held.keep(components(near, held).select(F.col("node").alias("class_id"), F.col("root").alias("family")), "members")
-    placed = held.keep(_star_roots(families, stars), "families")
-    single = (F.col("class_id") == F.col("root")) & ~F.col("is_hub")
-    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("c"), F.count_if(single).alias("alone"))
-    members = held.keep(lookup(placed, sizes.where("alone > 0"), "family", placed.count()), "members")
-    links = [stars]
-    if not members.isEmpty():
-        links.append(held.keep(_family_links(members, held.keep(_sets_of(texts(members.select("class_id")), k), "sets")), "links"))
-    across, _ = _link(_cross_pairs(tables, placed.select("class_id", "family")), texts, k, held)
-    roots = components(reduce(DataFrame.union, [*links, across]), held)
+    first = held.keep(components(stars, held), "parts")
+    placed = held.keep(_placed(_with_roots(components(near, held), "class_id", "family"), first), "families")
+    late, crowded = _cross_pairs(tables, placed, held)
+    unsure = held.keep(_split_families(placed).union(_placed(crowded.select("class_id", F.col("class_id").alias("family")), first).select("class_id", "root")).distinct(), "unsure")
+    links = [first.select(F.col("node").alias("x"), F.col("root").alias("y"))]
+    if not unsure.isEmpty():
+        sets = held.keep(_sets_of(texts(unsure.select("class_id")), k), "sets")
+        edges, sizes = _rare_shingles(unsure, sets, held)
+        late = late.union(_promising(_sparse_pairs(edges, sizes, edges.count()), classes)).distinct()
+        if not sizes.where(f"alone * c > {SPARSE}").isEmpty():
+            members = held.keep(_dense_members(edges, sizes, held), "members")
+            links.append(held.keep(_family_links(members, sets), "links"))
+    links.append(_link(late, texts, k, held)[0])
+    roots = components(reduce(DataFrame.union, links), held)
     classed = held.keep(classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), F.col("owner.doc_id").alias("least_id")), "roots")
     smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
     named = lookup(classed, smallest, "root", classed.count()).select("class_id", "component_id", "root")
@@ -363,25 +445,30 @@ def _by_class(rows: DataFrame, named: DataFrame) -> DataFrame:
     return found.unionByName(rows.where("class_id IS NULL"), allowMissingColumns=True)
 
 
-def _star_roots(families: DataFrame, stars: DataFrame) -> DataFrame:
-    """(class_id, family, root, is_hub): root is the family's hub of most confirmed links where linked with it, else the member itself."""
-    ends = stars.select(F.col("x").alias("hub"), F.col("y").alias("class_id")).union(stars.select(F.col("y").alias("hub"), F.col("x").alias("class_id")))
-    sizes = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("c"))
-    best = sizes.join(families, F.col("hub") == F.col("class_id")).groupBy("family").agg(F.max_by(F.struct("hub", "c"), F.struct("c", "hub")).alias("b")).select("b.hub", "b.c")
-    linked = lookup(ends, best, "hub", 2 * stars.count()).select("class_id", F.col("hub").alias("r")).union(best.select(F.col("hub").alias("class_id"), F.col("hub").alias("r"))).distinct()
-    return families.join(linked, "class_id", "left").select("class_id", "family", F.coalesce("r", "class_id").alias("root"), F.coalesce(F.col("r") == F.col("class_id"), F.lit(False)).alias("is_hub"))
+def _placed(families: DataFrame, parts: DataFrame) -> DataFrame:
+    """families (class_id, family) with root, the component of confirmed links that each class is in."""
+    return families.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", "family", F.coalesce("root", "class_id").alias("root"))
+
+
+def _split_families(placed: DataFrame) -> DataFrame:
+    """(class_id, root) of the families that the confirmed links leave in several parts."""
+    parts = placed.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("parts"))
+    return lookup(placed, parts.where("parts > 1").select("family", "c"), "family", placed.count()).select("class_id", "root")
 
 
-def _cross_pairs(tables: DataFrame, families: DataFrame) -> DataFrame:
-    """Promising pairs of one table that lie in different families, each once; families has (class_id, family).
+def _cross_pairs(tables: DataFrame, placed: DataFrame, held: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(promising pairs of one table that lie in different families, each once; class_id of tables with too many of them).
 
-    In a table of several families the rows outside its largest family meet all rows, so a large family is never
-    compared with itself here.
+    In a table of several families the rows outside its largest family meet all rows, as long as they are FEW, so that
+    one row of a table makes at most FEW pairs; the classes of other tables are returned.
     """
-    rows = tables.join(families, "class_id", "left").withColumn("family", F.coalesce("family", "class_id"))
-    sizes = rows.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("family", F.struct("n", "family")).alias("largest"), F.count(F.lit(1)).alias("f")).where("f > 1").select("key", "largest")
-    few = rows.join(mixed, "key").where("family <> largest").select("key", F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), F.col("family").alias("fx"), F.col("planes").alias("px"))
-    both = rows.select("key", F.col("class_id").alias("y"), F.col("n_shingles").alias("m"), F.col("family").alias("fy"), F.col("planes").alias("py"))
-    met = (F.col("fx") != F.col("fy")) & _sizes_allow("n", "m") & _agree("px", "py")
-    return few.join(both, "key").where(met).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = held.keep(tables.join(placed.select("class_id", "family"), "class_id", "left").withColumn("family", F.coalesce("family", "class_id")), "rows")
+    total = rows.count()
+    sizes = rows.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    mixed = sizes.agg(F.max_by("family", F.struct("n", "family")).alias("largest"), F.sum("n").alias("c"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    mixed = held.keep(mixed, "mixed")
+    few = rows.join(mixed.where(f"outside <= {FEW}"), "key").where("family <> largest").groupBy("key").agg(F.first("c").alias("c"), F.collect_list(F.struct("class_id", "n_shingles", "family", "planes")).alias("few"))
+    met = (F.col("f.family") != F.col("family")) & _sizes_allow(F.col("f.n_shingles"), F.col("n_shingles")) & _agree("f.planes", "planes")
+    both = lookup(rows, few, "key", total).select("class_id", "n_shingles", "family", "planes", F.explode("few").alias("f")).where(met)
+    crowded = lookup(rows, mixed.where(f"outside > {FEW}").select("key", "c"), "key", total).select("class_id").distinct()
+    return both.select(F.least("class_id", "f.class_id").alias("x"), F.greatest("class_id", "f.class_id").alias("y")).distinct(), held.keep(crowded, "crowded")

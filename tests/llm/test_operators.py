@@ -98,6 +98,40 @@ def test_a_large_family_with_members_outside_its_hub(spark):
     assert got == expected
 
 
+def test_pages_of_one_template_are_not_compared_all_with_all(spark, monkeypatch):
+    """Similarity 0.55 throughout and no duplicates but a few planted ones: compared pairs grow like the pages."""
+    compared, blocks = [], []
+    confirmed, family = neardup._confirmed, neardup._family_links
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, sets: compared.append(pairs.count()) or confirmed(pairs, sets))
+    monkeypatch.setattr(neardup, "_family_links", lambda members, sets: blocks.append(members.count()) or family(members, sets))
+    shared, each = [f"t{i}" for i in range(150)], []
+    for n in (1000, 4000):
+        rows = [(i, " ".join(shared + [f"p{i}w{j}" for j in range(60)])) for i in range(n)]
+        rows += [(n + i, text.replace(f"p{i}w7", "other")) for i, text in rows[:50]]
+        compared.clear()
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+        assert got == {i: i - n if i >= n else i for i, _ in rows}
+        each.append(sum(compared) / len(rows))
+    assert not blocks and max(each) < 60 and each[1] < 1.5 * each[0]
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.82, each by itself: as good as none is missed."""
+    rng = np.random.default_rng(8)
+    rows, linked = [], []
+    for i in range(2500):
+        words = [f"d{i}w{j}" for j in range(103)]
+        other = list(words)
+        for place in [*rng.permutation(np.arange(12, 92, 4))[:2], *range(-2 - i % 2, 0)]:
+            other[place] = "x" + other[place]
+        a, b = set(zip(*[words[j:] for j in range(4)])), set(zip(*[other[j:] for j in range(4)]))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.82:
+            linked.append(i)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(linked) > 500 and np.mean([got[2 * i + 1] == 2 * i for i in linked]) > 0.999
+
+
 def test_repeated_and_null_ids_of_near_duplicates(spark):
     words = lambda seed: " ".join(f"{seed}{i}" for i in range(20))
     rows = [(None, words("a")), (None, words("a")), (None, words("b")), (7, words("b")), (3, words("c")), (3, words("c")), (9, None)]
