@@ -160,14 +160,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Expected domain tokens are sum(rate * n_tokens * p) and match the targets' shares of all tokens as far as rates
     near 1 allow (PULL). Defined cases: texts without words have no tokens, an even rate and no weight in the fit; null
     ids take part; labels outside the targets and null labels are not learned from; without labels posteriors are even;
-    repeated rows each get a row and the same rate; an empty table gives no rows.
+    repeated rows each get a row and the same rate; an empty table gives no rows; of kept columns named like a result
+    the result stands, any other name may be kept.
     """
     targets = TARGETS if targets is None else targets
     keep = [id_col] if keep is None else keep
     model = fit(docs, labels, targets, id_col, text_col)
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    own = free_name(docs, "key")
-    rows = materialize(posteriors(docs.withColumn(own, key), model, [*keep, own], text_col), "posteriors")
+    results = {"n_tokens", "rate", "copies", *(f"p_{d}".lower() for d in model.domains)}
+    kept = [F.col(f"`{c}`") for c in keep if c.lower() not in results]
+    filler = free_name(docs, "_end")  # a struct needs a field even where nothing is kept
+    boxed = docs.select(F.col(text_col).alias("text"), key.alias("key"), F.struct(*kept, F.lit(None).cast("int").alias(filler)).alias("kept"))
+    rows = materialize(posteriors(boxed, model, ["kept", "key"], "text"), "posteriors")
     rate, _, _ = fit_rates(rows, targets)
-    out = rows.withColumn("rate", rate)
-    return out.select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), seed, F.col(own)).alias("copies"))
+    out = rows.withColumn("rate", rate).select("kept", "key", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate")
+    return out.select("kept.*", "n_tokens", *[f"p_{d}" for d in model.domains], "rate", copies(F.col("rate"), seed, F.col("key")).alias("copies")).drop(filler)

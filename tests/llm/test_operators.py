@@ -498,6 +498,14 @@ def test_mixing_of_odd_rows(spark, odd, none):
     assert mixing.mix(odd, labels.where("quality > 5")).where("rate is null").count() == 0
 
 
+def test_mixing_keeps_columns_beside_clashing_names(odd):
+    labels = odd.sparkSession.createDataFrame([(4, 1, 0), (5, 0, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    given = odd.withColumns({"p": F.lit("own"), "rate": F.lit("own"), "kept": F.lit(3), "key": F.lit("k")})
+    out = mixing.mix(given, labels, keep=["doc_id", "p", "rate", "kept", "key", "n_words"])
+    assert out.columns == ["doc_id", "p", "kept", "key", "n_words", "n_tokens", "p_clean", "p_low", "p_toxic", "rate", "copies"]
+    assert out.where("p = 'own' AND kept = 3 AND key = 'k' AND rate >= 0D").count() == odd.count()
+
+
 def test_rates_by_a_plain_version(spark):
     """Rates by the same projected gradient over plain arrays, whatever the number of tasks."""
     rng = np.random.default_rng(8)
