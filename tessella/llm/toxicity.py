@@ -2,7 +2,9 @@
 
 Voters are fixed lexicons, one a language, and patterns mined from labelled training rows. A pattern is a word or a word
 beginning; counts over all labelled training rows keep those whose toxic rows exceed chance beyond the number of
-patterns tried, and a greedy cover of all their toxic texts picks voters that explain toxic rows no earlier voter does;
+patterns tried, and a greedy cover of all their toxic texts picks voters that explain toxic rows no earlier voter does.
+Where the cover needs more than MOST_VOTERS patterns, it goes on by elections, and those further patterns are pooled
+into a few voters by their precision, so that none is lost and the label model stays small;
 patterns that are common in clean rows and far rarer in toxic ones vote for clean. The label model is generative: by
 expectation-maximisation it estimates how often each voter, and the given label as one more voter, fires on toxic and on
 clean rows. Voters that fire together beyond what the classes explain are tied in a forest of the strongest
@@ -24,9 +26,10 @@ from tessella.llm import textkit
 from tessella.llm.common import Scratch, free_name, held_out
 
 PREFIXES = (3, 4, 5, 6, 7)  # bytes of a word beginning
-MOST_PATTERNS = 100_000  # tested patterns, the most frequent ones in toxic rows
-MOST_VOTERS = 63
-SAMPLE_ROWS = 20_000  # distinct vote vectors, the most frequent ones, for the label model and the classifier
+MOST_VOTERS = 63  # patterns that vote alone; further ones vote in pools
+POOLS = (0.93, 0.96, 0.99)  # precisions between the pools
+SIEVE_BITS = 24  # of a pattern hash, looked up in a bit table before a clean row's pattern is counted
+SAMPLE_ROWS = 20_000  # distinct vote vectors for the label model and the classifier; of more, a weighted sample
 COVERED = 3  # toxic texts that a voter has to explain beyond earlier voters
 MERGE_PATTERNS = 2_000_000  # patterns of scans held before they are passed on
 PRECISION = 0.9
@@ -68,14 +71,15 @@ class _Finder:
 
     def __init__(self, patterns: np.ndarray):
         self.patterns = np.unique(patterns)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.patterns & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.low = np.uint64((1 << max(20, int(len(self.patterns)).bit_length() + 3)) - 1)
+        self.maybe = np.zeros(int(self.low) + 1, dtype=bool)
+        self.maybe[(self.patterns & self.low).astype(np.int64)] = True
 
     def find(self, words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
         """(row, place of the pattern) of every occurrence."""
         rows, places = [], []
         for h, row in _patterns(words):
-            some = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+            some = np.flatnonzero(self.maybe[(h & self.low).astype(np.int64)])
             if len(some) and len(self.patterns):
                 at = np.minimum(np.searchsorted(self.patterns, h[some]), len(self.patterns) - 1)
                 hit = self.patterns[at] == h[some]
@@ -85,18 +89,19 @@ class _Finder:
         return (np.concatenate(rows), np.concatenate(places)) if rows else (none, none)
 
 
-def _count(batches: Iterator[pa.RecordBatch], finder: _Finder | None) -> Iterator[pa.RecordBatch]:
-    """Rows of a task in which each pattern occurs; all patterns, or those of the finder."""
+def _count(batches: Iterator[pa.RecordBatch], sieve: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of a task in which each pattern occurs; all patterns, or those whose low bits the sieve has."""
     parts, held = [], 0
     for batch in batches:
         for words in textkit.scan(batch.column(0), textkit.LETTERS):
-            if finder is None:
-                hashes = np.concatenate([_once(h, row) for h, row in _patterns(words)])
-            else:
-                row, place = finder.find(words)
-                pairs = np.unique(row * len(finder.patterns) + place)
-                hashes = finder.patterns[pairs % max(1, len(finder.patterns))]
-            parts.append(np.unique(hashes, return_counts=True))
+            kinds = []
+            for h, row in _patterns(words):
+                if sieve is not None:
+                    low = h & np.uint64((1 << SIEVE_BITS) - 1)
+                    some = np.flatnonzero(sieve[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                    h, row = h[some], row[some]
+                kinds.append(_once(h, row))
+            parts.append(np.unique(np.concatenate(kinds), return_counts=True))
             held += len(parts[-1][0])
             if held > MERGE_PATTERNS:
                 yield _merged(parts)
@@ -120,27 +125,48 @@ def _once(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return h[fresh]
 
 
-def mine(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns that mark toxic rows far beyond chance, patterns that mark clean ones) of labelled (text, toxic), counted over all rows."""
+@dataclass
+class Mined:
+    """Patterns that mark toxic rows far beyond chance, the share of their rows that are toxic, and patterns that mark clean rows."""
+
+    patterns: np.ndarray
+    precision: np.ndarray
+    telling: np.ndarray
+
+
+def _sieve(patterns: DataFrame) -> np.ndarray:
+    """A bit table of the patterns' low bits, 2**SIEVE_BITS bits however many patterns there are."""
+    low = F.col("pattern").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    words = patterns.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(pattern & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def mine(labelled: DataFrame, scratch: Scratch) -> Mined:
+    """Patterns of labelled (text, toxic), counted over all rows; only the telling ones reach the driver."""
     toxic, clean = labelled.where("toxic = 1"), labelled.where("toxic = 0")
     sizes = labelled.agg(F.sum(F.col("toxic")).alias("t"), F.count(F.lit(1)).alias("n")).first()
-    none = np.zeros(0, np.uint64)
     if not sizes["t"] or sizes["t"] == sizes["n"]:
-        return none, none
-    rate = sizes["t"] / sizes["n"]
+        return Mined(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64))
+    n_clean = sizes["n"] - sizes["t"]
     tried = toxic.select("text").mapInArrow(lambda it: _count(it, None), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("t"))
-    least = max(3, int(np.ceil((np.log(MOST_PATTERNS) + 4) / np.log(1 / rate))))
-    frequent = tried.where(F.col("t") >= least).orderBy(F.desc("t"), "pattern").limit(MOST_PATTERNS).toArrow()
-    hashes, order = np.unique(frequent.column("pattern").to_numpy().view(np.uint64), return_index=True)
-    support = frequent.column("t").to_numpy()[order]
-    held = labelled.sparkSession.sparkContext.broadcast(_Finder(hashes))
-    found = clean.select("text").mapInArrow(lambda it: _count(it, held.value), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
-    wrong = np.zeros(len(hashes), np.int64)
-    wrong[np.searchsorted(hashes, found.column("pattern").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
-    in_clean = wrong / (sizes["n"] - sizes["t"])
-    telling = np.flatnonzero((in_clean >= CLEAN_SHARE) & (in_clean >= CLEAN_RATIO * support / sizes["t"]))
-    telling = telling[np.lexsort((hashes[telling], -in_clean[telling]))][:MOST_CLEAN_VOTERS]
-    return hashes[support >= PRECISION * (support + wrong)], hashes[telling]
+    tried = scratch.keep(tried.where("t >= 3"), "tried")
+    least = max(3, int(np.ceil((np.log(max(1, tried.count())) + 4) / np.log(sizes["n"] / sizes["t"]))))
+    frequent = tried.where(F.col("t") >= least)
+    held = labelled.sparkSession.sparkContext.broadcast(_sieve(frequent))
+    found = clean.select("text").mapInArrow(lambda it: _count(it, held.value), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    in_clean, in_toxic = F.col("n") / n_clean, F.col("t") / sizes["t"]
+    both = frequent.join(found, "pattern", "left").select("pattern", "t", F.coalesce("n", F.lit(0)).alias("n")).select(
+        "pattern", "n", (F.col("t") / (F.col("t") + F.col("n"))).alias("precision"), ((in_clean >= CLEAN_SHARE) & (in_clean >= CLEAN_RATIO * in_toxic)).alias("telling"))
+    got = both.where((F.col("precision") >= PRECISION) | F.col("telling")).toArrow()
+    hashes, n, precision, telling = (got.column(c).to_numpy() for c in ("pattern", "n", "precision", "telling"))
+    hashes = hashes.view(np.uint64)
+    marks = np.flatnonzero(precision >= PRECISION)
+    marks = marks[np.argsort(hashes[marks])]
+    clear = np.flatnonzero(telling)
+    clear = clear[np.lexsort((hashes[clear], -n[clear]))][:MOST_CLEAN_VOTERS]
+    return Mined(hashes[marks], precision[marks], hashes[clear])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], finder: _Finder) -> Iterator[pa.RecordBatch]:
@@ -154,26 +180,53 @@ def _occurrences(batches: Iterator[pa.RecordBatch], finder: _Finder) -> Iterator
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(words.first, len(words.per_row)), pa.array(lists, pa.list_(pa.int32()))], names=["digest", "places"])
 
 
-def _cover(lists: DataFrame, size: int) -> list[int]:
-    """Patterns that one after another explain most texts not yet explained; lists has (places, n texts with them)."""
+def _tally(batches: Iterator[pa.RecordBatch], done: np.ndarray, order: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Texts of a task that hold no pattern that is done, by pattern: by each that they hold, or by the first of them in order."""
+    total = np.zeros(len(done))
+    rank = None if order is None else np.argsort(order)
+    for batch in batches:
+        if batch.num_rows:
+            at = batch.column(0).offsets.to_numpy()
+            held, at = batch.column(0).values.to_numpy()[at[0] : at[-1]], at - at[0]
+            n = batch.column(1).to_numpy() * ~np.logical_or.reduceat(done[held], at[:-1])
+            if rank is None:
+                total += np.bincount(held, np.repeat(n, np.diff(at)), len(done))
+            else:
+                total += np.bincount(order[np.minimum.reduceat(rank[held], at[:-1])], n, len(done))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["p", "n"])
 
-    def holders(rows: DataFrame) -> np.ndarray:
-        got = rows.select(F.explode("places").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+
+def _cover(lists: DataFrame, size: int) -> tuple[list[int], list[int]]:
+    """(patterns to vote alone, patterns to vote in pools) that explain most texts not yet explained; lists has (places, n texts with them).
+
+    One after another up to MOST_VOTERS. Then every text not yet explained elects the best of its patterns, and all
+    that COVERED texts elect are taken together, until none is: the best pattern of all is elected by all its texts, so
+    each election explains some.
+    """
+
+    def tally(done: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+        got = lists.select("places", "n").mapInArrow(lambda it: _tally(it, done, order), "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros(size, np.int64)
         out[got.column("p").to_numpy()] = got.column("n").to_numpy()
         return out
 
-    support = left = holders(lists)
-    chosen: list[int] = []
-    while len(chosen) < MOST_VOTERS:
-        best = max(range(size), key=lambda p: (left[p], support[p], -p), default=None)
-        if best is None or left[best] < COVERED:
-            break
-        chosen.append(best)
-        left = holders(lists.where(~F.arrays_overlap("places", F.array(*[F.lit(p) for p in chosen]))))
+    done = np.zeros(size, bool)
+    support = left = tally(done)
+    alone: list[int] = []
+    while left.max(initial=0) >= COVERED and len(alone) < MOST_VOTERS:
+        alone.append(int(np.lexsort((np.arange(size), -support, -left))[0]))
+        done[alone[-1]] = True
+        left = tally(done)
+    pooled: list[int] = []
+    while left.max(initial=0) >= COVERED:
+        elected = np.flatnonzero(tally(done, np.lexsort((np.arange(size), -support, -left))) >= COVERED)
+        pooled += elected.tolist()
+        done[elected] = True
+        left = tally(done)
     # voters beside the cover: further patterns by support, so that votes overlap and can be compared
-    rest = sorted(set(range(size)) - set(chosen), key=lambda p: (-support[p], p))
-    return chosen + rest[: max(0, min(MOST_VOTERS - len(chosen), len(chosen)))]
+    rest = [int(p) for p in np.lexsort((np.arange(size), -support)) if not done[p]]
+    return alone + rest[: max(0, min(MOST_VOTERS - len(alone), len(alone)))], pooled
 
 
 def _forest(correlation: np.ndarray) -> np.ndarray:
@@ -289,27 +342,45 @@ def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, modu
     marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder)).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     labelled = scratch.keep(texts.join(marked.hint("shuffle_hash"), "_id").select("text", "toxic"), "labelled")
-    patterns, telling = mine(labelled)
+    mined = mine(labelled, scratch)
+    patterns, telling = mined.patterns, mined.telling
     voters = lexicon_hashes()
     lexicons = len(voters)
     if len(patterns):
         held = spark.sparkContext.broadcast(_Finder(patterns))
         found = labelled.where("toxic = 1").select("text", F.xxhash64("text").alias("digest")).mapInArrow(lambda it: _occurrences(it, held.value), "digest long, places array<int>")
         lists = scratch.keep(found.where(F.size("places") > 0).dropDuplicates(["digest"]).groupBy("places").agg(F.count(F.lit(1)).alias("n")), "places")
-        voters += [patterns[p : p + 1] for p in _cover(lists, len(patterns))]
+        alone, pooled = _cover(lists, len(patterns))
+        voters += [patterns[p : p + 1] for p in alone]
+        band = np.digitize(mined.precision[pooled], POOLS) if pooled else np.zeros(0, int)
+        voters += [patterns[np.array(pooled)[band == b]] for b in np.unique(band)]
     voters += [telling[p : p + 1] for p in range(len(telling))]
     model = Model(voters)
     sent = spark.sparkContext.broadcast(model)
     votes = labelled.mapInArrow(lambda it: _vote_rows(it, sent.value), "toxic int, votes binary")
-    got = votes.groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "toxic", "votes").limit(SAMPLE_ROWS).toArrow()
+    got, times = _sampled(votes.groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("n")))
     if not got.num_rows:  # nothing to learn from: the lexicons alone decide
         model.weights = np.concatenate([np.full(lexicons, 4.0), np.zeros(len(voters) - lexicons), [0.0, 0.0, -3.0]])
         return model
     fired = np.frombuffer(textkit.joined(got.column("votes")), dtype=bool).reshape(got.num_rows, len(voters))
-    model.learn(fired, got.column("toxic").to_numpy(), got.column("n").to_numpy().astype(np.float64))
+    model.learn(fired, got.column("toxic").to_numpy(), times)
     return model
 
 
+def _sampled(vectors: DataFrame) -> tuple[pa.Table, np.ndarray]:
+    """(distinct vote vectors, rows that each stands for): all of them, or a priority sample of SAMPLE_ROWS.
+
+    A vector of n rows gets priority n / u, u its hash as a number in (0, 1]; those of highest priority stay, each for
+    the larger of n and the first priority left out. So sums over the sample are unbiased, and rare vectors have
+    their share.
+    """
+    u = (F.pmod(F.xxhash64("toxic", "votes"), F.lit(1 << 52)) + 1) / float(1 << 52)
+    got = vectors.withColumn("priority", F.col("n") / u).orderBy(F.desc("priority"), "toxic", "votes").limit(SAMPLE_ROWS + 1).toArrow()
+    beyond = got.column("priority")[SAMPLE_ROWS].as_py() if got.num_rows > SAMPLE_ROWS else 0.0
+    got = got.slice(0, SAMPLE_ROWS).sort_by([("n", "descending"), ("toxic", "ascending"), ("votes", "ascending")])
+    return got, np.maximum(got.column("n").to_numpy(), beyond).astype(np.float64)
+
+
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [model.scores(model.votes(w)) for w in textkit.scan(batch.column(0), textkit.LETTERS)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -398,6 +399,114 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert all(got[i].predicted == y for i, _, y, _ in rows)
 
 
+def test_many_toxic_terms_are_all_learned(spark):
+    """More telling patterns than voters: the further ones vote in pools, none is lost."""
+    rng = np.random.default_rng(12)
+    letters = [chr(97 + i) for i in range(26)]
+    terms = sorted({"".join(rng.choice(letters, 9)) for _ in range(200)})
+    plain = sorted({"".join(rng.choice(letters, 6)) for _ in range(400)})
+    rows = []
+    for i in range(24_000):  # each term on 30 toxic rows, some 20 of them to learn from
+        words = list(rng.choice(plain, 15))
+        if i % 4 == 0:
+            words[int(rng.integers(15))] = terms[i // 4 % len(terms)]
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.detect(docs, labels).collect()}
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p for p, y in held if y) > 0.95 * sum(y for _, y in held)
+    assert sum(p for p, y in held if not y) < 0.01 * len(held)
+
+
+def plain_patterns(text: str | None) -> set[bytes]:
+    """Whole words, with a mark before them, and beginnings of words."""
+    words = [w.encode() for w in re.findall(r"[a-z\x80-\U0010FFFF]+", brute.lower(text))]
+    return {b"=" + w for w in words} | {w[:n] for w in words for n in toxicity.PREFIXES if len(w) >= n}
+
+
+def test_mining_by_a_plain_version(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(3000):
+        toxic = int(i % 9 == 0)
+        words = [f"w{chr(97 + j % 26)}é{chr(97 + j // 26)}" for j in rng.integers(0, 300, 12)]
+        words += ["fair"] * int(rng.random() < (0.02 if toxic else 0.3)) + ["grumbat"] * int(toxic and rng.random() < 0.6) + ["zorgle"] * int(rng.random() < (0.3 if toxic else 0.002))
+        rows.append((" ".join(words), toxic))
+    n_toxic = sum(y for _, y in rows)
+    bad, good = Counter(), Counter()
+    for text, y in rows:
+        (bad if y else good).update(plain_patterns(text))
+    tried = {p: t for p, t in bad.items() if t >= 3}
+    least = max(3, math.ceil((math.log(len(tried)) + 4) / math.log(len(rows) / n_toxic)))
+    marks = {p: t / (t + good[p]) for p, t in tried.items() if t >= least and t / (t + good[p]) >= toxicity.PRECISION}
+    share = {p: good[p] / (len(rows) - n_toxic) for p, t in tried.items() if t >= least}
+    clear = {p for p, c in share.items() if c >= toxicity.CLEAN_SHARE and c >= toxicity.CLEAN_RATIO * tried[p] / n_toxic}
+    with toxicity.Scratch(spark) as held:
+        got = toxicity.mine(spark.createDataFrame(rows, "text string, toxic int").repartition(5), held)
+
+    def hashed(pattern: bytes) -> int:
+        word = pattern.removeprefix(b"=")
+        (scan,) = textkit.scan(pa.array([word.decode(errors="surrogateescape")], pa.string()), textkit.LETTERS)
+        return int((scan.hashes() ^ toxicity._WHOLE)[0]) if pattern != word else int(scan.hash_range(scan.starts, scan.starts + len(word))[0])
+
+    whole = {hashed(p): r for p, r in marks.items() if p == p.decode(errors="ignore").encode()}
+    found = dict(zip(got.patterns.tolist(), got.precision.tolist()))
+    assert marks and len(found) == len(marks) and all(found[h] == pytest.approx(r) for h, r in whole.items())
+    assert set(got.telling.tolist()) <= {hashed(p) for p in clear} and len(got.telling) == min(len(clear), toxicity.MOST_CLEAN_VOTERS)
+
+
+def test_cover_by_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_VOTERS", 3)
+    rng = np.random.default_rng(7)
+    lists = [(sorted({int(p) for p in rng.zipf(1.4, 3) if p < 40} | {int(rng.integers(40))}), int(rng.integers(1, 4))) for _ in range(300)]
+    alone, pooled = toxicity._cover(spark.createDataFrame(lists, "places array<int>, n long").repartition(4), 40)
+    left, want = lists, []
+    support = Counter(p for places, n in lists for p in places for _ in range(n))
+    for _ in range(3):
+        count = Counter(p for places, n in left for p in places for _ in range(n))
+        want.append(min(range(40), key=lambda p: (-count[p], -support[p], p)))
+        left = [x for x in left if want[-1] not in x[0]]
+    assert alone == want and not set(alone) & set(pooled) and len(set(pooled)) == len(pooled)
+    left = [x for x in left if not set(pooled) & set(x[0])]
+    count = Counter(p for places, n in left for p in places for _ in range(n))
+    assert pooled and max(count.values(), default=0) < toxicity.COVERED
+
+
+def test_label_model_by_a_plain_version():
+    """The posterior of each row, voter by voter, and the forest that it stands on."""
+    rng = np.random.default_rng(9)
+    truth = rng.random(800) < 0.3
+    votes = rng.random((800, 5)) < np.where(truth[:, None], [0.7, 0.5, 0.6, 0.4, 0.1], [0.05, 0.1, 0.02, 0.02, 0.4])
+    votes[:, 1] |= votes[:, 0]
+    label = np.where(rng.random(800) < 0.97, truth, ~truth).astype(int)
+    model = toxicity.Model([np.array([v], np.uint64) for v in range(5)])
+    model.learn(votes, label, np.ones(800))
+    assert model.parent[1] == 0 or model.parent[0] == 1  # the tied pair
+    got = model.posterior(votes, 0.3, label)
+    for i in range(0, 800, 37):
+        odds = math.log(0.3 / 0.7)
+        for v in range(5):
+            clean, toxic = (model.given[c][int(votes[i, model.parent[v]])][v] for c in (0, 1))
+            odds += math.log(toxic / clean) if votes[i, v] else math.log((1 - toxic) / (1 - clean))
+        clean, toxic = model.label_rates
+        odds += math.log(toxic / clean) if label[i] else math.log((1 - toxic) / (1 - clean))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-odds)))
+    assert np.mean((got > 0.5) == truth) > 0.97 and np.mean((model.scores(votes) > 0.5) == truth) > 0.9
+
+
+def test_vote_vectors_are_sampled_without_bias(spark, monkeypatch):
+    rows = [(i % 2, i.to_bytes(4, "big"), 1 + 400 * (i < 20)) for i in range(4000)]
+    vectors = spark.createDataFrame(rows, "toxic int, votes binary, n long")
+    got, times = toxicity._sampled(vectors)
+    assert got.num_rows == 4000 and times.sum() == sum(n for *_, n in rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 1000)
+    got, times = toxicity._sampled(vectors)
+    kept = {int.from_bytes(v, "big") for v in got.column("votes").to_pylist()}
+    assert len(kept) == 1000 and kept >= set(range(20))  # frequent vectors stay, the others are a sample
+    assert abs(times[got.column("n").to_numpy() == 1].sum() / 3980 - 1) < 0.05
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 1), (3, 1, 0), (4, None, None), (99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.detect(odd, labels).count() == odd.count() and toxicity.detect(none, labels).count() == 0
