@@ -4,7 +4,8 @@ build_index cuts the documents into blocks and stores, for every word of a block
 (gaps, so that frequent words compress). A block holds whole documents, so all lists that a phrase needs lie in one
 row and no posting is shuffled. A test window is looked up from its rarest word by corpus-wide count: that word's
 list, shifted by its offset, is intersected with the shifted lists of the other words in order of rarity. Near matches are
-looked up from each of the rarest words that the block knows, one more than may be missing.
+looked up from each of a window's rarest words that the documents have at all, one more than may be missing; so what is
+found does not depend on how the documents lie in blocks.
 
 The benchmark is read in slices of at most SLICE_BYTES of text; only one slice's windows are ever sent to the tasks
 at once, and the slices' matches are merged per document, so a benchmark of any size works.
@@ -65,6 +66,7 @@ class Windows:
     items: np.ndarray  # places in names
     names: list[str]
     by_rarity: np.ndarray | None = None  # (windows, width) offsets, rarest word first
+    rank: np.ndarray | None = None  # (windows, width) by that order: 1, 2, ... for words that the documents have, 0 for others
 
 
 def windows_of(items: list[tuple], width: int = WIDTH) -> Windows:
@@ -164,10 +166,8 @@ class _Block:
             return
         need = np.ceil(share * w.length).astype(np.int64)
         some = np.flatnonzero(known >= need)
-        by_rarity = w.by_rarity[some].astype(np.int64)
-        there = np.take_along_axis(seen[some], by_rarity, axis=1)
-        rank = np.where(there, np.cumsum(there, axis=1), 0)
-        # of so many known words at least one stands in every near match
+        by_rarity, rank = w.by_rarity[some].astype(np.int64), w.rank[some]
+        # of so many words that the documents have at least one stands in every near match
         for anchor in range(1, int((w.length - need).max(initial=0)) + 2):
             has = (rank == anchor).any(axis=1) & (anchor <= w.length[some] - need[some] + 1)
             offset = by_rarity[has, (rank[has] == anchor).argmax(axis=1)]
@@ -246,6 +246,9 @@ def _hits(index: DataFrame, items: list[tuple], width: int, slop: int, share: fl
     for row in counted.toLocalIterator():
         count[row["word"]] = row["n"]
     w.by_rarity = np.argsort(np.where(w.words >= 0, count[w.words], np.iinfo(np.int64).max), axis=1, kind="stable").astype(np.int16)
+    ordered = np.take_along_axis(w.words, w.by_rarity.astype(np.int64), axis=1)
+    there = (ordered >= 0) & (count[ordered] > 0)
+    w.rank = np.where(there, np.cumsum(there, axis=1), 0).astype(np.int16)
     held = spark.sparkContext.broadcast(w)
     return index.select("block", "bounds", "terms", "counts", "gaps").mapInArrow(lambda it: _match(it, held.value, slop, share), _HITS)
 
@@ -256,7 +259,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A window is width words
     of an item in a row (all words of a shorter one). n_hit counts document words inside an occurrence of a window;
     items lists the items with an occurring window; n_near counts items of which a window occurs with share of its
-    words within slop places of where they stand in it, one of the rarest exactly (slop 0: not looked for).
+    words within slop places of where they stand in it (slop 0: not looked for). Such an occurrence is placed by one of
+    the window's rarest words in all documents, which stands exactly: of the words that documents have, rarest first
+    and ties from the left, so many as may be missing and one more.
 
     Defined cases: null or wordless texts have no words and are clean; wordless items have no window; equal items all
     count; repeated rows each give a row; an item with a null id counts as the text "None"; empty tables give no rows

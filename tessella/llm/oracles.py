@@ -62,10 +62,22 @@ placed AS (
 hits AS (SELECT doc_id, i, l, item_id FROM placed JOIN wins USING (l, g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM hits) GROUP BY 1),
 items AS (
-  SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM hits) GROUP BY 1)
+  SELECT doc_id, count(*) AS n, string_agg(t, ',' ORDER BY t) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM hits) GROUP BY 1),
+placings AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+counts AS (SELECT word, count(*) AS n FROM placings GROUP BY 1),
+need AS (SELECT DISTINCT l, g, ceil(0.8 * l) AS need FROM wins),
+terms AS (SELECT l, g, need, unnest(string_split(g, ' ')) AS word, unnest(range(l)) AS off FROM need),
+anchors AS (SELECT g, off, word FROM terms JOIN counts USING (word) QUALIFY row_number() OVER (PARTITION BY g ORDER BY n, off) <= l - need + 1),
+starts AS (SELECT DISTINCT doc_id, g, p - off AS s FROM anchors JOIN placings USING (word)),
+close AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT s.doc_id, s.g, s.s FROM starts s JOIN terms t ON t.g = s.g JOIN placings a ON a.doc_id = s.doc_id AND a.word = t.word AND a.p BETWEEN s.s + t.off - 2 AND s.s + t.off + 2
+    GROUP BY 1, 2, 3, t.need HAVING count(DISTINCT t.off) >= t.need)),
+nearby AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n FROM close JOIN wins USING (g) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated,
+       coalesce(nearby.n, 0)::BIGINT AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 OP9 = """

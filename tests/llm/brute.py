@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -93,3 +94,25 @@ def contamination(docs: list[tuple], items: list[tuple], width: int = 10) -> dic
                     found |= own
         out[i] = (len(w), len(hit), sorted(found))
     return out
+
+
+def near_items(docs: list[tuple], items: list[tuple], width: int = 10, slop: int = 2, share: float = 0.8) -> dict[int, int]:
+    """doc_id -> items of which a window stands nearby, every start tried that one of its rarest words gives."""
+    texts = {i: alnum(t) for i, t in docs}
+    count = Counter(w for words in texts.values() for w in words)
+    out = {}
+    for i, words in texts.items():
+        places, found = defaultdict(list), set()
+        for p, w in enumerate(words):
+            places[w].append(p)
+        for item, text in items:
+            own = alnum(text)
+            for b in range(max(1, len(own) - width + 1) if own else 0):
+                window = own[b : b + width]
+                need = math.ceil(share * len(window))
+                rarest = sorted((o for o in range(len(window)) if count[window[o]]), key=lambda o: (count[window[o]], o))[: len(window) - need + 1]
+                starts = {p - o for o in rarest for p in places[window[o]]}
+                if any(sum(any(abs(p - s - o) <= slop for p in places[w]) for o, w in enumerate(window)) >= need for s in starts):
+                    found.add(item)
+        out[i] = len(found)
+    return out

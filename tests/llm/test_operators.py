@@ -202,6 +202,34 @@ def test_proximity_matches(spark):
     assert rows == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
 
 
+def test_proximity_matches_brute_force_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    vocab = [f"v{i}" for i in range(120)]
+    items = [(k, " ".join(rng.choice(vocab, n))) for k, n in enumerate([3, 7, 10, 14, 25, 25, 40])]
+    docs = []
+    for i in range(160):
+        words = list(rng.choice(vocab, 20))
+        passage = items[i % len(items)][1].split()
+        for _ in range(int(rng.integers(0, 6))):  # words changed, put in, left out or swapped
+            at, kind = int(rng.integers(len(passage))), int(rng.integers(4))
+            if kind == 0:
+                passage[at] = str(rng.choice([*vocab, "unseen"]))
+            elif kind == 1:
+                passage.insert(at, "extra")
+            elif kind == 2 and len(passage) > 2:
+                passage.pop(at)
+            elif at:
+                passage[at - 1], passage[at] = passage[at], passage[at - 1]
+        docs.append((i, " ".join([*words[:10], *passage, *words[10:]])))
+    expected, exact = brute.near_items(docs, items), brute.contamination(docs, items)
+    assert sum(n > len(exact[i][2]) for i, n in expected.items()) > 40  # near only
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for parts, block in ((1, decontam.BLOCK_BYTES), (7, 200)):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+        got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), bench).collect()
+        assert {r.doc_id: r.n_near for r in got} == expected and all(r.n_items == len(exact[r.doc_id][2]) for r in got)
+
+
 def test_personal_data_matches_brute_force(spark, documents):
     hard = ["a@b.com%x@y.org and 1.2.3.4.5.6.7.8", "é😀 jo.do@x-y.co.uk, +1 (988) 555-2485 4111 1111 1111 1111", "9" * 5000, "300.1.2.3 001.002.003.004 +12 +1 234 567 8901.", "a@b.c." * 2000, None, "", "x" * 100_000 + "@", "1.2.3.4" * 50, "+" * 500 + "1 2 3 4 5 6 7 8 9"]
     for df in (documents, spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")):
