@@ -6,6 +6,10 @@ targets: minimise |A w - T|^2 (in shares of all tokens) + pull * mean token-weig
 rows of A never leave the executors: a step needs only the vector of domain totals, one distributed sum, and a document's
 rate after k steps follows from its own posteriors and the k residual vectors. Residuals are scaled by the inverse of the
 domains' second moments over documents of positive rate, so that rare domains converge as fast as common ones.
+
+After STEPS steps the pull shrinks from step to step, so that rates far from 1 can meet targets that need them. Targets that no
+nonnegative rates can meet are recognised by a separating plane (Farkas): if a scaled residual y has y . p >= -e for every
+document, then y . (A w - T) >= -y . T - e for all rates, and the fit ends where it is as near as this allows.
 """
 
 from __future__ import annotations
@@ -19,13 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import free_name, materialize
+from tessella.llm.common import Scratch, free_name, materialize
 
 #: domains of the label table, and the share of tokens that the mixture should have of each
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 BUCKETS = 2048
 SAMPLE_ROWS = 4_000
-STEPS = 20
+STEPS = 20  # with the whole pull; then it shrinks
+MOST_STEPS = 80
+SHRINK = 0.7
+FOLDED = 20  # steps after which the rates so far are kept in a table, so that a sum never goes over more steps than these
+NEAREST = 0.01  # of the least distance, by which a fit out of reach may exceed it
 STEP = 0.7
 TOLERANCE = 5e-4  # of all tokens, on each domain's share
 PULL = 0.002
@@ -114,38 +122,59 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text_col: st
     return given.mapInArrow(lambda it: _posterior_rows(it, held.value), f"{schema}n_tokens long, p array<double>")
 
 
-def _rate(residuals: list[list[float]], step: float, pull: float) -> Column:
-    """A document's rate after the given residuals: w <- max(0, w - step * (p . r + pull * (w - 1)))."""
-    if not residuals:
-        return F.lit(1.0)
-    table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in r) + ")" for r in residuals) + ")"
-    return F.expr(f"aggregate({table}, 1D, (w, r) -> greatest(0D, w - {step!r}D * (aggregate(zip_with(p, r, (a, b) -> a * b), 0D, (s, x) -> s + x) + {pull!r}D * (w - 1D))))")
+def _rate(moves: list[tuple[list[float], float]], step: float, start: str = "1D") -> Column:
+    """A document's rate after moves (residual r, pull) from start: w <- max(0, w - step * (p . r + pull * (w - 1)))."""
+    if not moves:
+        return F.expr(start)
+    table = "array(" + ", ".join(f"named_struct('r', array({', '.join(f'{x!r}D' for x in r)}), 'pull', {pull!r}D)" for r, pull in moves) + ")"
+    return F.expr(f"aggregate({table}, {start}, (w, m) -> greatest(0D, w - {step!r}D * ({_dot('m.r')} + m.pull * (w - 1D))))")
+
+
+def _dot(other: str) -> str:
+    return f"aggregate(zip_with(p, {other}, (a, b) -> a * b), 0D, (s, x) -> s + x)"
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pull: float = PULL) -> tuple[Column, list[float], list[float]]:
-    """(rate column over n_tokens and p, target shares, shares reached) for materialised rows; one sum a step."""
+    """(rate column over n_tokens and p, target shares, shares reached) for materialised rows; one sum a step.
+
+    Ends when all shares are within TOLERANCE, or proven to be as near as any rates come, or after MOST_STEPS; the last
+    two warn.
+    """
     domains = sorted(targets)
     total_share = sum(targets.values())
     goal = [targets[d] / total_share for d in domains]
     whole = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     d = len(domains)
-    residuals: list[list[float]] = []
-    shares = goal
-    for _ in range(steps + 1):
-        rate = _rate(residuals, STEP, pull)
-        live = F.col("n_tokens") * (F.col("w") > 0).cast("int")
-        totals = [F.sum(F.col("w") * F.col("n_tokens") * F.col("p")[i]) for i in range(d)]
-        moments = [F.sum(live * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(d)]
-        sums = rows.select(rate.alias("w"), "n_tokens", "p").agg(*[F.coalesce(x, F.lit(0.0)) for x in (*totals, *moments)]).first()
-        shares = [(x / whole) if whole else g for x, g in zip(sums, goal)]
-        if len(residuals) == steps or max(abs(a - b) for a, b in zip(shares, goal)) < TOLERANCE:
-            break
-        scale = np.linalg.inv(np.array(sums[d:], dtype=np.float64).reshape(d, d) / max(1, whole) + 1e-4 * np.eye(d))
-        residuals.append([round(float(x), 9) for x in scale @ (np.array(shares) - np.array(goal))])
-    gap = max(abs(a - b) for a, b in zip(shares, goal))
-    if whole and gap >= TOLERANCE:
-        warnings.warn(f"mixing stopped after {len(residuals)} steps with a domain {gap:.4f} of all tokens from its target", stacklevel=2)
-    return _rate(residuals, STEP, pull), goal, shares
+    moves: list[tuple[list[float], float]] = []
+    nearest = False
+    with Scratch(rows.sparkSession) as held:
+        state, start, folded = rows, "1D", 0
+        while True:
+            if len(moves) - folded == FOLDED:
+                state = held.keep(state.select(_rate(moves[folded:], STEP, start).alias("w"), "n_tokens", "p"), "rates")
+                start, folded = "w", len(moves)
+            live = F.col("n_tokens") * (F.col("w") > 0).cast("int")
+            totals = [F.sum(F.col("w") * F.col("n_tokens") * F.col("p")[i]) for i in range(d)]
+            moments = [F.sum(live * F.col("p")[i] * F.col("p")[j]) for i in range(d) for j in range(d)]
+            plane = moves[-1][0] if moves else [0.0] * d
+            lowest = F.min(F.when(F.col("n_tokens") > 0, F.expr(_dot(f"array({', '.join(f'{x!r}D' for x in plane)})"))))
+            sums = state.select(_rate(moves[folded:], STEP, start).alias("w"), "n_tokens", "p").agg(*[F.coalesce(x, F.lit(0.0)) for x in (*totals, *moments, lowest)]).first()
+            shares = [(x / whole) if whole else g for x, g in zip(sums, goal)]
+            off = np.array(shares) - np.array(goal)
+            if np.abs(off).max(initial=0) < TOLERANCE:
+                break
+            least = -float(np.dot(plane, goal)) + min(0.0, sums[-1])
+            nearest = least > 0 and float(np.dot(plane, off)) <= (1 + NEAREST) * least
+            if nearest or len(moves) >= MOST_STEPS:
+                break
+            scale = np.linalg.inv(np.array(sums[d:-1], dtype=np.float64).reshape(d, d) / max(1, whole) + 1e-4 * np.eye(d))
+            moves.append(([round(float(x), 9) for x in scale @ off], pull * SHRINK ** max(0, len(moves) + 1 - steps)))
+    gap = float(np.abs(off).max(initial=0))
+    if nearest:
+        warnings.warn(f"mixing targets are out of reach; the nearest rates leave a domain {gap:.4f} of all tokens from its target", stacklevel=2)
+    elif gap >= TOLERANCE:
+        warnings.warn(f"mixing stopped after {len(moves)} steps with a domain {gap:.4f} of all tokens from its target", stacklevel=2)
+    return _rate(moves, STEP), goal, shares
 
 
 def copies(rate: Column, seed: int, *key: Column) -> Column:
@@ -157,8 +186,8 @@ def copies(rate: Column, seed: int, *key: Column) -> Column:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """Kept columns with n_tokens, p_<domain>, rate and copies of every row.
 
-    Expected domain tokens are sum(rate * n_tokens * p) and match the targets' shares of all tokens as far as rates
-    near 1 allow (PULL). Defined cases: texts without words have no tokens, an even rate and no weight in the fit; null
+    Expected domain tokens are sum(rate * n_tokens * p) and match the targets' shares of all tokens, by rates near 1
+    where they can (PULL); targets that no rates meet are met as nearly as possible, with a warning. Defined cases: texts without words have no tokens, an even rate and no weight in the fit; null
     ids take part; labels outside the targets and null labels are not learned from; without labels posteriors are even;
     repeated rows each get a row and the same rate; an empty table gives no rows; of kept columns named like a result
     the result stands, any other name may be kept.

@@ -643,6 +643,27 @@ def test_mixing_keeps_columns_beside_clashing_names(odd):
     assert out.where("p = 'own' AND kept = 3 AND key = 'k' AND rate >= 0D").count() == odd.count()
 
 
+@pytest.mark.filterwarnings("error::UserWarning")
+def test_rates_far_from_one_meet_their_targets(spark):
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([1, 1, 1], 500), rng.integers(0, 90, 500)
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(n, p)], "n_tokens long, p array<double>").repartition(3)
+    targets = {"a": 0.85, "b": 0.1, "c": 0.05}
+    rate, goal, shares = mixing.fit_rates(rows, targets)
+    w = np.array([r.w for r in rows.select("n_tokens", "p", rate.alias("w")).orderBy("n_tokens", "p").collect()])
+    given = [r for r in rows.orderBy("n_tokens", "p").collect()]
+    reached = sum(x * r.n_tokens * np.array(r.p) for x, r in zip(w, given)) / n.sum()
+    assert w.min() >= 0 and np.abs(reached - np.array(goal)).max() < mixing.TOLERANCE and np.allclose(reached, shares)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    p = [[x, 0.99 - x, 0.01] for x in np.random.default_rng(4).random(300) * 0.99]  # hardly any of the third domain
+    rows = spark.createDataFrame([(50, [float(x) for x in q]) for q in p], "n_tokens long, p array<double>").repartition(3)
+    with pytest.warns(UserWarning, match="out of reach"):
+        _, goal, shares = mixing.fit_rates(rows, {"a": 0.85, "b": 0.1, "c": 0.05})
+    assert 0.039 < goal[2] - shares[2] < 0.041
+
+
 def test_rates_by_a_plain_version(spark):
     """Rates by the same projected gradient over plain arrays, whatever the number of tasks."""
     rng = np.random.default_rng(8)
