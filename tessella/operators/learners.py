@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.rounding import rounded
 from tessella.sources.tables import dealt
 
 ABILITY_STEP = 0.3
@@ -109,7 +110,7 @@ def next_topic(mastery: DataFrame) -> DataFrame:
 def learner_dashboard(graded: DataFrame, videos: DataFrame) -> DataFrame:
     """Ability, mastery by topic, weak and strong topics, and videos watched, one row for each learner."""
     mastery = mastery_trace(graded)
-    topics = mastery.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", F.round("mastery", 4))))).alias("mastery"))
+    topics = mastery.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", rounded(F.col("mastery")).alias("mastery"))))).alias("mastery"))
     seen = videos.groupBy("user_id").agg(F.count(F.lit(1)).alias("watched"))
     out = ability_trace(graded).select("user_id", F.round("ability", 4).alias("ability")).join(topics, "user_id", "left").join(weak_strong_topics(mastery), "user_id", "left").join(seen, "user_id", "left")
     return out.withColumn("watched", F.coalesce("watched", F.lit(0)))

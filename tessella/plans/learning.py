@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.rounding import rounded
 from tessella.operators import jobs, learners, ratings
 from tessella.plans import fixtures as fx
 from tessella.sources.tables import read_table
@@ -57,7 +58,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query("mastery_trace", _MASTERY + " SELECT user_id, topic, round(mastery, 4) AS mastery FROM mastery")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return learners.mastery_trace(_graded(s, d)).withColumn("mastery", F.round("mastery", 4))
+    return learners.mastery_trace(_graded(s, d)).withColumn("mastery", rounded(F.col("mastery")))
 
 
 _WEAK = "coalesce(list(topic ORDER BY topic) FILTER (mastery < 0.45), []::VARCHAR[])"

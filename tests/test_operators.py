@@ -227,6 +227,12 @@ def test_scene_duration_cases(spark):
     assert [r.d for r in rows] == [0.1, 5.0, 4.0, 4.0, 6.0, 7.0]
 
 
+def test_a_mastery_between_two_figures_is_rounded_up(spark):
+    graded = spark.createDataFrame([(1, i, i, "t", "MEDIUM", i == 0) for i in range(2)], "user_id long, event_id long, created_at long, topic string, difficulty string, correct boolean")
+    row = learners.learner_dashboard(graded, spark.createDataFrame([], "user_id long")).first()
+    assert row.mastery == {"t": 0.4888}  # 0.5 * 0.85 ** 2 + 0.15 * 0.85 = 0.48875
+
+
 def test_ability_is_clamped_and_ordered(spark):
     rows = [(1, i, 1.0 * i, "easy", False) for i in range(60)]
     graded = spark.createDataFrame(rows, "user_id long, event_id long, created_at double, difficulty string, correct boolean")
