@@ -64,10 +64,19 @@ def repaired(raw: Column) -> Column:
     return F.regexp_replace(t, r",\s*([\]}])", "$1")
 
 
+def parses(text: Column) -> Column:
+    """Whether the whole of a text is one JSON value; a null text is none.
+
+    Spark's parser stops after the first value. What follows it would have to be ] in the one frame and , or } in the other.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return F.coalesce((F.size(alone.cast("array<variant>")) == 1) & named.isNotNull(), F.lit(False))
+
+
 def repair_json(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """json (the text that parses, raw or repaired, else null), was_repaired and error."""
-    good = lambda c: F.expr(f"try_parse_json({c}) IS NOT NULL")
-    out = rows.withColumn("_fixed", repaired(F.col(raw))).withColumn("_raw_ok", good(raw)).withColumn("_fix_ok", good("_fixed"))
+    out = rows.withColumn("_fixed", repaired(F.col(raw))).withColumn("_raw_ok", parses(F.col(raw))).withColumn("_fix_ok", parses(F.col("_fixed")))
     out = out.withColumn("json", F.when(F.col("_raw_ok"), F.col(raw)).when(F.col("_fix_ok"), F.col("_fixed")))
     return out.withColumn("was_repaired", ~F.col("_raw_ok") & F.col("_fix_ok")).withColumn("error", F.when(F.col("json").isNull(), "malformed")).drop("_fixed", "_raw_ok", "_fix_ok")
 

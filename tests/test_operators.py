@@ -265,6 +265,14 @@ def test_repair(spark):
     assert [r.json for r in rows] == ['{"a": 1}', '{"a": 1}', '{"a": [1, 2]}', None, None]
 
 
+def test_what_follows_a_json_value_makes_it_malformed(spark):
+    raws = ["47 Of the", '{"a": 1}, {"b": 2}', "1, 2", "1], [2", '1}, {"a": 2', '{"a": 1}]', "", " [1]\n", "null", '"x"', "7 ", None]
+    rows = outputs.repair_json(spark.createDataFrame([(r,) for r in raws], "raw string")).collect()
+    assert [r.json for r in rows] == [None] * 7 + [" [1]\n", "null", '"x"', "7 ", None]
+    assert [r.error for r in rows] == ["malformed"] * 7 + [None] * 4 + ["malformed"]
+    assert not any(r.was_repaired for r in rows)
+
+
 def test_one_rating_has_no_spread(spark):
     clean = ratings.clean_ratings(spark.createDataFrame([("L", "S", "4", "x", "9")], "listener_id string, sample_id string, naturalness string, clarity string, pacing string"))
     row = ratings.mos_summary(clean, spark.createDataFrame([], "sample_id string, subject string")).where("subject = 'unknown'").first()
