@@ -39,8 +39,11 @@ def list_user_jobs(jobs: DataFrame, n: int = 20) -> DataFrame:
 
 
 def stage_timing(events: DataFrame, run: str = "job_id") -> DataFrame:
-    """Seconds and calls of each run's stages, their share of the run, and their place by time spent."""
-    sums = events.groupBy(run, "stage").agg(F.sum("seconds").alias("seconds"), F.count(F.lit(1)).alias("calls"))
+    """Seconds and calls of each run's stages, their share of the run, and their place by time spent.
+
+    Sums are kept to the microsecond, so that stages of equal time stay equal in whatever order their seconds were added.
+    """
+    sums = events.groupBy(run, "stage").agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.count(F.lit(1)).alias("calls"))
     whole = W.partitionBy(run)
     return sums.withColumn("share", F.when(F.sum("seconds").over(whole) > 0, F.col("seconds") / F.sum("seconds").over(whole)).otherwise(0.0)).withColumn("place", F.row_number().over(whole.orderBy(F.desc("seconds"), "stage")))
 

@@ -273,6 +273,11 @@ def test_what_follows_a_json_value_makes_it_malformed(spark):
     assert not any(r.was_repaired for r in rows)
 
 
+def test_stages_of_equal_time_are_placed_by_name(spark):
+    rows = spark.createDataFrame([(1, "b", 0.1), (1, "b", 0.2), (1, "a", 0.3), (1, "c", 0.2)], "job_id long, stage string, seconds double")
+    assert [(r.stage, r.place) for r in jobs.stage_timing(rows).orderBy("place").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+
+
 def test_one_rating_has_no_spread(spark):
     clean = ratings.clean_ratings(spark.createDataFrame([("L", "S", "4", "x", "9")], "listener_id string, sample_id string, naturalness string, clarity string, pacing string"))
     row = ratings.mos_summary(clean, spark.createDataFrame([], "sample_id string, subject string")).where("subject = 'unknown'").first()
