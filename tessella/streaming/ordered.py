@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,15 +23,16 @@ class InOrder(StatefulProcessor):
     Input rows have the columns `waiting` names, at in microseconds, and tick: a row with tick only moves the clock. Rows
     above the watermark are kept in list state, and a timer is set for the first of them. Spark leaves out rows that come
     when the watermark has already reached them, so an order that was used stays right.
+
+    Each call of the state costs far more than a row: waiting rows are stored as one element a key and batch.
     """
 
-    waiting: str  # columns of a waiting row, at and id first
+    waiting: list[str]  # columns of a waiting row, at and id first
     out: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("waiting", self.waiting)
-        self.names = [c.split()[0] for c in self.waiting.split(", ")]
+        self.rows = handle.getListState("waiting", "least long, rows binary")
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -44,7 +46,7 @@ class InOrder(StatefulProcessor):
         """Forget what the watermark has made useless."""
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh = [r[:-1] for frame in rows for r in zip(*[frame[c].tolist() for c in [*self.names, "tick"]]) if not r[-1]]
+        fresh = [r[:-1] for frame in rows for r in zip(*[frame[c].tolist() for c in [*self.waiting, "tick"]]) if not r[-1]]
         yield from self._release(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -53,18 +55,24 @@ class InOrder(StatefulProcessor):
         self.expire(mark)
 
     def _release(self, key: tuple, fresh: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        ready, rest = [], []
-        for r in held + fresh:
-            (ready if r[0] <= mark else rest).append(r)
-        if not rest and held:
+        held = [(least, bytes(packed)) for least, packed in self.rows.get()]
+        ready, rest, kept = [r for r in fresh if r[0] <= mark], [r for r in fresh if r[0] > mark], []
+        for least, packed in held:
+            if least > mark:
+                kept.append((least, packed))
+                continue
+            for r in pickle.loads(packed):
+                (ready if r[0] <= mark else rest).append(r)
+        new = [(min(r[0] for r in rest), pickle.dumps(rest))] if rest else []
+        if len(kept) == len(held):
+            if new:
+                self.rows.appendList(new)
+        elif kept or new:
+            self.rows.put(kept + new)
+        else:
             self.rows.clear()
-        elif ready and held:
-            self.rows.put(rest)
-        elif new := [r for r in fresh if r[0] > mark]:
-            self.rows.appendList(new)
-        if rest:
-            self.handle.registerTimer(_millis(min(r[0] for r in rest)))
+        if (new or len(kept) < len(held)) and kept + new:
+            self.handle.registerTimer(_millis(min(least for least, _ in kept + new)))
         if ready:
             ready.sort(key=lambda r: r[:2])
             yield pd.DataFrame(self.fold(key, ready), columns=self.out)
@@ -74,38 +82,34 @@ class InOrder(StatefulProcessor):
 
 
 class LearnerState(InOrder):
-    """Ability in value state and mastery by topic in map state; one result row an attempt."""
+    """Ability and mastery by topic in one value state; one result row an attempt."""
 
-    waiting = "at long, id long, topic string, difficulty string, correct boolean"
+    waiting = ["at", "id", "topic", "difficulty", "correct"]
     out = ["user_id", "event_id", "at", "ability", "mastery", "next_topic"]
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.ability = handle.getValueState("ability", "ability double")
-        self.mastery = handle.getMapState("mastery", "topic string", "mastery double")
+        self.known = handle.getValueState("known", "ability double, topics array<string>, mastery array<double>")
 
     def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        ability = self.ability.get()[0] if self.ability.exists() else 0.0
-        known = {t[0]: m[0] for t, m in self.mastery.iterator()}
-        out, changed = [], set()
+        ability, *topics = self.known.get() or (0.0, [], [])
+        known = dict(zip(*topics))
+        out = []
         for at, event, topic, difficulty, correct in rows:
             seen, topic = float(bool(correct)), topic or ""
             expected = 1 / (1 + math.exp(-(ability - OFFSETS.get(str(difficulty).upper(), 0.0))))
             ability = max(-3.0, min(3.0, ability + ABILITY_STEP * (seen - expected)))
             now = known.get(topic, FIRST_MASTERY)
             known[topic] = max(0.0, min(1.0, now + MASTERY_STEP * (seen - now)))
-            changed.add(topic)
             weak = min(((m, t) for t, m in known.items() if m < WEAK), default=None)
             out.append((key[0], event, at, ability, known[topic], weak[1] if weak else None))
-        self.ability.update((ability,))
-        for topic in changed:
-            self.mastery.updateValue((topic,), (known[topic],))
+        self.known.update((ability, list(known), list(known.values())))
         return out
 
 
 class CacheState(InOrder):
     """The time of the key's last write, until a timer of the time to live has run out; one result row a request."""
 
-    waiting = "at long, id long"
+    waiting = ["at", "id"]
     out = ["key", "request_id", "at", "hit"]
 
     def __init__(self, ttl_micros: int):
@@ -115,7 +119,7 @@ class CacheState(InOrder):
         self.written = handle.getValueState("written", "at long")
 
     def fold(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        written = self.written.get()[0] if self.written.exists() else None
+        (written,) = self.written.get() or (None,)
         before, out = written, []
         for at, request in rows:
             hit = written is not None and at - written < self.ttl
@@ -127,5 +131,5 @@ class CacheState(InOrder):
         return out
 
     def expire(self, mark: int) -> None:
-        if self.written.exists() and self.written.get()[0] + self.ttl <= mark:
+        if (written := self.written.get()) and written[0] + self.ttl <= mark:
             self.written.clear()
