@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,31 +86,45 @@ def sync_registry(registry: DataFrame, found: DataFrame, now: Column) -> DataFra
 _DIFF = "name string, from_version string, to_version string, added int, removed int, diff array<string>"
 
 
-def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _diffs(batches: Iterator[pa.RecordBatch], beside: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
+        for r in batch.select(["name", "from_version", "to_version", "old", "new"]).to_pylist():
             lines = unified_lines((r["old"] or "").splitlines(), (r["new"] or "").splitlines(), r["from_version"] or "", r["to_version"] or "")
             changes = [sum(x.startswith(c) and not x.startswith(3 * c) for x in lines) for c in "+-"]
             rows.append((r["name"], r["from_version"], r["to_version"], *changes, lines))
         columns = list(zip(*rows)) if rows else [[]] * 6
         types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["name", "from_version", "to_version", "added", "removed", "diff"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, types)), *map(batch.column, beside)], names=["name", "from_version", "to_version", "added", "removed", "diff", *beside])
+
+
+def _with_diffs(pairs: DataFrame, *beside: str) -> DataFrame:
+    """line_diffs with further columns of pairs."""
+    more = "".join(f", `{c}` {pairs.schema[c].dataType.simpleString()}" for c in beside)
+    return pairs.select("name", "from_version", "to_version", "old", "new", *beside).mapInArrow(lambda it: _diffs(it, beside), _DIFF + more)
 
 
 def line_diffs(pairs: DataFrame) -> DataFrame:
     """Unified line diffs of (name, from_version, to_version, old, new)."""
-    return pairs.select("name", "from_version", "to_version", "old", "new").mapInArrow(_diffs, _DIFF)
+    return _with_diffs(pairs)
+
+
+def _token_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The dot product of both texts' token counts and their squared lengths; one pair of texts is counted at a time."""
+    for batch in batches:
+        rows = []
+        for texts in zip(batch.column("old"), batch.column("new")):
+            a, b = (Counter(re.findall("[a-z0-9]+", (x.as_py() or "").lower())) for x in texts)
+            rows.append((sum(n * b[k] for k, n in a.items() if k in b), *(sum(n * n for n in c.values()) for c in (a, b))))
+        products = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *products], names=[*batch.schema.names, "dot", "aa", "bb"])
 
 
 def _token_cosine(pairs: DataFrame) -> DataFrame:
-    """Cosine of token counts, from one count of both sides."""
-    keys = ["name", "from_version", "to_version"]
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), tx.plain_tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for i, c in enumerate(("old", "new"))])
-    tokens = pairs.select(*keys, F.inline(sides)).select(*keys, "side", F.explode("t").alias("token"))
-    each = tokens.groupBy(*keys, "token").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    sums = each.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return sums.select(*keys, F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)).otherwise(0.0).alias("similarity"))
+    """pairs with similarity, the cosine of both texts' token counts; no token leaves its row."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    sums = pairs.mapInArrow(_token_products, f"{schema}, dot long, aa long, bb long")
+    return sums.withColumn("similarity", F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.round(F.col("dot") / (F.sqrt("aa") * F.sqrt("bb")), 4)).otherwise(0.0)).drop("dot", "aa", "bb")
 
 
 def performance_delta(old: Column, new: Column) -> Column:
@@ -130,11 +146,11 @@ def performance_delta(old: Column, new: Column) -> Column:
 
 
 def compare_versions(pairs: DataFrame) -> DataFrame:
-    """Line changes, token similarity and performance_delta of version pairs."""
+    """Line changes, token similarity and performance_delta of version pairs, in one pass over their texts."""
     keys = ["name", "from_version", "to_version"]
-    delta = performance_delta(F.col("old_performance"), F.col("new_performance"))
-    out = line_diffs(pairs).withColumn("changed", F.col("added") + F.col("removed")).join(_token_cosine(pairs), keys, "left")
-    return out.join(pairs.select(*keys, delta.alias("performance_delta")), keys).withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    delta = performance_delta(F.col("old_performance"), F.col("new_performance")).alias("performance_delta")
+    texts = _token_cosine(pairs.select(*keys, "old", "new", delta))
+    return _with_diffs(texts, "similarity", "performance_delta").withColumn("changed", F.col("added") + F.col("removed"))
 
 
 def successive_pairs(templates: DataFrame) -> DataFrame:

@@ -475,3 +475,12 @@ def test_marks_inside_a_text_are_left_out(spark):
     assert spoken[0] == spoken[1] and "\ufdd0" not in spoken[0]
     units = rows.select(speech.expand_units(F.col("text")).alias("u")).collect()
     assert units[0].u == units[1].u
+
+
+def test_versions_are_compared_without_sending_their_tokens(spark):
+    none = F.create_map().cast("map<string,string>")
+    rows = spark.createDataFrame([("n", "v1", "v2", "a A b", "A b\nc"), ("n", "v2", "v3", "", None)], "name string, from_version string, to_version string, old string, new string")
+    out = templates.compare_versions(rows.withColumns({"old_performance": none, "new_performance": none}))
+    assert [(r.to_version, r.added, r.removed, r.changed, r.similarity) for r in out.orderBy("to_version").collect()] == [("v2", 2, 1, 3, 0.7746), ("v3", 0, 0, 0, 0.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
