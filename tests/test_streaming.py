@@ -1,13 +1,16 @@
 """Streams in many batches: late rows, timers, a stop and a crash between batches, against the batch operators."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import jobs as batch
 from tessella.operators import learners
 from tessella.streaming import jobs as stream
+from tessella.streaming import ordered
 
 START = 1_700_000_000
 
@@ -153,3 +156,49 @@ def test_sources_are_stored_once_over_batches_and_a_crash(spark, tmp_path):
     go()
     go()  # nothing new: nothing changes
     assert sorted(map(tuple, spark.read.parquet(f"{base}/store").select("pdf_name", "doc_id", "batch").collect())) == [("a", 1, 0), ("b", 2, 0), ("c", 3, 1), ("d", 5, 2), ("e", 8, 3)]
+
+
+class Held:
+    """A list state that counts its elements."""
+
+    def __init__(self):
+        self.items = []
+
+    def get(self):
+        return iter(self.items)
+
+    def exists(self):
+        return bool(self.items)
+
+    def appendList(self, new):  # noqa: N802
+        self.items += new
+
+    def put(self, new):
+        self.items = list(new)
+
+    def clear(self):
+        self.items = []
+
+
+def test_waiting_rows_are_one_element_of_the_state():
+    class Counted(ordered.InOrder):
+        waiting, out = ["at", "id"], ["id"]
+
+        def start(self, handle):
+            pass
+
+        def fold(self, key, rows):
+            return [(r[1],) for r in rows]
+
+    held, clock, timers = Held(), [0], []
+    state = Counted()
+    state.init(SimpleNamespace(getListState=lambda *_: held, registerTimer=timers.append))
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: clock[0])
+    come = lambda *at: [i for f in state.handleInputRows(("k",), iter([pd.DataFrame({"at": at, "id": at, "tick": False})]), times) for i in f["id"]]
+    assert come(*range(9000, 1000, -1000)) == [] and len(held.items) == 1 and timers == [2]
+    assert come(3500, 20_000) == [] and len(held.items) == 2
+    clock[0] = 4
+    assert come(30_000) == [2000, 3000, 3500, 4000] and timers[-1] == 5
+    clock[0] = 20
+    assert [i for f in state.handleExpiredTimer(("k",), times, None) for i in f["id"]] == [5000, 6000, 7000, 8000, 9000, 20_000]
+    assert len(held.items) == 1
