@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import corpus, retrieval, vectorpages
@@ -81,9 +81,9 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_p
 chunks AS (SELECT *, coalesce(right(lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_id), 500), '') AS previous_text FROM numbered)"""
 
 
-def md_docs(s: SparkSession, d: str) -> DataFrame:
+def md_docs(s: SparkSession, d: str, *also: Column) -> DataFrame:
     text = "array_join(transform(split(text, '\\n'), (l, i) -> CASE WHEN i > 0 AND i % 5 = 0 THEN '## Section ' || (i div 5) || '\\n' || l ELSE l END), '\\n') || " + _TAIL.replace("{n}", "\\n")
-    return read_table(s, d, "documents").select("doc_id", F.expr(text).alias("text"))
+    return read_table(s, d, "documents").select("doc_id", F.expr(text).alias("text"), *also)
 
 
 def _blocks(s, d):

@@ -4,11 +4,13 @@ import random
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import jobs as batch
 from tessella.operators import learners
+from tessella.plans import flowing
 from tessella.streaming import jobs as stream
 from tessella.streaming import ordered
 
@@ -158,6 +160,13 @@ def test_sources_are_stored_once_over_batches_and_a_crash(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{base}/store").select("pdf_name", "doc_id", "batch").collect())) == [("a", 1, 0), ("b", 2, 0), ("c", 3, 1), ("d", 5, 2), ("e", 8, 3)]
 
 
+def test_an_arrival_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    flowing.feed(rows, f"file://{tmp_path}/in")
+    counts = [pq.ParquetFile(f).metadata.num_rows for f in tmp_path.glob("in/*.parquet")]
+    assert sum(counts) == 7200 and max(counts) < 400  # six arrivals of about 1,200 rows
+
+
 class Held:
     """A list state that counts its elements."""
 
