@@ -38,7 +38,6 @@ BLOCK = 256
 HOT = 1024  # a key with over 1/HOT of all rows, and more than HOT_ROWS, is joined without a shuffle
 HOT_ROWS = 256
 COLUMNS = 8192
-FEW = 16  # rows of a table outside its largest family that are compared with all its rows one by one
 SPARSE = 1024  # comparisons over one rare shingle that are made as pairs, so at most 32 for one of its rows
 RARITY_BITS = 20  # buckets of the shingle counts that order the sets: 8 MB, whatever the corpus
 
@@ -201,8 +200,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node reachable over the edges, by alternating large and small stars."""
     now = held.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    count, seen = now.count(), None
-    for _ in range(most_rounds if count else 0):
+    for _ in range(most_rounds):
+        count, unsettled = _unsettled(now)
+        if not unsettled:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
         large = lookup(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -210,14 +211,15 @@ def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
         small = lookup(large, least, "u", 2 * count).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = held.keep(small.where("u <> v").distinct(), "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        count, seen = mark[0], mark
-    else:
-        if count:
-            raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError("components did not settle")
+
+
+def _unsettled(edges: DataFrame) -> tuple[int, int]:
+    """(edges (u, v) with u > v; their nodes with two smaller neighbours, or with smaller and larger ones): without such nodes each component is a star."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    found = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 OR (up > 0 AND down > 0)"))).first()
+    return found[0], found[1]
 
 
 def _hub_pairs(tables: DataFrame) -> DataFrame:
@@ -417,17 +419,18 @@ def _grouped(base: DataFrame, k: int, held: Scratch) -> DataFrame:
     stars, near = _link(_hub_pairs(tables), texts, k, held)
     first = held.keep(components(stars, held), "parts")
     placed = held.keep(_placed(_with_roots(components(near, held), "class_id", "family"), first), "families")
-    late, crowded = _cross_pairs(tables, placed, held)
-    unsure = held.keep(_split_families(placed).union(_placed(crowded.select("class_id", F.col("class_id").alias("family")), first).select("class_id", "root")).distinct(), "unsure")
+    split = held.keep(_split_families(placed), "split")
+    strangers = _strangers(tables, placed, split, held).select("class_id", F.col("class_id").alias("family"))
+    unsure = held.keep(split.union(_placed(strangers, first).select("class_id", "root")), "unsure")
     links = [first.select(F.col("node").alias("x"), F.col("root").alias("y"))]
     if not unsure.isEmpty():
         sets = held.keep(_sets_of(texts(unsure.select("class_id")), k), "sets")
         edges, sizes = _rare_shingles(unsure, sets, held)
-        late = late.union(_promising(_sparse_pairs(edges, sizes, edges.count()), classes)).distinct()
+        late = _promising(_sparse_pairs(edges, sizes, edges.count()), classes)
         if not sizes.where(f"alone * c > {SPARSE}").isEmpty():
             members = held.keep(_dense_members(edges, sizes, held), "members")
             links.append(held.keep(_family_links(members, sets), "links"))
-    links.append(_link(late, texts, k, held)[0])
+        links.append(_link(late, texts, k, held)[0])
     roots = components(reduce(DataFrame.union, links), held)
     classed = held.keep(classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", F.coalesce("root", "class_id").alias("root"), F.col("owner.doc_id").alias("least_id")), "roots")
     smallest = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
@@ -456,19 +459,16 @@ def _split_families(placed: DataFrame) -> DataFrame:
     return lookup(placed, parts.where("parts > 1").select("family", "c"), "family", placed.count()).select("class_id", "root")
 
 
-def _cross_pairs(tables: DataFrame, placed: DataFrame, held: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(promising pairs of one table that lie in different families, each once; class_id of tables with too many of them).
+def _strangers(tables: DataFrame, placed: DataFrame, split: DataFrame, held: Scratch) -> DataFrame:
+    """class_id of the classes of whole families, or of none, that share a table with another family.
 
-    In a table of several families the rows outside its largest family meet all rows, as long as they are FEW, so that
-    one row of a table makes at most FEW pairs; the classes of other tables are returned.
+    Classes of split families are compared over their rarest shingles in any case, so their rows only mark tables here
+    and are joined with none: a large family's rows are not met again for each stranger in its tables.
     """
-    rows = held.keep(tables.join(placed.select("class_id", "family"), "class_id", "left").withColumn("family", F.coalesce("family", "class_id")), "rows")
-    total = rows.count()
-    sizes = rows.groupBy("key", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    mixed = sizes.agg(F.max_by("family", F.struct("n", "family")).alias("largest"), F.sum("n").alias("c"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    mixed = held.keep(mixed, "mixed")
-    few = rows.join(mixed.where(f"outside <= {FEW}"), "key").where("family <> largest").groupBy("key").agg(F.first("c").alias("c"), F.collect_list(F.struct("class_id", "n_shingles", "family", "planes")).alias("few"))
-    met = (F.col("f.family") != F.col("family")) & _sizes_allow(F.col("f.n_shingles"), F.col("n_shingles")) & _agree("f.planes", "planes")
-    both = lookup(rows, few, "key", total).select("class_id", "n_shingles", "family", "planes", F.explode("few").alias("f")).where(met)
-    crowded = lookup(rows, mixed.where(f"outside > {FEW}").select("key", "c"), "key", total).select("class_id").distinct()
-    return both.select(F.least("class_id", "f.class_id").alias("x"), F.greatest("class_id", "f.class_id").alias("y")).distinct(), held.keep(crowded, "crowded")
+    families = placed.join(split.select("class_id", F.lit(True).alias("split")), "class_id", "left").select("class_id", "family", F.coalesce("split", F.lit(False)).alias("split"))
+    rows = tables.select("key", "class_id").join(families, "class_id", "left").select("key", "class_id", F.coalesce("family", "class_id").alias("family"), F.coalesce("split", F.lit(False)).alias("split"))
+    rows = held.keep(rows, "rows")
+    whole = rows.where("NOT split").select("key", "class_id")
+    sizes = rows.groupBy("key", "family").agg(F.count_if(~F.col("split")).alias("n")).groupBy("key")
+    mixed = sizes.agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("families")).where("families > 1 AND c > 0").select("key", "c")
+    return lookup(whole, held.keep(mixed, "mixed"), "key", whole.count()).select("class_id").distinct()

@@ -99,6 +99,27 @@ def test_a_large_family_with_members_outside_its_hub(spark):
     assert got == expected
 
 
+def test_a_split_family_is_not_met_again_for_each_stranger_in_its_tables(spark, monkeypatch):
+    """Only strangers' rows of shared tables are joined; a whole family's class that meets another family is a stranger too."""
+    rows = [(key, member) for key in range(20) for member in range(100)] + [(key, 1000 + key) for key in range(20)] + [(50, 2000), (50, 2001), (50, 3000), (60, 2000), (60, 2001)]
+    tables = spark.createDataFrame(rows, "key long, class_id long")
+    placed = spark.createDataFrame([(m, 0, m % 2) for m in range(100)] + [(2000, 2000, 2000), (2001, 2000, 2000)], "class_id long, family long, root long")
+    split = placed.where("family = 0").select("class_id", "root")
+    joined, whole = [], neardup.lookup
+    monkeypatch.setattr(neardup, "lookup", lambda *a: joined.append(whole(*a).count()) or whole(*a))
+    with neardup.Scratch(spark) as held:
+        got = {r.class_id for r in neardup._strangers(tables, placed, split, held).collect()}
+    assert got == {*range(1000, 1020), 2000, 2001, 3000} and joined == [23]
+
+
+def test_components_of_chains_stars_and_single_links(spark):
+    chain, star = [(i, i + 1) for i in range(30)], [(100, i) for i in range(101, 140)]
+    edges = spark.createDataFrame([*chain, *star, (200, 201), (7, 7)], "x long, y long")
+    with neardup.Scratch(spark) as held:
+        got = {r.node: r.root for r in neardup.components(edges, held).collect()}
+    assert got == {**{i: 0 for i in range(1, 31)}, **{i: 100 for i in range(101, 140)}, 201: 200}
+
+
 def test_pages_of_one_template_are_not_compared_all_with_all(spark, monkeypatch):
     """Similarity 0.55 throughout and no duplicates but a few planted ones: compared pairs grow like the pages."""
     compared, blocks = [], []
