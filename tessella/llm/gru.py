@@ -33,10 +33,20 @@ class Adam:
         now = np.float32(rate * min(1.0, 1.0 / max(norm, 1e-9)) * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
         for k, (rows, a) in parts.items():
             m, v = self.m[k][rows], self.v[k][rows]
-            m += np.float32(0.1) * (a - m)
-            v += np.float32(0.001) * (a * a - v)
-            self.m[k][rows], self.v[k][rows] = m, v
-            self.p[k][rows] -= now * m / (np.sqrt(v) + np.float32(1e-8))
+            t = a - m
+            t *= np.float32(0.1)
+            m += t
+            np.multiply(a, a, out=t)
+            t -= v
+            t *= np.float32(0.001)
+            v += t
+            np.sqrt(v, out=t)
+            t += np.float32(1e-8)
+            np.divide(m, t, out=t)
+            t *= now
+            if not isinstance(rows, slice):
+                self.m[k][rows], self.v[k][rows] = m, v
+            self.p[k][rows] -= t
 
 
 class GRU:
@@ -63,7 +73,7 @@ class GRU:
     def step(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
         """The next states; with keep also what the backward pass needs."""
         n = self.hidden
-        x, hu = self.p["x"][ids], h @ self.p["u"]
+        x, hu = self.p["x"].take(ids, axis=0), h @ self.p["u"]
         gates = _sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
         z, r = gates[:, :n], gates[:, n:]
         q = hu[:, 2 * n :] + self.p["q"]
@@ -82,14 +92,15 @@ class GRU:
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(id | state) = ln P(class) + ln P(word in class), rows grouped by class."""
         order, cls, slot, runs = self._by_class(ids)
-        s = states[order]
+        s = _with_ones(states, order)
         out = np.empty(len(s))
+        (w, top), (inner, tops) = _with_bias(self.p["wc"], self.p["bc"]), _with_bias(self.p["wo"], self.p["bo"])
         for lo in range(0, len(s), AT_ONCE):
-            out[lo : lo + AT_ONCE] = _log_share(s[lo : lo + AT_ONCE], self.p["wc"], self.p["bc"], cls[lo : lo + AT_ONCE])
+            out[lo : lo + AT_ONCE] = _log_share(s[lo : lo + AT_ONCE], w, top, cls[lo : lo + AT_ONCE])
         for c, first, last in runs:
             for lo in range(first, last, AT_ONCE):
                 hi = min(last, lo + AT_ONCE)
-                out[lo:hi] += _log_share(s[lo:hi], self.p["wo"][c], self.p["bo"][c], slot[lo:hi])
+                out[lo:hi] += _log_share(s[lo:hi], inner[c], tops[c], slot[lo:hi])
         back = np.empty(len(s))
         back[order] = out
         return back
@@ -106,36 +117,43 @@ class GRU:
             tape.append((begin, kept))
             states[t] = h
         order, cls, slot, runs = self._by_class(targets.reshape(-1))
-        flat = states.reshape(-1, n)[order]
+        flat = _with_ones(states.reshape(-1, n), order)
         total, d_flat = len(order), np.zeros((len(order), n), kind)
-        g = {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"])}
+        seen = np.array([c for c, _, _ in runs])
+        held = slice(None) if len(seen) == self.classes else seen
+        (w, top), (inner, tops) = _with_bias(p["wc"], p["bc"]), _with_bias(p["wo"][held], p["bo"][held])
+        outer, own = np.zeros_like(w), np.zeros_like(inner)
         loss = 0.0
         for lo in range(0, total, AT_ONCE):
             s = slice(lo, lo + AT_ONCE)
-            loss += _share_gradient(flat[s], p["wc"], p["bc"], cls[s], total, d_flat[s], g["wc"], g["bc"])
-        seen = np.array([c for c, _, _ in runs])
-        wo, bo = np.zeros((len(runs), n, self.width), kind), np.zeros((len(runs), self.width), kind)
+            loss += _share_gradient(flat[s], w, top, cls[s], total, d_flat[s], outer)
         for i, (c, first, last) in enumerate(runs):
             for lo in range(first, last, AT_ONCE):
                 s = slice(lo, min(last, lo + AT_ONCE))
-                loss += _share_gradient(flat[s], p["wo"][c], p["bo"][c], slot[s], total, d_flat[s], wo[i], bo[i])
-        g["wo"], g["bo"] = (seen, wo), (seen, bo)
+                loss += _share_gradient(flat[s], inner[i], tops[i], slot[s], total, d_flat[s], own[i])
+        g = {"wc": outer[:-1], "bc": outer[-1], "wo": (held, np.ascontiguousarray(own[:, :-1])), "bo": (held, np.ascontiguousarray(own[:, -1]))}
         d_states, d_next = np.empty_like(d_flat), np.zeros((lanes, n), kind)
         d_states[order] = d_flat
         d_states = d_states.reshape(steps, lanes, n)
-        d_x, d_u, before = (np.empty((steps, lanes, k), kind) for k in (3 * n, 3 * n, n))
+        before, z, r, q, cand = (np.stack(x) for x in zip(*(kept for _, kept in tape)))
+        slope = np.empty((steps, lanes, 3, n), kind)  # of the inputs of z, r and the candidate, by the state; all but d_next is known before the steps
+        d_cand = (1 - z) * (1 - cand * cand)
+        slope[:, :, 0], slope[:, :, 1], slope[:, :, 2] = (before - cand) * z * (1 - z), d_cand * q * r * (1 - r), d_cand * r
+        back = np.ascontiguousarray(p["u"].T)
+        d_u = np.empty_like(slope)
         for t in range(steps - 1, -1, -1):
-            begin, (before[t], z, r, q, cand) = tape[t]
-            dh = d_states[t] + d_next
-            d_cand = dh * (1 - z) * (1 - cand * cand)
-            d_x[t, :, :n], d_x[t, :, n : 2 * n], d_x[t, :, 2 * n :] = dh * (before[t] - cand) * z * (1 - z), d_cand * q * r * (1 - r), d_cand
-            d_u[t, :, : 2 * n], d_u[t, :, 2 * n :] = d_x[t, :, : 2 * n], d_cand * r
-            d_next = (dh * z + d_u[t] @ p["u"].T) * begin
+            d_states[t] += d_next
+            np.multiply(d_states[t][:, None], slope[t], out=d_u[t])
+            d_next = d_states[t] * z[t]
+            d_next += d_u[t].reshape(lanes, 3 * n) @ back
+            d_next *= tape[t][0]
+        d_x = d_u.copy()
+        np.multiply(d_states, d_cand, out=d_x[:, :, 2])
         d_u = d_u.reshape(-1, 3 * n)
         g["u"], g["q"] = before.reshape(-1, n).T @ d_u, d_u[:, 2 * n :].sum(axis=0)
-        order = np.argsort(ids, axis=None, kind="stable")
+        order = np.argsort(ids.astype(np.int16 if self.words < 1 << 15 else np.int64, copy=False), axis=None, kind="stable")
         words, first = np.unique(ids.reshape(-1)[order], return_index=True)
-        g["x"] = (words, np.add.reduceat(d_x.reshape(-1, 3 * n)[order], first, axis=0))
+        g["x"] = (words, np.add.reduceat(d_x.reshape(-1, 3 * n).take(order, axis=0), first, axis=0))
         return loss / total, g, h
 
     def train(self, stream: np.ndarray, lanes: int = 64, steps: int = 24, epochs: int = 3, rate: float = 0.01) -> list[float]:
@@ -190,33 +208,46 @@ class GRU:
         return out
 
 
-def _shares(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _with_ones(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states in that order, with a last column of ones that meets the bias."""
+    out = np.ones((len(order), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states.take(order, axis=0)
+    return out
+
+
+def _with_bias(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights with the bias as their last row, the largest logit that states within -1 to 1 can reach), of one softmax or of each in a stack."""
+    return np.concatenate((w, b[..., None, :]), axis=-2), (np.abs(w).sum(axis=-2) + b).max(axis=-1)
+
+
+def _shares(states: np.ndarray, w: np.ndarray, top: float, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(each row's goal logit, exp of all logits, their sums); logits are first lowered by their row's largest where exp needs it."""
-    x = states @ w
-    x += b
     for lowered in (False, True):
-        if lowered or x.max() > 80:
+        x = states @ w
+        if lowered or (top > 80 and x.max() > 80):
             x -= x.max(axis=1, keepdims=True)
         mine = x[np.arange(len(x)), goal]
-        shares = np.exp(x)
-        sums = shares @ np.ones(x.shape[1], x.dtype)
+        np.exp(x, out=x)
+        sums = x @ np.ones(x.shape[1], x.dtype)
         if sums.min() > 1e-30:
             break
-    return mine, shares, sums
+    return mine, x, sums
 
 
-def _log_share(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray) -> np.ndarray:
+def _log_share(states: np.ndarray, w: np.ndarray, top: float, goal: np.ndarray) -> np.ndarray:
     """ln of the softmax share of each row's goal."""
-    mine, _, sums = _shares(states, w, b, goal)
+    mine, _, sums = _shares(states, w, top, goal)
     return mine - np.log(sums)
 
 
-def _share_gradient(states: np.ndarray, w: np.ndarray, b: np.ndarray, goal: np.ndarray, total: int, d_states: np.ndarray, d_w: np.ndarray, d_b: np.ndarray) -> float:
-    """The loss of the rows' goals; its gradient over total is added to d_states, d_w and d_b."""
-    mine, x, sums = _shares(states, w, b, goal)
-    x *= (1 / (sums * total))[:, None]
-    x[np.arange(len(x)), goal] -= 1 / total
-    d_states += x @ w.T
-    d_w += states.T @ x
-    d_b += np.ones(len(x), x.dtype) @ x
+def _share_gradient(states: np.ndarray, w: np.ndarray, top: float, goal: np.ndarray, total: int, d_states: np.ndarray, d_w: np.ndarray) -> float:
+    """The loss of the rows' goals; its gradient over total is added to d_states and, with the bias's as the last row, to d_w.
+
+    Shares stay multiplied by their row's sum; the narrow factors are divided by it instead.
+    """
+    mine, x, sums = _shares(states, w, top, goal)
+    x[np.arange(len(x)), goal] -= sums
+    part = (1 / (sums * total))[:, None]
+    d_states += (x @ w[:-1].T) * part
+    d_w += (states * part).T @ x
     return float((np.log(sums) - mine).sum())

@@ -112,6 +112,39 @@ def test_a_split_family_is_not_met_again_for_each_stranger_in_its_tables(spark,
     assert got == {*range(1000, 1020), 2000, 2001, 3000} and joined == [23]
 
 
+def test_gru_gradients_and_scores_match_plain_ones():
+    """Gradients by small differences; scores by one softmax after another, also where logits are far beyond what exp holds."""
+    from tessella.llm.gru import END, GRU
+
+    rng = np.random.default_rng(2)
+    for far in (1, 300):
+        model = GRU(np.arange(30, 0, -1), hidden=5)
+        model.p = {k: a.astype(np.float64) for k, a in model.p.items()}
+        model.p["wo"] *= far
+        ids, goals, h = rng.integers(0, 20, (6, 4)), rng.integers(0, 20, (6, 4)), rng.normal(0, 0.3, (4, 5))
+        ids[2, 1] = END
+        loss, g, _ = model.loss_and_gradient(ids, goals, h)
+        for k, a in model.p.items():
+            rows, values = g[k] if isinstance(g[k], tuple) else (slice(None), g[k])
+            whole = np.zeros_like(a)
+            whole[rows] = values
+            for _ in range(12 if far == 1 else 0):
+                at = tuple(rng.integers(0, n) for n in a.shape)
+                kept, ends = a[at], []
+                for step in (1e-6, -1e-6):
+                    a[at] = kept + step
+                    ends.append(model.loss_and_gradient(ids, goals, h)[0])
+                a[at] = kept
+                assert abs((ends[0] - ends[1]) / 2e-6 - whole[at]) < 1e-6
+        states, plain = rng.uniform(-1, 1, (24, 5)), []
+        for s, i in zip(states, goals.ravel()):
+            c, total = i // model.width, 0.0
+            for x, at in ((s @ model.p["wc"] + model.p["bc"], c), (s @ model.p["wo"][c] + model.p["bo"][c], i - c * model.width)):
+                total += x[at] - x.max() - np.log(np.exp(x - x.max()).sum())
+            plain.append(total)
+        assert np.allclose(model.log_probs(states, goals.ravel()), plain, atol=1e-9) and np.isfinite(loss)
+
+
 def test_components_of_chains_stars_and_single_links(spark):
     chain, star = [(i, i + 1) for i in range(30)], [(100, i) for i in range(101, 140)]
     edges = spark.createDataFrame([*chain, *star, (200, 201), (7, 7)], "x long, y long")
