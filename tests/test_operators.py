@@ -484,3 +484,25 @@ def test_versions_are_compared_without_sending_their_tokens(spark):
     assert [(r.to_version, r.added, r.removed, r.changed, r.similarity) for r in out.orderBy("to_version").collect()] == [("v2", 2, 1, 3, 0.7746), ("v3", 0, 0, 0, 0.0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_a_quiz_context_meets_all_its_questions_at_once(spark, monkeypatch):
+    """The context's words are made in one row a quiz and context; nulls, empty references and repeated contexts count as before."""
+    questions = spark.createDataFrame([(1, "alpha beta"), (1, "alpha no1 no2 no3"), (1, None), (2, "one"), (2, "One ONE"), (3, "lost"), (4, "x y")], "id long, reference string")
+    contexts = spark.createDataFrame([(1, "Alpha, beta and gamma."), (2, None), (4, "x"), (4, "nothing"), (5, "more")], "id long, context string")
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            times.add(batch.num_rows)
+            yield batch
+
+    joined = type(contexts).join
+
+    def counted(left, right, *on):
+        out = joined(left, right, *on)
+        return out.mapInArrow(seen, out.schema) if "context" in out.columns else out
+
+    monkeypatch.setattr(type(contexts), "join", counted)
+    got = {tuple(r) for r in outputs.quiz_grounding(questions, contexts).select("id", "is_grounded", "errors").collect()}
+    assert got == {(1, False, 2), (2, False, 2), (4, False, 1)} and times.value == 4
