@@ -39,6 +39,7 @@ HOT = 1024  # a key with over 1/HOT of all rows, and more than HOT_ROWS, is join
 HOT_ROWS = 256
 COLUMNS = 8192
 SPARSE = 1024  # comparisons over one rare shingle that are made as pairs, so at most 32 for one of its rows
+EDGES_AT_ONCE = 1 << 20  # edges that a task contracts together
 RARITY_BITS = 20  # buckets of the shingle counts that order the sets: 8 MB, whatever the corpus
 
 _N = 2 * HALVES * ROWS
@@ -198,28 +199,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node reachable over the edges, by alternating large and small stars."""
-    now = held.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    """(node, root): the smallest node reachable over the edges, by alternating large and small stars of edges that each task has contracted."""
+    now = held.keep(_contracted(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
     for _ in range(most_rounds):
-        count, unsettled = _unsettled(now)
+        ends = now.select("u", "v").union(now.select("v", "u"))
+        nodes = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"), F.count_if(F.expr("v < u")).alias("up"))
+        nodes = held.keep(nodes, "nodes")
+        # without nodes that have two smaller neighbours, or smaller and larger ones, each component is a star
+        count, unsettled = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 0 AND c > 1"))).first()
         if not unsettled:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        both = now.select("u", "v").union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
-        large = lookup(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = held.keep(large, "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        large = lookup(now.select(F.col("v").alias("u"), F.col("u").alias("far")), nodes.select("u", "m", "c"), "u", 2 * count)
+        large = held.keep(large.select(F.col("far").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least = held.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "least")
         small = lookup(large, least, "u", 2 * count).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = held.keep(small.where("u <> v").distinct(), "edges")
+        now = held.keep(_contracted(small), "edges")
     raise RuntimeError("components did not settle")
 
 
-def _unsettled(edges: DataFrame) -> tuple[int, int]:
-    """(edges (u, v) with u > v; their nodes with two smaller neighbours, or with smaller and larger ones): without such nodes each component is a star."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    found = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 OR (up > 0 AND down > 0)"))).first()
-    return found[0], found[1]
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Distinct edges (u, v), u > v, that join the same nodes: each task puts a star in the place of each component of its own edges."""
+    return edges.mapInArrow(_stars, "u long, v long").distinct()
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in (0, 1)])
+        size += batch.num_rows
+        if size >= EDGES_AT_ONCE:
+            yield _star(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _star(*map(np.concatenate, zip(*held)))
+
+
+def _star(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Each node but the smallest of its component with that one."""
+    nodes, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    top, (a, b) = np.arange(len(nodes)), place.reshape(2, -1)
+    while len(a):
+        a, b = top[a], top[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top[top] != top).any():
+            top = top[top]
+    own = np.flatnonzero(top != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[top[own]], pa.int64())], names=["u", "v"])
 
 
 def _hub_pairs(tables: DataFrame) -> DataFrame:
