@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -181,9 +182,15 @@ def write_chunks(chunks: DataFrame, path: str) -> str:
 
     Documents replace their chunks wherever those lie, also if no chunk of theirs has an embedding now. The batch becomes
     visible at once, when its files are complete (see sources.chunkstore); what is there already is neither read nor moved.
-    An empty subject or class is read back as null.
+    An empty subject or class is read back as null. Chunks are worked out once, for their files and for the list of documents.
     """
-    return chunkstore.commit(keyed_chunks(chunks), chunks, path, "pdf_name", PARTITIONS)
+    cached = chunks.storageLevel != StorageLevel.NONE
+    held = chunks if cached else chunks.persist(StorageLevel.DISK_ONLY)
+    try:
+        return chunkstore.commit(keyed_chunks(held), held, path, "pdf_name", PARTITIONS)
+    finally:
+        if not cached:
+            held.unpersist()
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

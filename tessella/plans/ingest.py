@@ -145,8 +145,8 @@ def _(s, d):
     path, now = scratch_path(s, "chunks"), _stored(s, d)
     changed = F.col("doc_id") % 3 == 0
     before = now.withColumns({"subject": F.when(changed, "elsewhere").otherwise(F.col("subject")), "embedding": F.when(changed | (F.col("doc_id") % 10 != 9), F.array(F.lit(1.0)))})
-    extra = before.where(changed & (F.col("chunk_id") == 1)).withColumn("chunk_id", F.lit(-1))
-    corpus.write_chunks(before.unionByName(extra), path)
+    numbers = F.when(changed & (F.col("chunk_id") == 1), F.array("chunk_id", F.lit(-1))).otherwise(F.array("chunk_id"))
+    corpus.write_chunks(before.withColumn("chunk_id", F.explode(numbers)), path)
     corpus.write_chunks(now.where(changed), path)
     return corpus.read_chunks(s, path).select("point_id", "subject", F.col("class_level").cast("string").alias("class_level"))
 

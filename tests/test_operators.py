@@ -194,6 +194,24 @@ def test_a_document_that_moves_leaves_nothing_behind(spark, tmp_path):
     assert len(list((tmp_path / "chunks" / "log").glob("batch_id=*"))) == len(list((tmp_path / "chunks" / "data").glob("batch_id=*"))) == 1
 
 
+def test_chunks_are_worked_out_once_for_their_files_and_their_documents(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = chunk_rows(spark, ("p", 1, "one", [1.0], "s"), ("q", 1, "other", None, "s"))
+    corpus.write_chunks(rows.mapInArrow(counted, rows.schema), f"file://{tmp_path}/chunks")
+    assert seen.value == 2 and stored(spark, f"file://{tmp_path}/chunks") == [("p", 1, "one", "s")]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    held = rows.cache()
+    corpus.write_chunks(held, f"file://{tmp_path}/more")
+    assert held.is_cached and held.storageLevel.useMemory
+    held.unpersist()
+
+
 def test_a_batch_that_dies_before_its_list_is_never_seen(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/chunks"
     corpus.write_chunks(chunk_rows(spark, ("p", 1, "one", [1.0], "s"), ("q", 1, "other", [1.0], "s")), path)
