@@ -39,6 +39,7 @@ HOT = 1024  # a key with over 1/HOT of all rows, and more than HOT_ROWS, is join
 HOT_ROWS = 256
 COLUMNS = 8192
 SPARSE = 1024  # comparisons over one rare shingle that are made as pairs, so at most 32 for one of its rows
+EDGES_A_TASK = 1 << 17  # edges that a task contracts together; more of them go through star rounds
 RARITY_BITS = 20  # buckets of the shingle counts that order the sets: 8 MB, whatever the corpus
 
 _N = 2 * HALVES * ROWS
@@ -198,12 +199,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
-    """(node, root): the smallest node reachable over the edges, by alternating large and small stars."""
-    now = held.keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    """(node, root): the smallest node reachable over the edges, a kept table, which is read twice.
+
+    Edges are contracted in as many tasks as they fill, each with EDGES_A_TASK of them; components that lie in several
+    tasks are joined by alternating large and small stars, until each is a star or the edges left fill one task.
+    """
+    now, count = edges.select(F.col(a).alias("u"), F.col(b).alias("v")), edges.count()
+    if count > EDGES_A_TASK:
+        now = held.keep(_contracted(now, -(-count // EDGES_A_TASK)).distinct(), "edges")
     for _ in range(most_rounds):
-        count, unsettled = _unsettled(now)
-        if not unsettled:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if count > EDGES_A_TASK:
+            count, unsettled = _unsettled(now)
+            if not unsettled:
+                return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if count <= EDGES_A_TASK:
+            return held.keep(_contracted(now, 1), "edges").select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.select("u", "v").union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c"))
         large = lookup(both.where("v > u"), least, "u", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -214,6 +224,38 @@ def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most
     raise RuntimeError("components did not settle")
 
 
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges (u, v), u > v, that join the same nodes: each of the tasks puts stars in the place of its own edges."""
+    return edges.coalesce(tasks).mapInArrow(_stars, "u long, v long")
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in (0, 1)])
+        size += batch.num_rows
+        if size >= 8 * EDGES_A_TASK:  # of files of unequal size
+            yield _star(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield _star(*map(np.concatenate, zip(*held)))
+
+
+def _star(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Each node but the smallest of its component with that one."""
+    nodes, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    top, (a, b) = np.arange(len(nodes)), place.reshape(2, -1)
+    while len(a):
+        a, b = top[a], top[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(top, np.maximum(a, b), np.minimum(a, b))
+        while (top[top] != top).any():
+            top = top[top]
+    own = np.flatnonzero(top != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), pa.array(nodes[top[own]], pa.int64())], names=["u", "v"])
+
+
 def _unsettled(edges: DataFrame) -> tuple[int, int]:
     """(edges (u, v) with u > v; their nodes with two smaller neighbours, or with smaller and larger ones): without such nodes each component is a star."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
@@ -241,8 +283,7 @@ def _link(pairs: DataFrame, texts, k: int, held: Scratch) -> tuple[DataFrame, Da
     if not total:
         return promising, promising
     # the more common end of a pair becomes the hub that others come to
-    ends = [promising.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("c")) for c in ("x", "y")]
-    weight = held.keep(ends[0].union(ends[1]).groupBy("node").agg(F.sum("c").alias("c")), "weights")
+    weight = held.keep(promising.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("c")), "weights")
     sets = held.keep(_sets_of(texts(weight.select(F.col("node").alias("class_id"))), k), "sets")
     turned = promising
     for end in ("x", "y"):

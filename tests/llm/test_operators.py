@@ -145,6 +145,19 @@ def test_gru_gradients_and_scores_match_plain_ones():
         assert np.allclose(model.log_probs(states, goals.ravel()), plain, atol=1e-9) and np.isfinite(loss)
 
 
+def test_components_that_fill_one_task_take_no_star_round(spark, monkeypatch):
+    """All at once where the edges fill one task; by rounds where they fill more, with the same result."""
+    chains = [(10 * c + i, 10 * c + i + 1) for c in range(40) for i in range(8)]
+    edges = spark.createDataFrame([*chains, (0, 399), (399, 0), (7, 7), *[(1000, n) for n in range(1001, 1100)], (390, 1050)], "x long, y long").repartition(5).cache()
+    expected = {399: 0} | {10 * c + i: 10 * c for c in range(40) for i in range(1, 9)} | {n: 390 for n in range(391, 399)} | {n: 390 for n in range(1000, 1100)}
+    for at_once, rounds in ((neardup.EDGES_A_TASK, False), (60, True)):
+        monkeypatch.setattr(neardup, "EDGES_A_TASK", at_once)
+        with neardup.Scratch(spark) as held:
+            got = [(r.node, r.root) for r in neardup.components(edges, held).collect()]
+            assert dict(got) == expected and len(got) == len(expected)
+            assert any("/stars-" in p for p in held.paths) == rounds
+
+
 def test_components_of_chains_stars_and_single_links(spark):
     chain, star = [(i, i + 1) for i in range(30)], [(100, i) for i in range(101, 140)]
     edges = spark.createDataFrame([*chain, *star, (200, 201), (7, 7)], "x long, y long")
