@@ -201,7 +201,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame, held: Scratch, a: str = "x", b: str = "y", most_rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node reachable over the edges, a kept table, which is read twice.
 
-    Edges are contracted in as many tasks as they fill, each with EDGES_A_TASK of them; components that lie in several
+    Edges are contracted in as many tasks as they fill, with about EDGES_A_TASK each; components that lie in several
     tasks are joined by alternating large and small stars, until each is a star or the edges left fill one task.
     """
     now, count = edges.select(F.col(a).alias("u"), F.col(b).alias("v")), edges.count()
